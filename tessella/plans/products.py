@@ -85,3 +85,340 @@ STRATEGIES = {
     "outer": mm_outer,
     "inner_broadcast": mm_inner_broadcast,
 }
+
+
+# --------------------------------------------------------------------- X2
+def mm_inner_cartesian(left: DataFrame, right: DataFrame, *, width: int | None = None,
+                       drop_zeros: bool = False,
+                       rows_per_task: int | None = _SKEW_DEFAULT) -> DataFrame:
+    """Inner-product strategy: packed rows dotted with packed columns.
+
+    The reference pairs every packed row with every packed column (a
+    cartesian product) and drops pairs with no shared index.  Here only the
+    pairs that share an inner index are ever formed: candidate
+    ``(i, k, segment)`` triples come from an equi-join on the inner index
+    (hot indices split), are de-duplicated with map-side combine, and each
+    candidate meets its two bounded segments by equi-join (hot segments
+    split again).  The dot of two sorted segments is an Arrow-batched NumPy
+    merge.  Same cells as the cartesian form: sums that cancel stay as 0.0,
+    pairs with an empty intersection never appear.
+    """
+    from tessella.functions.arrays import sparse_dot
+    from tessella.operators.layout import DEFAULT_SEGMENT, pack_columns, pack_rows
+
+    width = width or DEFAULT_SEGMENT
+    l, r = _lr(left, right)
+    rows = pack_rows(left, width)                                     # (i, seg, idx, val)
+    cols = (pack_columns(right, width)                                # (k, seg, cidx, cval)
+            .select(F.col("j").alias("k"), "seg", F.col("idx").alias("cidx"), F.col("val").alias("cval")))
+    cand = (split_join(l.select("i", "c"), r.select("c", "k"), "c", ["i"], ["k"], rows_per_task)
+            .select("i", "k", F.floor(F.col("c") / F.lit(width)).cast("long").alias("seg"))
+            .distinct())
+    with_rows = split_join(cand, rows, ["i", "seg"], ["k"], ["i"], rows_per_task)
+    both = split_join(with_rows, cols, ["k", "seg"], ["i"], ["k"], rows_per_task)
+    dots = both.select("i", "k", sparse_dot("idx", "val", "cidx", "cval").alias("d"))
+    out = dots.where(F.col("d").isNotNull()).groupBy("i", "k").agg(F.sum("d").alias("v"))
+    if drop_zeros:
+        out = out.where(F.col("v") != 0)
+    return out.select("i", F.col("k").alias("j"), "v")
+
+
+# --------------------------------------------------------------------- X4
+def mm_replicate(left: DataFrame, right: DataFrame, m: int, p: int, n: int | None = None, *,
+                 drop_zeros: bool = True) -> DataFrame:
+    """Replicate-and-reduce strategy for small outer dimensions ``m`` x ``p``.
+
+    Every left entry is copied to each of the ``p`` output columns and every
+    right entry to each of the ``m`` output rows; a cell's group then holds
+    everything it needs and matches on the inner index.  Entries outside the
+    declared shape (``i >= m``, ``k >= p``, ``j >= n``) never meet a partner,
+    as in the reference.  ``|L| p + |R| m`` rows are shuffled, so it is only
+    sensible for small ``m`` and ``p``.  The first grouping is on
+    ``(i, k, inner)``, which keeps even a heavy row spread over many tasks;
+    only matched pairs go on to the per-cell sum.
+    """
+    l, r = _lr(left, right)
+    l = l.where((F.col("i") >= 0) & (F.col("i") < m))
+    r = r.where((F.col("k") >= 0) & (F.col("k") < p))
+    if n is not None:
+        l = l.where((F.col("c") >= 0) & (F.col("c") < n))
+        r = r.where((F.col("c") >= 0) & (F.col("c") < n))
+    null = F.lit(None).cast("double")
+    lx = l.select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p - 1).cast("long"))).alias("k"),
+                  "c", F.col("v").alias("a"), null.alias("b"))
+    rx = r.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("i"),
+                  "k", "c", null.alias("a"), F.col("w").alias("b"))
+    matched = (lx.unionByName(rx)
+                 .groupBy("i", "k", "c").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+                 .where(F.col("a").isNotNull() & F.col("b").isNotNull()))
+    out = matched.groupBy("i", "k").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+    if drop_zeros:
+        out = out.where(F.col("v") != 0)
+    return out.select("i", F.col("k").alias("j"), "v")
+
+
+# --------------------------------------------------------------------- X5
+def cogroup_documents(left: DataFrame, right: DataFrame, *,
+                      list_rows: int = _SKEW_DEFAULT) -> DataFrame:
+    """Group both operands by inner index into documents
+    ``(c, part_a, part_b, left ARRAY<(i, v)>, right ARRAY<(k, w)>)``.
+
+    The reference builds one document per inner index.  A hot index would
+    make one unbounded document, so an index with more than ``list_rows``
+    entries on a side is cut into ``sa`` (left) and ``sb`` (right) parts, and
+    every left part is paired with every right part exactly once
+    (``sa * sb`` bounded documents).  Cold indices keep one document.
+    Indices present on one side only yield a document with an empty list.
+    """
+    from tessella.plans.skew import _row_hash, hot_grid
+
+    l, r = _lr(left, right)
+    grid = hot_grid(l, r, "c", list_rows)
+    if grid is None:
+        la = l.withColumn("_sa", F.lit(1)).withColumn("_sb", F.lit(1))
+        ra = r.withColumn("_sa", F.lit(1)).withColumn("_sb", F.lit(1))
+    else:
+        la = l.join(grid, "c", "left")
+        ra = r.join(grid, "c", "left")
+    one = F.lit(1)
+    la = (la.withColumn("_sa", F.coalesce("_sa", one)).withColumn("_sb", F.coalesce("_sb", one))
+            .withColumn("part_a", F.pmod(_row_hash(["i", "v"]), F.col("_sa")).cast("int")))
+    ra = (ra.withColumn("_sa", F.coalesce("_sa", one)).withColumn("_sb", F.coalesce("_sb", one))
+            .withColumn("part_b", F.pmod(_row_hash(["k", "w"]), F.col("_sb")).cast("int")))
+    ldoc = (la.groupBy("c", "part_a", "_sb").agg(F.collect_list(F.struct("i", "v")).alias("left"))
+              .withColumn("part_b", F.explode(F.sequence(F.lit(0), F.col("_sb") - 1))).drop("_sb"))
+    rdoc = (ra.groupBy("c", "part_b", "_sa").agg(F.collect_list(F.struct("k", "w")).alias("right"))
+              .withColumn("part_a", F.explode(F.sequence(F.lit(0), F.col("_sa") - 1))).drop("_sa"))
+    empty_l = F.array().cast("array<struct<i:bigint,v:double>>")
+    empty_r = F.array().cast("array<struct<k:bigint,w:double>>")
+    docs = ldoc.join(rdoc, ["c", "part_a", "part_b"], "full")
+    return docs.select("c", "part_a", "part_b",
+                       F.coalesce("left", empty_l).alias("left"),
+                       F.coalesce("right", empty_r).alias("right"))
+
+
+def mm_cogroup(left: DataFrame, right: DataFrame, *, list_rows: int = _SKEW_DEFAULT,
+               drop_zeros: bool = False) -> DataFrame:
+    """Group-by-inner-index strategy: per inner index, the cross product of
+    its left list and right list, then a sum per cell.  Documents are
+    bounded (``cogroup_documents``); cancelled sums are kept, as the
+    reference's reducer writes every sum."""
+    docs = cogroup_documents(left, right, list_rows=list_rows)
+    pairs = (docs.where((F.size("left") > 0) & (F.size("right") > 0))
+                 .select(F.explode("left").alias("a"), "right")
+                 .select("a.i", "a.v", F.explode("right").alias("b"))
+                 .select("i", "v", "b.k", "b.w"))
+    return _cells(pairs, drop_zeros)
+
+
+# --------------------------------------------------------------------- X6 / X7
+_TILE_OUT = "i long, k long, v double"
+
+
+def _tile_products(batches):
+    import numpy as np
+    import pandas as pd
+
+    from tessella.functions.arrays import local_product
+
+    for pdf in batches:
+        outs = []
+        for li, lc, lv, rc, rk, rw in zip(pdf["li"], pdf["lc"], pdf["lv"],
+                                          pdf["rc"], pdf["rk"], pdf["rw"]):
+            oi, ok, ov = local_product(li, lc, lv, rc, rk, rw)
+            if len(oi):
+                outs.append(pd.DataFrame({"i": oi, "k": ok, "v": ov}))
+        if outs:
+            yield pd.concat(outs, ignore_index=True)
+        else:
+            yield pd.DataFrame({"i": np.empty(0, np.int64), "k": np.empty(0, np.int64),
+                                "v": np.empty(0, np.float64)})
+
+
+def _maybe_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if rows_at_most(df, max_rows) else df
+
+
+def mm_block(left: DataFrame, right: DataFrame, mb: int, kb: int, nb: int, *,
+             mid_splits: int = 1, drop_zeros: bool = True) -> DataFrame:
+    """Block strategy: tile both operands, multiply matching tiles, sum.
+
+    Left tiles ``(bi, bk)`` hold at most ``mb x kb`` cells, right tiles
+    ``(bk, bj)`` at most ``kb x nb``.  A left tile is copied to each ``bj``
+    that has a right tile at its ``bk`` and a right tile to each ``bi``
+    with a left tile at ``bk`` (block directories; broadcast when proven
+    small), so the tile join on ``(bi, bk, bj)`` is one-to-one and spreads
+    evenly.  Each tile pair is multiplied in NumPy inside ``mapInPandas``
+    (sparse merge, linear in partial products); results are summed over
+    ``bk``.  ``mid_splits > 1`` sums in two steps, first within ``bk mod
+    mid_splits`` groups, like a mid-dimension split.
+    """
+    from tessella.operators.layout import to_blocks
+
+    lt = to_blocks(left, mb, kb).select(
+        "bi", F.col("bj").alias("bk"), F.col("ei").alias("li"), F.col("ej").alias("lc"), F.col("ev").alias("lv"))
+    rt = to_blocks(right, kb, nb).select(
+        F.col("bi").alias("bk"), "bj", F.col("ei").alias("rc"), F.col("ej").alias("rk"), F.col("ev").alias("rw"))
+    ldir = _maybe_broadcast(lt.select("bi", "bk"))
+    rdir = _maybe_broadcast(rt.select("bk", "bj"))
+    lrep = lt.join(rdir, "bk")
+    rrep = rt.join(ldir, "bk")
+    pairs = lrep.join(rrep, ["bi", "bk", "bj"])
+    if mid_splits > 1:
+        prod = pairs.select("bk", "li", "lc", "lv", "rc", "rk", "rw")
+        part = (prod.withColumn("_s", F.pmod(F.col("bk"), F.lit(mid_splits)))
+                    .mapInPandas(_tile_products_keep_split, _TILE_OUT + ", _s long")
+                    .groupBy("i", "k", "_s").agg(F.sum("v").alias("v")))
+        out = part.groupBy("i", "k").agg(F.sum("v").alias("v"))
+    else:
+        prod = pairs.select("li", "lc", "lv", "rc", "rk", "rw").mapInPandas(_tile_products, _TILE_OUT)
+        out = prod.groupBy("i", "k").agg(F.sum("v").alias("v"))
+    if drop_zeros:
+        out = out.where(F.col("v") != 0)
+    return out.select("i", F.col("k").alias("j"), "v")
+
+
+def _tile_products_keep_split(batches):
+    import pandas as pd
+
+    from tessella.functions.arrays import local_product
+
+    for pdf in batches:
+        outs = []
+        for li, lc, lv, rc, rk, rw, s in zip(pdf["li"], pdf["lc"], pdf["lv"], pdf["rc"],
+                                             pdf["rk"], pdf["rw"], pdf["_s"]):
+            oi, ok, ov = local_product(li, lc, lv, rc, rk, rw)
+            if len(oi):
+                outs.append(pd.DataFrame({"i": oi, "k": ok, "v": ov, "_s": int(s)}))
+        yield (pd.concat(outs, ignore_index=True) if outs else
+               pd.DataFrame({"i": pd.Series([], dtype="int64"), "k": pd.Series([], dtype="int64"),
+                             "v": pd.Series([], dtype="float64"), "_s": pd.Series([], dtype="int64")}))
+
+
+def mm_block_fixed_k(left: DataFrame, right: DataFrame, mb: int, nb: int, *,
+                     strip_rows: int = _SKEW_DEFAULT, drop_zeros: bool = True,
+                     rows_per_task: int | None = _SKEW_DEFAULT) -> DataFrame:
+    """Block strategy with the whole inner dimension in one block.
+
+    Left strips ``bi`` (``mb`` rows, all inner indices) meet right strips
+    ``bj`` (``nb`` columns); each ``(bi, bj)`` product is complete by itself,
+    so no sum across inner blocks is needed.  Only strip pairs that share an
+    inner index are formed (found by an equi-join of the strips' index sets,
+    never a cross product).  A strip with more than ``strip_rows`` entries
+    is cut into parts and every left part meets every right part of the
+    pair; only then a per-cell sum is added.
+    """
+    from tessella.plans.skew import spread_groups
+
+    l, r = _lr(left, right)
+    l = l.withColumn("bi", F.floor(F.col("i") / F.lit(mb)).cast("long"))
+    r = r.withColumn("bj", F.floor(F.col("k") / F.lit(nb)).cast("long"))
+    need = (split_join(l.select("bi", "c").distinct(), r.select("c", "bj").distinct(),
+                       "c", ["bi"], ["bj"], rows_per_task)
+            .select("bi", "bj").distinct())
+    l = spread_groups(l, "bi", ["i", "c"], strip_rows, "pa")
+    r = spread_groups(r, "bj", ["k", "c"], strip_rows, "pb")
+    lstrip = l.groupBy("bi", "pa").agg(F.collect_list(F.struct("i", "c", "v")).alias("e")).select(
+        "bi", "pa", F.col("e.i").alias("li"), F.col("e.c").alias("lc"), F.col("e.v").alias("lv"))
+    rstrip = r.groupBy("bj", "pb").agg(F.collect_list(F.struct("c", "k", "w")).alias("e")).select(
+        "bj", "pb", F.col("e.c").alias("rc"), F.col("e.k").alias("rk"), F.col("e.w").alias("rw"))
+    needb = _maybe_broadcast(need)
+    lrep = lstrip.join(needb, "bi").join(_maybe_broadcast(rstrip.select("bj", "pb")), "bj")
+    rrep = rstrip.join(needb, "bj").join(_maybe_broadcast(lstrip.select("bi", "pa")), "bi")
+    pairs = lrep.join(rrep, ["bi", "pa", "bj", "pb"])
+    prod = pairs.select("li", "lc", "lv", "rc", "rk", "rw").mapInPandas(_tile_products, _TILE_OUT)
+    out = prod.groupBy("i", "k").agg(F.sum("v").alias("v"))
+    if drop_zeros:
+        out = out.where(F.col("v") != 0)
+    return out.select("i", F.col("k").alias("j"), "v")
+
+
+# --------------------------------------------------------------------- X8
+MAX_DENSE_CELLS = 64_000_000  # 512 MB of doubles broadcast at most
+
+
+def _width(df: DataFrame) -> int:
+    mx = df.agg(F.max("j")).first()[0]
+    return 0 if mx is None else int(mx) + 1
+
+
+def mm_row_dense(left: DataFrame, right: DataFrame, n: int | None = None, *,
+                 max_dense_cells: int = MAX_DENSE_CELLS) -> DataFrame:
+    """Sparse rows times a broadcast dense matrix.
+
+    The right operand becomes dense rows ``(inner, ARRAY<DOUBLE>[n])`` and
+    is broadcast only when ``rows x n`` is proven below
+    ``max_dense_cells``; otherwise this raises, pointing at
+    ``mm_column_groups``, which bounds each broadcast to ``n / h`` columns.
+    Each left entry scales its dense row; element sums per ``(i, column)``
+    give the result, zeros dropped (the reference filters them).
+    """
+    from tessella.operators.layout import dense_rows
+
+    n = _width(right) if n is None else int(n)
+    if n == 0:
+        return left.sparkSession.createDataFrame([], "i long, j long, v double")
+    dense = dense_rows(right, n).select(F.col("i").alias("c"), "vals")
+    if not rows_at_most(dense, max(max_dense_cells // n, 1)):
+        raise ValueError("right operand too large to broadcast dense; use mm_column_groups")
+    l, _ = _lr(left, right)
+    x = l.join(F.broadcast(dense), "c")
+    y = (x.select("i", F.posexplode(F.transform("vals", lambda t: t * F.col("v"))).alias("k", "x"))
+          .where(F.col("x") != 0))
+    out = y.groupBy("i", F.col("k").cast("long").alias("k")).agg(F.sum("x").alias("v"))
+    return out.where(F.col("v") != 0).select("i", F.col("k").alias("j"), "v")
+
+
+# --------------------------------------------------------------------- X9
+def mm_matvec(left: DataFrame, column: DataFrame, *,
+              max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Matrix times one column ``(i, v)``: ``(i, v)`` of non-zero results.
+
+    The reference runs one job per right column.  Here a column is one plan;
+    all columns at once is ``mm_inner_broadcast`` written with
+    ``write_coo(by='j')`` (one output folder per column)."""
+    col = column.groupBy(F.col("i").cast("long").alias("c")).agg(F.sum("v").alias("w"))
+    if rows_at_most(col, max_broadcast_rows):
+        col = F.broadcast(col)
+    l = left.select("i", F.col("j").cast("long").alias("c"), "v")
+    out = l.join(col, "c").groupBy("i").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    return out.where(F.col("v") != 0)
+
+
+# --------------------------------------------------------------------- X10
+def mm_column_groups(left: DataFrame, right: DataFrame, h: int, n: int | None = None, *,
+                     max_dense_cells: int = MAX_DENSE_CELLS) -> DataFrame:
+    """Column-group strategy: right columns split by ``j mod h``.
+
+    Group ``g`` holds columns ``g, g + h, ...`` renumbered ``j div h``; each
+    group is multiplied as rows x broadcast dense block of width
+    ``ceil(n / h)`` (so one broadcast is ``1/h`` of the dense right operand)
+    and mapped back with ``j = c * h + g``.  Returns ``(i, j, v, g)``, ready
+    for ``write_coo(..., by='g')`` (one output folder per group).
+    """
+    from tessella.operators.entries import column_groups
+
+    n = _width(right) if n is None else int(n)
+    width = max(-(-n // h), 1)
+    grouped = column_groups(right, h)
+    parts = []
+    for g in range(h):
+        sub = grouped.where(F.col("g") == g).select("i", F.col("c").alias("j"), "v")
+        prod = mm_row_dense(left, sub, width, max_dense_cells=max_dense_cells)
+        parts.append(prod.select("i", (F.col("j") * F.lit(h) + F.lit(g)).cast("long").alias("j"), "v",
+                                 F.lit(g).alias("g")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+STRATEGIES.update({
+    "inner_cartesian": mm_inner_cartesian,
+    "replicate": mm_replicate,
+    "cogroup": mm_cogroup,
+    "block": mm_block,
+    "block_fixed_k": mm_block_fixed_k,
+    "row_dense": mm_row_dense,
+    "column_groups": mm_column_groups,
+})
