@@ -469,7 +469,8 @@ ORACLE: dict[str, str] = {
     "symmetrize": f"WITH e AS ({_E}) {_ADJ}",
     "symmetrize_once": f"WITH e AS ({_E}) {_ADJ_ONCE}",
     "dedupe_entries": SQL_M_SO,
-    "dedupe_last": ("SELECT l_suppkey AS i, l_orderkey AS j, arg_max(l_quantity, l_linenumber) AS v "
+    "dedupe_last": ("SELECT l_suppkey AS i, l_orderkey AS j, "
+                    "arg_max(l_quantity, {'o': l_linenumber, 'v': l_quantity}) AS v "
                     "FROM lineitem GROUP BY l_suppkey, l_orderkey"),
     "drop_zeros": ("SELECT l_orderkey AS i, CAST(l_linenumber AS BIGINT) AS j, l_discount AS v "
                    "FROM lineitem WHERE l_discount <> 0"),

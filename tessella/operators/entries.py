@@ -39,7 +39,8 @@ def dedupe(df: DataFrame, how: str = "sum", order_col: str | None = None) -> Dat
 
     ``sum`` adds them (what conversions to blocks do, and the default here so
     every strategy agrees); ``last`` keeps the value with the greatest
-    ``order_col`` (the replicate reducer's last-wins map); ``error`` raises if
+    ``order_col`` (the replicate reducer's last-wins map; equal order values
+    are broken by the larger value, so retries agree); ``error`` raises if
     any cell repeats (indexed-row conversion).
     """
     if how == "sum":
@@ -47,7 +48,7 @@ def dedupe(df: DataFrame, how: str = "sum", order_col: str | None = None) -> Dat
     if how == "last":
         if order_col is None:
             raise ValueError("dedupe(how='last') needs an order column")
-        return df.groupBy("i", "j").agg(F.max_by("v", order_col).alias("v"))
+        return df.groupBy("i", "j").agg(F.max_by("v", F.struct(order_col, "v")).alias("v"))
     if how == "error":
         dup = df.groupBy("i", "j").count().where(F.col("count") > 1)
         if dup.limit(1).count():
