@@ -34,8 +34,8 @@ RANDOM_COLS = 100
 RANDOM_DENSITY = 0.05
 RANDOM_SEED = "rs"
 GROUPS = 4                 # column groups for the lump strategy
-BLOCK = (32, 4096, 256)    # mb, kb, nb for the block product
-STRIP = (16, 8)            # mb, nb for the fixed-inner block product
+BLOCK = (256, 16384, 2048)  # mb, kb, nb for the block product
+STRIP = (64, 8)             # mb, nb for the fixed-inner block product
 STATS_BLOCK = (10, 1000)   # mb, kb for block statistics
 SEGMENT = LA.DEFAULT_SEGMENT
 

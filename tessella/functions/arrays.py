@@ -77,7 +77,10 @@ def local_product(li, lc, lv, rc, rk, rw):
     oi = li[left_of]
     ok = rk[right_of]
     ov = lv[left_of] * rw[right_of]
-    keys = np.stack([oi, ok], axis=1)
-    uniq, inv = np.unique(keys, axis=0, return_inverse=True)
+    # one int64 key per output cell, relative to the pair's own index ranges
+    i0, k0 = oi.min(), ok.min()
+    span = int(ok.max() - k0) + 1
+    key = (oi - i0) * span + (ok - k0)
+    uniq, inv = np.unique(key, return_inverse=True)
     sums = np.bincount(inv.ravel(), weights=ov, minlength=len(uniq))
-    return uniq[:, 0], uniq[:, 1], sums
+    return uniq // span + i0, uniq % span + k0, sums

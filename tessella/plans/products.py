@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.plans.guards import MAX_BROADCAST_ROWS, rows_at_most
-from tessella.plans.skew import DEFAULT_ROWS_PER_TASK, split_join
+from tessella.plans.skew import JOIN_ROWS_PER_TASK, LIST_ROWS, split_join
 
-_SKEW_DEFAULT = DEFAULT_ROWS_PER_TASK
+_SKEW_DEFAULT = JOIN_ROWS_PER_TASK
 
 
 def _lr(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,9 +44,9 @@ def mm_outer(left: DataFrame, right: DataFrame, *, partitions: int | None = None
     Plan: Exchange(c) on both sides -> SortMergeJoin -> partial HashAggregate
     (i, k) -> Exchange(i, k) -> final HashAggregate.  ``partitions`` fixes the
     join parallelism explicitly (both sides hash-partitioned on ``c`` with
-    that count, which the join then reuses).  Hot inner indices are split over
-    a salt grid (``plans.skew``).  Cancelled sums are kept as 0.0 unless
-    ``drop_zeros``.
+    that count, which the join then reuses).  A hot inner index is split by
+    AQE's skew-join, or over an explicit salt grid with ``rows_per_task``
+    (``plans.skew``).  Cancelled sums are kept as 0.0 unless ``drop_zeros``.
     """
     l, r = _lr(left, right)
     if partitions:
@@ -159,7 +159,7 @@ def mm_replicate(left: DataFrame, right: DataFrame, m: int, p: int, n: int | Non
 
 # --------------------------------------------------------------------- X5
 def cogroup_documents(left: DataFrame, right: DataFrame, *,
-                      list_rows: int = _SKEW_DEFAULT) -> DataFrame:
+                      list_rows: int = LIST_ROWS) -> DataFrame:
     """Group both operands by inner index into documents
     ``(c, part_a, part_b, left ARRAY<(i, v)>, right ARRAY<(k, w)>)``.
 
@@ -197,7 +197,7 @@ def cogroup_documents(left: DataFrame, right: DataFrame, *,
                        F.coalesce("right", empty_r).alias("right"))
 
 
-def mm_cogroup(left: DataFrame, right: DataFrame, *, list_rows: int = _SKEW_DEFAULT,
+def mm_cogroup(left: DataFrame, right: DataFrame, *, list_rows: int = LIST_ROWS,
                drop_zeros: bool = False) -> DataFrame:
     """Group-by-inner-index strategy: per inner index, the cross product of
     its left list and right list, then a sum per cell.  Documents are
@@ -235,10 +235,6 @@ def _tile_products(batches):
                                 "v": np.empty(0, np.float64)})
 
 
-def _maybe_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if rows_at_most(df, max_rows) else df
-
-
 def mm_block(left: DataFrame, right: DataFrame, mb: int, kb: int, nb: int, *,
              mid_splits: int = 1, drop_zeros: bool = True) -> DataFrame:
     """Block strategy: tile both operands, multiply matching tiles, sum.
@@ -246,12 +242,13 @@ def mm_block(left: DataFrame, right: DataFrame, mb: int, kb: int, nb: int, *,
     Left tiles ``(bi, bk)`` hold at most ``mb x kb`` cells, right tiles
     ``(bk, bj)`` at most ``kb x nb``.  A left tile is copied to each ``bj``
     that has a right tile at its ``bk`` and a right tile to each ``bi``
-    with a left tile at ``bk`` (block directories; broadcast when proven
-    small), so the tile join on ``(bi, bk, bj)`` is one-to-one and spreads
-    evenly.  Each tile pair is multiplied in NumPy inside ``mapInPandas``
-    (sparse merge, linear in partial products); results are summed over
-    ``bk``.  ``mid_splits > 1`` sums in two steps, first within ``bk mod
-    mid_splits`` groups, like a mid-dimension split.
+    with a left tile at ``bk``, using the two block directories (one row
+    per non-empty tile, computed from the entries; AQE broadcasts them when
+    their measured size allows), so the tile join on ``(bi, bk, bj)`` is
+    one-to-one and spreads evenly.  Each tile pair is multiplied in NumPy
+    inside ``mapInPandas`` (sparse merge, linear in partial products);
+    results are summed over ``bk``.  ``mid_splits > 1`` sums in two steps,
+    first within ``bk mod mid_splits`` groups, like a mid-dimension split.
     """
     from tessella.operators.layout import to_blocks
 
@@ -259,8 +256,10 @@ def mm_block(left: DataFrame, right: DataFrame, mb: int, kb: int, nb: int, *,
         "bi", F.col("bj").alias("bk"), F.col("ei").alias("li"), F.col("ej").alias("lc"), F.col("ev").alias("lv"))
     rt = to_blocks(right, kb, nb).select(
         F.col("bi").alias("bk"), "bj", F.col("ei").alias("rc"), F.col("ej").alias("rk"), F.col("ev").alias("rw"))
-    ldir = _maybe_broadcast(lt.select("bi", "bk"))
-    rdir = _maybe_broadcast(rt.select("bk", "bj"))
+    ldir = left.select(F.floor(F.col("i") / F.lit(mb)).cast("long").alias("bi"),
+                       F.floor(F.col("j") / F.lit(kb)).cast("long").alias("bk")).distinct()
+    rdir = right.select(F.floor(F.col("i") / F.lit(kb)).cast("long").alias("bk"),
+                        F.floor(F.col("j") / F.lit(nb)).cast("long").alias("bj")).distinct()
     lrep = lt.join(rdir, "bk")
     rrep = rt.join(ldir, "bk")
     pairs = lrep.join(rrep, ["bi", "bk", "bj"])
@@ -296,7 +295,7 @@ def _tile_products_keep_split(batches):
 
 
 def mm_block_fixed_k(left: DataFrame, right: DataFrame, mb: int, nb: int, *,
-                     strip_rows: int = _SKEW_DEFAULT, drop_zeros: bool = True,
+                     strip_rows: int = LIST_ROWS, drop_zeros: bool = True,
                      rows_per_task: int | None = _SKEW_DEFAULT) -> DataFrame:
     """Block strategy with the whole inner dimension in one block.
 
@@ -322,9 +321,12 @@ def mm_block_fixed_k(left: DataFrame, right: DataFrame, mb: int, nb: int, *,
         "bi", "pa", F.col("e.i").alias("li"), F.col("e.c").alias("lc"), F.col("e.v").alias("lv"))
     rstrip = r.groupBy("bj", "pb").agg(F.collect_list(F.struct("c", "k", "w")).alias("e")).select(
         "bj", "pb", F.col("e.c").alias("rc"), F.col("e.k").alias("rk"), F.col("e.w").alias("rw"))
-    needb = _maybe_broadcast(need)
-    lrep = lstrip.join(needb, "bi").join(_maybe_broadcast(rstrip.select("bj", "pb")), "bj")
-    rrep = rstrip.join(needb, "bj").join(_maybe_broadcast(lstrip.select("bi", "pa")), "bi")
+    # strip directories (one row per strip part); AQE broadcasts them when
+    # their measured size allows
+    ldir = l.select("bi", "pa").distinct()
+    rdir = r.select("bj", "pb").distinct()
+    lrep = lstrip.join(need, "bi").join(rdir, "bj")
+    rrep = rstrip.join(need, "bj").join(ldir, "bi")
     pairs = lrep.join(rrep, ["bi", "pa", "bj", "pb"])
     prod = pairs.select("li", "lc", "lv", "rc", "rk", "rw").mapInPandas(_tile_products, _TILE_OUT)
     out = prod.groupBy("i", "k").agg(F.sum("v").alias("v"))

@@ -24,11 +24,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.plans.guards import MAX_HOT_KEYS, rows_at_most
+from tessella.plans.guards import MAX_HOT_KEYS
 
 # Rows of one key that a single task is allowed to take before the key is
 # split.  Large enough that test-scale data never splits unless asked to.
 DEFAULT_ROWS_PER_TASK = 1_000_000
+# Default for joins: ``None`` leaves hot join keys to Spark's adaptive
+# skew-join, which splits an oversized shuffle partition of either side at
+# run time (both sides if both are hot) at no extra pass over the inputs.
+# Pass a row count to salt explicitly instead (``hot_grid`` detection).
+JOIN_ROWS_PER_TASK: int | None = None
+# Grouped collections (documents, strips) cannot be split by AQE, so they
+# are always cut into parts of at most about this many rows.
+LIST_ROWS = 1_000_000
 
 
 def _keys(on: str | Sequence[str]) -> list[str]:
@@ -59,10 +67,11 @@ def hot_grid(left: DataFrame, right: DataFrame, on: str | Sequence[str],
         grid = (lh.join(rh, keys, "full")
                   .select(*keys, F.coalesce("_sa", F.lit(1)).alias("_sa"),
                           F.coalesce("_sb", F.lit(1)).alias("_sb")))
-        if rows_at_most(grid, MAX_HOT_KEYS):
+        n = grid.limit(MAX_HOT_KEYS + 1).count()      # one job: size and emptiness
+        if n <= MAX_HOT_KEYS:
             break
         rows *= 4
-    if grid.limit(1).count() == 0:
+    if n == 0:
         return None
     return F.broadcast(grid)
 
@@ -73,14 +82,15 @@ def _row_hash(cols: Sequence[str | Column]) -> Column:
 
 def split_join(left: DataFrame, right: DataFrame, on: str | Sequence[str],
                left_spread: Sequence[str], right_spread: Sequence[str],
-               rows_per_task: int | None = DEFAULT_ROWS_PER_TASK,
+               rows_per_task: int | None = JOIN_ROWS_PER_TASK,
                grid: DataFrame | None = None) -> DataFrame:
     """Inner equi-join on ``on`` with hot keys spread over a salt grid.
 
     ``left_spread`` / ``right_spread`` name columns that vary inside a key
-    (the other matrix index), hashed to place rows in the grid.  Pass
-    ``rows_per_task=None`` to skip detection and rely on AQE skew-join alone,
-    or a precomputed ``grid`` (from ``hot_grid``) to share one detection.
+    (the other matrix index), hashed to place rows in the grid.  With
+    ``rows_per_task=None`` (default) there is no detection pass and AQE's
+    skew-join splits hot partitions; a row count salts explicitly, and a
+    precomputed ``grid`` (from ``hot_grid``) shares one detection.
     """
     keys = _keys(on)
     if grid is None and rows_per_task is not None:
@@ -104,7 +114,7 @@ def split_join(left: DataFrame, right: DataFrame, on: str | Sequence[str],
 
 
 def spread_groups(df: DataFrame, on: str | Sequence[str], spread: Sequence[str],
-                  rows_per_task: int = DEFAULT_ROWS_PER_TASK, name: str = "chunk") -> DataFrame:
+                  rows_per_task: int = LIST_ROWS, name: str = "chunk") -> DataFrame:
     """Add a ``name`` column that cuts every group of ``on`` into pieces of
     about ``rows_per_task`` rows (0 for groups that are small already).
 
@@ -115,10 +125,11 @@ def spread_groups(df: DataFrame, on: str | Sequence[str], spread: Sequence[str],
     rows = max(int(rows_per_task), 1)
     while True:
         hot = hot_keys(df, keys, rows, "_s")
-        if rows_at_most(hot, MAX_HOT_KEYS):
+        n = hot.limit(MAX_HOT_KEYS + 1).count()
+        if n <= MAX_HOT_KEYS:
             break
         rows *= 4
-    if hot.limit(1).count() == 0:
+    if n == 0:
         return df.withColumn(name, F.lit(0))
     return (df.join(F.broadcast(hot), keys, "left")
               .withColumn(name, F.pmod(_row_hash(spread), F.coalesce("_s", F.lit(1))).cast("int"))
