@@ -225,16 +225,15 @@ def q_cogroup_lists(spark, d):
     lsum = F.aggregate("left", F.lit(0.0), lambda a, e: a + e["v"])
     rsum = F.aggregate("right", F.lit(0.0), lambda a, e: a + e["w"])
     return g.groupBy(F.col("c").alias("j")).agg(
-        F.sum(F.when(F.col("part_b") == 0, F.size("left"))).cast("long").alias("n_left"),
-        F.sum(F.when(F.col("part_b") == 0, lsum)).alias("sum_left"),
-        F.sum(F.when(F.col("part_a") == 0, F.size("right"))).cast("long").alias("n_right"),
-        F.sum(F.when(F.col("part_a") == 0, rsum)).alias("sum_right"))
+        F.sum(F.size("left")).cast("long").alias("n_left"),
+        F.sum(lsum).alias("sum_left"),
+        F.sum(F.size("right")).cast("long").alias("n_right"),
+        F.sum(rsum).alias("sum_right"))
 
 
 def q_json_lists(spark, d):
     g = _cogroup_from_docs(spark, d)
-    lj = DO.parse_grouped(DO.grouped_json(g.where(F.col("part_b") == 0)))
-    rj = DO.parse_grouped(DO.grouped_json(g.where(F.col("part_a") == 0)))
+    lj = rj = DO.parse_grouped(DO.grouped_json(g))
     a = lj.select("j", F.explode("left").alias("e")).select(
         F.lit("L").alias("side"), "j", F.col("e.i").alias("a"), F.col("e.v").alias("v"))
     b = rj.select("j", F.explode("right").alias("e")).select(

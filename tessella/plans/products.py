@@ -129,13 +129,14 @@ def mm_replicate(left: DataFrame, right: DataFrame, m: int, p: int, n: int | Non
     """Replicate-and-reduce strategy for small outer dimensions ``m`` x ``p``.
 
     Every left entry is copied to each of the ``p`` output columns and every
-    right entry to each of the ``m`` output rows; a cell's group then holds
-    everything it needs and matches on the inner index.  Entries outside the
-    declared shape (``i >= m``, ``k >= p``, ``j >= n``) never meet a partner,
-    as in the reference.  ``|L| p + |R| m`` rows are shuffled, so it is only
-    sensible for small ``m`` and ``p``.  The first grouping is on
-    ``(i, k, inner)``, which keeps even a heavy row spread over many tasks;
-    only matched pairs go on to the per-cell sum.
+    right entry to each of the ``m`` output rows, so each output cell
+    ``(i, k)`` receives everything it needs; the copies meet on
+    ``(i, k, inner)`` (the per-cell reducer's match on the inner index) and
+    are summed per cell.  Entries outside the declared shape (``i >= m``,
+    ``k >= p``, ``j >= n``) never meet a partner, as in the reference.
+    ``|L| p + |R| m`` rows are shuffled, so it only suits small ``m`` and
+    ``p``; the join key includes the inner index, so even a heavy row or
+    column is spread over many tasks.
     """
     l, r = _lr(left, right)
     l = l.where((F.col("i") >= 0) & (F.col("i") < m))
@@ -143,71 +144,72 @@ def mm_replicate(left: DataFrame, right: DataFrame, m: int, p: int, n: int | Non
     if n is not None:
         l = l.where((F.col("c") >= 0) & (F.col("c") < n))
         r = r.where((F.col("c") >= 0) & (F.col("c") < n))
-    null = F.lit(None).cast("double")
     lx = l.select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p - 1).cast("long"))).alias("k"),
-                  "c", F.col("v").alias("a"), null.alias("b"))
+                  "c", "v")
     rx = r.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("i"),
-                  "k", "c", null.alias("a"), F.col("w").alias("b"))
-    matched = (lx.unionByName(rx)
-                 .groupBy("i", "k", "c").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-                 .where(F.col("a").isNotNull() & F.col("b").isNotNull()))
-    out = matched.groupBy("i", "k").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
-    if drop_zeros:
-        out = out.where(F.col("v") != 0)
-    return out.select("i", F.col("k").alias("j"), "v")
+                  "k", "c", "w")
+    return _cells(lx.join(rx, ["i", "k", "c"]), drop_zeros)
 
 
 # --------------------------------------------------------------------- X5
+LIST_WIDTH = 1 << 16   # ids per document part: a part lists at most this many entries
+
+
+def _parts(l: DataFrame, r: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Per inner index, the left list cut into parts of ``width`` consecutive
+    row ids and the right list into parts of ``width`` column ids.  After
+    duplicates are summed a part holds at most ``width`` entries: a proven
+    bound, with no pass over the data to find hot indices."""
+    la = (l.withColumn("part_a", F.floor(F.col("i") / F.lit(width)).cast("long"))
+           .repartition("c", "part_a")
+           .groupBy("c", "part_a", "i").agg(F.sum("v").alias("v"))
+           .groupBy("c", "part_a").agg(F.collect_list(F.struct("i", "v")).alias("left")))
+    ra = (r.withColumn("part_b", F.floor(F.col("k") / F.lit(width)).cast("long"))
+           .repartition("c", "part_b")
+           .groupBy("c", "part_b", "k").agg(F.sum("w").alias("w"))
+           .groupBy("c", "part_b").agg(F.collect_list(F.struct("k", "w")).alias("right")))
+    return la, ra
+
+
 def cogroup_documents(left: DataFrame, right: DataFrame, *,
-                      list_rows: int = LIST_ROWS) -> DataFrame:
+                      width: int = LIST_WIDTH) -> DataFrame:
     """Group both operands by inner index into documents
-    ``(c, part_a, part_b, left ARRAY<(i, v)>, right ARRAY<(k, w)>)``.
-
-    The reference builds one document per inner index.  A hot index would
-    make one unbounded document, so an index with more than ``list_rows``
-    entries on a side is cut into ``sa`` (left) and ``sb`` (right) parts, and
-    every left part is paired with every right part exactly once
-    (``sa * sb`` bounded documents).  Cold indices keep one document.
-    Indices present on one side only yield a document with an empty list.
+    ``(c, part, left ARRAY<(i, v)>, right ARRAY<(k, w)>)``.
+
+    The reference builds one document per inner index holding both lists.
+    Here a list longer than ``width`` ids is cut into parts, and document
+    ``part`` of an index holds left part ``part`` and right part ``part``
+    (either may be empty).  An index with short lists keeps exactly one
+    document, ``part = 0``.  Indices present on one side only yield a
+    document with one empty list.
     """
-    from tessella.plans.skew import _row_hash, hot_grid
-
     l, r = _lr(left, right)
-    grid = hot_grid(l, r, "c", list_rows)
-    if grid is None:
-        la = l.withColumn("_sa", F.lit(1)).withColumn("_sb", F.lit(1))
-        ra = r.withColumn("_sa", F.lit(1)).withColumn("_sb", F.lit(1))
-    else:
-        la = l.join(grid, "c", "left")
-        ra = r.join(grid, "c", "left")
-    one = F.lit(1)
-    la = (la.withColumn("_sa", F.coalesce("_sa", one)).withColumn("_sb", F.coalesce("_sb", one))
-            .withColumn("part_a", F.pmod(_row_hash(["i", "v"]), F.col("_sa")).cast("int")))
-    ra = (ra.withColumn("_sa", F.coalesce("_sa", one)).withColumn("_sb", F.coalesce("_sb", one))
-            .withColumn("part_b", F.pmod(_row_hash(["k", "w"]), F.col("_sb")).cast("int")))
-    ldoc = (la.groupBy("c", "part_a", "_sb").agg(F.collect_list(F.struct("i", "v")).alias("left"))
-              .withColumn("part_b", F.explode(F.sequence(F.lit(0), F.col("_sb") - 1))).drop("_sb"))
-    rdoc = (ra.groupBy("c", "part_b", "_sa").agg(F.collect_list(F.struct("k", "w")).alias("right"))
-              .withColumn("part_a", F.explode(F.sequence(F.lit(0), F.col("_sa") - 1))).drop("_sa"))
+    la, ra = _parts(l, r, width)
+    docs = (la.withColumnRenamed("part_a", "part")
+              .join(ra.withColumnRenamed("part_b", "part"), ["c", "part"], "full"))
     empty_l = F.array().cast("array<struct<i:bigint,v:double>>")
     empty_r = F.array().cast("array<struct<k:bigint,w:double>>")
-    docs = ldoc.join(rdoc, ["c", "part_a", "part_b"], "full")
-    return docs.select("c", "part_a", "part_b",
-                       F.coalesce("left", empty_l).alias("left"),
+    return docs.select("c", "part", F.coalesce("left", empty_l).alias("left"),
                        F.coalesce("right", empty_r).alias("right"))
 
 
-def mm_cogroup(left: DataFrame, right: DataFrame, *, list_rows: int = LIST_ROWS,
+def mm_cogroup(left: DataFrame, right: DataFrame, *, width: int = LIST_WIDTH,
                drop_zeros: bool = False) -> DataFrame:
-    """Group-by-inner-index strategy: per inner index, the cross product of
-    its left list and right list, then a sum per cell.  Documents are
-    bounded (``cogroup_documents``); cancelled sums are kept, as the
-    reference's reducer writes every sum."""
-    docs = cogroup_documents(left, right, list_rows=list_rows)
-    pairs = (docs.where((F.size("left") > 0) & (F.size("right") > 0))
-                 .select(F.explode("left").alias("a"), "right")
-                 .select("a.i", "a.v", F.explode("right").alias("b"))
-                 .select("i", "v", "b.k", "b.w"))
+    """Group-by-inner-index strategy: per inner index, every left entry times
+    every right entry, then a sum per cell.
+
+    Both operands are grouped into bounded list parts by inner index
+    (``_parts``); the parts of one index meet by an equi-join on the index
+    (AQE splits an index with many parts) and are expanded with two
+    ``explode``s.  Cancelled sums are kept, as the reference's reducer
+    writes every sum.
+    """
+    l, r = _lr(left, right)
+    la, ra = _parts(l, r, width)
+    pairs = (la.join(ra, "c")
+               .select(F.explode("left").alias("a"), "right")
+               .select("a.i", "a.v", F.explode("right").alias("b"))
+               .select("i", "v", "b.k", "b.w"))
     return _cells(pairs, drop_zeros)
 
 
@@ -295,44 +297,20 @@ def _tile_products_keep_split(batches):
 
 
 def mm_block_fixed_k(left: DataFrame, right: DataFrame, mb: int, nb: int, *,
-                     strip_rows: int = LIST_ROWS, drop_zeros: bool = True,
-                     rows_per_task: int | None = _SKEW_DEFAULT) -> DataFrame:
+                     tile_cells: int = LIST_ROWS, drop_zeros: bool = True) -> DataFrame:
     """Block strategy with the whole inner dimension in one block.
 
-    Left strips ``bi`` (``mb`` rows, all inner indices) meet right strips
-    ``bj`` (``nb`` columns); each ``(bi, bj)`` product is complete by itself,
-    so no sum across inner blocks is needed.  Only strip pairs that share an
-    inner index are formed (found by an equi-join of the strips' index sets,
-    never a cross product).  A strip with more than ``strip_rows`` entries
-    is cut into parts and every left part meets every right part of the
-    pair; only then a per-cell sum is added.
+    Left strips of ``mb`` rows meet right strips of ``nb`` columns, each
+    spanning the inner dimension, so every ``(bi, bj)`` result block is
+    complete in one tile product and no partial sums cross inner blocks.
+    A strip is still a group collected into one array, so its inner span is
+    capped at ``tile_cells // mb`` indices (and ``tile_cells // nb``
+    on the right, the smaller of the two): when the inner dimension is
+    wider, strips are cut there and the per-cell sum adds the pieces.  Up to
+    that width this is exactly the fixed-inner-dimension plan.
     """
-    from tessella.plans.skew import spread_groups
-
-    l, r = _lr(left, right)
-    l = l.withColumn("bi", F.floor(F.col("i") / F.lit(mb)).cast("long"))
-    r = r.withColumn("bj", F.floor(F.col("k") / F.lit(nb)).cast("long"))
-    need = (split_join(l.select("bi", "c").distinct(), r.select("c", "bj").distinct(),
-                       "c", ["bi"], ["bj"], rows_per_task)
-            .select("bi", "bj").distinct())
-    l = spread_groups(l, "bi", ["i", "c"], strip_rows, "pa")
-    r = spread_groups(r, "bj", ["k", "c"], strip_rows, "pb")
-    lstrip = l.groupBy("bi", "pa").agg(F.collect_list(F.struct("i", "c", "v")).alias("e")).select(
-        "bi", "pa", F.col("e.i").alias("li"), F.col("e.c").alias("lc"), F.col("e.v").alias("lv"))
-    rstrip = r.groupBy("bj", "pb").agg(F.collect_list(F.struct("c", "k", "w")).alias("e")).select(
-        "bj", "pb", F.col("e.c").alias("rc"), F.col("e.k").alias("rk"), F.col("e.w").alias("rw"))
-    # strip directories (one row per strip part); AQE broadcasts them when
-    # their measured size allows
-    ldir = l.select("bi", "pa").distinct()
-    rdir = r.select("bj", "pb").distinct()
-    lrep = lstrip.join(need, "bi").join(rdir, "bj")
-    rrep = rstrip.join(need, "bj").join(ldir, "bi")
-    pairs = lrep.join(rrep, ["bi", "pa", "bj", "pb"])
-    prod = pairs.select("li", "lc", "lv", "rc", "rk", "rw").mapInPandas(_tile_products, _TILE_OUT)
-    out = prod.groupBy("i", "k").agg(F.sum("v").alias("v"))
-    if drop_zeros:
-        out = out.where(F.col("v") != 0)
-    return out.select("i", F.col("k").alias("j"), "v")
+    kb = max(1, tile_cells // max(mb, nb))
+    return mm_block(left, right, mb, kb, nb, drop_zeros=drop_zeros)
 
 
 # --------------------------------------------------------------------- X8
