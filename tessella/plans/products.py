@@ -107,17 +107,19 @@ def mm_inner_cartesian(left: DataFrame, right: DataFrame, *, width: int | None =
     from tessella.operators.layout import DEFAULT_SEGMENT, pack_columns, pack_rows
 
     width = width or DEFAULT_SEGMENT
-    l, r = _lr(left, right)
+    _, r = _lr(left, right)
     rows = pack_rows(left, width)                                     # (i, seg, idx, val)
     cols = (pack_columns(right, width)                                # (k, seg, cidx, cval)
             .select(F.col("j").alias("k"), "seg", F.col("idx").alias("cidx"), F.col("val").alias("cval")))
-    cand = (split_join(l.select("i", "c"), r.select("c", "k"), "c", ["i"], ["k"], rows_per_task)
-            .select("i", "k", F.floor(F.col("c") / F.lit(width)).cast("long").alias("seg"))
-            .distinct())
+    # candidates from the packed rows themselves (one read of the left side)
+    keyed = rows.select("i", "seg", F.explode("idx").alias("c"))
+    cand = (split_join(keyed, r.select("c", "k"), "c", ["i"], ["k"], rows_per_task)
+            .select("i", "k", "seg").distinct())
     with_rows = split_join(cand, rows, ["i", "seg"], ["k"], ["i"], rows_per_task)
     both = split_join(with_rows, cols, ["k", "seg"], ["i"], ["k"], rows_per_task)
+    # every candidate shares an index with its pair, so the dot is never null
     dots = both.select("i", "k", sparse_dot("idx", "val", "cidx", "cval").alias("d"))
-    out = dots.where(F.col("d").isNotNull()).groupBy("i", "k").agg(F.sum("d").alias("v"))
+    out = dots.groupBy("i", "k").agg(F.sum("d").alias("v"))
     if drop_zeros:
         out = out.where(F.col("v") != 0)
     return out.select("i", F.col("k").alias("j"), "v")
