@@ -48,11 +48,14 @@ def read_coo(spark: SparkSession, path: str, sep: str = " ", header: bool = Fals
     return _min_partitions(df, partitions)
 
 
+def triple_line(sep: str = " ", integer_values: bool = False):
+    v = F.col("v").cast("long") if integer_values else F.col("v")
+    return F.concat_ws(sep, F.col("i").cast("string"), F.col("j").cast("string"), v.cast("string"))
+
+
 def format_triples(df: DataFrame, sep: str = " ", integer_values: bool = False) -> DataFrame:
     """Entries -> one text column ``line``: ``i<sep>j<sep>v``."""
-    v = F.col("v").cast("long") if integer_values else F.col("v")
-    return df.select(F.concat_ws(sep, F.col("i").cast("string"), F.col("j").cast("string"),
-                                 v.cast("string")).alias("line"), *[c for c in df.columns if c not in ("i", "j", "v")])
+    return df.select(triple_line(sep, integer_values).alias("line"))
 
 
 def write_coo(df: DataFrame, path: str, sep: str = " ", by: str | None = None,
@@ -68,7 +71,7 @@ def write_coo(df: DataFrame, path: str, sep: str = " ", by: str | None = None,
                         (F.col("v").cast("long") if integer_values else F.col("v")).alias(names[2]))
         out.write.mode(mode).option("sep", sep).option("header", "true").csv(path)
         return
-    lines = format_triples(df.select("i", "j", "v", *([by] if by else [])), sep, integer_values)
+    lines = df.select(triple_line(sep, integer_values).alias("line"), *([F.col(by)] if by else []))
     w = lines.write.mode(mode)
     if by:
         w = w.partitionBy(by)
