@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.graph import seeded_hash
 
 
 def _hex_int(h, start: int, length: int):
@@ -22,17 +21,24 @@ def random_sparse(rows: DataFrame, n_cols: int, density: float, seed: str = "rs"
     """Random entries for every row id in ``rows`` (column ``id``).
 
     Each row draws ``round(density * n_cols)`` slots; slot ``t`` lands in
-    column ``hex(md5)[0:8] mod n_cols`` with integer value
+    column ``hex(md5(seed:i:t))[0:8] mod n_cols`` with integer value
     ``1 + hex(md5)[8:12] mod max_value``.  Slots that collide on a column
     keep the smallest value, so a row may end slightly below the target.
-    Rows come from a DataFrame, so generation is as distributed as they are.
+    A row's slots are drawn as one sorted array and repeats dropped inside
+    it, so generation is a map over ``rows`` with no shuffle.
     """
     per_row = int(round(density * n_cols))
     base = rows.select(F.col("id").cast("long").alias("i"))
     if per_row <= 0:
         return base.select("i", F.lit(0).cast("long").alias("j"), F.lit(0.0).alias("v")).limit(0)
-    slots = base.select("i", F.explode(F.sequence(F.lit(0), F.lit(per_row - 1))).alias("t"))
-    h = seeded_hash(seed, "i", "t")
-    cells = slots.select("i", F.pmod(_hex_int(h, 1, 8), F.lit(n_cols)).alias("j"),
-                         (F.pmod(_hex_int(h, 9, 4), F.lit(max_value)) + 1).cast("double").alias("v"))
-    return cells.groupBy("i", "j").agg(F.min("v").alias("v"))
+
+    def slot(t):
+        h = F.md5(F.concat(F.lit(seed), F.lit(":"), F.col("i").cast("string"), F.lit(":"),
+                           t.cast("string")))
+        return F.struct(F.pmod(_hex_int(h, 1, 8), F.lit(n_cols)).alias("j"),
+                        (F.pmod(_hex_int(h, 9, 4), F.lit(max_value)) + 1).cast("double").alias("v"))
+
+    drawn = base.select("i", F.array_sort(
+        F.transform(F.sequence(F.lit(0), F.lit(per_row - 1)), slot)).alias("d"))
+    kept = F.filter("d", lambda e, n: (n == 0) | (e["j"] != F.element_at(F.col("d"), n)["j"]))
+    return drawn.select("i", F.explode(kept).alias("e")).select("i", "e.j", "e.v")

@@ -34,11 +34,12 @@ def dense_ids(vertices: DataFrame, col: str = "id", ids_per_bucket: int = IDS_PE
     ``(id, dense)``.
 
     A global ``row_number`` would pull every id through one task.  Instead:
-    approximate quantiles give ``B - 1`` fixed cut points (``B`` literals),
-    each id gets its range bucket, ids are numbered inside their bucket
-    (buckets are about ``n / B`` ids each), and every bucket's offset is the
-    count of ids in lower buckets (``B`` rows, broadcast).  Equal to
-    ``dense_rank() - 1``.
+    approximate quantiles give ``B - 1`` cut points, each id gets its range
+    bucket by binary search (``Bucketizer``; bucketing the id's double value
+    is monotone, so bucket order is id order even past 2^53), ids are
+    numbered inside their bucket (about ``n / B`` ids each, one sort per
+    bucket), and every bucket's offset is the count of ids in lower buckets
+    (``B`` rows, broadcast).  Equal to ``dense_rank() - 1``.
     """
     ids = vertices.select(F.col(col).cast("long").alias("id")).distinct()
     n = ids.count()
@@ -48,10 +49,15 @@ def dense_ids(vertices: DataFrame, col: str = "id", ids_per_bucket: int = IDS_PE
     if buckets == 1:
         bucketed = ids.withColumn("b", F.lit(0))
     else:
+        from pyspark.ml.feature import Bucketizer
+
         probs = [q / buckets for q in range(1, buckets)]
-        cuts = sorted(set(ids.agg(F.percentile_approx("id", probs, 10_000)).first()[0]))
-        cut_arr = F.array(*[F.lit(int(c)).cast("long") for c in cuts])
-        bucketed = ids.withColumn("b", F.size(F.filter(cut_arr, lambda c: c < F.col("id"))))
+        cuts = sorted(set(float(c) for c in
+                          ids.agg(F.percentile_approx("id", probs, 10_000)).first()[0]))
+        splits = [float("-inf")] + cuts + [float("inf")]
+        bucketed = (Bucketizer(splits=splits, inputCol="_x", outputCol="_b")
+                    .transform(ids.withColumn("_x", F.col("id").cast("double")))
+                    .select("id", F.col("_b").cast("int").alias("b")))
     bucketed = bucketed.repartition("b")
     counts = bucketed.groupBy("b").agg(F.count(F.lit(1)).alias("nb"))
     offsets = counts.select("b", (F.sum("nb").over(Window.orderBy("b")) - F.col("nb")).alias("off"))

@@ -85,7 +85,9 @@ def dense_rows(df: DataFrame, n: int) -> DataFrame:
     dropped by the shape filter).  Each row list is bounded by ``n``."""
     if n > MAX_DENSE_WIDTH:
         raise ValueError(f"dense width {n} exceeds {MAX_DENSE_WIDTH}; use a sparse strategy")
+    # one shuffle: hash partitioning on i serves both aggregations
     e = (df.where((F.col("j") >= 0) & (F.col("j") < n))
+           .repartition("i")
            .groupBy("i", "j").agg(F.sum("v").alias("v"))
            .groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("e")))
     return e.select("i", densify(F.col("e.j"), F.col("e.v"), F.lit(n)).alias("vals"))

@@ -316,7 +316,7 @@ def mm_block_fixed_k(left: DataFrame, right: DataFrame, mb: int, nb: int, *,
 
 
 # --------------------------------------------------------------------- X8
-MAX_DENSE_CELLS = 64_000_000  # 512 MB of doubles broadcast at most
+MAX_DENSE_CELLS = 32_000_000  # 256 MB of doubles broadcast at most
 
 
 def _width(df: DataFrame) -> int:
