@@ -1,0 +1,7 @@
+"""Streaming.
+
+The operations this package rebuilds are batch jobs over files: there is no
+stream source, window, watermark or stateful operator among them, so there is
+nothing to express with Structured Streaming here.  The batch readers in
+``tessella.sources`` accept the same folder layouts a file stream would.
+"""
