@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.plans.guards import MAX_BROADCAST_ROWS, rows_at_most
-from tessella.plans.skew import DEFAULT_ROWS_PER_TASK, split_join
+from tessella.plans.skew import JOIN_ROWS_PER_TASK, split_join
 
 # Target ids per range bucket when numbering ids densely.
 IDS_PER_BUCKET = 2_000_000
@@ -73,9 +73,10 @@ def _lookup(df: DataFrame, key: str, ids: DataFrame, out: str,
 
 
 def relabel_edges(edges: DataFrame, ids: DataFrame,
-                  rows_per_task: int | None = DEFAULT_ROWS_PER_TASK) -> DataFrame:
+                  rows_per_task: int | None = JOIN_ROWS_PER_TASK) -> DataFrame:
     """Both endpoints replaced by dense ids; weight kept.  Two equi-joins
-    with the id table; a hub endpoint is split over tasks."""
+    with the id table; a hub endpoint is split over tasks (AQE skew join,
+    or an explicit salt grid with ``rows_per_task``)."""
     e = edges.select("src", "dst", "w")
     a = _lookup(e, "src", ids, "_s", rows_per_task, ["dst", "w"])
     b = _lookup(a, "dst", ids, "_d", rows_per_task, ["_s", "w"])

@@ -335,14 +335,23 @@ def mm_row_dense(left: DataFrame, right: DataFrame, n: int | None = None, *,
     Each left entry scales its dense row; element sums per ``(i, column)``
     give the result, zeros dropped (the reference filters them).
     """
-    from tessella.operators.layout import dense_rows
-
     n = _width(right) if n is None else int(n)
     if n == 0:
         return left.sparkSession.createDataFrame([], "i long, j long, v double")
-    dense = dense_rows(right, n).select(F.col("i").alias("c"), "vals")
-    if not rows_at_most(dense, max(max_dense_cells // n, 1)):
+    _check_dense(right, n, max_dense_cells)
+    return _row_dense(left, right, n)
+
+
+def _check_dense(right: DataFrame, width: int, max_dense_cells: int) -> None:
+    """Dense rows number at most the distinct inner indices of ``right``."""
+    if not rows_at_most(right.select("i").distinct(), max(max_dense_cells // width, 1)):
         raise ValueError("right operand too large to broadcast dense; use mm_column_groups")
+
+
+def _row_dense(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
+    from tessella.operators.layout import dense_rows
+
+    dense = dense_rows(right, n).select(F.col("i").alias("c"), "vals")
     l, _ = _lr(left, right)
     x = l.join(F.broadcast(dense), "c")
     y = (x.select("i", F.posexplode(F.transform("vals", lambda t: t * F.col("v"))).alias("k", "x"))
@@ -382,11 +391,14 @@ def mm_column_groups(left: DataFrame, right: DataFrame, h: int, n: int | None =
 
     n = _width(right) if n is None else int(n)
     width = max(-(-n // h), 1)
+    # one check bounds every group: a group has at most as many dense rows
+    # as the right operand has inner indices
+    _check_dense(right, width, max_dense_cells)
     grouped = column_groups(right, h)
     parts = []
     for g in range(h):
         sub = grouped.where(F.col("g") == g).select("i", F.col("c").alias("j"), "v")
-        prod = mm_row_dense(left, sub, width, max_dense_cells=max_dense_cells)
+        prod = _row_dense(left, sub, width)
         parts.append(prod.select("i", (F.col("j") * F.lit(h) + F.lit(g)).cast("long").alias("j"), "v",
                                  F.lit(g).alias("g")))
     out = parts[0]
