@@ -104,6 +104,35 @@ def q_mm_outer_gram(spark, d):
     return P.mm_outer(m, EN.transpose(m))
 
 
+# Skew paths on whole tables: thresholds low enough that many real keys are
+# "hot", so the splitting code itself is checked against the oracle.
+SALT_ROWS = 4          # an order with more than 4 supplier entries is split
+SALT_EDGE_ROWS = 20    # a part with more than 20 line items is split
+NARROW = 64            # list / segment width in ids
+
+
+def q_mm_outer_salted(spark, d):
+    return P.mm_outer(m_so(spark, d), n_on(spark, d), rows_per_task=SALT_ROWS)
+
+
+def q_mm_cogroup_parts(spark, d):
+    return P.mm_cogroup(m_so(spark, d), n_on(spark, d), width=NARROW)
+
+
+def q_mm_inner_segments(spark, d):
+    return P.mm_inner_cartesian(TB.nation_order(spark, d), n_on(spark, d), width=NARROW * 64)
+
+
+def q_mm_block_fixed_k_cut(spark, d):
+    mb, nb = STRIP
+    return P.mm_block_fixed_k(m_so(spark, d), n_on(spark, d), mb, nb, tile_cells=mb * 1000)
+
+
+def q_relabel_edges_salted(spark, d):
+    edges = TB.part_supplier_edges(spark, d)
+    return GR.relabel_edges(edges, GR.dense_ids(GR.vertex_set(edges)), rows_per_task=SALT_EDGE_ROWS)
+
+
 def q_mm_inner_broadcast(spark, d):
     return P.mm_inner_broadcast(m_so(spark, d), n_on(spark, d))
 
@@ -355,6 +384,11 @@ QUERIES: dict[str, QueryFn] = {
     # products (X1-X11)
     "mm_outer": q_mm_outer,
     "mm_outer_gram": q_mm_outer_gram,
+    "mm_outer_salted": q_mm_outer_salted,
+    "mm_cogroup_parts": q_mm_cogroup_parts,
+    "mm_inner_segments": q_mm_inner_segments,
+    "mm_block_fixed_k_cut": q_mm_block_fixed_k_cut,
+    "relabel_edges_salted": q_relabel_edges_salted,
     "mm_inner_broadcast": q_mm_inner_broadcast,
     "mm_inner_cartesian": q_mm_inner_cartesian,
     "mm_replicate": q_mm_replicate,
@@ -427,6 +461,10 @@ _DOC_SUMMARY = (f"WITH l AS ({SQL_M_SO}), r AS ({SQL_N_ON}), "
 ORACLE: dict[str, str] = {
     "mm_outer": product_sql(SQL_M_SO, SQL_N_ON),
     "mm_outer_gram": product_sql(SQL_M_SO, transpose_sql(SQL_M_SO)),
+    "mm_outer_salted": product_sql(SQL_M_SO, SQL_N_ON),
+    "mm_cogroup_parts": product_sql(SQL_M_SO, SQL_N_ON),
+    "mm_inner_segments": product_sql(SQL_M_NO, SQL_N_ON),
+    "mm_block_fixed_k_cut": product_sql(SQL_M_SO, SQL_N_ON, nonzero=True),
     "mm_inner_broadcast": product_sql(SQL_M_SO, SQL_N_ON, nonzero=True),
     "mm_inner_cartesian": product_sql(SQL_M_NO, SQL_N_ON),
     "mm_replicate": product_sql(SQL_M_NO, SQL_N_ON, nonzero=True),
@@ -493,6 +531,7 @@ ORACLE: dict[str, str] = {
     "dense_ids": _IDS,
     "dense_ids_buckets": _IDS,
     "relabel_edges": _RELABEL,
+    "relabel_edges_salted": _RELABEL,
     "sample_sources": f"WITH {_SRC} SELECT vertex, col FROM src",
     "relabel_sources": _REL_SOURCES,
     "random_sparse": (f"WITH s AS (SELECT c_custkey AS i, t.range AS t FROM customer, "
