@@ -9,12 +9,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Settings every tessella job wants.  AQE re-plans joins and coalesces
-# shuffle partitions at run time; skew-join splitting stays on as a second
-# line of defence behind the explicit salting in ``plans.skew``.
+# shuffle partitions at run time; its skew join splits oversized partitions
+# of hot join keys (explicit salting in ``plans.skew`` is the alternative).
+# A sort-merge join becomes a shuffled hash join only when AQE has measured
+# every build-side partition below 64 MB, so the hash tables stay bounded.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
