@@ -6,6 +6,6 @@ so Catalyst plans, prunes and pushes filters down; nothing is collected except
 scalars and size-checked small tables.
 """
 
-from tessella.matrix import ENTRY_SCHEMA, Matrix, as_entries
+from tessella.matrix import ENTRY_SCHEMA, Matrix, as_entries, check_product_shapes
 
-__all__ = ["ENTRY_SCHEMA", "Matrix", "as_entries"]
+__all__ = ["ENTRY_SCHEMA", "Matrix", "as_entries", "check_product_shapes"]

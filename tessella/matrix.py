@@ -38,6 +38,22 @@ class Matrix:
     def entries(self) -> DataFrame:
         return as_entries(self.df)
 
+    def validated(self, policy: str = "error") -> "Matrix":
+        """Entries checked against the declared shape (``drop``, ``error``
+        or ``ignore``; see ``operators.entries.validate_shape``)."""
+        from tessella.operators.entries import validate_shape
+
+        return Matrix(validate_shape(self.entries(), self.n_rows, self.n_cols, policy),
+                      self.n_rows, self.n_cols)
+
+
+def check_product_shapes(left: Matrix, right: Matrix) -> tuple[int | None, int | None]:
+    """Inner sizes must agree when both are declared; returns the product's
+    declared shape ``(left rows, right columns)``."""
+    if left.n_cols is not None and right.n_rows is not None and left.n_cols != right.n_rows:
+        raise ValueError(f"inner sizes differ: {left.n_cols} vs {right.n_rows}")
+    return left.n_rows, right.n_cols
+
 
 def as_entries(df: DataFrame | Matrix, i: str | Column = "i", j: str | Column = "j",
                v: str | Column = "v") -> DataFrame:

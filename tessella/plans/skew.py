@@ -111,26 +111,3 @@ def split_join(left: DataFrame, right: DataFrame, on: str | Sequence[str],
                .withColumn("_a", F.explode(F.sequence(F.lit(0), F.col("_sa") - 1)))
                .select(*rcols, "_a", "_b"))
     return lg.join(rg, keys + ["_a", "_b"]).drop("_a", "_b")
-
-
-def spread_groups(df: DataFrame, on: str | Sequence[str], spread: Sequence[str],
-                  rows_per_task: int = LIST_ROWS, name: str = "chunk") -> DataFrame:
-    """Add a ``name`` column that cuts every group of ``on`` into pieces of
-    about ``rows_per_task`` rows (0 for groups that are small already).
-
-    Used before collecting a group into one array: grouping by
-    ``(on.., chunk)`` then bounds each list.
-    """
-    keys = _keys(on)
-    rows = max(int(rows_per_task), 1)
-    while True:
-        hot = hot_keys(df, keys, rows, "_s")
-        n = hot.limit(MAX_HOT_KEYS + 1).count()
-        if n <= MAX_HOT_KEYS:
-            break
-        rows *= 4
-    if n == 0:
-        return df.withColumn(name, F.lit(0))
-    return (df.join(F.broadcast(hot), keys, "left")
-              .withColumn(name, F.pmod(_row_hash(spread), F.coalesce("_s", F.lit(1))).cast("int"))
-              .drop("_s"))

@@ -91,3 +91,16 @@ def test_dense_rows_and_column(spark):
     col = spark.createDataFrame([(1, 4.0), (3, 2.0)], "i long, v double")
     dense = {r["i"]: r["v"] for r in LA.dense_column(spark, col, 5).collect()}
     assert dense == {0: 0.0, 1: 4.0, 2: 0.0, 3: 2.0, 4: 0.0}
+
+
+def test_matrix_shape_checks(spark):
+    from tessella.matrix import Matrix, check_product_shapes
+
+    df = entries(spark, [(0, 0, 1), (2, 0, 1)])
+    m = Matrix(df, 2, 3)
+    assert cells(m.validated("drop").df) == {(0, 0): 1.0}
+    with pytest.raises(ValueError):
+        m.validated("error")
+    assert check_product_shapes(Matrix(df, 4, 3), Matrix(df, 3, 5)) == (4, 5)
+    with pytest.raises(ValueError, match="inner sizes"):
+        check_product_shapes(Matrix(df, 4, 3), Matrix(df, 2, 5))
