@@ -1,3 +1,13 @@
 """Column functions: Arrow-batched pandas UDFs for the few steps Spark's
 built-in expressions cannot do in linear time (sorted sparse dot, dense row
 build, tile product)."""
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def idiv(name: str, n: int) -> Column:
+    """Exact integer division of a LONG column by a positive constant
+    (``div`` never goes through DOUBLE, so ids beyond 2^53 stay exact).
+    Equal to floor division for the non-negative indices used here."""
+    return F.expr(f"CAST(`{name}` AS BIGINT) div {int(n)}")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import idiv
+
 
 def transpose(df: DataFrame) -> DataFrame:
     """Swap row and column."""
@@ -107,7 +109,7 @@ def column_groups(df: DataFrame, h: int) -> DataFrame:
     """Split columns into ``h`` groups by modulus: ``g = j mod h`` and the
     compact position ``c = j div h`` inside the group (``j = c * h + g``)."""
     return df.withColumn("g", F.pmod(F.col("j"), F.lit(h)).cast("int")).withColumn(
-        "c", F.floor(F.col("j") / F.lit(h)).cast("long"))
+        "c", idiv("j", h))
 
 
 def from_column_groups(df: DataFrame, h: int) -> DataFrame:

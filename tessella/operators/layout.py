@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import idiv
+
 from tessella.functions.arrays import densify
 from tessella.operators.entries import transpose
 from tessella.plans.guards import MAX_BROADCAST_ROWS, rows_at_most
@@ -27,7 +29,7 @@ def pack_rows(df: DataFrame, width: int = DEFAULT_SEGMENT) -> DataFrame:
     data is hash partitioned on ``(i, seg)`` and both aggregations reuse it.
     """
     e = (df.select("i", "j", "v")
-           .withColumn("seg", F.floor(F.col("j") / F.lit(width)).cast("long"))
+           .withColumn("seg", idiv("j", width))
            .repartition("i", "seg")
            .groupBy("i", "seg", "j").agg(F.sum("v").alias("v")))
     packed = e.groupBy("i", "seg").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("e"))
@@ -58,8 +60,8 @@ def to_blocks(df: DataFrame, mb: int, kb: int) -> DataFrame:
     """Entries -> blocks ``(bi, bj, i, j, v arrays)`` of at most ``mb x kb``
     cells; duplicate entries are summed (as block conversion does)."""
     e = (df.select("i", "j", "v")
-           .withColumn("bi", F.floor(F.col("i") / F.lit(mb)).cast("long"))
-           .withColumn("bj", F.floor(F.col("j") / F.lit(kb)).cast("long"))
+           .withColumn("bi", idiv("i", mb))
+           .withColumn("bj", idiv("j", kb))
            .repartition("bi", "bj")
            .groupBy("bi", "bj", "i", "j").agg(F.sum("v").alias("v")))
     b = e.groupBy("bi", "bj").agg(F.collect_list(F.struct("i", "j", "v")).alias("e"))
@@ -74,8 +76,8 @@ def from_blocks(blocks: DataFrame) -> DataFrame:
 
 def block_stats(df: DataFrame, mb: int, kb: int) -> DataFrame:
     """Per block: stored entries and value sum (block directory)."""
-    return (df.groupBy(F.floor(F.col("i") / F.lit(mb)).cast("long").alias("bi"),
-                       F.floor(F.col("j") / F.lit(kb)).cast("long").alias("bj"))
+    return (df.groupBy(idiv("i", mb).alias("bi"),
+                       idiv("j", kb).alias("bj"))
               .agg(F.count(F.lit(1)).alias("nnz"), F.sum("v").alias("total")))
 
 

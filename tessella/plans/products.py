@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import idiv
+
 from tessella.plans.guards import MAX_BROADCAST_ROWS, rows_at_most
 from tessella.plans.skew import JOIN_ROWS_PER_TASK, LIST_ROWS, split_join
 
@@ -162,11 +164,11 @@ def _parts(l: DataFrame, r: DataFrame, width: int) -> tuple[DataFrame, DataFrame
     row ids and the right list into parts of ``width`` column ids.  After
     duplicates are summed a part holds at most ``width`` entries: a proven
     bound, with no pass over the data to find hot indices."""
-    la = (l.withColumn("part_a", F.floor(F.col("i") / F.lit(width)).cast("long"))
+    la = (l.withColumn("part_a", idiv("i", width))
            .repartition("c", "part_a")
            .groupBy("c", "part_a", "i").agg(F.sum("v").alias("v"))
            .groupBy("c", "part_a").agg(F.collect_list(F.struct("i", "v")).alias("left")))
-    ra = (r.withColumn("part_b", F.floor(F.col("k") / F.lit(width)).cast("long"))
+    ra = (r.withColumn("part_b", idiv("k", width))
            .repartition("c", "part_b")
            .groupBy("c", "part_b", "k").agg(F.sum("w").alias("w"))
            .groupBy("c", "part_b").agg(F.collect_list(F.struct("k", "w")).alias("right")))
@@ -260,10 +262,10 @@ def mm_block(left: DataFrame, right: DataFrame, mb: int, kb: int, nb: int, *,
         "bi", F.col("bj").alias("bk"), F.col("ei").alias("li"), F.col("ej").alias("lc"), F.col("ev").alias("lv"))
     rt = to_blocks(right, kb, nb).select(
         F.col("bi").alias("bk"), "bj", F.col("ei").alias("rc"), F.col("ej").alias("rk"), F.col("ev").alias("rw"))
-    ldir = left.select(F.floor(F.col("i") / F.lit(mb)).cast("long").alias("bi"),
-                       F.floor(F.col("j") / F.lit(kb)).cast("long").alias("bk")).distinct()
-    rdir = right.select(F.floor(F.col("i") / F.lit(kb)).cast("long").alias("bk"),
-                        F.floor(F.col("j") / F.lit(nb)).cast("long").alias("bj")).distinct()
+    ldir = left.select(idiv("i", mb).alias("bi"),
+                       idiv("j", kb).alias("bk")).distinct()
+    rdir = right.select(idiv("i", kb).alias("bk"),
+                        idiv("j", nb).alias("bj")).distinct()
     lrep = lt.join(rdir, "bk")
     rrep = rt.join(ldir, "bk")
     pairs = lrep.join(rrep, ["bi", "bk", "bj"])
