@@ -185,7 +185,7 @@ def q_msbfs_hop(spark, d):
     edges = TB.part_supplier_edges(spark, d)
     ids = GR.dense_ids(GR.vertex_set(edges))
     rel = GR.relabel_edges(edges, ids)
-    src = GR.relabel_sources(GR.sample_sources(GR.vertex_set(edges), BFS_SOURCES, BFS_SEED), ids)
+    src = GR.relabel_sources(GR.sample_sources(ids.select("id"), BFS_SOURCES, BFS_SEED), ids)
     return GR.msbfs_hop(rel, src)
 
 
@@ -370,9 +370,8 @@ def q_sample_sources(spark, d):
 
 
 def q_relabel_sources(spark, d):
-    edges = TB.part_supplier_edges(spark, d)
-    vs = GR.vertex_set(edges)
-    return GR.relabel_sources(GR.sample_sources(vs, BFS_SOURCES, BFS_SEED), GR.dense_ids(vs))
+    ids = ids_of(spark, d)
+    return GR.relabel_sources(GR.sample_sources(ids.select("id"), BFS_SOURCES, BFS_SEED), ids)
 
 
 def q_random_sparse(spark, d):

@@ -70,8 +70,8 @@ def test_relabel_sources_unknown_vertex(spark):
     e = edges(spark, SPARSE)
     ids = GR.dense_ids(GR.vertex_set(e))
     src = spark.createDataFrame([(19, 0), (55, 1)], "vertex long, col long")
-    with pytest.raises(KeyError):
-        GR.relabel_sources(src, ids)
+    with pytest.raises(Exception, match="source vertex without an id: 55"):
+        GR.relabel_sources(src, ids).collect()
     ok = spark.createDataFrame([(19, 0), (42, 1)], "vertex long, col long")
     assert cells(GR.relabel_sources(ok, ids)) == {(1, 0): 1.0, (2, 1): 1.0}
 
