@@ -10,6 +10,8 @@ of un-deduplicated operands is still right).
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -221,24 +223,32 @@ def mm_cogroup(left: DataFrame, right: DataFrame, *, width: int = LIST_WIDTH,
 _TILE_OUT = "i long, k long, v double"
 
 
-def _tile_products(batches):
+def _tile_products(batches, carry: str | None = None):
+    """``mapInPandas`` body: one NumPy sparse product per tile-pair row,
+    emitted as ``(i, k, v)`` cells (plus the ``carry`` column, if any)."""
     import numpy as np
     import pandas as pd
 
     from tessella.functions.arrays import local_product
 
     for pdf in batches:
+        tags = pdf[carry] if carry else [None] * len(pdf)
         outs = []
-        for li, lc, lv, rc, rk, rw in zip(pdf["li"], pdf["lc"], pdf["lv"],
-                                          pdf["rc"], pdf["rk"], pdf["rw"]):
+        for li, lc, lv, rc, rk, rw, tag in zip(pdf["li"], pdf["lc"], pdf["lv"],
+                                               pdf["rc"], pdf["rk"], pdf["rw"], tags):
             oi, ok, ov = local_product(li, lc, lv, rc, rk, rw)
             if len(oi):
-                outs.append(pd.DataFrame({"i": oi, "k": ok, "v": ov}))
+                out = pd.DataFrame({"i": oi, "k": ok, "v": ov})
+                if carry:
+                    out[carry] = np.int64(tag)
+                outs.append(out)
         if outs:
             yield pd.concat(outs, ignore_index=True)
         else:
-            yield pd.DataFrame({"i": np.empty(0, np.int64), "k": np.empty(0, np.int64),
-                                "v": np.empty(0, np.float64)})
+            empty = {"i": np.empty(0, np.int64), "k": np.empty(0, np.int64), "v": np.empty(0, np.float64)}
+            if carry:
+                empty[carry] = np.empty(0, np.int64)
+            yield pd.DataFrame(empty)
 
 
 def mm_block(left: DataFrame, right: DataFrame, mb: int, kb: int, nb: int, *,
@@ -272,7 +282,7 @@ def mm_block(left: DataFrame, right: DataFrame, mb: int, kb: int, nb: int, *,
     if mid_splits > 1:
         prod = pairs.select("bk", "li", "lc", "lv", "rc", "rk", "rw")
         part = (prod.withColumn("_s", F.pmod(F.col("bk"), F.lit(mid_splits)))
-                    .mapInPandas(_tile_products_keep_split, _TILE_OUT + ", _s long")
+                    .mapInPandas(partial(_tile_products, carry="_s"), _TILE_OUT + ", _s long")
                     .groupBy("i", "k", "_s").agg(F.sum("v").alias("v")))
         out = part.groupBy("i", "k").agg(F.sum("v").alias("v"))
     else:
@@ -283,23 +293,6 @@ def mm_block(left: DataFrame, right: DataFrame, mb: int, kb: int, nb: int, *,
     return out.select("i", F.col("k").alias("j"), "v")
 
 
-def _tile_products_keep_split(batches):
-    import pandas as pd
-
-    from tessella.functions.arrays import local_product
-
-    for pdf in batches:
-        outs = []
-        for li, lc, lv, rc, rk, rw, s in zip(pdf["li"], pdf["lc"], pdf["lv"], pdf["rc"],
-                                             pdf["rk"], pdf["rw"], pdf["_s"]):
-            oi, ok, ov = local_product(li, lc, lv, rc, rk, rw)
-            if len(oi):
-                outs.append(pd.DataFrame({"i": oi, "k": ok, "v": ov, "_s": int(s)}))
-        yield (pd.concat(outs, ignore_index=True) if outs else
-               pd.DataFrame({"i": pd.Series([], dtype="int64"), "k": pd.Series([], dtype="int64"),
-                             "v": pd.Series([], dtype="float64"), "_s": pd.Series([], dtype="int64")}))
-
-
 def mm_block_fixed_k(left: DataFrame, right: DataFrame, mb: int, nb: int, *,
                      tile_cells: int = LIST_ROWS, drop_zeros: bool = True) -> DataFrame:
     """Block strategy with the whole inner dimension in one block.
