@@ -46,7 +46,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     and is used as is.  Only when it is unset (local tests) a private folder
     is created and registered, so ``DataFrame.checkpoint()`` works.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a session without a local SparkContext
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        return d
     d = sc.getCheckpointDir()
     if d:
         return d

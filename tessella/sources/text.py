@@ -32,10 +32,16 @@ VERTEX_SCHEMA = T.StructType([T.StructField("id", T.LongType(), True)])
 
 
 def _min_partitions(df: DataFrame, partitions: int | None) -> DataFrame:
-    """At least ``partitions`` input partitions (like a minimum split count)."""
-    if partitions and df.rdd.getNumPartitions() < partitions:
-        return df.repartition(partitions)
-    return df
+    """At least ``partitions`` input partitions (like a minimum split count).
+    Splitting small files finer is ``spark.sql.files.maxPartitionBytes``;
+    this only spreads a read that came out coarser than asked."""
+    if not partitions:
+        return df
+    try:
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access in this session: just spread
+        have = 0
+    return df.repartition(partitions) if have < partitions else df
 
 
 def read_coo(spark: SparkSession, path: str, sep: str = " ", header: bool = False,

@@ -167,7 +167,13 @@ def test_row_dense_guard(spark, ab):
 
 
 def _plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
 
 
 def test_broadcast_plan_shape(spark, ab):
