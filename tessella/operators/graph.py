@@ -43,7 +43,9 @@ def dense_ids(vertices: DataFrame, col: str = "id", ids_per_bucket: int = IDS_PE
 
     The distinct ids are read three times (count, cut points, numbering), so
     they are checkpointed once to the shared checkpoint folder: one shuffle
-    of the input instead of three, and lineage cut for executor loss.
+    of the input instead of three, and lineage cut for executor loss.  The
+    numbered table is checkpointed too, since every relabelling join reads it.
+    With at most ``ids_per_bucket`` ids there is one bucket and one sort.
     """
     from tessella.session import checkpoint_dir
 
@@ -54,23 +56,27 @@ def dense_ids(vertices: DataFrame, col: str = "id", ids_per_bucket: int = IDS_PE
         return ids.withColumn("dense", F.lit(0).cast("long")).limit(0)
     buckets = max(1, math.ceil(n / ids_per_bucket))
     if buckets == 1:
-        bucketed = ids.withColumn("b", F.lit(0))
-    else:
-        from pyspark.ml.feature import Bucketizer
-
-        probs = [q / buckets for q in range(1, buckets)]
-        cuts = sorted(set(float(c) for c in
-                          ids.agg(F.percentile_approx("id", probs, 10_000)).first()[0]))
-        splits = [float("-inf")] + cuts + [float("inf")]
-        bucketed = (Bucketizer(splits=splits, inputCol="_x", outputCol="_b")
-                    .transform(ids.withColumn("_x", F.col("id").cast("double")))
-                    .select("id", F.col("_b").cast("int").alias("b")))
-    bucketed = bucketed.repartition("b")
+        # one bucket: a single sort, no offsets needed
+        w = Window.orderBy("id")
+        return (ids.select("id", (F.row_number().over(w) - 1).cast("long").alias("dense"))
+                   .checkpoint(eager=True))
+    from pyspark.ml.feature import Bucketizer
+
+    probs = [q / buckets for q in range(1, buckets)]
+    cuts = sorted(set(float(c) for c in
+                      ids.agg(F.percentile_approx("id", probs, 10_000)).first()[0]))
+    splits = [float("-inf")] + cuts + [float("inf")]
+    bucketed = (Bucketizer(splits=splits, inputCol="_x", outputCol="_b")
+                .transform(ids.withColumn("_x", F.col("id").cast("double")))
+                .select("id", F.col("_b").cast("int").alias("b"))
+                .repartition("b"))
     counts = bucketed.groupBy("b").agg(F.count(F.lit(1)).alias("nb"))
     offsets = counts.select("b", (F.sum("nb").over(Window.orderBy("b")) - F.col("nb")).alias("off"))
     ranked = bucketed.withColumn("rn", F.row_number().over(Window.partitionBy("b").orderBy("id")))
+    # the numbered table is read by every later lookup: write it once
     return (ranked.join(F.broadcast(offsets), "b")
-                  .select("id", (F.col("off") + F.col("rn") - 1).cast("long").alias("dense")))
+                  .select("id", (F.col("off") + F.col("rn") - 1).cast("long").alias("dense"))
+                  .checkpoint(eager=True))
 
 
 def _lookup(df: DataFrame, key: str, ids: DataFrame, out: str,
@@ -96,14 +102,24 @@ def relabel_sources(sources: DataFrame, ids: DataFrame,
     ``(i = dense id, j = col, v = 1.0)``.
 
     A source that is not a known vertex is an error, as the reference's
-    dictionary lookup fails: the lookup is a left join and a missing id
-    raises inside the job itself (``raise_error``), with no separate pass.
-    The source table is broadcast when it is proven small.
+    dictionary lookup fails.  A source table proven small is broadcast and
+    looked up in one map-side pass over the id table (no shuffle of it); the
+    result (one row per source) is checkpointed and compared with the source
+    count, raising ``KeyError`` for unknown vertices.  A larger source table
+    is left-joined and a missing id raises inside the job (``raise_error``).
     """
     s = sources.select(F.col("vertex").cast("long").alias("vertex"), F.col("col").cast("long").alias("col"))
+    table = ids.select(F.col("id").alias("vertex"), "dense")
     if rows_at_most(s, max_broadcast_rows):
-        s = F.broadcast(s)
-    looked = s.join(ids.select(F.col("id").alias("vertex"), "dense"), "vertex", "left")
+        n_sources = s.count()
+        found = (table.join(F.broadcast(s), "vertex")
+                      .select(F.col("dense").alias("i"), F.col("col").alias("j"), F.lit(1.0).alias("v"))
+                      .checkpoint(eager=True))
+        if found.count() != n_sources:
+            missing = s.join(table, "vertex", "left_anti").limit(5).collect()
+            raise KeyError(f"source vertex without an id: {[r['vertex'] for r in missing]}")
+        return found
+    looked = s.join(table, "vertex", "left")
     dense = F.when(F.col("dense").isNull(),
                    F.raise_error(F.concat(F.lit("source vertex without an id: "),
                                           F.col("vertex").cast("string")))).otherwise(F.col("dense"))

@@ -70,10 +70,14 @@ def test_relabel_sources_unknown_vertex(spark):
     e = edges(spark, SPARSE)
     ids = GR.dense_ids(GR.vertex_set(e))
     src = spark.createDataFrame([(19, 0), (55, 1)], "vertex long, col long")
+    with pytest.raises(KeyError, match="source vertex without an id"):
+        GR.relabel_sources(src, ids)
+    # above the broadcast bound the check runs inside the job
     with pytest.raises(Exception, match="source vertex without an id: 55"):
-        GR.relabel_sources(src, ids).collect()
+        GR.relabel_sources(src, ids, max_broadcast_rows=1).collect()
     ok = spark.createDataFrame([(19, 0), (42, 1)], "vertex long, col long")
     assert cells(GR.relabel_sources(ok, ids)) == {(1, 0): 1.0, (2, 1): 1.0}
+    assert cells(GR.relabel_sources(ok, ids, max_broadcast_rows=1)) == {(1, 0): 1.0, (2, 1): 1.0}
 
 
 def test_msbfs_hop(spark):
