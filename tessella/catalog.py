@@ -236,8 +236,9 @@ def q_render_cells(spark, d):
 
 
 def q_write_by_group(spark, d):
+    # one job per column group, each into its own g=<group> folder
     path = scratch_path(spark, "by-group")
-    TX.write_coo(q_mm_column_groups(spark, d), path, by="g")
+    P.write_column_groups(m_so(spark, d), n_on(spark, d), GROUPS, path)
     return TX.read_coo(spark, path).select("i", "j", "v", F.col("g").cast("int").alias("g"))
 
 

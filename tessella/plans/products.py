@@ -377,28 +377,44 @@ def mm_column_groups(left: DataFrame, right: DataFrame, h: int, n: int | None =
 
     Group ``g`` holds columns ``g, g + h, ...`` renumbered ``j div h``; each
     group is multiplied as rows x broadcast dense block of width
-    ``ceil(n / h)`` (so one broadcast is ``1/h`` of the dense right operand)
-    and mapped back with ``j = c * h + g``.  Returns ``(i, j, v, g)``, ready
-    for ``write_coo(..., by='g')`` (one output folder per group).
+    ``ceil(n / h)`` and mapped back with ``j = c * h + g``.  Returns
+    ``(i, j, v, g)`` as one plan (a union of ``h`` branches), so all group
+    broadcasts are live in the same job; to hold only ``1/h`` of the dense
+    operand at a time, write with ``write_column_groups`` (one job per group).
     """
+    parts = [prod.withColumn("g", F.lit(g))
+             for g, prod in column_group_products(left, right, h, n, max_dense_cells=max_dense_cells)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def column_group_products(left: DataFrame, right: DataFrame, h: int, n: int | None = None, *,
+                          max_dense_cells: int = MAX_DENSE_CELLS):
+    """Yield ``(g, DataFrame (i, j, v))`` per column group, lazily."""
     from tessella.operators.entries import column_groups
 
     n = _width(right) if n is None else int(n)
     width = max(-(-n // h), 1)
-    # one check bounds every group: a group has at most as many dense rows
-    # as the right operand has inner indices
     _check_dense(right, width, max_dense_cells)
     grouped = column_groups(right, h)
-    parts = []
     for g in range(h):
         sub = grouped.where(F.col("g") == g).select("i", F.col("c").alias("j"), "v")
         prod = _row_dense(left, sub, width)
-        parts.append(prod.select("i", (F.col("j") * F.lit(h) + F.lit(g)).cast("long").alias("j"), "v",
-                                 F.lit(g).alias("g")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        yield g, prod.select("i", (F.col("j") * F.lit(h) + F.lit(g)).cast("long").alias("j"), "v")
+
+
+def write_column_groups(left: DataFrame, right: DataFrame, h: int, path: str,
+                        n: int | None = None, *, max_dense_cells: int = MAX_DENSE_CELLS) -> None:
+    """Column-group product written one group per job into ``path/g=<g>``
+    (the layout ``write_coo(by='g')`` makes), so each job broadcasts only
+    ``1/h`` of the dense right operand, as the reference's per-group jobs
+    do."""
+    from tessella.sources.text import write_coo
+
+    for g, prod in column_group_products(left, right, h, n, max_dense_cells=max_dense_cells):
+        write_coo(prod, f"{path.rstrip('/')}/g={g}")
 
 
 STRATEGIES.update({

@@ -178,3 +178,17 @@ def test_checkpoint_dir_from_session(spark):
     from tessella.session import checkpoint_dir
     assert checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_write_column_groups_one_job_per_group(spark):
+    from tessella.plans import products as P
+
+    a = entries(spark, [(0, 0, 1.0), (1, 1, 2.0), (1, 0, 1.0)])
+    b = entries(spark, [(0, j, 1.0) for j in range(6)] + [(1, 5, 3.0)])
+    p = scratch_path(spark, "t-groups")
+    P.write_column_groups(a, b, 4, p)
+    dirs = sorted(d for d in os.listdir(local_fs_path(p)) if d.startswith("g="))
+    assert dirs == ["g=0", "g=1", "g=2", "g=3"]
+    back = TX.read_coo(spark, p)
+    assert cells(back.select("i", "j", "v")) == cells(P.mm_outer(a, b, drop_zeros=True))
+    assert all(r["g"] == r["j"] % 4 for r in back.collect())
