@@ -199,3 +199,43 @@ def test_outer_plan_has_partial_aggregation(spark, ab):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan
     assert "partial_sum" in plan
+
+
+def test_aqe_splits_hot_inner_index(spark):
+    """Default skew path: with thresholds scaled down to test size, AQE's
+    skew join splits the partition of an inner index holding most entries."""
+    from pyspark.sql import functions as F
+
+    confs = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256KB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    old = {k: spark.conf.get(k, None) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        hot = spark.range(200000).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("j"),
+                                         F.lit(1.0).alias("v"))
+        cold = spark.range(100000).select((F.col("id") % 5000).alias("i"), (F.col("id") + 1).alias("j"),
+                                          F.lit(2.0).alias("v"))
+        b = spark.range(100001).select(F.col("id").alias("i"), (F.col("id") % 7).alias("j"),
+                                       F.lit(1.0).alias("v"))
+        df = P.mm_outer(hot.unionByName(cold), b)
+        rows = df.collect()
+        plan = _plan(df)
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert len(rows) == 230000
+    got = {(r["i"], r["j"]): r["v"] for r in rows}
+    # hot entries (i, 0, 1) meet right row 0 -> column 0; cold entry
+    # (id % 5000, id + 1, 2) meets right row id + 1 -> column (id + 1) % 7
+    assert got[(7, 0)] == 1.0 + sum(2.0 for x in range(100000) if x % 5000 == 7 and (x + 1) % 7 == 0)
+    assert "skew=true" in plan
