@@ -81,18 +81,19 @@ def block_stats(df: DataFrame, mb: int, kb: int) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("nnz"), F.sum("v").alias("total")))
 
 
-def dense_rows(df: DataFrame, n: int) -> DataFrame:
-    """Entries -> ``(i, vals)`` with ``vals`` a dense ``array<double>`` of
-    length ``n`` (columns ``>= n`` are an error upstream; here they are
-    dropped by the shape filter).  Each row list is bounded by ``n``."""
+def dense_rows(df: DataFrame, n: int, keys: tuple[str, ...] = ("i",)) -> DataFrame:
+    """Entries -> ``(keys.., vals)`` with ``vals`` a dense ``array<double>``
+    of length ``n`` over column ``j`` (columns outside ``0..n-1`` are left
+    out).  Each list is bounded by ``n``; one shuffle (hash partitioning on
+    the keys serves both aggregations)."""
     if n > MAX_DENSE_WIDTH:
         raise ValueError(f"dense width {n} exceeds {MAX_DENSE_WIDTH}; use a sparse strategy")
-    # one shuffle: hash partitioning on i serves both aggregations
+    keys = list(keys)
     e = (df.where((F.col("j") >= 0) & (F.col("j") < n))
-           .repartition("i")
-           .groupBy("i", "j").agg(F.sum("v").alias("v"))
-           .groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("e")))
-    return e.select("i", densify(F.col("e.j"), F.col("e.v"), F.lit(n)).alias("vals"))
+           .repartition(*keys)
+           .groupBy(*keys, "j").agg(F.sum("v").alias("v"))
+           .groupBy(*keys).agg(F.collect_list(F.struct("j", "v")).alias("e")))
+    return e.select(*keys, densify(F.col("e.j"), F.col("e.v"), F.lit(n)).alias("vals"))
 
 
 def dense_column(spark: SparkSession, column: DataFrame, k: int,

@@ -375,19 +375,30 @@ def mm_column_groups(left: DataFrame, right: DataFrame, h: int, n: int | None =
                      max_dense_cells: int = MAX_DENSE_CELLS) -> DataFrame:
     """Column-group strategy: right columns split by ``j mod h``.
 
-    Group ``g`` holds columns ``g, g + h, ...`` renumbered ``j div h``; each
-    group is multiplied as rows x broadcast dense block of width
-    ``ceil(n / h)`` and mapped back with ``j = c * h + g``.  Returns
-    ``(i, j, v, g)`` as one plan (a union of ``h`` branches), so all group
-    broadcasts are live in the same job; to hold only ``1/h`` of the dense
-    operand at a time, write with ``write_column_groups`` (one job per group).
+    Group ``g`` holds columns ``g, g + h, ...`` renumbered ``c = j div h``;
+    its dense rows have width ``ceil(n / h)``.  Returns ``(i, j, v, g)``
+    from one plan: the dense rows of all groups, keyed by ``(inner, g)``,
+    are one broadcast (checked: all groups together at most
+    ``max_dense_cells``), the left operand is read once, and every left
+    entry scales its index's row in each group; ``j = c * h + g``.  To hold
+    only one group's ``1/h`` at a time, as the reference's per-group jobs
+    do, use ``write_column_groups``.
     """
-    parts = [prod.withColumn("g", F.lit(g))
-             for g, prod in column_group_products(left, right, h, n, max_dense_cells=max_dense_cells)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    from tessella.operators.entries import column_groups
+    from tessella.operators.layout import dense_rows
+
+    n = _width(right) if n is None else int(n)
+    width = max(-(-n // h), 1)
+    _check_dense(right, width * h, max_dense_cells)
+    grouped = column_groups(right, h).select("i", F.col("c").alias("j"), "v", "g")
+    dense = dense_rows(grouped, width, keys=("i", "g")).select(F.col("i").alias("c"), "g", "vals")
+    l, _ = _lr(left, right)
+    x = l.join(F.broadcast(dense), "c")
+    y = (x.select("i", "g", F.posexplode(F.transform("vals", lambda t: t * F.col("v"))).alias("k", "x"))
+          .where(F.col("x") != 0))
+    out = (y.groupBy("i", "g", (F.col("k") * F.lit(h) + F.col("g")).cast("long").alias("j"))
+            .agg(F.sum("x").alias("v")))
+    return out.where(F.col("v") != 0).select("i", "j", "v", "g")
 
 
 def column_group_products(left: DataFrame, right: DataFrame, h: int, n: int | None = None, *,
