@@ -348,8 +348,11 @@ def _row_dense(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
     dense = dense_rows(right, n).select(F.col("i").alias("c"), "vals")
     l, _ = _lr(left, right)
     x = l.join(F.broadcast(dense), "c")
-    y = (x.select("i", F.posexplode(F.transform("vals", lambda t: t * F.col("v"))).alias("k", "x"))
-          .where(F.col("x") != 0))
+    # explode first, multiply after: the product stays in generated code
+    # (a higher-order transform over the array would be interpreted)
+    y = (x.select("i", "v", F.posexplode("vals").alias("k", "d"))
+          .where(F.col("d") != 0)
+          .select("i", "k", (F.col("v") * F.col("d")).alias("x")))
     out = y.groupBy("i", F.col("k").cast("long").alias("k")).agg(F.sum("x").alias("v"))
     return out.where(F.col("v") != 0).select("i", F.col("k").alias("j"), "v")
 
@@ -394,8 +397,9 @@ def mm_column_groups(left: DataFrame, right: DataFrame, h: int, n: int | None =
     dense = dense_rows(grouped, width, keys=("i", "g")).select(F.col("i").alias("c"), "g", "vals")
     l, _ = _lr(left, right)
     x = l.join(F.broadcast(dense), "c")
-    y = (x.select("i", "g", F.posexplode(F.transform("vals", lambda t: t * F.col("v"))).alias("k", "x"))
-          .where(F.col("x") != 0))
+    y = (x.select("i", "g", "v", F.posexplode("vals").alias("k", "d"))
+          .where(F.col("d") != 0)
+          .select("i", "g", "k", (F.col("v") * F.col("d")).alias("x")))
     out = (y.groupBy("i", "g", (F.col("k") * F.lit(h) + F.col("g")).cast("long").alias("j"))
             .agg(F.sum("x").alias("v")))
     return out.where(F.col("v") != 0).select("i", "j", "v", "g")
