@@ -322,32 +322,30 @@ def mm_row_dense(left: DataFrame, right: DataFrame, n: int | None = None, *,
                  max_dense_cells: int = MAX_DENSE_CELLS) -> DataFrame:
     """Sparse rows times a broadcast dense matrix.
 
-    The right operand becomes dense rows ``(inner, ARRAY<DOUBLE>[n])`` and
-    is broadcast only when ``rows x n`` is proven below
-    ``max_dense_cells``; otherwise this raises, pointing at
-    ``mm_column_groups``, which bounds each broadcast to ``n / h`` columns.
-    Each left entry scales its dense row; element sums per ``(i, column)``
-    give the result, zeros dropped (the reference filters them).
+    The right operand becomes dense rows ``(inner, ARRAY<DOUBLE>[n])``,
+    broadcast when ``rows x n`` is proven below ``max_dense_cells``; beyond
+    that the dense rows (each still bounded by ``n``) meet the left entries
+    by a shuffle join on the inner index instead.  Each left entry scales
+    its dense row; element sums per ``(i, column)`` give the result, zeros
+    dropped (the reference filters them).
     """
     n = _width(right) if n is None else int(n)
     if n == 0:
         return left.sparkSession.createDataFrame([], "i long, j long, v double")
-    _check_dense(right, n, max_dense_cells)
-    return _row_dense(left, right, n)
+    return _row_dense(left, right, n, _dense_fits(right, n, max_dense_cells))
 
 
-def _check_dense(right: DataFrame, width: int, max_dense_cells: int) -> None:
+def _dense_fits(right: DataFrame, width: int, max_dense_cells: int) -> bool:
     """Dense rows number at most the distinct inner indices of ``right``."""
-    if not rows_at_most(right.select("i").distinct(), max(max_dense_cells // width, 1)):
-        raise ValueError("right operand too large to broadcast dense; use mm_column_groups")
+    return rows_at_most(right.select("i").distinct(), max(max_dense_cells // width, 1))
 
 
-def _row_dense(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
+def _row_dense(left: DataFrame, right: DataFrame, n: int, broadcast: bool = True) -> DataFrame:
     from tessella.operators.layout import dense_rows
 
     dense = dense_rows(right, n).select(F.col("i").alias("c"), "vals")
     l, _ = _lr(left, right)
-    x = l.join(F.broadcast(dense), "c")
+    x = l.join(F.broadcast(dense) if broadcast else dense, "c")
     # explode first, multiply after: the product stays in generated code
     # (a higher-order transform over the array would be interpreted)
     y = (x.select("i", "v", F.posexplode("vals").alias("k", "d"))
@@ -381,22 +379,22 @@ def mm_column_groups(left: DataFrame, right: DataFrame, h: int, n: int | None =
     Group ``g`` holds columns ``g, g + h, ...`` renumbered ``c = j div h``;
     its dense rows have width ``ceil(n / h)``.  Returns ``(i, j, v, g)``
     from one plan: the dense rows of all groups, keyed by ``(inner, g)``,
-    are one broadcast (checked: all groups together at most
-    ``max_dense_cells``), the left operand is read once, and every left
-    entry scales its index's row in each group; ``j = c * h + g``.  To hold
-    only one group's ``1/h`` at a time, as the reference's per-group jobs
-    do, use ``write_column_groups``.
+    are one broadcast when all groups together are proven below
+    ``max_dense_cells`` (else a shuffle join on the inner index), the left
+    operand is read once, and every left entry scales its index's row in
+    each group; ``j = c * h + g``.  To hold only one group's ``1/h`` at a
+    time, as the reference's per-group jobs do, use ``write_column_groups``.
     """
     from tessella.operators.entries import column_groups
     from tessella.operators.layout import dense_rows
 
     n = _width(right) if n is None else int(n)
     width = max(-(-n // h), 1)
-    _check_dense(right, width * h, max_dense_cells)
+    fits = _dense_fits(right, width * h, max_dense_cells)
     grouped = column_groups(right, h).select("i", F.col("c").alias("j"), "v", "g")
     dense = dense_rows(grouped, width, keys=("i", "g")).select(F.col("i").alias("c"), "g", "vals")
     l, _ = _lr(left, right)
-    x = l.join(F.broadcast(dense), "c")
+    x = l.join(F.broadcast(dense) if fits else dense, "c")
     y = (x.select("i", "g", "v", F.posexplode("vals").alias("k", "d"))
           .where(F.col("d") != 0)
           .select("i", "g", "k", (F.col("v") * F.col("d")).alias("x")))
@@ -412,11 +410,11 @@ def column_group_products(left: DataFrame, right: DataFrame, h: int, n: int | No
 
     n = _width(right) if n is None else int(n)
     width = max(-(-n // h), 1)
-    _check_dense(right, width, max_dense_cells)
+    fits = _dense_fits(right, width, max_dense_cells)
     grouped = column_groups(right, h)
     for g in range(h):
         sub = grouped.where(F.col("g") == g).select("i", F.col("c").alias("j"), "v")
-        prod = _row_dense(left, sub, width)
+        prod = _row_dense(left, sub, width, fits)
         yield g, prod.select("i", (F.col("j") * F.lit(h) + F.lit(g)).cast("long").alias("j"), "v")
 
 

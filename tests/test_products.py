@@ -160,10 +160,12 @@ def test_replicate_ignores_out_of_shape(spark):
     assert cells(P.mm_replicate(a, b, 1, 1, 5)) == {(0, 0): 2.0}
 
 
-def test_row_dense_guard(spark, ab):
+def test_row_dense_beyond_broadcast_bound(spark, ab):
+    # too big to broadcast explicitly: same result through a shuffle join
     a, b = ab
-    with pytest.raises(ValueError):
-        P.mm_row_dense(a, b, max_dense_cells=10)
+    assert cells(P.mm_row_dense(a, b, max_dense_cells=10)) == EXPECT_NZ
+    groups = P.mm_column_groups(a, b, 3, max_dense_cells=10)
+    assert {(r["i"], r["j"]): r["v"] for r in groups.collect()} == EXPECT_NZ
 
 
 def _plan(df):
