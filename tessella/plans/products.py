@@ -329,9 +329,14 @@ def mm_row_dense(left: DataFrame, right: DataFrame, n: int | None = None, *,
     its dense row; element sums per ``(i, column)`` give the result, zeros
     dropped (the reference filters them).
     """
+    from tessella.operators.layout import MAX_DENSE_WIDTH
+
     n = _width(right) if n is None else int(n)
     if n == 0:
         return left.sparkSession.createDataFrame([], "i long, j long, v double")
+    if n > MAX_DENSE_WIDTH:
+        # rows this wide are not dense material: same cells, sparse plan
+        return mm_outer(left, right, drop_zeros=True)
     return _row_dense(left, right, n, _dense_fits(right, n, max_dense_cells))
 
 
@@ -386,10 +391,14 @@ def mm_column_groups(left: DataFrame, right: DataFrame, h: int, n: int | None =
     time, as the reference's per-group jobs do, use ``write_column_groups``.
     """
     from tessella.operators.entries import column_groups
-    from tessella.operators.layout import dense_rows
+    from tessella.operators.layout import MAX_DENSE_WIDTH, dense_rows
 
     n = _width(right) if n is None else int(n)
     width = max(-(-n // h), 1)
+    if width > MAX_DENSE_WIDTH:
+        # groups this wide are not dense material: same cells, sparse plan
+        out = mm_outer(left, right, drop_zeros=True)
+        return out.withColumn("g", F.pmod(F.col("j"), F.lit(h)).cast("int"))
     fits = _dense_fits(right, width * h, max_dense_cells)
     grouped = column_groups(right, h).select("i", F.col("c").alias("j"), "v", "g")
     dense = dense_rows(grouped, width, keys=("i", "g")).select(F.col("i").alias("c"), "g", "vals")

@@ -168,6 +168,17 @@ def test_row_dense_beyond_broadcast_bound(spark, ab):
     assert {(r["i"], r["j"]): r["v"] for r in groups.collect()} == EXPECT_NZ
 
 
+def test_dense_strategies_on_wide_rows(spark):
+    from tessella.operators.layout import MAX_DENSE_WIDTH
+    a = entries(spark, [(0, 0, 2), (1, 1, 3)])
+    b = entries(spark, [(0, MAX_DENSE_WIDTH + 5, 1), (1, 2, 4)])
+    want = {(0, MAX_DENSE_WIDTH + 5): 2.0, (1, 2): 12.0}
+    assert cells(P.mm_row_dense(a, b)) == want
+    rows = P.mm_column_groups(a, b, 2).collect()
+    assert {(r["i"], r["j"]): r["v"] for r in rows} == want
+    assert all(r["g"] == r["j"] % 2 for r in rows)
+
+
 def _plan(df):
     import contextlib
     import io
