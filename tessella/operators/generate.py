@@ -42,3 +42,13 @@ def random_sparse(rows: DataFrame, n_cols: int, density: float, seed: str = "rs"
         F.transform(F.sequence(F.lit(0), F.lit(per_row - 1)), slot)).alias("d"))
     kept = F.filter("d", lambda e, n: (n == 0) | (e["j"] != F.element_at(F.col("d"), n)["j"]))
     return drawn.select("i", F.explode(kept).alias("e")).select("i", "e.j", "e.v")
+
+
+def random_matrix(spark, n_rows: int, n_cols: int, density: float, seed: str = "rs",
+                  max_value: int = 9):
+    """``random_sparse`` over row ids ``0..n_rows-1`` (``spark.range``, so
+    the rows are generated distributed), as a ``Matrix`` with its shape."""
+    from tessella.matrix import Matrix
+
+    rows = spark.range(n_rows).select("id")
+    return Matrix(random_sparse(rows, n_cols, density, seed, max_value), n_rows, n_cols)

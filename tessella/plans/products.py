@@ -439,6 +439,22 @@ def write_column_groups(left: DataFrame, right: DataFrame, h: int, path: str,
         write_coo(prod, f"{path.rstrip('/')}/g={g}")
 
 
+def multiply(left, right, strategy: str = "outer", **kw):
+    """``Matrix x Matrix -> Matrix``: checks that declared inner sizes agree,
+    passes declared shapes to the strategies that enumerate them
+    (``replicate``: ``m``, ``p``, ``n``) and declares the product's shape."""
+    from tessella.matrix import Matrix, check_product_shapes
+
+    rows, cols = check_product_shapes(left, right)
+    if strategy == "replicate":
+        if rows is None or cols is None:
+            raise ValueError("replicate needs declared left rows and right columns")
+        kw.setdefault("m", rows)
+        kw.setdefault("p", cols)
+        kw.setdefault("n", left.n_cols if left.n_cols is not None else right.n_rows)
+    return Matrix(mm(left.entries(), right.entries(), strategy, **kw), rows, cols)
+
+
 STRATEGIES.update({
     "inner_cartesian": mm_inner_cartesian,
     "replicate": mm_replicate,

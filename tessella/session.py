@@ -80,3 +80,16 @@ def local_fs_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+def persisted(df):
+    """Cache an operand that several plans read, and compute it once now.
+
+    ``MEMORY_AND_DISK`` spills instead of failing, and a lost executor's
+    blocks are recomputed from lineage.  Call ``df.unpersist()`` when done.
+    """
+    from pyspark import StorageLevel
+
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df

@@ -42,3 +42,23 @@ def test_associativity(spark):
     left = cells(P.mm_outer(P.mm_outer(a, b), c), drop_zeros=True)
     right = cells(P.mm_outer(a, P.mm_outer(b, c)), drop_zeros=True)
     assert left == right
+
+
+def test_multiply_with_shapes(spark):
+    from tessella.operators.generate import random_matrix
+    from tessella.plans.products import multiply
+    from tessella.session import persisted
+
+    a = random_matrix(spark, 12, 9, 0.3, "ma")
+    b = random_matrix(spark, 9, 7, 0.3, "mb")
+    assert (a.n_rows, a.n_cols) == (12, 9)
+    a = type(a)(persisted(a.df), a.n_rows, a.n_cols)
+    want = {k: v for k, v in dense_product(rows_of(a.df), rows_of(b.df)).items() if v != 0}
+    for strategy in ("outer", "replicate", "block"):
+        kw = {"mb": 4, "kb": 4, "nb": 4} if strategy == "block" else {}
+        c = multiply(a, b, strategy, **kw)
+        assert (c.n_rows, c.n_cols) == (12, 7)
+        assert cells(c.df, drop_zeros=True) == want
+    with pytest.raises(ValueError, match="inner sizes"):
+        multiply(a, random_matrix(spark, 8, 7, 0.3, "mc"))
+    a.df.unpersist()
