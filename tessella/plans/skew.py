@@ -59,15 +59,21 @@ def hot_grid(left: DataFrame, right: DataFrame, on: str | Sequence[str],
     The result is proven to hold at most ``MAX_HOT_KEYS`` rows (the threshold
     is raised until it does) and is returned broadcast-hinted.
     """
+    from tessella.session import checkpoint_dir
+
+    checkpoint_dir(left.sparkSession)
     keys = _keys(on)
     rows = max(int(rows_per_task), 1)
     while True:
         lh = hot_keys(left, keys, rows, "_sa")
         rh = hot_keys(right, keys, rows, "_sb")
+        # written once (at most rows / threshold keys), so the main plan
+        # reads this small table instead of aggregating both inputs again
         grid = (lh.join(rh, keys, "full")
                   .select(*keys, F.coalesce("_sa", F.lit(1)).alias("_sa"),
-                          F.coalesce("_sb", F.lit(1)).alias("_sb")))
-        n = grid.limit(MAX_HOT_KEYS + 1).count()      # one job: size and emptiness
+                          F.coalesce("_sb", F.lit(1)).alias("_sb"))
+                  .checkpoint(eager=True))
+        n = grid.count()
         if n <= MAX_HOT_KEYS:
             break
         rows *= 4
