@@ -50,15 +50,21 @@ def main() -> None:
     if os.path.isdir(warm):
         for q in names:
             catalog.QUERIES[q](spark, warm).write.format("noop").mode("overwrite").save()
-    times = {}
+    times, errors = {}, {}
     for name in names:
         t0 = time.perf_counter()
-        catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        try:
+            catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - t0, 3)
+        except Exception as exc:  # keep measuring the others; report the failure
+            errors[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
     spark.stop()
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": float(sf) if sf else None}))
+    rec = {"metric": "headline_total", "value": round(sum(times.values()), 3),
+           "unit": "sec", "queries": times, "sf": float(sf) if sf else None}
+    if errors:
+        rec["errors"] = errors
+    print(json.dumps(rec))
 
 
 if __name__ == "__main__":
