@@ -46,8 +46,11 @@ def mm_outer(left: DataFrame, right: DataFrame, *, partitions: int | None = None
              drop_zeros: bool = False, rows_per_task: int | None = _SKEW_DEFAULT) -> DataFrame:
     """Outer-product strategy: join on the inner index, multiply, sum by cell.
 
-    Plan: Exchange(c) on both sides -> SortMergeJoin -> partial HashAggregate
-    (i, k) -> Exchange(i, k) -> final HashAggregate.  ``partitions`` fixes the
+    Plan: Exchange(c) on both sides -> equi-join (sort-merge; AQE turns it
+    into a shuffled hash or broadcast join when measured sizes allow) ->
+    partial HashAggregate (i, k) in the same stage -> Exchange(i, k) -> final
+    HashAggregate.  An operand already hash-partitioned on its inner index is
+    not shuffled again.  ``partitions`` fixes the
     join parallelism explicitly (both sides hash-partitioned on ``c`` with
     that count, which the join then reuses).  A hot inner index is split by
     AQE's skew-join, or over an explicit salt grid with ``rows_per_task``

@@ -1,8 +1,10 @@
-"""Hot-key splitting for joins and groupings.
+"""Hot-key splitting for joins.
 
 A single join key (a hub vertex, a popular order) may hold a large share of
 all rows.  Shuffling by that key alone would hand the whole group to one
-task.  ``split_join`` finds keys with more than ``rows_per_task`` rows on
+task.  By default joins leave this to AQE's skew join, which splits an
+oversized shuffle partition at run time.  With an explicit threshold,
+``split_join`` instead finds keys with more than ``rows_per_task`` rows on
 either side (an aggregate with map-side combine, so the shuffle is one row
 per key and map task), and spreads each such key over an ``sa x sb`` grid:
 
@@ -34,8 +36,9 @@ DEFAULT_ROWS_PER_TASK = 1_000_000
 # run time (both sides if both are hot) at no extra pass over the inputs.
 # Pass a row count to salt explicitly instead (``hot_grid`` detection).
 JOIN_ROWS_PER_TASK: int | None = None
-# Grouped collections (documents, strips) cannot be split by AQE, so they
-# are always cut into parts of at most about this many rows.
+# Cells one collected tile may hold when a strategy sizes its own tiles
+# (``mm_block_fixed_k``).  Grouped collections cannot be split by AQE, so
+# every collected group in this package has a bound like this one.
 LIST_ROWS = 1_000_000
 
 
