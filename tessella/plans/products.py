@@ -455,6 +455,8 @@ def multiply(left, right, strategy: str = "outer", **kw):
         kw.setdefault("m", rows)
         kw.setdefault("p", cols)
         kw.setdefault("n", left.n_cols if left.n_cols is not None else right.n_rows)
+    if strategy in ("row_dense", "column_groups") and cols is not None:
+        kw.setdefault("n", cols)          # dense width known: no pass to find it
     return Matrix(mm(left.entries(), right.entries(), strategy, **kw), rows, cols)
 
 

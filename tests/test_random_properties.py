@@ -54,11 +54,12 @@ def test_multiply_with_shapes(spark):
     assert (a.n_rows, a.n_cols) == (12, 9)
     a = type(a)(persisted(a.df), a.n_rows, a.n_cols)
     want = {k: v for k, v in dense_product(rows_of(a.df), rows_of(b.df)).items() if v != 0}
-    for strategy in ("outer", "replicate", "block"):
+    for strategy in ("outer", "replicate", "block", "row_dense", "column_groups"):
         kw = {"mb": 4, "kb": 4, "nb": 4} if strategy == "block" else {}
+        kw = {"h": 3} if strategy == "column_groups" else kw
         c = multiply(a, b, strategy, **kw)
         assert (c.n_rows, c.n_cols) == (12, 7)
-        assert cells(c.df, drop_zeros=True) == want
+        assert cells(c.df.select("i", "j", "v"), drop_zeros=True) == want
     with pytest.raises(ValueError, match="inner sizes"):
         multiply(a, random_matrix(spark, 8, 7, 0.3, "mc"))
     a.df.unpersist()
