@@ -2,9 +2,10 @@
 
 Every packed group has a proven size bound: rows are cut into segments of
 ``width`` consecutive column ids (at most ``width`` entries once duplicates
-are summed) and blocks hold at most ``mb * kb`` entries.  A row that holds a
-third of the matrix therefore becomes many bounded segments spread over many
-tasks, never one giant array.
+are summed) and blocks hold at most ``mb * kb`` entries.  Duplicates are
+summed by an aggregation with a map-side partial sum before any group is
+collected, so neither a row holding a third of the matrix nor a cell repeated
+a third of the time lands whole in one task or one array.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ MAX_DENSE_WIDTH = 1 << 14
 def pack_rows(df: DataFrame, width: int = DEFAULT_SEGMENT) -> DataFrame:
     """Entries -> sorted sparse row segments ``(i, seg, idx, val)``.
 
-    ``seg = j div width``.  Duplicates are summed first.  One shuffle: the
-    data is hash partitioned on ``(i, seg)`` and both aggregations reuse it.
+    ``seg = j div width``.  Duplicates are summed first, with a map-side
+    partial sum, so even a cell repeated a huge number of times is combined
+    before any shuffle; the collection then sees at most ``width`` entries
+    per segment.
     """
     e = (df.select("i", "j", "v")
            .withColumn("seg", idiv("j", width))
-           .repartition("i", "seg")
            .groupBy("i", "seg", "j").agg(F.sum("v").alias("v")))
     packed = e.groupBy("i", "seg").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("e"))
     return packed.select("i", "seg", F.col("e.j").alias("idx"), F.col("e.v").alias("val"))
@@ -62,7 +64,6 @@ def to_blocks(df: DataFrame, mb: int, kb: int) -> DataFrame:
     e = (df.select("i", "j", "v")
            .withColumn("bi", idiv("i", mb))
            .withColumn("bj", idiv("j", kb))
-           .repartition("bi", "bj")
            .groupBy("bi", "bj", "i", "j").agg(F.sum("v").alias("v")))
     b = e.groupBy("bi", "bj").agg(F.collect_list(F.struct("i", "j", "v")).alias("e"))
     return b.select("bi", "bj", F.col("e.i").alias("ei"), F.col("e.j").alias("ej"),
@@ -84,13 +85,12 @@ def block_stats(df: DataFrame, mb: int, kb: int) -> DataFrame:
 def dense_rows(df: DataFrame, n: int, keys: tuple[str, ...] = ("i",)) -> DataFrame:
     """Entries -> ``(keys.., vals)`` with ``vals`` a dense ``array<double>``
     of length ``n`` over column ``j`` (columns outside ``0..n-1`` are left
-    out).  Each list is bounded by ``n``; one shuffle (hash partitioning on
-    the keys serves both aggregations)."""
+    out).  Duplicates are summed with a map-side partial sum first; each
+    list is then bounded by ``n``."""
     if n > MAX_DENSE_WIDTH:
         raise ValueError(f"dense width {n} exceeds {MAX_DENSE_WIDTH}; use a sparse strategy")
     keys = list(keys)
     e = (df.where((F.col("j") >= 0) & (F.col("j") < n))
-           .repartition(*keys)
            .groupBy(*keys, "j").agg(F.sum("v").alias("v"))
            .groupBy(*keys).agg(F.collect_list(F.struct("j", "v")).alias("e")))
     return e.select(*keys, densify(F.col("e.j"), F.col("e.v"), F.lit(n)).alias("vals"))

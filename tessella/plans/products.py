@@ -52,7 +52,8 @@ def mm_outer(left: DataFrame, right: DataFrame, *, partitions: int | None = None
     HashAggregate.  An operand already hash-partitioned on its inner index is
     not shuffled again.  ``partitions`` fixes the
     join parallelism explicitly (both sides hash-partitioned on ``c`` with
-    that count, which the join then reuses).  A hot inner index is split by
+    that count, which the join then reuses); such pre-partitioned sides are
+    not re-split by AQE, so pair it with ``rows_per_task`` when keys are hot.  A hot inner index is split by
     AQE's skew-join, or over an explicit salt grid with ``rows_per_task``
     (``plans.skew``).  Cancelled sums are kept as 0.0 unless ``drop_zeros``.
     """
@@ -168,14 +169,13 @@ LIST_WIDTH = 1 << 16   # ids per document part: a part lists at most this many e
 def _parts(l: DataFrame, r: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """Per inner index, the left list cut into parts of ``width`` consecutive
     row ids and the right list into parts of ``width`` column ids.  After
-    duplicates are summed a part holds at most ``width`` entries: a proven
-    bound, with no pass over the data to find hot indices."""
+    duplicates are summed (map-side partial sums first) a part holds at most
+    ``width`` entries: a proven bound, with no pass over the data to find hot
+    indices."""
     la = (l.withColumn("part_a", idiv("i", width))
-           .repartition("c", "part_a")
            .groupBy("c", "part_a", "i").agg(F.sum("v").alias("v"))
            .groupBy("c", "part_a").agg(F.collect_list(F.struct("i", "v")).alias("left")))
     ra = (r.withColumn("part_b", idiv("k", width))
-           .repartition("c", "part_b")
            .groupBy("c", "part_b", "k").agg(F.sum("w").alias("w"))
            .groupBy("c", "part_b").agg(F.collect_list(F.struct("k", "w")).alias("right")))
     return la, ra

@@ -18,13 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def supplier_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M_so: supplier x order, summed quantity (duplicates folded).
 
-    Almost every (supplier, order) pair is unique, so a map-side partial
-    sum saves nothing; hash-partitioning by order instead serves both the
-    aggregation and the products' join on the order index: one shuffle of
-    the line items rather than two."""
-    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_quantity")
-    return (li.repartition("l_orderkey")
-              .groupBy(F.col("l_suppkey").alias("i"), F.col("l_orderkey").alias("j"))
+    Aggregated on the (supplier, order) pair with a map-side partial sum, so
+    an order holding a large share of all line items is still spread over
+    many tasks; the products' join on the order index then shuffles again,
+    where AQE can split a hot order."""
+    li = table(spark, sf_dir, "lineitem")
+    return (li.groupBy(F.col("l_suppkey").alias("i"), F.col("l_orderkey").alias("j"))
               .agg(F.sum("l_quantity").alias("v")))
 
 
@@ -55,7 +54,6 @@ def nation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_quantity")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     return (li.join(s, li.l_suppkey == s.s_suppkey)
-              .repartition("l_orderkey")
               .groupBy(F.col("s_nationkey").cast("long").alias("i"), F.col("l_orderkey").alias("j"))
               .agg(F.sum("l_quantity").alias("v")))
 
