@@ -124,8 +124,11 @@ def mm_inner_cartesian(left: DataFrame, right: DataFrame, *, width: int | None =
     keyed = rows.select("i", "seg", F.explode("idx").alias("c"))
     cand = (split_join(keyed, r.select("c", "k"), "c", ["i"], ["k"], rows_per_task)
             .select("i", "k", "seg").distinct())
-    with_rows = split_join(cand, rows, ["i", "seg"], ["k"], ["i"], rows_per_task)
-    both = split_join(with_rows, cols, ["k", "seg"], ["i"], ["k"], rows_per_task)
+    # column segments travel with the candidates to their row segment (the
+    # right operand's columns are usually the short side: BFS sources hold
+    # one entry per column); the row segments stay where they were packed
+    with_cols = split_join(cand, cols, ["k", "seg"], ["i"], ["k"], rows_per_task)
+    both = split_join(with_cols, rows, ["i", "seg"], ["k"], ["i"], rows_per_task)
     # every candidate shares an index with its pair, so the dot is never null
     dots = both.select("i", "k", sparse_dot("idx", "val", "cidx", "cval").alias("d"))
     out = dots.groupBy("i", "k").agg(F.sum("d").alias("v"))
