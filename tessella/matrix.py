@@ -20,13 +20,6 @@ ENTRY_SCHEMA = T.StructType([
     T.StructField("v", T.DoubleType(), False),
 ])
 
-EDGE_SCHEMA = T.StructType([
-    T.StructField("src", T.LongType(), False),
-    T.StructField("dst", T.LongType(), False),
-    T.StructField("w", T.DoubleType(), True),
-])
-
-
 @dataclass(frozen=True)
 class Matrix:
     """Entries plus an optional declared shape."""

@@ -8,7 +8,6 @@ check is cheap even when the answer is "too big".
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # Fixed limits (rows).  An entry row is three 8-byte fields, so 2M rows is
 # about 50 MB on the wire and far less than executor memory.
@@ -20,10 +19,3 @@ MAX_HOT_KEYS = 1_000_000
 def rows_at_most(df: DataFrame, max_rows: int) -> bool:
     """True iff ``df`` has at most ``max_rows`` rows."""
     return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast-hint ``df`` when it is proven small, else return it unchanged."""
-    if rows_at_most(df, max_rows):
-        return F.broadcast(df), True
-    return df, False

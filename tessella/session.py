@@ -69,10 +69,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tessella-{name}-{uuid.uuid4().hex}"
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
 def local_fs_path(path: str) -> str:
     """Strip a ``file:`` scheme for Python-side inspection in tests."""
     if path.startswith("file:"):

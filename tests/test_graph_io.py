@@ -192,3 +192,17 @@ def test_write_column_groups_one_job_per_group(spark):
     back = TX.read_coo(spark, p)
     assert cells(back.select("i", "j", "v")) == cells(P.mm_outer(a, b, drop_zeros=True))
     assert all(r["g"] == r["j"] % 4 for r in back.collect())
+
+
+def test_sources_file_and_cell_documents(spark):
+    p = scratch_path(spark, "t-src")
+    with_dir = local_fs_path(p)
+    os.makedirs(with_dir)
+    with open(os.path.join(with_dir, "N_tmp"), "w") as f:
+        f.write("12 41 1.0\n7 0 1.0\n")
+    got = sorted(tuple(r) for r in TX.read_sources(spark, p).collect())
+    assert got == [(7, 0), (12, 41)]
+    out = scratch_path(spark, "t-cells")
+    DO.write_cells(entries(spark, [(0, 3, 2.0), (1, 4, 5.0)]), out)
+    docs = {r["_id"]: r["value"] for r in spark.read.json(out).collect()}
+    assert docs == {"0,3": 2, "1,4": 5}
