@@ -44,7 +44,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or HEADLINE
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(cpus * 2, 8),
-                          extra={"spark.driver.memory": "16g"})
+                          local_memory="16g")
     # warm-up, not counted: JIT, codegen and Python workers on the smallest tables
     warm = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
     if os.path.isdir(warm):

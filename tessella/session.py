@@ -12,12 +12,13 @@ from pyspark.sql import SparkSession
 # shuffle partitions at run time; its skew join splits oversized partitions
 # of hot join keys (explicit salting in ``plans.skew`` is the alternative).
 # A sort-merge join becomes a shuffled hash join only when AQE has measured
-# every build-side partition below 64 MB, so the hash tables stay bounded.
+# every build-side partition below 32 MB, so the hash tables stay bounded
+# (a shuffled hash join cannot spill: the bound must fit per-task memory).
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "32MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
@@ -26,11 +27,16 @@ DEFAULT_CONF = {
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
-                  app: str = "tessella", extra: dict | None = None) -> SparkSession:
-    """Local or cluster session with the defaults above."""
+                  app: str = "tessella", extra: dict | None = None,
+                  local_memory: str = "8g") -> SparkSession:
+    """Local or cluster session with the defaults above.  In local mode the
+    single JVM is both driver and executor, so its heap (``local_memory``)
+    is the executors' memory too; on a cluster size executors as usual."""
     b = SparkSession.builder.master(master).appName(app)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master.startswith("local"):
+        conf["spark.driver.memory"] = local_memory
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
