@@ -12,13 +12,14 @@ from pyspark.sql import SparkSession
 # shuffle partitions at run time; its skew join splits oversized partitions
 # of hot join keys (explicit salting in ``plans.skew`` is the alternative).
 # A sort-merge join becomes a shuffled hash join only when AQE has measured
-# every build-side partition below 32 MB, so the hash tables stay bounded
-# (a shuffled hash join cannot spill: the bound must fit per-task memory).
+# every build-side partition below 64 MB, so the hash tables stay bounded.
+# A shuffled hash join cannot spill: the bound must fit per-task memory
+# (fine from ~1 GB per core; lower it, or set it to 0, for smaller tasks).
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "32MB",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
