@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import mixing, simhash_trie
-from tessella.llm.common import documents
+from tessella.llm import bpe_automaton, id_planes, mixing, simhash_trie, toxicity
+from tessella.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,12 +22,37 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def tokenizer_path(name: str) -> str:
+    """Vocabulary files come with the ``public_tokenizers`` package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_toxicity_chain")
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(spark, docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).drop("text_key")
+
+
 @query("op6_mixing", mixing.oracle())
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op7_bpe_automaton")
+def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.encode_digests(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op8_id_planes")
+def op8_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = id_planes.write_ids(spark, documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    return id_planes.read_documents(files)
+
+
 @query("op9_simhash_trie")
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.simhash_components(
