@@ -35,6 +35,7 @@ BLOCK = 1 << 16
 SHARD_IDS = 1 << 22        # a file is closed after the document that reaches this many ids
 FOOTER = "<6Q4s"
 END_ID = 0
+TOGETHER = 64              # texts encoded at a time
 MAX_PIECES = 1_000_000     # remembered pieces per worker, then the memo starts anew
 
 
@@ -53,6 +54,8 @@ class PieceEncoder:
         import os
         import re
 
+        import numpy as np
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,28 +65,59 @@ class PieceEncoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         g = self.GAP
         self.find = re.compile(f" ?[^{g}]+|[{g}]+(?![^{g}])|[{g}]").findall
+        # a byte-level label has one character for each byte
+        self.n_bytes = np.zeros(self.tok.get_vocab_size() + 1, np.int64)
+        for label, i in self.tok.get_vocab().items():
+            self.n_bytes[i] = len(label)
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            ids = self.tok.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
         known = self.known
-        pieces = self.find(text)
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
         if len(known) >= MAX_PIECES:
             known.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
+        cut = [None if any([s in t for s in self.special]) else self.find(t) for t in texts]
+        new = set()
+        for pieces in cut:
+            if pieces:
+                new.update(set(pieces).difference(known))
+        # a piece that starts with its own space is cut off from what stands
+        # before it, so these go through the library as one text
+        spaced = [p for p in new if p[0] == " " and not p[1:2].isspace() and len(p) > 1]
+        rest = list(new) if not self.learn(spaced) else [p for p in new if p not in known]
+        for p, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False)):
             ids = e.ids
             known[p] = struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join([known[p] for p in pieces])
+        out = []
+        for t, pieces in zip(texts, cut):
+            if pieces is None:
+                ids = self.tok.encode(t, add_special_tokens=False).ids
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+            else:
+                out.append(b"".join([known[p] for p in pieces]))
+        return out
+
+    def learn(self, spaced: list[str]) -> bool:
+        """Encodes the joined pieces and finds each one's ids by the bytes
+        they stand for; False if the ids do not end where the pieces end."""
+        import numpy as np
+
+        if not spaced:
+            return True
+        ids = np.array(self.tok.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(p.encode()) for p in spaced])
+        reach = np.cumsum(self.n_bytes[ids])
+        at = np.searchsorted(reach, ends)
+        if at[-1] != len(ids) - 1 or not np.array_equal(reach[at], ends):
+            return False
+        raw, lo = ids.tobytes(), 0
+        for p, hi in zip(spaced, (4 * (at + 1)).tolist()):
+            self.known[p] = raw[lo:hi]
+            lo = hi
+        return True
 
 
 def planes_of(ids, kind: int) -> list[bytes]:
@@ -192,15 +226,16 @@ def write_ids(spark: SparkSession, docs: DataFrame, path: str, kind: int = 8,
                 ["part", "seq", "n_ids", "payload"])
 
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                e = enc.encode(t) + end
-                ids.append(e)
-                docs_.append(d)
-                lens.append(len(e) // 4)
-                n += len(e) // 4
-                if n >= shard_ids:
-                    yield image()
-                    seq, ids, docs_, lens, n = seq + 1, [], [], [], 0
+            for lo in range(0, b.num_rows, TOGETHER):
+                some = b.slice(lo, TOGETHER)
+                for d, e in zip(some.column(0).to_pylist(), enc.encode_many(some.column(1).to_pylist())):
+                    ids.append(e + end)
+                    docs_.append(d)
+                    lens.append((len(e) + len(end)) // 4)
+                    n += lens[-1]
+                    if n >= shard_ids:
+                        yield image()
+                        seq, ids, docs_, lens, n = seq + 1, [], [], [], 0
         if docs_:
             yield image()
 
