@@ -69,55 +69,76 @@ class PieceEncoder:
         self.n_bytes = np.zeros(self.tok.get_vocab_size() + 1, np.int64)
         for label, i in self.tok.get_vocab().items():
             self.n_bytes[i] = len(label)
+        self.odd = re.compile("[" + g.replace(" ", "").replace("\\t-\\r", "\\t\\x0b-\\r") + "]").search
         self.known: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}     # by the piece without its space
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
 
+    def plain(self, text: str) -> bool:
+        """Only single spaces and single line ends: ``split`` finds the pieces."""
+        return not ("  " in text or "\n\n" in text or " \n" in text or text[-1:] in (" ", "\n")
+                    or self.odd(text) or any([s in text for s in self.special]))
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        known = self.known
-        if len(known) >= MAX_PIECES:
+        known, spaced = self.known, self.spaced
+        if len(known) + len(spaced) >= MAX_PIECES:
             known.clear()
-        cut = [None if any([s in t for s in self.special]) else self.find(t) for t in texts]
-        new = set()
-        for pieces in cut:
-            if pieces:
-                new.update(set(pieces).difference(known))
-        # a piece that starts with its own space is cut off from what stands
-        # before it, so these go through the library as one text
-        spaced = [p for p in new if p[0] == " " and not p[1:2].isspace() and len(p) > 1]
-        rest = list(new) if not self.learn(spaced) else [p for p in new if p not in known]
+            spaced.clear()
+        cut, new, after = [], set(), set()
+        for t in texts:
+            if self.plain(t):
+                # a line's first piece stands alone, the others follow a space
+                lines = [line.split(" ") for line in t.split("\n")]
+                for line in lines:
+                    after.update(line[1:])
+                new.update([line[0] for line in lines])
+                cut.append((True, lines))
+            elif any([s in t for s in self.special]):
+                cut.append((None, t))
+            else:
+                pieces = self.find(t)
+                new.update(pieces)
+                cut.append((False, pieces))
+        new.add("\n")
+        self.learn(list(after.difference(spaced)))
+        rest = list(new.difference(known))
         for p, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False)):
-            ids = e.ids
-            known[p] = struct.pack(f"<{len(ids)}I", *ids)
+            known[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         out = []
-        for t, pieces in zip(texts, cut):
-            if pieces is None:
-                ids = self.tok.encode(t, add_special_tokens=False).ids
+        follow, end = spaced.__getitem__, known["\n"]
+        for plain, got in cut:
+            if plain:
+                out.append(end.join([known[line[0]] + b"".join(map(follow, line[1:])) for line in got]))
+            elif plain is None:
+                ids = self.tok.encode(got, add_special_tokens=False).ids
                 out.append(struct.pack(f"<{len(ids)}I", *ids))
             else:
-                out.append(b"".join([known[p] for p in pieces]))
+                out.append(b"".join([known[p] for p in got]))
         return out
 
-    def learn(self, spaced: list[str]) -> bool:
-        """Encodes the joined pieces and finds each one's ids by the bytes
-        they stand for; False if the ids do not end where the pieces end."""
+    def learn(self, new: list[str]) -> None:
+        """Encodes pieces that follow a space: as one text, where each one's
+        ids are told by the bytes they stand for, or else one by one."""
         import numpy as np
 
-        if not spaced:
-            return True
-        ids = np.array(self.tok.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum([len(p.encode()) for p in spaced])
+        if not new:
+            return
+        text = [" " + p for p in new]
+        ids = np.array(self.tok.encode_batch_fast(["".join(text)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(p.encode()) for p in text])
         reach = np.cumsum(self.n_bytes[ids])
         at = np.searchsorted(reach, ends)
-        if at[-1] != len(ids) - 1 or not np.array_equal(reach[at], ends):
-            return False
-        raw, lo = ids.tobytes(), 0
-        for p, hi in zip(spaced, (4 * (at + 1)).tolist()):
-            self.known[p] = raw[lo:hi]
-            lo = hi
-        return True
+        if at[-1] == len(ids) - 1 and np.array_equal(reach[at], ends):
+            raw, lo = ids.tobytes(), 0
+            for p, hi in zip(new, (4 * (at + 1)).tolist()):
+                self.spaced[p] = raw[lo:hi]
+                lo = hi
+        else:
+            for p, e in zip(new, self.tok.encode_batch_fast(text, add_special_tokens=False)):
+                self.spaced[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
 
 def planes_of(ids, kind: int) -> list[bytes]:
@@ -146,7 +167,7 @@ def block_of(planes: list[bytes], n: int, kind: int):
     return np.ascontiguousarray(out.T).view("<u4").reshape(-1)
 
 
-def write_image(doc_ids, lengths, ids, kind: int = 8, block: int = BLOCK, level: int = 3) -> bytes:
+def write_image(doc_ids, lengths, ids, kind: int = 8, block: int = BLOCK, level: int = 1) -> bytes:
     """One file image; ``doc_ids`` may hold None."""
     import numpy as np
     import zstandard
