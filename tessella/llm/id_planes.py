@@ -50,6 +50,8 @@ class PieceEncoder:
     # Unicode White_Space, as the library's pattern sees it.  [fixed values]
     GAP = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
+    MARKS = ".,;:!?%&$*#|()[]{}<>/\\\"'-+=~_@^`"
+
     def __init__(self, path: str):
         import os
         import re
@@ -103,10 +105,22 @@ class PieceEncoder:
                 new.update(pieces)
                 cut.append((False, pieces))
         new.add("\n")
-        self.learn(list(after.difference(spaced)))
+        # letters followed by marks are two runs to the file's pattern: only
+        # unknown letters and marks need the library
+        missing, ended = after.difference(spaced), []
+        for p in list(missing):
+            core = p.rstrip(self.MARKS)
+            if core is not p and core.isalpha():
+                missing.discard(p)
+                ended.append((p, core, p[len(core):]))
+        missing.update([c for _, c, _ in ended if c not in spaced])
+        new.update([m for _, _, m in ended])
+        self.learn(list(missing))
         rest = list(new.difference(known))
         for p, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False)):
             known[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for p, core, marks in ended:
+            spaced[p] = spaced[core] + known[marks]
         out = []
         follow, end = spaced.__getitem__, known["\n"]
         for plain, got in cut:
@@ -180,7 +194,7 @@ def write_image(doc_ids, lengths, ids, kind: int = 8, block: int = BLOCK, level:
     index = []
     for lo in range(0, len(ids), block):
         part = ids[lo:lo + block]
-        packed = [z.compress(p) if any(p) else b"" for p in planes_of(part, kind)]
+        packed = [z.compress(p) if p.count(0) < len(p) else b"" for p in planes_of(part, kind)]
         index.append(struct.pack(f"<QQI{n_planes}I", at, lo, len(part), *map(len, packed)))
         out += packed
         at += sum(map(len, packed))
