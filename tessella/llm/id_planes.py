@@ -36,7 +36,7 @@ SHARD_IDS = 1 << 22        # a file is closed after the document that reaches th
 FOOTER = "<6Q4s"
 END_ID = 0
 TOGETHER = 64              # texts encoded at a time
-MAX_PIECES = 1_000_000     # remembered pieces per worker, then the memo starts anew
+MAX_PIECES = 1_250_000     # remembered pieces per worker, then the memo starts anew
 
 
 class PieceEncoder:
@@ -156,29 +156,38 @@ class PieceEncoder:
 
 
 def planes_of(ids, kind: int) -> list[bytes]:
-    """Byte planes (kind 8) or bit planes (kind 1) of a uint32 block."""
+    """Byte planes (kind 8) or bit planes (kind 1) of a uint32 block; planes
+    above the largest id's highest bit are empty."""
     import numpy as np
 
-    flat = np.ascontiguousarray(ids, dtype="<u4").view(np.uint8).reshape(-1, 4).T
-    if kind == 8:
-        return [p.tobytes() for p in flat]
-    return [np.packbits((p >> b) & 1, bitorder="little").tobytes() for p in flat for b in range(8)]
+    ids = np.ascontiguousarray(ids, dtype="<u4")
+    used = int(ids.max(initial=0)).bit_length()     # higher planes are all zeros
+    flat = ids.view(np.uint8).reshape(-1, 4)
+    out = []
+    for k in range(4):
+        p = flat[:, k] if 8 * k < used else None
+        if kind == 8:
+            out.append(b"" if p is None else p.tobytes())
+        else:
+            out += [np.packbits((p >> b) & 1, bitorder="little").tobytes() if 8 * k + b < used else b""
+                    for b in range(8)]
+    return out
 
 
 def block_of(planes: list[bytes], n: int, kind: int):
     """Inverse of ``planes_of``; an empty plane is all zeros."""
     import numpy as np
 
-    out = np.zeros((4, n), np.uint8)
+    out = np.zeros((n, 4), np.uint8)
     for k, p in enumerate(planes):
         if not p:
             continue
         if kind == 8:
-            out[k] = np.frombuffer(p, np.uint8)
+            out[:, k] = np.frombuffer(p, np.uint8)
         else:
             bits = np.unpackbits(np.frombuffer(p, np.uint8), count=n, bitorder="little")
-            out[k // 8] |= bits << (k % 8)
-    return np.ascontiguousarray(out.T).view("<u4").reshape(-1)
+            out[:, k // 8] |= bits << (k % 8)
+    return out.view("<u4").reshape(-1)
 
 
 def write_image(doc_ids, lengths, ids, kind: int = 8, block: int = BLOCK, level: int = 1) -> bytes:
