@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe_automaton, id_planes, mixing, simhash_trie, toxicity
+from tessella.llm import bpe_automaton, id_planes, imatch, mixing, simhash_trie, toxicity
 from tessella.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).drop("text_key")
 
 
+@query("op5_imatch", imatch.oracle())
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(spark, documents(spark, sf_dir))
+
+
 @query("op6_mixing", mixing.oracle())
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, documents(spark, sf_dir)).select(
