@@ -62,3 +62,23 @@ def worker_cache(name: str, make):
     if name not in store:
         store[name] = make()
     return store[name]
+
+
+def id_bounds(ids: DataFrame, n: int) -> list[int]:
+    """At most ``n - 1`` values of ``doc_id`` that cut the rows into ``n``
+    ranges of about equal size; reads the id column only."""
+    if n <= 1:
+        return []
+    share = ", ".join(repr(k / n) for k in range(1, n))
+    got = ids.select(F.expr(f"percentile_approx(doc_id, array({share}), {max(10_000, 20 * n)})").alias("q"))
+    return sorted(set(got.first()["q"] or []))
+
+
+def range_of(bounds: list[int]):
+    """Number of bounds <= ``doc_id``, by binary search; 0 for a null id."""
+    if not bounds:
+        return F.lit(0)
+    table = "array(" + ", ".join(f"{b}L" for b in bounds) + ")"
+    steps = ", ".join(str(1 << k) for k in reversed(range(len(bounds).bit_length())))
+    return F.expr(f"""if(doc_id is null, 0, aggregate(array({steps}), 0, (at, step) ->
+        if(at + step <= {len(bounds)}, if(get({table}, at + step - 1) <= doc_id, at + step, at), at)))""")

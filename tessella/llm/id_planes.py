@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import worker_cache, written
+from tessella.llm.common import id_bounds, range_of, worker_cache, written
 
 MAGIC = b"IDPL"
 BLOCK = 1 << 16
@@ -251,7 +251,11 @@ def write_ids(spark: SparkSession, docs: DataFrame, path: str, kind: int = 8,
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text"), F.lit("")).alias("t"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "t")
+    # ranges of ids from the id column alone: sampling whole rows would read every text twice
+    bounds = id_bounds(docs.select(F.col("doc_id").cast("long").alias("doc_id")),
+                       int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = (rows.repartitionById(len(bounds) + 1, range_of(bounds).cast("int"))
+               .sortWithinPartitions("doc_id", "t"))
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches):

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, lower_ascii, words_column
+from tessella.llm.common import cut, id_bounds, range_of, words_column
 
 LEAST_SHARE, MOST_SHARE = 0.001, 0.01     # document frequency over documents
 IDF_BAND = (-math.log(MOST_SHARE), -math.log(LEAST_SHARE))
@@ -36,8 +36,8 @@ MARK = "\n"                # no word holds a line end
 
 
 def terms(text):
-    """Distinct terms of a text: words with A-Z lower-cased."""
-    return F.array_distinct(words_column(lower_ascii(text)))
+    """Distinct terms of a text: lower-cased words."""
+    return F.array_distinct(words_column(F.lower(text)))
 
 
 def lexicon(docs: DataFrame, n_docs: int, band=(LEAST_SHARE, MOST_SHARE)) -> DataFrame:
@@ -58,34 +58,14 @@ def lexicon(docs: DataFrame, n_docs: int, band=(LEAST_SHARE, MOST_SHARE)) -> Dat
             .select("term", (F.shiftleft(F.col("slot").cast("long"), 52).bitwiseOR(F.col("h"))).alias("code")))
 
 
-def bucket_bounds(docs: DataFrame, n_docs: int) -> list[int]:
-    """Ids that cut the table into buckets of about ``BUCKET_ROWS`` rows."""
-    n = min(max(math.ceil(n_docs / BUCKET_ROWS), 1), MAX_BUCKETS)
-    if n == 1:
-        return []
-    share = ", ".join(repr(k / n) for k in range(1, n))
-    got = docs.select(F.expr(f"percentile_approx(doc_id, array({share}), {max(10_000, 20 * n)})").alias("q")).first()["q"]
-    return sorted(set(got or []))
-
-
-def bucket_of(bounds: list[int]):
-    """Number of bounds <= doc_id, by binary search; a null id comes first."""
-    if not bounds:
-        return F.lit(0)
-    table = "array(" + ", ".join(f"{b}L" for b in bounds) + ")"
-    steps = ", ".join(str(1 << k) for k in reversed(range(len(bounds).bit_length())))
-    return F.expr(f"""if(doc_id is null, 0, aggregate(array({steps}), 0, (at, step) ->
-        if(at + step <= {len(bounds)} and get({table}, at + step - 1) <= doc_id, at + step, at)))""")
-
-
 def with_next(docs: DataFrame, n_docs: int) -> DataFrame:
     """Adds the next document's key and text in descending id order and the
     row's number ``n`` in its bucket; after the last comes the first.  Null ids come last; equal ids go by a hash of
     the text.  Rows are ordered within buckets of ids; each bucket also gets
     the first row of the bucket that follows."""
-    bounds = bucket_bounds(docs, n_docs)
+    bounds = id_bounds(docs, min(math.ceil(n_docs / BUCKET_ROWS), MAX_BUCKETS))
     last = len(bounds)
-    rows = docs.select("doc_id", "key", "text", bucket_of(bounds).cast("int").alias("bucket"))
+    rows = docs.select("doc_id", "key", "text", range_of(bounds).cast("int").alias("bucket"))
     head = (rows.groupBy("bucket").agg(F.max_by(F.struct("doc_id", "key", "text"),
                                                 F.struct("doc_id", "key")).alias("h"))
             .select("h.doc_id", "h.key", "h.text",
@@ -157,7 +137,10 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
         .select(*keys, "which", F.char_length("t").cast("long").alias("n_chars"),
                 F.sha2(F.col("t").cast("binary"), 256).alias("sha"),
                 F.md5(F.array_join(F.array_sort("terms"), " ").cast("binary")).alias("whole"),
-                F.explode(F.concat("terms", F.array(F.lit(MARK)))).alias("term")))
+                F.concat("terms", F.array(F.lit(MARK))).alias("terms"))
+        # on its own: what is selected beside a generator is carried and
+        # computed once for each of its rows
+        .select(*keys, "which", "n_chars", "sha", "whole", F.explode("terms").alias("term")))
     facts = F.when(F.col("term") == MARK, F.struct("n_chars", "sha", "whole"))
     sigs = (exploded.select(*keys, "which", "term", facts.alias("f")).join(lex, "term")
             .groupBy(*keys, "which").agg(F.sort_array(F.collect_set("code")).alias("codes"), F.max("f").alias("f"))
@@ -179,8 +162,9 @@ def oracle(band=(LEAST_SHARE, MOST_SHARE)) -> str:
     """DuckDB SQL with the rows of ``fingerprints`` (ids not repeated)."""
     least, most = band
     def words(t):
-        return (f"list_distinct(list_filter(string_split_regex(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
-                rf"'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> ''))")
+        return (rf"list_distinct(list_filter(string_split_regex(lower({t}), '[\x20\x09-\x0D]+'), "
+                "lambda w: w <> ''))")
+
     picks, turn = [], 1
     for level, c in enumerate(CELLS):
         picks.append(f"CASE WHEN (pick // {turn}) % {c} < {SUBSETS} THEN (pick // {turn}) % {c} + {level * SUBSETS} END")
