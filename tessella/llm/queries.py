@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe_automaton, id_planes, imatch, mixing, simhash_trie, toxicity
+from tessella.llm import bpe_automaton, brown_lm, id_planes, imatch, mixing, simhash_trie, toxicity
 from tessella.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_brown_lm")
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(spark, documents(spark, sf_dir))
+
+
 @query("op4_toxicity_chain")
 def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
