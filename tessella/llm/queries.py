@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe_automaton, brown_lm, id_planes, imatch, mixing, pivot_index, simhash_trie, toxicity
+from tessella.llm import bpe_automaton, brown_lm, id_planes, imatch, mixing, passages, pivot_index, simhash_trie, toxicity
 from tessella.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score(spark, documents(spark, sf_dir))
 
 
+@query("op2_passages")
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.dedup(spark, documents(spark, sf_dir)).drop("h")
+
+
 @query("op3_pivot_index")
 def op3_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
