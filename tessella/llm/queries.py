@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe_automaton, brown_lm, id_planes, imatch, mixing, passages, pivot_index, simhash_trie, toxicity
+from tessella.llm import bpe_automaton, brown_lm, id_planes, imatch, mixing, passages, pivot_index, quotes, simhash_trie, toxicity
 from tessella.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.simhash_components(
         spark, documents(spark, sf_dir), shingle=3, budget=3).select(
         "doc_id", "fingerprint", "component_id")
+
+
+@query("op10_quotes")
+def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
