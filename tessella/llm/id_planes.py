@@ -35,7 +35,7 @@ BLOCK = 1 << 16
 SHARD_IDS = 1 << 22        # a file is closed after the document that reaches this many ids
 FOOTER = "<6Q4s"
 END_ID = 0
-TOGETHER = 64              # texts encoded at a time
+TOGETHER = 32              # texts encoded at a time
 MAX_PIECES = 1_250_000     # remembered pieces per worker, then the memo starts anew
 
 
