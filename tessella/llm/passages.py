@@ -306,16 +306,19 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
     """
     rows = keyed(docs)
     firsts = written(spark, rows.groupBy("h").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "firsts")
-    # all but the copies; which rows are copies is known from ids and hashes
-    lone = (rows.join(firsts.where("n > 1").select("h", "first"), "h", "left")
-            .where("first is null or doc = first").select("doc", "h", "t").dropDuplicates(["doc", "h"])
-            if not firsts.where("n > 1").isEmpty() else rows)
+    # all but the copies; where there are none every row is its own first
+    unique = firsts.where("n > 1").isEmpty()
+    lone = rows if unique else (
+        rows.join(firsts.where("n > 1").select("h", "first"), "h", "left")
+        .where("first is null or doc = first").select("doc", "h", "t").dropDuplicates(["doc", "h"]))
     found = written(spark, seeds(lone), "seeds")
     n_docs = firsts.count()
     pairs = (matches(spark, found, n_docs).groupBy("doc", "h", "doc2", "h2")
              .agg(F.collect_list(F.struct("pos", "pos2")).alias("m")).where(F.size("m") >= 2))
     pairs = written(spark, pairs, "pairs")
-    texts = rows.select("doc", "h", "t").dropDuplicates(["doc", "h"])
+    texts = rows.select("doc", "h", "t")
+    if not unique:
+        texts = texts.dropDuplicates(["doc", "h"])
     later = pairs.join(texts, ["doc", "h"])
     both = later.join(texts.select(F.col("doc").alias("doc2"), F.col("h").alias("h2"), F.col("t").alias("t2")),
                       ["doc2", "h2"]).select("doc", "h", "doc2", "m", "t", "t2")
@@ -393,13 +396,18 @@ def without_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN_
     base = (docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
             .withColumn("__h", F.xxhash64(F.lit(3), F.coalesce(F.col("text"), F.lit("")))))
     m = merged_spans(spans).select(F.col("doc").alias("__doc"), F.col("h").alias("__h"), F.col("cuts").alias("__cuts"))
-    repeated = (base.groupBy("__h").agg(F.min("__doc").alias("__first"), F.count("*").alias("__n"))
-                .where("__n > 1").drop("__n"))
-    joined = base.join(m, ["__doc", "__h"], "left").join(repeated, "__h", "left")
+    # copies by id and hash alone, then one join that moves the texts
+    ids = base.select("__doc", "__h")
+    copied = ids.groupBy("__h").agg(F.min("__doc").alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    again = (ids.join(copied, "__h").groupBy("__doc", "__h", "__first").agg(F.count("*").alias("__same")))
+    facts = written(spark, m.join(again, ["__doc", "__h"], "full"), "cuts")
+    joined = base.join(facts, ["__doc", "__h"], "left")
     words = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != ""))
-    copied = F.when(F.col("__first").isNotNull(), words >= min_words).otherwise(False)
-    kept = joined.where(~copied).unionByName(
-        joined.where(copied & (F.col("__doc") == F.col("__first"))).dropDuplicates(["__doc", "__h"]))
+    long_copy = F.when(F.col("__first").isNotNull(), words >= min_words).otherwise(False)
+    kept = joined.where(~long_copy | (F.col("__doc") == F.col("__first")))
+    if not facts.where("__same > 1").isEmpty():       # the same id and text more than once
+        kept = (kept.withColumn("__number", F.row_number().over(Window.partitionBy("__doc", "__h").orderBy(F.lit(0))))
+                .where(~long_copy | (F.col("__number") == 1)))
 
     @F.pandas_udf("string")
     def cut(text, cuts):
@@ -407,6 +415,9 @@ def without_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN_
 
         out = []
         for t, c in zip(text, cuts):
+            if t is None or c is None:
+                out.append(None)
+                continue
             spans_ = [m_.span() for m_ in re.finditer(r"[^\x20\x09-\x0D]+", t)]
             keep, at = [], 0
             for r in c:
@@ -418,9 +429,11 @@ def without_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN_
 
         return pd.Series(out)
 
-    same = kept.where("__cuts is null")
-    less = kept.where("__cuts is not null").withColumn("text", cut("text", "__cuts"))
+    touched = F.col("__cuts").isNotNull()
+    out = kept.withColumn("__less", cut(F.when(touched, F.col("text")), F.col("__cuts")))
+    out = out.where(~touched | F.col("__less").rlike(r"[^\x20\x09-\x0D]"))
+    out = out.withColumn("text", F.when(touched, F.col("__less")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        less = less.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    less = less.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return same.select(*docs.columns).unionByName(less.select(*docs.columns))
+        out = out.withColumn("n_chars", F.when(touched, F.char_length("text").cast(
+            docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -24,6 +24,7 @@ from tessella.llm.components import connected_components, union_find
 
 BITS = 64
 HASH_SEED = 42
+NO_ID = (1 << 63) - 1  # stands for a null id: such rows come last
 LEAF = 8          # node pairs with at most this many fingerprint pairs are compared directly
 FRONTIER = 1 << 19  # node pairs opened at a time: bounds a task's memory
 
@@ -248,9 +249,9 @@ def keep_one_per_component(spark: SparkSession, docs: DataFrame, shingle: int =
     last).  Exact repeats of a kept row are dropped too."""
     comp = simhash_components(spark, docs, shingle, budget)
     stay = (comp.groupBy("component_fp")
-            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("s"))
-            .select(F.col("s.doc_id").alias("stay_id"), F.col("s.text_key").alias("stay_key")))
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    kept = keyed.join(stay, keyed.doc_id.eqNullSafe(stay.stay_id) & (keyed["__key"] == stay.stay_key),
-                      "left_semi")
-    return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
+            .agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("__id"),
+                                F.col("text_key").alias("__key"))).alias("s")).select("s.*"))
+    keyed = (docs.withColumn("__id", F.coalesce(F.col("doc_id"), F.lit(NO_ID)))
+             .withColumn("__key", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
+    kept = keyed.join(stay, ["__id", "__key"], "left_semi")
+    return kept.dropDuplicates(["__id", "__key"]).select(*docs.columns)

@@ -173,6 +173,29 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, chain=CHAIN,
     return json.loads(found[0]["model"]) if found else None
 
 
+def scorer(model: dict | None, n_categories: int):
+    """Function from a text's bytes to its probabilities, in chain order."""
+    import math
+
+    index = {f.encode("latin-1"): i for i, f in enumerate(model["features"])} if model else {}
+    starts = {f[1:1 + min(PREFIXES)] for f in index if f[:1] == b" "}
+    n = len(index)
+
+    def chain_of(text: bytes) -> list[float]:
+        if not model:
+            return [0.0] * n_categories
+        hits, length = hits_of(text, index, starts)
+        hits = [(i, math.log2(1 + c)) for i, c in sorted(hits.items())]
+        probs: list[float] = []
+        for w in model["weights"]:
+            z = w[-1] + w[n] * math.log1p(length) + sum([w[i] * v for i, v in hits])
+            z += sum([p * v for p, v in zip(probs, w[n + 1:-1])])
+            probs.append(1 / (1 + math.exp(-min(max(z, -30.0), 30.0))))
+        return probs
+
+    return chain_of
+
+
 def score(docs: DataFrame, model: dict | None, chain=CHAIN) -> DataFrame:
     """``(doc_id, text_key, p_<category>..., toxic)`` per row of ``docs``:
     probabilities of all categories and whether the last one reaches
@@ -187,28 +210,11 @@ def score(docs: DataFrame, model: dict | None, chain=CHAIN) -> DataFrame:
                        text_bytes("text").alias("t"))
 
     def run(batches):
-        import math
-
-        index = {f.encode("latin-1"): i for i, f in enumerate(model["features"])} if model else {}
-        starts = {f[1:1 + min(PREFIXES)] for f in index if f[:1] == b" "}
-        n = len(index)
+        chain_of = scorer(model, len(names))
         for b in batches:
-            out = [[] for _ in names]
-            for t in b.column(2).to_pylist():
-                hits, length = hits_of(t, index, starts)
-                hits = [(i, math.log2(1 + c)) for i, c in sorted(hits.items())]
-                probs = []
-                for c in range(len(names)):
-                    p = 0.0
-                    if model:
-                        w = model["weights"][c]
-                        z = w[-1] + w[n] * math.log1p(length) + sum([w[i] * v for i, v in hits])
-                        z += sum(p_ * w_ for p_, w_ in zip(probs, w[n + 1:-1]))
-                        p = 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
-                    probs.append(p)
-                    out[c].append(p)
+            out = [chain_of(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), *(pa.array(o, pa.float64()) for o in out)],
+                [b.column(0), b.column(1), *(pa.array([o[c] for o in out], pa.float64()) for c in range(len(names)))],
                 ["doc_id", "text_key", *names])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -218,7 +224,14 @@ def score(docs: DataFrame, model: dict | None, chain=CHAIN) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: dict | None, chain=CHAIN) -> DataFrame:
     """The rows of ``docs`` (all columns) that the chain does not reject."""
-    bad = (score(docs, model, chain).where("toxic").select(
-        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")
+    place = docs.columns.index("text")
+
+    def run(batches):
+        chain_of = scorer(model, len(chain))
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                keep = [chain_of((t or "").encode())[-1] < THRESHOLD for t in part.column(place).to_pylist()]
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
