@@ -142,7 +142,8 @@ def q_mm_inner_cartesian(spark, d):
 
 
 def q_mm_replicate(spark, d):
-    return P.mm_replicate(TB.nation_order(spark, d), n_on(spark, d), m=25, p=25)
+    side = TB.table(spark, d, "nation").agg(F.max("n_nationkey")).first()[0] + 1
+    return P.mm_replicate(TB.nation_order(spark, d), n_on(spark, d), m=side, p=side)
 
 
 def q_mm_cogroup(spark, d):
@@ -232,7 +233,7 @@ def q_render_triples(spark, d):
 
 
 def q_render_cells(spark, d):
-    return DO.cell_docs(q_mm_outer(spark, d))
+    return DO.cell_docs(q_mm_outer(spark, d), integer_values=True)
 
 
 def q_write_by_group(spark, d):
@@ -380,6 +381,30 @@ def q_random_sparse(spark, d):
     return GE.random_sparse(rows, RANDOM_COLS, RANDOM_DENSITY, RANDOM_SEED)
 
 
+def q_random_sparse_thin(spark, d):
+    rows = TB.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return GE.random_sparse(rows, RANDOM_COLS, 0.004, RANDOM_SEED)
+
+
+def q_random_sparse_full(spark, d):
+    rows = TB.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return GE.random_sparse(rows, RANDOM_COLS, 1.0, RANDOM_SEED)
+
+
+def _random_sql(density):
+    """The entries of ``random_sparse`` over ``customer``."""
+    want = density * RANDOM_COLS
+    steps = ", ".join(map(str, GE.multipliers(RANDOM_COLS, RANDOM_SEED)))
+    hx = "('0x' || substr({}, {}, {}))::BIGINT".format
+    return (f"WITH h AS (SELECT c_custkey AS i, md5('{RANDOM_SEED}:' || CAST(c_custkey AS VARCHAR)) AS h FROM customer), "
+            f"r AS (SELECT i, {int(want)} + CAST({hx('h', 1, 8)} < {int((want - int(want)) * (1 << 32))} AS BIGINT) AS n, "
+            f"([{steps}])[({hx('h', 9, 4)} % 16 + 1)::INT] AS a, {hx('h', 13, 15)} % {RANDOM_COLS} AS b FROM h), "
+            f"s AS (SELECT i, a, b, unnest(range(n)) AS t FROM r), "
+            f"w AS (SELECT *, md5('{RANDOM_SEED}:' || CAST(i AS VARCHAR) || ':' || CAST(t AS VARCHAR)) AS v FROM s) "
+            f"SELECT CAST(i AS BIGINT) AS i, CAST((a * t + b) % {RANDOM_COLS} AS BIGINT) AS j, "
+            f"CAST({hx('v', 9, 4)} % 9 + 1 AS DOUBLE) AS v FROM w")
+
+
 QUERIES: dict[str, QueryFn] = {
     # products (X1-X11)
     "mm_outer": q_mm_outer,
@@ -436,6 +461,8 @@ QUERIES: dict[str, QueryFn] = {
     "sample_sources": q_sample_sources,
     "relabel_sources": q_relabel_sources,
     "random_sparse": q_random_sparse,
+    "random_sparse_thin": q_random_sparse_thin,
+    "random_sparse_full": q_random_sparse_full,
 }
 
 _E = SQL_E_PS
@@ -534,11 +561,7 @@ ORACLE: dict[str, str] = {
     "relabel_edges_salted": _RELABEL,
     "sample_sources": f"WITH {_SRC} SELECT vertex, col FROM src",
     "relabel_sources": _REL_SOURCES,
-    "random_sparse": (f"WITH s AS (SELECT c_custkey AS i, t.range AS t FROM customer, "
-                      f"range({int(round(RANDOM_DENSITY * RANDOM_COLS))}) t), "
-                      f"h AS (SELECT i, md5('{RANDOM_SEED}:' || CAST(i AS VARCHAR) || ':' || "
-                      f"CAST(t AS VARCHAR)) AS h FROM s) "
-                      f"SELECT i, CAST(('0x' || substr(h, 1, 8))::BIGINT % {RANDOM_COLS} AS BIGINT) AS j, "
-                      f"MIN(CAST(('0x' || substr(h, 9, 4))::BIGINT % 9 + 1 AS DOUBLE)) AS v "
-                      f"FROM h GROUP BY 1, 2"),
+    "random_sparse": _random_sql(RANDOM_DENSITY),
+    "random_sparse_thin": _random_sql(0.004),
+    "random_sparse_full": _random_sql(1.0),
 }

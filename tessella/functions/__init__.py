@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def idiv(name: str, n: int) -> Column:
-    """Exact integer division of a LONG column by a positive constant
-    (``div`` never goes through DOUBLE, so ids beyond 2^53 stay exact).
-    Equal to floor division for the non-negative indices used here."""
-    return F.expr(f"CAST(`{name}` AS BIGINT) div {int(n)}")
+    """Exact floor division of a LONG column by a positive constant (``div``
+    never goes through DOUBLE, so ids beyond 2^53 stay exact; negative ids
+    round down, matching ``pmod``)."""
+    x = f"CAST(`{name}` AS BIGINT)"
+    return F.expr(f"({x} - pmod({x}, {int(n)})) div {int(n)}")

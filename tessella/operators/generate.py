@@ -7,41 +7,59 @@ linear in the number of entries generated (never in rows x columns).
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+CHUNK = 65_536
 
 
 def _hex_int(h, start: int, length: int):
     return F.conv(F.substring(h, start, length), 16, 10).cast("long")
 
 
+def multipliers(n_cols: int, seed: str, how_many: int = 16) -> list[int]:
+    """Steps without a common divisor with ``n_cols``, from the seed: the
+    columns ``(a * t + b) mod n_cols`` of ``t = 0 .. n_cols - 1`` all differ."""
+    out, k = [], 0
+    while len(out) < how_many:
+        a = int(hashlib.md5(f"{seed}:{n_cols}:{k}".encode()).hexdigest()[:8], 16) % min(n_cols, 1 << 31) or 1
+        k += 1
+        if math.gcd(a, n_cols) == 1:
+            out.append(a)
+    return out
+
+
 def random_sparse(rows: DataFrame, n_cols: int, density: float, seed: str = "rs",
                   max_value: int = 9) -> DataFrame:
     """Random entries for every row id in ``rows`` (column ``id``).
 
-    Each row draws ``round(density * n_cols)`` slots; slot ``t`` lands in
-    column ``hex(md5(seed:i:t))[0:8] mod n_cols`` with integer value
-    ``1 + hex(md5)[8:12] mod max_value``.  Slots that collide on a column
-    keep the smallest value, so a row may end slightly below the target.
-    A row's slots are drawn as one sorted array and repeats dropped inside
-    it, so generation is a map over ``rows`` with no shuffle.
+    With ``x = density * n_cols``, row ``i`` gets the whole part of ``x``
+    entries, and one more if a draw of its own is below the fraction, so the
+    expected number is exact at any density.  Entry ``t`` is in column
+    ``(a * t + b) mod n_cols``, step and start drawn per row; the columns of
+    a row never collide (at density 1 every cell is there).  Values are
+    ``1 + hash mod max_value``.  Entries are emitted in chunks of
+    ``CHUNK``; generation is a map over ``rows`` with no shuffle.
     """
-    per_row = int(round(density * n_cols))
-    base = rows.select(F.col("id").cast("long").alias("i"))
-    if per_row <= 0:
-        return base.select("i", F.lit(0).cast("long").alias("j"), F.lit(0.0).alias("v")).limit(0)
-
-    def slot(t):
-        h = F.md5(F.concat(F.lit(seed), F.lit(":"), F.col("i").cast("string"), F.lit(":"),
-                           t.cast("string")))
-        return F.struct(F.pmod(_hex_int(h, 1, 8), F.lit(n_cols)).alias("j"),
-                        (F.pmod(_hex_int(h, 9, 4), F.lit(max_value)) + 1).cast("double").alias("v"))
-
-    drawn = base.select("i", F.array_sort(
-        F.transform(F.sequence(F.lit(0), F.lit(per_row - 1)), slot)).alias("d"))
-    kept = F.filter("d", lambda e, n: (n == 0) | (e["j"] != F.element_at(F.col("d"), n)["j"]))
-    return drawn.select("i", F.explode(kept).alias("e")).select("i", "e.j", "e.v")
+    want = min(max(density, 0.0), 1.0) * n_cols
+    whole, part = int(want), want - int(want)
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("i").cast("string")).cast("binary"))
+    steps = F.array(*[F.lit(a).cast("long") for a in multipliers(n_cols, seed)])
+    drawn = (rows.select(F.col("id").cast("long").alias("i")).withColumn("h", h)
+             .withColumn("n", F.lit(whole).cast("long")
+                         + (_hex_int(F.col("h"), 1, 8) < F.lit(int(part * (1 << 32)))).cast("long"))
+             .withColumn("a", F.element_at(steps, (F.pmod(_hex_int(F.col("h"), 9, 4), F.lit(16)) + 1).cast("int")))
+             .withColumn("b", F.pmod(_hex_int(F.col("h"), 13, 15), F.lit(n_cols).cast("long")))
+             .where("n > 0").select("i", "n", "a", "b"))
+    chunks = drawn.withColumn("c", F.explode(F.expr(f"sequence(0L, (n - 1) div {CHUNK})")))
+    slots = chunks.select("i", "a", "b", F.explode(F.expr(
+        f"sequence(c * {CHUNK}, least(n, (c + 1) * {CHUNK}) - 1)")).alias("t"))
+    v = F.md5(F.concat(F.lit(f"{seed}:"), F.col("i").cast("string"), F.lit(":"), F.col("t").cast("string")).cast("binary"))
+    return slots.select("i", F.expr(f"cast((cast(a as decimal(20, 0)) * t + b) % {n_cols} as bigint)").alias("j"),
+                        (F.pmod(_hex_int(v, 9, 4), F.lit(max_value)) + 1).cast("double").alias("v"))
 
 
 def random_matrix(spark, n_rows: int, n_cols: int, density: float, seed: str = "rs",

@@ -70,7 +70,7 @@ def parse_grouped(df: DataFrame) -> DataFrame:
                      F.from_json("k", RIGHT_LIST).alias("right"))
 
 
-def cell_docs(df: DataFrame, integer_values: bool = True) -> DataFrame:
+def cell_docs(df: DataFrame, integer_values: bool = False) -> DataFrame:
     """Result cells as ``{_id: "i,k", value}`` documents."""
     v = F.col("v").cast("long") if integer_values else F.col("v")
     return df.select(F.concat_ws(",", F.col("i").cast("string"), F.col("j").cast("string")).alias("_id"),
@@ -78,7 +78,7 @@ def cell_docs(df: DataFrame, integer_values: bool = True) -> DataFrame:
 
 
 def write_cells(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists",
-                integer_values: bool = True) -> None:
+                integer_values: bool = False) -> None:
     cell_docs(df, integer_values).write.mode(mode).format(fmt).save(path)
 
 

@@ -1,7 +1,8 @@
 """Delimited text triples, tagged triples, edge and vertex lists.
 
-Readers always pass an explicit schema (no inference: a file of integer
-values is read as DOUBLE values, and no inference pass over the data).
+Readers take a line's first fields as text and cast them to fixed types (no
+inference: a file of integer values is read as DOUBLE values); a bad line is
+an error unless the caller asks to drop it.
 Paths are Hadoop file-system URIs, so local, HDFS and object stores work the
 same.
 """
@@ -12,45 +13,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-COO_SCHEMA = T.StructType([
-    T.StructField("i", T.LongType(), True),
-    T.StructField("j", T.LongType(), True),
-    T.StructField("v", T.DoubleType(), True),
-])
-TAGGED_SCHEMA = T.StructType([
-    T.StructField("tag", T.StringType(), True),
-    T.StructField("a", T.LongType(), True),
-    T.StructField("b", T.LongType(), True),
-    T.StructField("v", T.DoubleType(), True),
-])
-EDGE_TEXT_SCHEMA = T.StructType([
-    T.StructField("src", T.LongType(), True),
-    T.StructField("dst", T.LongType(), True),
-    T.StructField("w", T.DoubleType(), True),
-])
-VERTEX_SCHEMA = T.StructType([T.StructField("id", T.LongType(), True)])
-
-
 def _min_partitions(df: DataFrame, partitions: int | None) -> DataFrame:
-    """At least ``partitions`` input partitions (like a minimum split count).
-    Splitting small files finer is ``spark.sql.files.maxPartitionBytes``;
-    this only spreads a read that came out coarser than asked."""
+    """``partitions`` partitions, if asked for.  Without a shuffle, splits are
+    made finer by ``spark.sql.files.maxPartitionBytes``."""
     if not partitions:
         return df
-    try:
-        have = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access in this session: just spread
-        have = 0
-    return df.repartition(partitions) if have < partitions else df
+    return df.repartition(partitions)
+
+
+def _fields(spark: SparkSession, path: str, sep: str, names: list[str], header: bool = False) -> DataFrame:
+    """The first fields of every line as trimmed text; further fields (also
+    the empty one after a trailing separator) are ignored, missing ones null."""
+    schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
+    raw = (spark.read.schema(schema).option("sep", sep).option("header", str(header).lower())
+           .option("quote", "").option("mode", "PERMISSIVE").csv(path))
+    folders = [c for c in raw.columns if c not in names]      # partition columns
+    return raw.select(*[F.trim(F.col(n)).alias(n) for n in names], *folders)
+
+
+def _typed(raw: DataFrame, types: dict[str, str], optional: dict, on_bad: str) -> DataFrame:
+    """Casts the named fields.  A field that is absent takes its value from
+    ``optional`` if it has one there; absent or unparsable otherwise, the
+    line is bad: ``on_bad='error'`` fails inside the job and names the line,
+    ``'drop'`` leaves it out."""
+    if on_bad not in ("error", "drop"):
+        raise ValueError(f"on_bad must be 'error' or 'drop', not {on_bad!r}")
+    cast = {n: F.col(n).try_cast(t) for n, t in types.items()}
+    good = F.lit(True)
+    for n in types:
+        absent = F.col(n).isNull() | (F.col(n) == "")
+        good = good & (cast[n].isNotNull() if n not in optional else absent | cast[n].isNotNull())
+    if on_bad == "error":
+        said = F.concat(F.lit("bad line: "), F.concat_ws(" ", *[F.coalesce(F.col(n), F.lit("<none>")) for n in raw.columns]))
+        good = F.when(good, True).otherwise(F.raise_error(said).cast("boolean"))
+    rest = [c for c in raw.columns if c not in types]
+    return raw.where(good).select(*[
+        F.coalesce(cast[n], F.lit(optional[n])).alias(n) if n in optional else cast[n].alias(n) for n in types], *rest)
 
 
 def read_coo(spark: SparkSession, path: str, sep: str = " ", header: bool = False,
-             partitions: int | None = None) -> DataFrame:
+             partitions: int | None = None, on_bad: str = "error") -> DataFrame:
     """``row col value`` lines -> entries.  ``header=True`` skips each file's
-    first line.  Malformed lines are dropped (``DROPMALFORMED``)."""
-    df = (spark.read.schema(COO_SCHEMA).option("sep", sep).option("header", str(header).lower())
-          .option("mode", "DROPMALFORMED").csv(path))
-    df = df.where(F.col("i").isNotNull() & F.col("j").isNotNull() & F.col("v").isNotNull())
+    first line.  Only the first three fields count; a line without three
+    parsable ones is an error, or left out with ``on_bad='drop'``."""
+    df = _typed(_fields(spark, path, sep, ["i", "j", "v"], header),
+                {"i": "long", "j": "long", "v": "double"}, {}, on_bad)
     return _min_partitions(df, partitions)
 
 
@@ -84,11 +91,11 @@ def write_coo(df: DataFrame, path: str, sep: str = " ", by: str | None = None,
     w.text(path)
 
 
-def read_tagged(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_tagged(spark: SparkSession, path: str, on_bad: str = "error") -> tuple[DataFrame, DataFrame]:
     """``M,i,j,v`` / ``N,j,k,v`` lines in one folder -> ``(left, right)``.
     Any tag other than ``M`` belongs to the right operand."""
-    raw = spark.read.schema(TAGGED_SCHEMA).option("sep", ",").csv(path)
-    raw = raw.where(F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("v").isNotNull())
+    raw = _typed(_fields(spark, path, ",", ["tag", "a", "b", "v"]),
+                 {"a": "long", "b": "long", "v": "double"}, {}, on_bad)
     left = raw.where(F.col("tag") == "M").select(F.col("a").alias("i"), F.col("b").alias("j"), "v")
     right = raw.where(~(F.col("tag") == "M") | F.col("tag").isNull()).select(
         F.col("a").alias("i"), F.col("b").alias("j"), "v")
@@ -107,11 +114,11 @@ def write_tagged(left: DataFrame, right: DataFrame, path: str, mode: str = "erro
     tagged_lines(left, right).write.mode(mode).text(path)
 
 
-def read_edges(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
-    """``src dst [weight]`` lines; a missing weight is 1."""
-    raw = spark.read.schema(EDGE_TEXT_SCHEMA).option("sep", sep).csv(path)
-    raw = raw.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
-    return raw.select("src", "dst", F.coalesce("w", F.lit(1.0)).alias("w"))
+def read_edges(spark: SparkSession, path: str, sep: str = " ", on_bad: str = "error") -> DataFrame:
+    """``src dst [weight]`` lines; an absent weight is 1, an unparsable one
+    makes the line bad."""
+    return _typed(_fields(spark, path, sep, ["src", "dst", "w"]),
+                  {"src": "long", "dst": "long", "w": "double"}, {"w": 1.0}, on_bad)
 
 
 def write_edges(edges: DataFrame, path: str, sep: str = " ", weighted: bool = True,
@@ -122,9 +129,9 @@ def write_edges(edges: DataFrame, path: str, sep: str = " ", weighted: bool = Tr
     edges.select(F.concat_ws(sep, *cols).alias("line")).write.mode(mode).text(path)
 
 
-def read_vertices(spark: SparkSession, path: str) -> DataFrame:
+def read_vertices(spark: SparkSession, path: str, on_bad: str = "error") -> DataFrame:
     """One vertex id per line."""
-    return spark.read.schema(VERTEX_SCHEMA).csv(path).where(F.col("id").isNotNull())
+    return _typed(_fields(spark, path, " ", ["id"]), {"id": "long"}, {}, on_bad)
 
 
 def write_vertices(vertices: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -93,7 +93,12 @@ def test_msbfs_hop(spark):
 def test_random_sparse(spark):
     rows = spark.range(200).select("id")
     m = GE.random_sparse(rows, 50, 0.1, "t").collect()
-    assert 0 < len(m) <= 200 * 5
+    assert len(m) == 200 * 5
+    for density in (0.00001, 0.0001, 0.001, 0.004, 0.05, 0.5, 1.0):
+        n = GE.random_sparse(spark.range(50_000).select("id"), 100, density, "t").count()
+        want = 50_000 * 100 * density
+        assert abs(n - want) <= max(0.01 * want, 4 * want ** 0.5)
+    assert GE.random_sparse(spark.range(3).select("id"), 7, 1.0).distinct().count() == 21
     assert all(0 <= r["j"] < 50 and 1 <= r["v"] <= 9 for r in m)
     assert len({(r["i"], r["j"]) for r in m}) == len(m)
     assert GE.random_sparse(rows, 50, 0.1, "t").collect() == m
@@ -107,8 +112,10 @@ def test_coo_roundtrip_and_header(spark):
     lines = sorted(r["value"] for r in spark.read.text(p).collect())
     assert lines == ["0 1 1.0", "2 3 4.5"]
     assert cells(TX.read_coo(spark, p, partitions=3)) == {(0, 1): 1.0, (2, 3): 4.5}
-    # header flag: reading a headerless file with header=True loses a line
-    assert TX.read_coo(spark, p, header=True).count() <= 2
+    # header flag: reading headerless files with header=True loses each one's first line
+    one = scratch_path(spark, "t-one")
+    TX.write_coo(df.coalesce(1), one)
+    assert TX.read_coo(spark, one, header=True).count() == 1
     h = scratch_path(spark, "t-header")
     TX.write_coo(entries(spark, [(0, 1, 3), (1, 1, 2)]), h, sep=",", header="m k v", integer_values=True)
     assert cells(TX.read_coo(spark, h, sep=",", header=True)) == {(0, 1): 3.0, (1, 1): 2.0}
@@ -206,3 +213,23 @@ def test_sources_file_and_cell_documents(spark):
     DO.write_cells(entries(spark, [(0, 3, 2.0), (1, 4, 5.0)]), out)
     docs = {r["_id"]: r["value"] for r in spark.read.json(out).collect()}
     assert docs == {"0,3": 2, "1,4": 5}
+
+
+def test_bad_lines(spark):
+    p = scratch_path(spark, "t-bad")
+    spark.createDataFrame([("1 2 3.0",), ("4 x 1.0",), ("5 6 2.0 ",), ("7 8 1.0 9",)], "line string").write.text(p)
+    assert cells(TX.read_coo(spark, p, on_bad="drop")) == {(1, 2): 3.0, (5, 6): 2.0, (7, 8): 1.0}
+    with pytest.raises(Exception, match="bad line: 4 x 1.0"):
+        TX.read_coo(spark, p).count()
+    e = scratch_path(spark, "t-bad-edges")
+    spark.createDataFrame([("1 2",), ("3 4 abc",), ("5 6 0.5",)], "line string").write.text(e)
+    assert {tuple(r) for r in TX.read_edges(spark, e, on_bad="drop").collect()} == {(1, 2, 1.0), (5, 6, 0.5)}
+    with pytest.raises(Exception, match="bad line: 3 4 abc"):
+        TX.read_edges(spark, e).collect()
+
+
+def test_floor_division(spark):
+    from tessella.functions import idiv
+
+    got = spark.createDataFrame([(-5,), (-1,), (0,), (4,), (5,)], "x long").select(idiv("x", 5)).collect()
+    assert [r[0] for r in got] == [-1, -1, 0, 0, 1]
