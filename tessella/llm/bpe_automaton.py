@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import worker_cache
 
-MAX_CONFIGURATIONS = 100_000   # tabled configurations, then the table starts anew
-MAX_WORDS = 300_000            # remembered words per worker, likewise
-MAX_PIECES = 800_000           # remembered pieces between white space, likewise
+MAX_CONFIGURATIONS = 60_000   # tabled configurations, then the table starts anew
+MAX_WORDS = 200_000            # remembered words per worker, likewise
+MAX_PIECES = 500_000           # remembered pieces between white space, likewise
 
 
 class TokenizationAutomaton:

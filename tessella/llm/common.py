@@ -57,9 +57,11 @@ def text_bytes(col="text"):
 
 def worker_cache(name: str, make):
     """An object built once per Python worker process and reused by the
-    tasks it runs (compiled tables, word memos)."""
+    tasks it runs (compiled tables, word memos).  One at a time: a job with
+    another one frees the last one's memory."""
     store = sys.__dict__.setdefault("_tessella_worker_cache", {})
     if name not in store:
+        store.clear()
         store[name] = make()
     return store[name]
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import text_bytes
+from tessella.llm.common import text_bytes, worker_cache
 
 SAMPLE = 10_000     # labelled documents used for fitting at most: bounds the fitting task
 FEATURES = 512      # features kept
@@ -161,6 +161,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, chain=CHAIN,
                     "doc_id", *ys))
 
     def run(batches):
+        worker_cache("toxicity", dict)        # frees what an earlier job kept
         got = [b for b in batches if b.num_rows]
         if got:
             t = pa.Table.from_batches(got).sort_by("doc_id")
@@ -227,6 +228,7 @@ def without_toxic(docs: DataFrame, model: dict | None, chain=CHAIN) -> DataFrame
     place = docs.columns.index("text")
 
     def run(batches):
+        worker_cache("toxicity", dict)
         chain_of = scorer(model, len(chain))
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
