@@ -337,11 +337,11 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         codec = _codec(path)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):      # bounded output batches
+            for lo in range(0, b.num_rows, 64):      # bounded output batches
                 part = b.slice(lo, 256)
                 ids = [codec.encode(t) for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.list_(pa.int32())), pa.array(map(codec.decode, ids), pa.string()),
+                    [pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(i) for i in ids], pa.string()),
                      *part.columns[1:]], ["ids", "decoded", *keep])
 
     return rows.mapInArrow(run, schema).select(*keep, "ids", "decoded")

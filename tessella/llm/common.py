@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,8 @@ def worker_cache(name: str, make):
     store = sys.__dict__.setdefault("_tessella_worker_cache", {})
     if name not in store:
         store.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         store[name] = make()
     return store[name]
 

@@ -72,7 +72,11 @@ def fit_linear(x, y, ridge: float = RIDGE, rounds: int = 25):
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (y - p) - keep * w
-        h = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x
+        h = np.zeros((x.shape[1], x.shape[1]))
+        for lo in range(0, len(x), 1000):                # no second copy of x
+            part = x[lo:lo + 1000]
+            q = p[lo:lo + 1000]
+            h += (part * np.maximum(q * (1 - q), 1e-6)[:, None]).T @ part
         h[np.diag_indices_from(h)] += keep
         step = np.linalg.solve(h, g)
         w = w + step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
@@ -124,11 +128,14 @@ def fit_chain(texts, labels, folds, n_features: int = FEATURES, n_folds: int = F
     at = column[every]
     often = np.concatenate([*counts, np.zeros(0, np.int32)])
     x[row[at >= 0], at[at >= 0]] = np.log2(1.0 + often[at >= 0])
+    features = [names[i].decode("latin-1") for i in order]
+    del sets, counts, seen, every, row, often, names, at, total, best, column
     x[:, -2] = np.log1p(lengths)
     x[:, -1] = 1
     weights, thresholds = [], []
     folds = np.asarray(folds)
     chained = x
+    del x
     for c in range(k):
         y = labels[:, c]
         weights.append(fit_linear(chained, y).tolist())
@@ -139,7 +146,7 @@ def fit_chain(texts, labels, folds, n_features: int = FEATURES, n_folds: int = F
                 out[held] = predict(chained[held], fit_linear(chained[~held], y[~held]))
         thresholds.append(float(np.mean((out >= THRESHOLD) == (y > 0))))
         chained = np.column_stack([chained[:, :-1], out, chained[:, -1]])
-    return {"features": [names[i].decode("latin-1") for i in order], "weights": weights,
+    return {"features": features, "weights": weights,
             "held_out_accuracy": thresholds}
 
 
@@ -165,9 +172,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, chain=CHAIN,
         got = [b for b in batches if b.num_rows]
         if got:
             t = pa.Table.from_batches(got).sort_by("doc_id")
-            model = fit_chain(t.column(0).to_pylist(),
-                              list(zip(*(t.column(3 + k).to_pylist() for k in range(len(ys))))),
-                              t.column(1).to_pylist())
+            labels = list(zip(*(t.column(3 + k).to_pylist() for k in range(len(ys)))))
+            model = fit_chain((x.as_py() for x in t.column(0)), labels, t.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([json.dumps(model)])], ["model"])
 
     found = rows.repartition(1).mapInArrow(run, "model string").collect()    # one row
