@@ -31,6 +31,7 @@ from tessella.llm.common import worker_cache
 
 MAX_CONFIGURATIONS = 60_000   # tabled configurations, then the table starts anew
 MAX_WORDS = 200_000            # remembered words per worker, likewise
+OUTPUT_ROWS = 64               # rows of ids handed back at a time
 MAX_PIECES = 500_000           # remembered pieces between white space, likewise
 
 
@@ -337,8 +338,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         codec = _codec(path)
         for b in batches:
-            for lo in range(0, b.num_rows, 64):      # bounded output batches
-                part = b.slice(lo, 256)
+            for lo in range(0, b.num_rows, OUTPUT_ROWS):      # bounded output batches
+                part = b.slice(lo, OUTPUT_ROWS)
                 ids = [codec.encode(t) for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(i) for i in ids], pa.string()),

@@ -122,6 +122,10 @@ def test_tokens_equal_the_library(spark, docs, empty, texts):
         assert by_id[k].decoded_sha256 == h(tok.decode(ids, skip_special_tokens=False))
     assert bpe_automaton.encode_digests(empty, path).count() == 0
     assert bpe_automaton.encode_documents(docs, path).count() == docs.count()
+    many = spark.range(1000).selectExpr("id as doc_id", "concat('text ', id) as text").repartition(2)
+    out = bpe_automaton.encode_documents(many, path).collect()       # more rows than one output batch
+    assert sorted(r.doc_id for r in out) == list(range(1000))
+    assert all(r.ids == tok.encode(f"text {r.doc_id}", add_special_tokens=False).ids for r in out)
 
 
 def test_automaton_on_repeated_symbols():
