@@ -8,8 +8,10 @@ from probabilities as good as they will get, not from overfitted ones.
 
 Features are words (A-Z lower-cased, runs outside space and U+0009..U+000D)
 and their first ``PREFIXES`` bytes, as log2(1 + occurrences), chosen by the
-chi-square of their presence, plus the logarithm of the number of words.  The models are fitted in one
-task on a bounded sample of labelled documents; every document is scored.
+chi-square of their presence, plus the logarithm of the number of words.
+Presence is counted by Spark over a bounded sample of labelled documents;
+one task then fits the models on the sample's few hundred chosen features.
+Every document is scored.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import text_bytes, worker_cache
+from tessella.llm.common import text_bytes, worker_cache, written
 
 SAMPLE = 10_000     # labelled documents used for fitting at most: bounds the fitting task
 FEATURES = 512      # features kept
 PREFIXES = (4, 6)
+COUNTED = 100_000   # terms a counting task holds before it hands them on
 FOLDS = 3
 RIDGE = 1.0
 THRESHOLD = 0.5
@@ -61,22 +64,22 @@ def hits_of(text: bytes, index: dict, starts: set, prefixes=PREFIXES):
     return hits, len(words)
 
 
-def fit_linear(x, y, ridge: float = RIDGE, rounds: int = 25):
-    """Ridge logistic regression by Newton steps; the last column of ``x`` is
-    the unpenalised constant."""
+def fit_linear(x, y, rows, ridge: float = RIDGE, rounds: int = 25):
+    """Ridge logistic regression by Newton steps on the ``rows`` (0/1) of
+    ``x``; its last column is the unpenalised constant."""
     import numpy as np
 
     w = np.zeros(x.shape[1])
     keep = np.full(x.shape[1], ridge)
     keep[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (y - p) - keep * w
+        p = predict(x, w)
+        g = x.T @ (rows * (y - p)) - keep * w
         h = np.zeros((x.shape[1], x.shape[1]))
+        spread = rows * np.maximum(p * (1 - p), 1e-6)
         for lo in range(0, len(x), 1000):                # no second copy of x
             part = x[lo:lo + 1000]
-            q = p[lo:lo + 1000]
-            h += (part * np.maximum(q * (1 - q), 1e-6)[:, None]).T @ part
+            h += (part * spread[lo:lo + 1000, None]).T @ part
         h[np.diag_indices_from(h)] += keep
         step = np.linalg.solve(h, g)
         w = w + step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
@@ -91,63 +94,85 @@ def predict(x, w):
     return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
 
-def fit_chain(texts, labels, folds, n_features: int = FEATURES, n_folds: int = FOLDS) -> dict:
-    """Model of the whole chain.  ``labels``: documents x categories (0/1);
-    ``folds``: fold number of each document."""
+def fit_chain(hits, lengths, labels, folds, features: list[str], n_folds: int = FOLDS) -> dict:
+    """Model of the whole chain.  ``hits``: (feature numbers, occurrences) of
+    each document; ``labels``: documents x categories (0/1); ``folds``: fold
+    number of each document."""
     import numpy as np
 
     labels = np.asarray(labels, float)
     n, k = labels.shape
-    sets, counts, lengths = [], [], []
-    seen: dict[bytes, int] = {}
-    for t in texts:
-        f, length = features_of(t)
-        # shared ids instead of the words: bounded memory per document
-        sets.append(np.fromiter((seen.setdefault(w, len(seen)) for w in f), np.int32, len(f)))
-        counts.append(np.fromiter(f.values(), np.int32, len(f)))
-        lengths.append(length)
-    every = np.concatenate([*sets, np.zeros(0, np.int32)])
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
-    total = np.bincount(every, minlength=len(seen)).astype(float)
-    best = np.zeros(len(seen))
-    for c in range(k):
-        pos = labels[:, c].sum()
-        if pos in (0, n):
-            continue
-        a = np.bincount(every, weights=labels[row, c], minlength=len(seen))
-        expect = total * pos / n
-        chi = (a - expect) ** 2 / np.maximum(expect * (1 - pos / n) * (1 - total / (n + 1)), 1e-9)
-        best = np.maximum(best, np.where(total >= 3, chi, 0))
-    names = np.array([*seen, b""], dtype=object)[:-1]
-    # ties in order of the bytes: the same documents always give the same model
-    order = sorted(np.flatnonzero(best > 0), key=lambda i: (-best[i], names[i]))[:n_features]
-    order = sorted(order, key=lambda i: names[i])
-    column = np.full(len(seen), -1)
-    column[order] = np.arange(len(order))
-    x = np.zeros((n, len(order) + 2))
-    at = column[every]
-    often = np.concatenate([*counts, np.zeros(0, np.int32)])
-    x[row[at >= 0], at[at >= 0]] = np.log2(1.0 + often[at >= 0])
-    features = [names[i].decode("latin-1") for i in order]
-    del sets, counts, seen, every, row, often, names, at, total, best, column
-    x[:, -2] = np.log1p(lengths)
+    f = len(features)
+    # features, length, a column for each earlier category's probability, constant;
+    # a category's column is zero, so without weight, until it has been predicted
+    x = np.zeros((n, f + k + 1))
+    for row, (at, often) in enumerate(hits):
+        x[row, at] = np.log2(1.0 + np.asarray(often))
+    x[:, f] = np.log1p(lengths)
     x[:, -1] = 1
-    weights, thresholds = [], []
+    weights, accuracy = [], []
     folds = np.asarray(folds)
-    chained = x
-    del x
     for c in range(k):
         y = labels[:, c]
-        weights.append(fit_linear(chained, y).tolist())
+        w = fit_linear(x, y, np.ones(n))
+        weights.append([*w[:f + 1 + c].tolist(), float(w[-1])])
         out = np.zeros(n)
-        for f in range(n_folds):
-            held = folds == f
+        for held in (folds == i for i in range(n_folds)):
             if held.any():
-                out[held] = predict(chained[held], fit_linear(chained[~held], y[~held]))
-        thresholds.append(float(np.mean((out >= THRESHOLD) == (y > 0))))
-        chained = np.column_stack([chained[:, :-1], out, chained[:, -1]])
-    return {"features": features, "weights": weights,
-            "held_out_accuracy": thresholds}
+                out[held] = predict(x, fit_linear(x, y, (~held).astype(float)))[held]
+        accuracy.append(float(np.mean((out >= THRESHOLD) == (y > 0))))
+        if c + 1 < k:
+            x[:, f + 1 + c] = out
+    return {"features": features, "weights": weights, "held_out_accuracy": accuracy}
+
+
+def chosen_features(rows: DataFrame, ys: list[str], n_features: int = FEATURES) -> list[str]:
+    """The ``n_features`` terms of at least 3 documents whose presence tells
+    most about a label, by chi-square, in order of their bytes.  ``rows``:
+    ``(t, y0, y1, ...)``."""
+    def count(batches):
+        found: dict[bytes, list[int]] = {}
+
+        def flush():
+            cols = list(zip(*found.values()))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(found.keys(), pa.binary()), *(pa.array(c, pa.int64()) for c in cols)], ["w", "n", *ys])
+
+        for b in batches:
+            for t, *y in zip(*(c.to_pylist() for c in b.columns)):
+                for w in features_of(t)[0]:
+                    got = found.get(w)
+                    if got is None:
+                        got = found[w] = [0] * (1 + len(ys))
+                    got[0] += 1
+                    for i, v in enumerate(y, 1):
+                        got[i] += v
+                if len(found) >= COUNTED:
+                    yield flush()
+                    found = {}
+        if found:
+            yield flush()
+
+    terms = (rows.select("t", *[F.col(y).cast("long") for y in ys])
+             .mapInArrow(count, "w binary, n long, " + ", ".join(f"{y} long" for y in ys))
+             .groupBy("w").agg(*[F.sum(c).alias(c) for c in ("n", *ys)]).where("n >= 3"))
+    every = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
+    n, chi = every["n"], [F.lit(0.0)]
+    for y in ys:
+        pos = every[y] or 0
+        if 0 < pos < n:
+            expect = F.col("n") * F.lit(pos / n)
+            spread = expect * F.lit(1 - pos / n) * (1 - F.col("n") / F.lit(n + 1))
+            chi.append((F.col(y) - expect) ** 2 / F.greatest(spread, F.lit(1e-9)))
+    best = (terms.select("w", F.greatest(*chi, F.lit(0.0)).alias("chi")).where("chi > 0")
+            .orderBy(F.desc("chi"), "w").limit(n_features).collect())     # bounded: the model's own size
+    return [w.decode("latin-1") for w in sorted(bytes(r["w"]) for r in best)]
+
+
+def index_of(features: list[str], prefixes=PREFIXES):
+    """What ``hits_of`` needs to find the features."""
+    index = {f.encode("latin-1"): i for i, f in enumerate(features)}
+    return index, {f[1:1 + min(prefixes)] for f in index if f[:1] == b" "}
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, chain=CHAIN,
@@ -162,30 +187,45 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, chain=CHAIN,
     # ids first, texts after: ids without a document must not use up the sample
     there = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = (texts.join(F.broadcast(chosen), "doc_id")     # at most ``sample`` small rows
-            .groupBy("doc_id").agg(F.min("text").alias("text"), *[F.max(y).alias(y) for y in ys])
-            .select(text_bytes("text").alias("t"), F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(FOLDS)).alias("fold"),
-                    "doc_id", *ys))
+    rows = written(spark, texts.join(F.broadcast(chosen), "doc_id")     # at most ``sample`` small rows
+                   .groupBy("doc_id").agg(F.min("text").alias("text"), *[F.max(y).alias(y) for y in ys])
+                   .select(text_bytes("text").alias("t"),
+                           F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"),
+                           "doc_id", *ys), "toxicity-sample")
+    features = chosen_features(rows.select("t", *ys), ys)
+
+    def find(batches):
+        index, starts = index_of(features)
+        for b in batches:
+            hits = [hits_of(t, index, starts) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([list(h) for h, _ in hits], pa.list_(pa.int32())),
+                 pa.array([list(h.values()) for h, _ in hits], pa.list_(pa.int32())),
+                 pa.array([n for _, n in hits], pa.int64()), *b.columns[1:]],
+                ["at", "often", "n", "fold", "doc_id", *ys])
 
     def run(batches):
         worker_cache("toxicity", dict)        # frees what an earlier job kept
         got = [b for b in batches if b.num_rows]
         if got:
             t = pa.Table.from_batches(got).sort_by("doc_id")
-            labels = list(zip(*(t.column(3 + k).to_pylist() for k in range(len(ys)))))
-            model = fit_chain((x.as_py() for x in t.column(0)), labels, t.column(1).to_pylist())
+            model = fit_chain(zip(t.column(0).to_pylist(), t.column(1).to_pylist()), t.column(2).to_numpy(),
+                              list(zip(*(t.column(5 + k).to_pylist() for k in range(len(ys))))),
+                              t.column(3).to_numpy(), features)
             yield pa.RecordBatch.from_arrays([pa.array([json.dumps(model)])], ["model"])
 
-    found = rows.repartition(1).mapInArrow(run, "model string").collect()    # one row
-    return json.loads(found[0]["model"]) if found else None
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = rows.mapInArrow(find, f"at array<int>, often array<int>, n long, fold int, doc_id {kind}, "
+                            + ", ".join(f"{y} int" for y in ys))
+    model = found.repartition(1).mapInArrow(run, "model string").collect()    # one row
+    return json.loads(model[0]["model"]) if model else None
 
 
 def scorer(model: dict | None, n_categories: int):
     """Function from a text's bytes to its probabilities, in chain order."""
     import math
 
-    index = {f.encode("latin-1"): i for i, f in enumerate(model["features"])} if model else {}
-    starts = {f[1:1 + min(PREFIXES)] for f in index if f[:1] == b" "}
+    index, starts = index_of(model["features"] if model else [])
     n = len(index)
 
     def chain_of(text: bytes) -> list[float]:
