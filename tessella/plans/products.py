@@ -19,7 +19,7 @@ from tessella.functions import idiv
 from tessella.functions.arrays import local_product
 
 from tessella.plans.guards import MAX_BROADCAST_ROWS, rows_at_most
-from tessella.plans.skew import JOIN_ROWS_PER_TASK, LIST_ROWS, split_join
+from tessella.plans.skew import DEFAULT_ROWS_PER_TASK, JOIN_ROWS_PER_TASK, LIST_ROWS, split_join
 
 _SKEW_DEFAULT = JOIN_ROWS_PER_TASK
 
@@ -43,7 +43,7 @@ def _cells(pairs: DataFrame, drop_zeros: bool) -> DataFrame:
 
 # --------------------------------------------------------------------- X1
 def mm_outer(left: DataFrame, right: DataFrame, *, partitions: int | None = None,
-             drop_zeros: bool = False, rows_per_task: int | None = _SKEW_DEFAULT) -> DataFrame:
+             drop_zeros: bool = False, rows_per_task: int | None = DEFAULT_ROWS_PER_TASK) -> DataFrame:
     """Outer-product strategy: join on the inner index, multiply, sum by cell.
 
     Plan: Exchange(c) on both sides -> equi-join (sort-merge; AQE turns it
@@ -53,9 +53,10 @@ def mm_outer(left: DataFrame, right: DataFrame, *, partitions: int | None = None
     not shuffled again.  ``partitions`` fixes the
     join parallelism explicitly (both sides hash-partitioned on ``c`` with
     that count, which the join then reuses); such pre-partitioned sides are
-    not re-split by AQE, so pair it with ``rows_per_task`` when keys are hot.  A hot inner index is split by
-    AQE's skew-join, or over an explicit salt grid with ``rows_per_task``
-    (``plans.skew``).  Cancelled sums are kept as 0.0 unless ``drop_zeros``.
+    not re-split by AQE.  The work of an inner index is the product of its
+    rows on both sides, so both are counted first and a hot index is spread
+    over a salt grid (``plans.skew``); ``rows_per_task=None`` leaves it to
+    AQE.  Cancelled sums are kept as 0.0 unless ``drop_zeros``.
     """
     l, r = _lr(left, right)
     if partitions:
@@ -68,7 +69,7 @@ def mm_outer(left: DataFrame, right: DataFrame, *, partitions: int | None = None
 # --------------------------------------------------------------------- X3
 def mm_inner_broadcast(left: DataFrame, right: DataFrame, *, drop_zeros: bool = True,
                        max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-                       rows_per_task: int | None = _SKEW_DEFAULT) -> DataFrame:
+                       rows_per_task: int | None = DEFAULT_ROWS_PER_TASK) -> DataFrame:
     """Broadcast strategy: the right operand is shipped whole to every task.
 
     Only after a count proves ``right`` has at most ``max_broadcast_rows``
@@ -324,6 +325,12 @@ def _width(df: DataFrame) -> int:
     return 0 if mx is None else int(mx) + 1
 
 
+def _in_width(right: DataFrame, n: int) -> DataFrame:
+    """Right entries of a declared width: columns outside ``[0, n)`` are not
+    part of the operand, whichever plan its width leads to."""
+    return right.where((F.col("j") >= 0) & (F.col("j") < F.lit(n)))
+
+
 def mm_row_dense(left: DataFrame, right: DataFrame, n: int | None = None, *,
                  max_dense_cells: int = MAX_DENSE_CELLS) -> DataFrame:
     """Sparse rows times a broadcast dense matrix.
@@ -340,6 +347,7 @@ def mm_row_dense(left: DataFrame, right: DataFrame, n: int | None = None, *,
     n = _width(right) if n is None else int(n)
     if n == 0:
         return left.sparkSession.createDataFrame([], "i long, j long, v double")
+    right = _in_width(right, n)
     if n > MAX_DENSE_WIDTH:
         # rows this wide are not dense material: same cells, sparse plan
         return mm_outer(left, right, drop_zeros=True)
@@ -401,6 +409,7 @@ def mm_column_groups(left: DataFrame, right: DataFrame, h: int, n: int | None =
 
     n = _width(right) if n is None else int(n)
     width = max(-(-n // h), 1)
+    right = _in_width(right, n)
     if width > MAX_DENSE_WIDTH:
         # groups this wide are not dense material: same cells, sparse plan
         out = mm_outer(left, right, drop_zeros=True)
@@ -422,14 +431,17 @@ def column_group_products(left: DataFrame, right: DataFrame, h: int, n: int | No
                           max_dense_cells: int = MAX_DENSE_CELLS):
     """Yield ``(g, DataFrame (i, j, v))`` per column group, lazily."""
     from tessella.operators.entries import column_groups
+    from tessella.operators.layout import MAX_DENSE_WIDTH
 
     n = _width(right) if n is None else int(n)
     width = max(-(-n // h), 1)
-    fits = _dense_fits(right, width, max_dense_cells)
+    right = _in_width(right, n)
+    dense = width <= MAX_DENSE_WIDTH          # else the sparse plan, as in mm_column_groups
+    fits = dense and _dense_fits(right, width, max_dense_cells)
     grouped = column_groups(right, h)
     for g in range(h):
         sub = grouped.where(F.col("g") == g).select("i", F.col("c").alias("j"), "v")
-        prod = _row_dense(left, sub, width, fits)
+        prod = _row_dense(left, sub, width, fits) if dense else mm_outer(left, sub, drop_zeros=True)
         yield g, prod.select("i", (F.col("j") * F.lit(h) + F.lit(g)).cast("long").alias("j"), "v")
 
 

@@ -2,11 +2,11 @@
 
 A single join key (a hub vertex, a popular order) may hold a large share of
 all rows.  Shuffling by that key alone would hand the whole group to one
-task.  By default joins leave this to AQE's skew join, which splits an
-oversized shuffle partition at run time.  With an explicit threshold,
-``split_join`` instead finds keys with more than ``rows_per_task`` rows on
-either side (an aggregate with map-side combine, so the shuffle is one row
-per key and map task), and spreads each such key over an ``sa x sb`` grid:
+task, whose work is the *product* of the key's rows on both sides: AQE's skew
+join looks at bytes and does not see it.  ``split_join`` finds keys with more
+than ``rows_per_task`` rows on a side or more than ``PAIRS_PER_TASK`` pairs
+(one count per key over both sides, combined map-side, so the shuffle is one
+row per key and map task), and spreads each over an ``sa x sb`` grid:
 
 * left rows of a hot key get a salt ``a`` in ``[0, sa)`` from a hash of the
   row and are copied to every ``b`` in ``[0, sb)``;
@@ -14,9 +14,9 @@ per key and map task), and spreads each such key over an ``sa x sb`` grid:
 
 Joining on ``(key, a, b)`` then pairs every left row with every right row of
 the key exactly once, in ``sa * sb`` tasks of bounded size.  Cold keys keep
-``a = b = 0`` and are joined as usual.  The hot-key table has at most
-``rows / rows_per_task`` entries; it is broadcast only after that size is
-proven, and ``rows_per_task`` is raised until it is.
+``a = b = 0`` and are joined as usual.  The hot-key table is broadcast only
+if it has been counted at no more than ``MAX_HOT_KEYS`` rows; a larger one is
+joined by a shuffle, with the caller's thresholds as they are.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ from tessella.plans.guards import MAX_HOT_KEYS
 # Rows of one key that a single task is allowed to take before the key is
 # split.  Large enough that test-scale data never splits unless asked to.
 DEFAULT_ROWS_PER_TASK = 1_000_000
-# Default for joins: ``None`` leaves hot join keys to Spark's adaptive
-# skew-join, which splits an oversized shuffle partition of either side at
-# run time (both sides if both are hot) at no extra pass over the inputs.
-# Pass a row count to salt explicitly instead (``hot_grid`` detection).
+# Pairs of one key that a single task is allowed to make.
+PAIRS_PER_TASK = 50_000_000
+# ``None`` makes no count and leaves hot keys to Spark's adaptive skew join,
+# which splits partitions by bytes: enough where one side has one row a key.
 JOIN_ROWS_PER_TASK: int | None = None
 # Cells one collected tile may hold when a strategy sizes its own tiles
 # (``mm_block_fixed_k``).  Grouped collections cannot be split by AQE, so
@@ -56,33 +56,41 @@ def hot_keys(df: DataFrame, on: str | Sequence[str], rows_per_task: int,
 
 
 def hot_grid(left: DataFrame, right: DataFrame, on: str | Sequence[str],
-             rows_per_task: int = DEFAULT_ROWS_PER_TASK) -> DataFrame | None:
-    """``(key.., sa, sb)`` for keys hot on either side, or ``None`` if none.
-
-    The result is proven to hold at most ``MAX_HOT_KEYS`` rows (the threshold
-    is raised until it does) and is returned broadcast-hinted.
-    """
+             rows_per_task: int = DEFAULT_ROWS_PER_TASK,
+             pairs_per_task: int | None = None) -> DataFrame | None:
+    """``(key.., _sa, _sb)`` for keys hot on either side or in their pairs,
+    or ``None`` if there are none; broadcast-hinted if at most
+    ``MAX_HOT_KEYS`` rows."""
     from tessella.session import checkpoint_dir
 
     checkpoint_dir(left.sparkSession)
     keys = _keys(on)
     rows = max(int(rows_per_task), 1)
-    while True:
-        lh = hot_keys(left, keys, rows, "_sa")
-        rh = hot_keys(right, keys, rows, "_sb")
-        # written once (at most rows / threshold keys), so the main plan
-        # reads this small table instead of aggregating both inputs again
-        grid = (lh.join(rh, keys, "full")
-                  .select(*keys, F.coalesce("_sa", F.lit(1)).alias("_sa"),
-                          F.coalesce("_sb", F.lit(1)).alias("_sb"))
-                  .checkpoint(eager=True))
-        n = grid.count()
-        if n <= MAX_HOT_KEYS:
-            break
-        rows *= 4
+    pairs = max(int(PAIRS_PER_TASK if pairs_per_task is None else pairs_per_task), 1)
+    sides = (left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
+             .unionAll(right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r"))))
+    counts = sides.groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    a = F.greatest(F.ceil(F.col("_l") / rows), F.lit(1))
+    b = F.greatest(F.ceil(F.col("_r") / rows), F.lit(1))
+    # a grid cell of too many pairs is cut alike on both sides; a side with
+    # too few rows for its share leaves the rest of the cut to the other
+    more = F.greatest(F.col("_l").cast("double") * F.col("_r") / (F.col("_sa") * F.col("_sb") * pairs), F.lit(1.0))
+    cut_b = F.least(F.ceil(F.col("_sb") * F.sqrt("_more")), F.greatest("_r", F.lit(1)))
+    cut_a = F.least(F.ceil(F.col("_sa") * F.col("_more") * F.col("_sb") / F.col("_tb")), F.greatest("_l", F.lit(1)))
+    last_b = F.greatest("_tb", F.least(F.ceil(F.col("_sb") * F.col("_more") * F.col("_sa") / F.col("_ta")),
+                                       F.greatest("_r", F.lit(1))))
+    # written once (hot keys only), so the main plan reads this small table
+    # instead of counting both inputs again
+    grid = (counts.where((F.col("_l") > rows) | (F.col("_r") > rows)
+                         | (F.col("_l").cast("double") * F.col("_r") > pairs))
+            .withColumn("_sa", a).withColumn("_sb", b).withColumn("_more", more)
+            .withColumn("_tb", cut_b).withColumn("_ta", F.greatest("_sa", cut_a))
+            .select(*keys, F.col("_ta").cast("int").alias("_sa"), last_b.cast("int").alias("_sb"))
+            .checkpoint(eager=True))
+    n = grid.count()
     if n == 0:
         return None
-    return F.broadcast(grid)
+    return F.broadcast(grid) if n <= MAX_HOT_KEYS else grid
 
 
 def _row_hash(cols: Sequence[str | Column]) -> Column:
@@ -97,9 +105,10 @@ def split_join(left: DataFrame, right: DataFrame, on: str | Sequence[str],
 
     ``left_spread`` / ``right_spread`` name columns that vary inside a key
     (the other matrix index), hashed to place rows in the grid.  With
-    ``rows_per_task=None`` (default) there is no detection pass and AQE's
-    skew-join splits hot partitions; a row count salts explicitly, and a
-    precomputed ``grid`` (from ``hot_grid``) shares one detection.
+    ``rows_per_task=None`` (default) there is no counting pass and AQE's
+    skew-join splits hot partitions; a row count salts keys above it or above
+    ``PAIRS_PER_TASK``, and a precomputed ``grid`` (from ``hot_grid``) shares
+    one count.
     """
     keys = _keys(on)
     if grid is None and rows_per_task is not None:

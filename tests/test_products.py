@@ -252,3 +252,17 @@ def test_aqe_splits_hot_inner_index(spark):
     # (id % 5000, id + 1, 2) meets right row id + 1 -> column (id + 1) % 7
     assert got[(7, 0)] == 1.0 + sum(2.0 for x in range(100000) if x % 5000 == 7 and (x + 1) % 7 == 0)
     assert "skew=true" in plan
+
+
+@pytest.mark.parametrize("n", [10, 16385])
+def test_declared_width_holds_in_every_plan(spark, tmp_path, n):
+    a = entries(spark, [(0, 0, 1), (1, 0, 2)])
+    b = entries(spark, [(0, 3, 1), (0, n - 1, 5), (0, n + 1, 7), (0, n + 50, 8), (0, -1, 9)])
+    want = {(0, 3): 1, (0, n - 1): 5, (1, 3): 2, (1, n - 1): 10}
+    assert cells(P.mm_row_dense(a, b, n)) == want
+    for h in (1, 4):
+        assert cells(P.mm_column_groups(a, b, h, n)) == want
+        got = {}
+        for _, part in P.column_group_products(a, b, h, n):
+            got |= cells(part)
+        assert got == want

@@ -39,16 +39,42 @@ def test_split_join_equals_plain_join(spark):
         assert _multiset(got, ["key", "a", "b"]) == plain
 
 
-def test_threshold_raised_until_hot_table_fits(spark, monkeypatch):
+def test_threshold_kept_when_hot_table_is_large(spark, monkeypatch):
     l, r = _sides(spark)
     monkeypatch.setattr(skew, "MAX_HOT_KEYS", 1)
-    grid = skew.hot_grid(l, r, "key", 1)        # many hot keys at 1 row: raised to fit
-    assert grid.count() <= 1
+    grid = skew.hot_grid(l, r, "key", 1)        # many hot keys at 1 row: all kept, joined by a shuffle
+    assert grid.count() == 2
+    assert "ResolvedHint" not in grid._jdf.queryExecution().analyzed().toString()
     plain = _multiset(l.join(r, "key"), ["key", "a", "b"])
     got = skew.split_join(l, r, "key", ["a"], ["b"], rows_per_task=1)
     assert _multiset(got, ["key", "a", "b"]) == plain
 
 
+def test_pairs_split_though_rows_are_few(spark):
+    l, r = _sides(spark)                        # key 0: 30 x 25 pairs, key 1: 12 x 1
+    grid = {x["key"]: (x["_sa"], x["_sb"]) for x in skew.hot_grid(l, r, "key", 1000, pairs_per_task=50).collect()}
+    assert set(grid) == {0}
+    a, b = grid[0]
+    assert a > 1 and b > 1 and 30 * 25 / (a * b) <= 50
+    one = {x["key"]: (x["_sa"], x["_sb"]) for x in skew.hot_grid(l, r, "key", 1000, pairs_per_task=4).collect()}
+    assert one[1] == (3, 1)                     # the side with one row cannot be cut
+
+
+def test_hub_is_split_by_default(spark):
+    """20,000 x 20,000 rows on one index, thresholds as they come: the pairs
+    of every task of the join stay under the bound, none holds the hub."""
+    from pyspark.sql import functions as F
+
+    n = 20_000
+    l = spark.range(n).select(F.lit(0).alias("c"), F.col("id").alias("i"))
+    r = spark.range(n).select(F.lit(0).alias("c"), F.col("id").alias("k"))
+    (g,) = skew.hot_grid(l, r, "c").collect()
+    assert n * n / (g["_sa"] * g["_sb"]) <= skew.PAIRS_PER_TASK
+    a = l.groupBy(F.pmod(F.xxhash64("i"), F.lit(g["_sa"]))).count().agg(F.max("count")).first()[0]
+    b = r.groupBy(F.pmod(F.xxhash64("k"), F.lit(g["_sb"]))).count().agg(F.max("count")).first()[0]
+    assert a * b <= 1.1 * skew.PAIRS_PER_TASK
+
+
 def test_composite_keys(spark):
     l = spark.createDataFrame([(0, s, i) for s in range(2) for i in range(9)], "k long, s long, a long")
     r = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (0, 1, 3)], "k long, s long, b long")
