@@ -99,6 +99,10 @@ def q_mm_outer(spark, d):
     return P.mm_outer(m_so(spark, d), n_on(spark, d))
 
 
+def q_mm_outer_partitions(spark, d):
+    return P.mm_outer(m_so(spark, d), n_on(spark, d), partitions=JOIN_PARTITIONS)
+
+
 def q_mm_outer_gram(spark, d):
     m = m_so(spark, d)
     return P.mm_outer(m, EN.transpose(m))
@@ -108,6 +112,7 @@ def q_mm_outer_gram(spark, d):
 # "hot", so the splitting code itself is checked against the oracle.
 SALT_ROWS = 4          # an order with more than 4 supplier entries is split
 SALT_EDGE_ROWS = 20    # a part with more than 20 line items is split
+JOIN_PARTITIONS = 24   # of both sides of a join whose parallelism is given
 NARROW = 64            # list / segment width in ids
 
 
@@ -182,12 +187,29 @@ def q_mm_column_groups(spark, d):
     return P.mm_column_groups(m_so(spark, d), n_on(spark, d), GROUPS)
 
 
-def q_msbfs_hop(spark, d):
+def msbfs(spark, d, strategy, **kw):
     edges = TB.part_supplier_edges(spark, d)
     ids = GR.dense_ids(GR.vertex_set(edges))
     rel = GR.relabel_edges(edges, ids)
     src = GR.relabel_sources(GR.sample_sources(ids.select("id"), BFS_SOURCES, BFS_SEED), ids)
-    return GR.msbfs_hop(rel, src)
+    return GR.msbfs_hop(rel, src, strategy=strategy, **kw)
+
+
+def q_msbfs_hop(spark, d):
+    return msbfs(spark, d, "outer")
+
+
+def q_msbfs_hop_broadcast(spark, d):
+    return msbfs(spark, d, "inner_broadcast")
+
+
+def q_msbfs_hop_block(spark, d):
+    mb, kb, nb = BLOCK
+    return msbfs(spark, d, "block", mb=mb, kb=kb, nb=nb)
+
+
+def q_msbfs_hop_row_dense(spark, d):
+    return msbfs(spark, d, "row_dense")
 
 
 # ------------------------------------------------------------ sources / sinks
@@ -425,6 +447,10 @@ QUERIES: dict[str, QueryFn] = {
     "mm_matvec": q_mm_matvec,
     "mm_column_groups": q_mm_column_groups,
     "msbfs_hop": q_msbfs_hop,
+    "msbfs_hop_broadcast": q_msbfs_hop_broadcast,
+    "msbfs_hop_block": q_msbfs_hop_block,
+    "msbfs_hop_row_dense": q_msbfs_hop_row_dense,
+    "mm_outer_partitions": q_mm_outer_partitions,
     # sources and sinks
     "scan_coo": q_scan_coo,
     "scan_coo_header": q_scan_coo_header,
@@ -565,3 +591,6 @@ ORACLE: dict[str, str] = {
     "random_sparse_thin": _random_sql(0.004),
     "random_sparse_full": _random_sql(1.0),
 }
+# the same cells by other strategies
+ORACLE["mm_outer_partitions"] = ORACLE["mm_outer"]
+ORACLE.update({f"msbfs_hop_{s}": ORACLE["msbfs_hop"] for s in ("broadcast", "block", "row_dense")})
