@@ -3,17 +3,21 @@
 Every vector is described by the ``prefix`` nearest of a set of reference
 vectors (pivots), in order of nearness.  Inverted lists, one for each pivot
 (and label), hold the vectors that have the pivot in their prefix.  Two
-vectors that share at least ``shared`` pivots are candidates; a candidate is
-verified by its cosine in double precision.
-
-* Pivots: a sample of the vectors chosen by a hash of their id, about
-  ``PIVOTS_PER_ROOT * sqrt(n)`` and at most ``MAX_PIVOTS``; lists then grow
-  with the square root of the table.
+vectors that share a pivot are candidates; a candidate is verified by its
+cosine in double precision.
+
+* Pivots: about ``PIVOTS_PER_ROOT * sqrt(n)`` and at most ``MAX_PIVOTS``, so
+  lists grow with the square root of the table.  They are spread over space:
+  from a sample of ``OVERSAMPLE`` times as many vectors, chosen by a hash of
+  their id, the one farthest from all pivots is taken next, until the rest is
+  within ``SPREAD`` link angles of one.  A dense group so holds few pivots,
+  and all its members have those in their prefix.
 * Copies (same label, same vector) are one node and never form pairs.
 * A list of more than ``LIST_BLOCK`` vectors is cut into blocks, and every
   pair of blocks is a task of its own, so no hot list meets in one task.
-* A pair is verified in the list of its smallest shared pivot only.  Tasks
-  return counts and a spanning forest of the links they find, not the links.
+* A pair counts in one list only: that of the nearest pivot of both, or else
+  of the smallest they share.  Tasks return counts and a spanning forest of
+  the links they find, not the links.
 """
 
 from __future__ import annotations
@@ -30,8 +34,9 @@ from tessella.llm.components import connected_components, union_find
 COSINE = 0.98
 PIVOTS_PER_ROOT = 2.0
 MAX_PIVOTS = 8192
+OVERSAMPLE = 2
+SPREAD = 3
 PREFIX = 8
-SHARED = 3
 LIST_BLOCK = 2048
 
 
@@ -65,6 +70,24 @@ def matrix(column):
     return flat.reshape(len(column), -1)
 
 
+def spread(sample, wanted: int, cosine: float):
+    """At most ``wanted`` rows of ``sample`` (unit length), farthest first,
+    until every row is within ``SPREAD`` times the angle of ``cosine`` of one."""
+    import numpy as np
+
+    x = sample.astype(np.float32)
+    angle = SPREAD * math.acos(max(-1.0, min(1.0, cosine)))
+    enough = math.cos(min(angle, math.pi / 2))
+    taken, nearest = [0], x @ x[0]
+    while len(taken) < wanted:
+        i = int(nearest.argmin())
+        if nearest[i] >= enough:
+            break
+        taken.append(i)
+        np.maximum(nearest, x @ x[i], out=nearest)
+    return sample[taken]
+
+
 def prefixes(nodes: DataFrame, pivots, prefix: int) -> DataFrame:
     """Adds ``near``: numbers of the nearest pivots, nearest first (ties: the
     smaller number)."""
@@ -87,7 +110,7 @@ def prefixes(nodes: DataFrame, pivots, prefix: int) -> DataFrame:
         run, f"node long, label {kind}, v array<double>, copies long, near array<int>")
 
 
-def links(spark: SparkSession, described: DataFrame, cosine: float, shared: int) -> DataFrame:
+def links(spark: SparkSession, described: DataFrame, cosine: float) -> DataFrame:
     """``(a, b, n)``: for each node found in a task the root of its set there
     and the number of vectors it links to there (copies counted)."""
     listed = described.withColumn("pivot", F.explode("near"))
@@ -121,12 +144,13 @@ def links(spark: SparkSession, described: DataFrame, cosine: float, shared: int)
             i, j = a[i], right[j]
             for s in range(0, len(i), 100_000):
                 p, q = i[s:s + 100_000], j[s:s + 100_000]
-                same = near[p][:, :, None] == near[q][:, None, :]
-                both = same.any(2)
-                enough = both.sum(1) >= shared
-                # the list of the smallest shared pivot owns the pair
-                enough &= np.where(both, near[p], np.iinfo(np.int32).max).min(1) == pivot
-                p, q = p[enough], q[enough]
+                # the nearest pivot of both or the smallest shared one owns the pair
+                owned = near[p, 0] == pivot
+                apart = np.flatnonzero(near[p, 0] != near[q, 0])
+                owner = near[p[apart]]
+                both = (owner[:, :, None] == near[q[apart]][:, None, :]).any(2)
+                owned[apart] = np.where(both, owner, np.iinfo(np.int32).max).min(1) == pivot
+                p, q = p[owned], q[owned]
                 cos = (v[p] * v[q]).sum(1)
                 p, q = p[cos >= cosine], q[cos >= cosine]
                 np.add.at(count, p, copies[q])
@@ -140,7 +164,7 @@ def links(spark: SparkSession, described: DataFrame, cosine: float, shared: int)
 
 
 def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE,
-                    prefix: int = PREFIX, shared: int = SHARED) -> DataFrame:
+                    prefix: int = PREFIX) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` per row of ``vectors``.
 
     Rows link within a label at cosine >= ``cosine``.  Rows whose label or
@@ -158,10 +182,11 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = COS
     for d, n in sorted(sizes):          # one entry per vector length
         same = nodes.where(F.size("v") == d)
         wanted = int(min(max(math.ceil(PIVOTS_PER_ROOT * math.sqrt(n)), prefix), MAX_PIVOTS, n))
-        # at most MAX_PIVOTS vectors
-        chosen = [r["v"] for r in same.orderBy(F.xxhash64(F.lit(11), "node"), "node").limit(wanted).collect()]
-        described = prefixes(same, unit(np.array(chosen)), min(prefix, wanted))
-        part = links(spark, described, cosine, min(shared, wanted))
+        # at most OVERSAMPLE * MAX_PIVOTS vectors
+        sample = [r["v"] for r in same.orderBy(F.xxhash64(F.lit(11), "node"), "node").limit(OVERSAMPLE * wanted).collect()]
+        pivots = spread(unit(np.array(sample)), wanted, cosine)
+        described = prefixes(same, pivots, min(prefix, len(pivots)))
+        part = links(spark, described, cosine)
         found = part if found is None else found.unionAll(part)
     as_node = nodes.select(F.col("label").alias("l2"), "v", "node")
     v = F.transform("embedding", lambda x: x.cast("double"))

@@ -231,6 +231,20 @@ def test_pivot_index_against_all_pairs(spark):
     assert pivot_index.near_duplicates(spark, df.where("false")).count() == 0
 
 
+def test_pivot_index_in_a_dense_group(spark):
+    r = np.random.default_rng(5)
+    group = r.normal(size=64) + 0.1 * r.normal(size=(1000, 64))
+    vec = pivot_index.unit(np.concatenate([group, r.normal(size=(2000, 64))]))
+    vec[2500:] = pivot_index.unit(vec[2000:2500] + 0.02 * r.normal(size=(500, 64)))
+    df = spark.createDataFrame([(k, [float(x) for x in v], 0) for k, v in enumerate(vec)],
+                               "vec_id long, embedding array<double>, label int")
+    got = {g.vec_id: g.n_links for g in pivot_index.near_duplicates(spark, df).collect()}
+    true = (vec @ vec.T >= 0.98).sum(1) - 1
+    assert true[:1000].sum() > 100_000 and true[1000:].sum() > 900
+    for part in (range(1000), range(1000, 3000)):
+        assert 0.9 * sum(true[k] for k in part) <= sum(got[k] for k in part) <= sum(true[k] for k in part)
+
+
 def test_mixing_targets(spark, docs, empty):
     got = mixing.mix(spark, docs, block=4).collect()
     assert len(got) == docs.count()
