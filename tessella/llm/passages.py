@@ -2,17 +2,20 @@
 
 1. *Seeds.* Of every window of ``WINDOW`` consecutive ``K``-word shingles the
    one with the smallest hash is kept, so any ``WINDOW + K - 1`` equal words
-   share a seed.
+   share a seed.  Of a run of equal ones the first and the last are kept.
 2. *Matches.* Occurrences of a seed are ordered by document; each is joined
    to the first and to the previous document that has it, never to all of
    them: whatever its number of occurrences, a seed makes at most two
    matches for each, and every occurrence but the first meets an earlier one.
+   One match is enough for a pair of documents.  Pairs of few matches are
+   first told by the words around them: a banded alignment must reach
+   ``MIN_WORDS`` words at ``IDENTITY`` before whole texts are moved.
 3. *Chains.* The matches of a pair of documents are chained: the best chain
    ending in a match is the best over all matches before it in both texts,
    less a cost for the words skipped, found by prefix maxima in a Fenwick
    tree.
 4. *Alignment.* Chains are aligned word by word (between seeds by edit
-   distance, at the ends as far as the words go on agreeing); parts of at
+   distance, at the ends until too few words agree); parts of at
    least ``MIN_WORDS`` words with at least ``IDENTITY`` of the aligned words
    equal are repeated passages.
 
@@ -23,17 +26,21 @@ others are its copies.
 
 from __future__ import annotations
 
+import zlib
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import text_bytes, worker_cache, written
 
-K, WINDOW = 5, 16
+K, WINDOW = 5, 8
 MIN_WORDS = 50
 IDENTITY = 0.8
 SKIP_COST = 0.05        # of a chain, for each word skipped in either text
 MAX_GAP = 64            # words between two seeds of a chain
+AHEAD, DROP = 8, 8.0    # words that tell how an alignment goes on; its loss at the end
+FEW, AROUND, BAND = 3, 64, 8    # matches of a pair told by the words around them; words to each side; shift
 HOT_SHARE, HOT_ROWS, SALTS, SAMPLE = 1e-4, 1024, 64, 16
 NO_ID = (1 << 63) - 1   # stands for a null id: such rows come last
 WORDS_KNOWN = 500_000   # word hashes remembered per worker
@@ -71,7 +78,7 @@ def smallest_in_windows(h, width: int):
 
 def seeds(texts: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """``(seed, doc, h, pos)``: kept k-word shingles and their first word's
-    number.  Of a run of equal ones in a row only the first is kept."""
+    number.  Of a run of equal ones in a row the first and the last are kept."""
 
     def run(batches):
         import numpy as np
@@ -111,7 +118,7 @@ def seeds(texts: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
                 i = np.flatnonzero(keep)
                 fresh = np.ones(len(i), bool)
                 fresh[1:] = (mer[i[1:]] != mer[i[:-1]]) | (at[i[1:]] != at[i[:-1]])
-                i = i[fresh]
+                i = i[fresh | np.append(fresh[1:], True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(mer[i].view(np.int64)), part.column(0).take(pa.array(at[i])),
                      part.column(1).take(pa.array(at[i])), pa.array((i - starts[at[i]]).astype(np.int32))],
@@ -223,32 +230,93 @@ def aligned(a, b) -> tuple[int, int]:
 
 
 def extend(a, b, i: int, j: int, step: int) -> list[tuple[int, int]]:
-    """Pairs of equal words from ``(i, j)`` outwards; an edit of up to two
-    words is passed if three equal words follow it."""
-    out = []
+    """Pairs of equal words from ``(i, j)`` outwards.  An edit is passed the
+    way most of the next ``AHEAD`` words agree, or as one changed word if less
+    than half of them do; ends at a weight ``DROP`` under the best so far."""
+    out, lost = [], 0.0
     na, nb = len(a), len(b)
 
-    def run(x, y, n):
-        for _ in range(n):
-            if not (0 <= x < na and 0 <= y < nb) or a[x] != b[y]:
-                return False
-            x, y = x + step, y + step
-        return True
+    def agree(x, y):
+        n = min(AHEAD, na - x if step > 0 else x + 1, nb - y if step > 0 else y + 1)
+        if n <= 0 or a[x] != b[y]:
+            return 0
+        same = sum([a[x + q * step] == b[y + q * step] for q in range(n)])
+        return same if 2 * same >= n else 0
 
     while 0 <= i < na and 0 <= j < nb:
         if a[i] == b[j]:
             out.append((i, j))
-            i, j = i + step, j + step
+            i, j, lost = i + step, j + step, max(0.0, lost - (1 - IDENTITY))
             continue
-        for di, dj in ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2)):
-            if run(i + di * step, j + dj * step, 3):
-                i, j = i + di * step, j + dj * step
-                break
-        else:
+        best, way = 0, (1, 1)
+        for di, dj in ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2), (3, 3)):
+            same = agree(i + di * step, j + dj * step)
+            if same > best:
+                best, way = same, (di, dj)
+                if same >= AHEAD - 1:
+                    break
+        lost += max(way) * IDENTITY
+        if lost > DROP:
             break
+        i, j = i + way[0] * step, j + way[1] * step
+    return out
+
+
+def around(words, pos: int, k: int = K) -> bytes:
+    """16-bit hashes of ``AROUND`` words before (nearest first) and after a
+    seed; -1 beyond the text."""
+    import numpy as np
+
+    out = np.full(2 * AROUND, -1, np.int32)
+    before, after = words[max(0, pos - AROUND):pos][::-1], words[pos + k:pos + k + AROUND]
+    out[:len(before)] = [zlib.crc32(w) & 0xFFFF for w in before]
+    out[AROUND:AROUND + len(after)] = [zlib.crc32(w) & 0xFFFF for w in after]
+    return out.tobytes()
+
+
+def reach(a, b, identity: float):
+    """Best weight of an alignment (equal words ``1 - identity``, other
+    columns ``-identity``) that uses the first 0, 1, ... words of a row of
+    ``a`` and, ``BAND`` more or fewer, of ``b``: one row for each row."""
+    import numpy as np
+
+    n, width = a.shape
+    worst = np.float32(-1e9)
+    row = np.full((2 * BAND + 1, n), worst, np.float32)      # [shift of b, row]
+    row[BAND] = 0
+    for o in range(BAND + 1, 2 * BAND + 1):
+        row[o] = row[o - 1] - identity
+    out = np.empty((width + 1, n), np.float32)
+    out[0] = 0
+    shifted = np.full((width + 2 * BAND, n), -2, np.int32)
+    shifted[BAND:BAND + width] = np.where(b < 0, -2, b).T
+    a = np.ascontiguousarray(a.T)
+    for i in range(width):
+        new = row + np.where(shifted[i:i + 2 * BAND + 1] == a[i], np.float32(1 - identity), np.float32(-identity))
+        np.maximum(new[:-1], row[1:] - np.float32(identity), out=new[:-1])
+        for o in range(max(0, BAND - i - 1)):
+            new[o] = worst
+        for o in range(1, 2 * BAND + 1):
+            np.maximum(new[o], new[o - 1] - np.float32(identity), out=new[o])
+        row = new
+        out[i + 1] = row.max(0)
     return out
 
 
+def may_hold(a, b, min_words: int, identity: float, k: int = K):
+    """Which pairs of surroundings ``(n, 2 * AROUND)`` can hold a passage."""
+    import numpy as np
+
+    left = reach(a[:, :AROUND], b[:, :AROUND], identity)
+    right = reach(a[:, AROUND:], b[:, AROUND:], identity)
+    best = np.maximum.accumulate(right[::-1])[::-1]           # of at least so many words
+    need = np.clip(min_words - k - np.arange(AROUND + 1), 0, None)
+    fits = need <= AROUND
+    if not fits.any():                                        # longer than what is seen
+        return np.ones(len(a), bool)
+    return (left[fits] + best[need[fits]]).max(0) + k * (1 - identity) >= -1e-3
+
+
 def passages_of(a, b, pairs, min_words: int = MIN_WORDS, identity: float = IDENTITY, k: int = K):
     """Repeated passages ``(start, end, start2, end2, equal, columns)`` of two
     word lists from their seed matches."""
@@ -277,24 +345,70 @@ def passages_of(a, b, pairs, min_words: int = MIN_WORDS, identity: float = IDENT
             part = todo.pop()
             if not part or part[-1][1] - part[0][0] < min_words:
                 continue
-            # best run of steps; a run at exactly ``identity`` weighs nothing
-            best, lo, hi, total, start = 0.0, 0, 0, 0.0, 0
+            # best run of steps of at least ``min_words`` words; a run at
+            # exactly ``identity`` weighs nothing
+            sums = [0.0]
+            for s in part:
+                sums.append(sums[-1] + s[4] * (1 - identity) - (s[5] - s[4]) * identity)
+            best, lo, hi, least, start = -1e-9, 0, 0, 0, 0
             for n, s in enumerate(part):
-                if total <= 0:
-                    total, start = 0.0, n
-                total += s[4] * (1 - identity) - (s[5] - s[4]) * identity
-                if total > best:
-                    best, lo, hi = total, start, n + 1
-            if best <= 0:
+                while start <= n and s[1] - part[start][0] >= min_words:
+                    if sums[start] < sums[least]:
+                        least = start
+                    start += 1
+                if start and sums[n + 1] - sums[least] > best:
+                    best, lo, hi = sums[n + 1] - sums[least], least, n + 1
+            if not hi:
                 continue
             s, e = part[lo], part[hi - 1]
-            if e[1] - s[0] >= min_words:
-                out.append((s[0], e[1], s[2], e[3], sum(q[4] for q in part[lo:hi]), sum(q[5] for q in part[lo:hi])))
-                covered.append((s[0], e[1], s[2]))
+            out.append((s[0], e[1], s[2], e[3], sum(q[4] for q in part[lo:hi]), sum(q[5] for q in part[lo:hi])))
+            covered.append((s[0], e[1], s[2]))
             todo += [part[:lo], part[hi:]]
     return out
 
 
+def promising(pairs: DataFrame, texts: DataFrame, min_words: int, identity: float) -> DataFrame:
+    """``pairs`` without those of at most ``FEW`` matches whose surroundings
+    cannot hold a passage; only these words are moved, not the texts."""
+    few = pairs.where(F.size("m") <= FEW).select("doc", "h", "doc2", "h2", "m")
+
+    def collected(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part, last, seen = b.slice(lo, 256), None, []
+                for m, t in zip(part.column(4).to_pylist(), part.column(5).to_pylist()):
+                    if t != last:
+                        last, words = t, t.lower().split()
+                    seen.append(b"".join([around(words, p["pos"]) for p in m]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(seen, pa.binary())],
+                                                 ["doc", "h", "doc2", "h2", "m", "c"])
+
+    def told(batches):
+        import numpy as np
+
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part, last, seen, of = b.slice(lo, 1024), None, [], []
+                for n, (m, t) in enumerate(zip(part.column(4).to_pylist(), part.column(6).to_pylist())):
+                    if t != last:
+                        last, words = t, t.lower().split()
+                    seen += [around(words, p["pos2"]) for p in m]
+                    of += [n] * len(m)
+                one = np.frombuffer(b"".join(part.column(5).to_pylist()), np.int32).reshape(-1, 2 * AROUND)
+                two = np.frombuffer(b"".join(seen), np.int32).reshape(-1, 2 * AROUND)
+                keep = np.unique(np.array(of)[may_hold(one, two, min_words, identity)])
+                if len(keep):
+                    yield pa.RecordBatch.from_arrays([c.take(pa.array(keep)) for c in part.columns[:5]],
+                                                     ["doc", "h", "doc2", "h2", "m"])
+
+    kind = "doc long, h long, doc2 long, h2 long, m array<struct<pos: int, pos2: int>>"
+    seen = few.join(texts, ["doc", "h"]).select("doc", "h", "doc2", "h2", "m", "t").mapInArrow(
+        collected, f"{kind}, c binary")
+    other = texts.select(F.col("doc").alias("doc2"), F.col("h").alias("h2"), F.col("t").alias("t2"))
+    kept = seen.join(other, ["doc2", "h2"]).select("doc", "h", "doc2", "h2", "m", "c", "t2").mapInArrow(told, kind)
+    return pairs.where(F.size("m") > FEW).select("doc", "h", "doc2", "h2", "m").unionByName(kept)
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS,
                       identity: float = IDENTITY) -> tuple[DataFrame, DataFrame]:
     """``(copies, spans)``.
@@ -314,11 +428,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
     found = written(spark, seeds(lone), "seeds")
     n_docs = firsts.count()
     pairs = (matches(spark, found, n_docs).groupBy("doc", "h", "doc2", "h2")
-             .agg(F.collect_list(F.struct("pos", "pos2")).alias("m")).where(F.size("m") >= 2))
+             .agg(F.collect_list(F.struct("pos", "pos2")).alias("m")))
     pairs = written(spark, pairs, "pairs")
     texts = rows.select("doc", "h", "t")
     if not unique:
         texts = texts.dropDuplicates(["doc", "h"])
+    pairs = written(spark, promising(pairs, texts, min_words, identity), "promising")
     later = pairs.join(texts, ["doc", "h"])
     both = later.join(texts.select(F.col("doc").alias("doc2"), F.col("h").alias("h2"), F.col("t").alias("t2")),
                       ["doc2", "h2"]).select("doc", "h", "doc2", "m", "t", "t2")

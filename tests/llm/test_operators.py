@@ -203,6 +203,33 @@ def test_passages(spark, docs, empty, texts):
     assert passages.without_passages(spark, docs).columns == docs.columns
 
 
+def test_passages_with_changed_words_and_repeated_lines(spark):
+    r = random.Random(8)
+
+    def new(n):
+        return [f"w{r.randrange(3000)}" for _ in range(n)]
+
+    rows, held = [], {}
+    for n in range(120):
+        share, size = ((0.85, 55), (0.85, 80), (0.9, 55), (0.95, 55))[n % 4]
+        old = new(size)
+        changed = set(r.sample(range(size), int(size * (1 - share))))
+        rows += [(2 * n, new(150) + old + new(100)),
+                 (2 * n + 1, new(90) + [f"x{r.randrange(3000)}" if k in changed else w for k, w in enumerate(old)] + new(120))]
+        held[2 * n + 1] = (90, 90 + size)
+    for n in range(120, 150):
+        line = new(12)
+        rows += [(2 * n, new(60) + line * 6 + new(60)), (2 * n + 1, new(90) + line * 6 + new(50))]
+        held[2 * n + 1] = (90, 162)
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    got = {g.doc_id: g for g in passages.dedup(spark, df).collect()}
+    found = {k for k, (s, e) in held.items() if got[k].sources == [k - 1] and sum(
+        max(0, min(e, c.end) - max(s, c.start)) for c in got[k].cuts) >= passages.MIN_WORDS}
+    assert all(got[k].dup_words == 0 for k in range(0, 300, 2))
+    assert len([k for k in held if k < 240 and k in found]) >= 0.95 * 120
+    assert len([k for k in held if k > 240 and k in found]) == 30
+
+
 def test_chain_prefers_the_collinear_matches():
     best = passages.chains([(0, 100), (10, 110), (20, 5), (22, 122), (40, 140)])[0]
     assert best == [(0, 100), (10, 110), (22, 122), (40, 140)]
