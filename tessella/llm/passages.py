@@ -7,6 +7,10 @@
    to the first and to the previous document that has it, never to all of
    them: whatever its number of occurrences, a seed makes at most two
    matches for each, and every occurrence but the first meets an earlier one.
+   The documents between may be the only ones that hold a whole passage:
+   every stretch of ``min_words`` words with common seeds only (in three or
+   more documents) is therefore hashed as a whole and joined to the first
+   document that has it, so no exact repeat is missed.
    One match is enough for a pair of documents.  Pairs of few matches are
    first told by the words around them: a banded alignment must reach
    ``MIN_WORDS`` words at ``IDENTITY`` before whole texts are moved.
@@ -76,57 +80,134 @@ def smallest_in_windows(h, width: int):
     return h == covered
 
 
+def word_hashes(texts: list[bytes]):
+    """``(x, lengths)``: hashes of the words of all texts in a row, and the
+    texts' numbers of words."""
+    import numpy as np
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    known = worker_cache("word-hashes", dict)
+    if len(known) > WORDS_KNOWN:
+        known.clear()
+    values, lengths = [], []
+    for t in texts:
+        words = t.lower().split()
+        lengths.append(len(words))
+        for w in set(words).difference(known):
+            known[w] = digest(w)
+        values += [known[w] for w in words]
+    return np.array(values, np.uint64), np.array(lengths, np.int64)
+
+
+def shingles(x, k: int):
+    """Hashes of all ``k`` words in a row of ``x``."""
+    import numpy as np
+
+    n = max(0, len(x) - k + 1)
+    mer = np.zeros(n, np.uint64)
+    for j in range(k):
+        mer += x[j:n + j] * np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) | 1)
+    mer ^= mer >> np.uint64(31)
+    mer *= np.uint64(0xBF58476D1CE4E5B9)
+    return mer ^ (mer >> np.uint64(29))
+
+
+def seeds_of(x, lengths, k: int, window: int):
+    """``(seed, text, place in x)`` of the kept shingles.  Of a run of equal
+    ones in a row the first and the last are kept."""
+    import numpy as np
+
+    mer = shingles(x, k)
+    n = len(mer)
+    at = np.repeat(np.arange(len(lengths)), lengths)[:n]
+    inside = np.arange(n) + k <= np.cumsum(lengths)[at]
+    mer[~inside] = np.uint64((1 << 64) - 1)
+    i = np.flatnonzero(smallest_in_windows(mer, window) & inside)
+    fresh = np.ones(len(i), bool)
+    fresh[1:] = (mer[i[1:]] != mer[i[:-1]]) | (at[i[1:]] != at[i[:-1]])
+    i = i[fresh | np.append(fresh[1:], True)]
+    return mer[i], at[i], i
+
+
 def seeds(texts: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """``(seed, doc, h, pos)``: kept k-word shingles and their first word's
-    number.  Of a run of equal ones in a row the first and the last are kept."""
+    number."""
 
     def run(batches):
         import numpy as np
-        import xxhash
 
-        digest = xxhash.xxh64_intdigest
-        known = worker_cache("word-hashes", dict)
-        turn = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) | 1 for j in range(k)], np.uint64)
         for b in batches:
             for lo in range(0, b.num_rows, 128):
                 part = b.slice(lo, 128)
-                if len(known) > WORDS_KNOWN:
-                    known.clear()
-                values, lengths = [], []
-                for t in part.column(2).to_pylist():
-                    words = t.lower().split()
-                    lengths.append(len(words))
-                    for w in set(words).difference(known):
-                        known[w] = digest(w)
-                    values += [known[w] for w in words]
-                n = len(values) - k + 1
-                if n <= 0:
-                    continue
-                x = np.array(values, np.uint64)
-                mer = np.zeros(n, np.uint64)
-                for j in range(k):
-                    mer += x[j:n + j] * turn[j]
-                mer ^= mer >> np.uint64(31)
-                mer *= np.uint64(0xBF58476D1CE4E5B9)
-                mer ^= mer >> np.uint64(29)
-                ends = np.cumsum(lengths)
-                starts = ends - lengths
-                at = np.repeat(np.arange(len(lengths)), lengths)[:n]
-                inside = np.arange(n) + k <= ends[at]
-                mer[~inside] = np.uint64((1 << 64) - 1)
-                keep = smallest_in_windows(mer, window) & inside
-                i = np.flatnonzero(keep)
-                fresh = np.ones(len(i), bool)
-                fresh[1:] = (mer[i[1:]] != mer[i[:-1]]) | (at[i[1:]] != at[i[:-1]])
-                i = i[fresh | np.append(fresh[1:], True)]
+                x, lengths = word_hashes(part.column(2).to_pylist())
+                mer, at, i = seeds_of(x, lengths, k, window)
+                starts = np.cumsum(lengths) - lengths
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mer[i].view(np.int64)), part.column(0).take(pa.array(at[i])),
-                     part.column(1).take(pa.array(at[i])), pa.array((i - starts[at[i]]).astype(np.int32))],
+                    [pa.array(mer.view(np.int64)), part.column(0).take(pa.array(at)),
+                     part.column(1).take(pa.array(at)), pa.array((i - starts[at]).astype(np.int32))],
                     ["seed", "doc", "h", "pos"])
 
     return texts.mapInArrow(run, "seed long, doc long, h long, pos int")
 
 
+def stretches(texts: DataFrame, found: DataFrame, min_words: int, k: int = K, window: int = WINDOW) -> DataFrame:
+    """``(hash, doc, h, pos, before, after)``: every ``min_words`` words in a
+    row that hold no seed of fewer than three documents, and hashes of the
+    words next to them (0: none).  The others meet all documents that have
+    them by such a seed.  Only seeds that depend on none but these words
+    count, so that equal stretches are treated alike."""
+    docs_of = found.select("seed", "doc", "h").distinct().groupBy("seed").count()
+    often = (found.join(docs_of.where("count > 2").select("seed"), "seed")
+             .groupBy("doc", "h").agg(F.collect_list("pos").alias("often")))
+
+    def run(batches):
+        import numpy as np
+
+        for b in batches:
+            for lo in range(0, b.num_rows, 128):
+                part = b.slice(lo, 128)
+                x, lengths = word_hashes(part.column(2).to_pylist())
+                starts = np.cumsum(lengths) - lengths
+                _, at, i = seeds_of(x, lengths, k, window)
+                common = np.zeros(len(x), bool)
+                common[np.concatenate([np.array(p, np.int64) + s for p, s in zip(part.column(3).to_pylist(), starts)])] = True
+                rare = np.zeros(len(x) + 1, np.int64)
+                rare[i[~common[i]] + 1] = 1
+                rare = np.cumsum(rare)                    # rare seeds before a place
+                mer = shingles(x, min_words)
+                w = np.arange(len(mer))
+                of = np.repeat(np.arange(len(lengths)), lengths)[:len(mer)]
+                inner = max(window - 1, min_words - k - window + 2)
+                w = w[(w + min_words <= (starts + lengths)[of]) & (rare[w + inner] == rare[w + window - 1])]
+                of = of[w]
+                y = np.concatenate(([0], x, [0])).astype(np.uint64).view(np.int64)
+                before = np.where(w > starts[of], y[w], 0)
+                after = np.where(w + min_words < (starts + lengths)[of], y[w + min_words + 1], 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mer[w].view(np.int64)), part.column(0).take(pa.array(of)),
+                     part.column(1).take(pa.array(of)), pa.array((w - starts[of]).astype(np.int32)),
+                     pa.array((before >> 32).astype(np.int32)), pa.array((after >> 32).astype(np.int32))],
+                    ["hash", "doc", "h", "pos", "before", "after"])
+
+    return texts.join(often, ["doc", "h"]).select("doc", "h", "t", "often").mapInArrow(
+        run, "hash long, doc long, h long, pos int, before int, after int")
+
+
+def whole_matches(stretch: DataFrame, min_words: int) -> DataFrame:
+    """Like ``matches``: each stretch and the first document that has it.  Of
+    stretches whose words on both sides agree there, too, one in
+    ``min_words // 2`` is enough: those kept before and after cover it."""
+    w = Window.partitionBy("hash").orderBy("doc", "h", "pos")      # a few rows per document
+    met = stretch.withColumn("m", F.first(F.struct("doc", "h", "pos", "before", "after")).over(w))
+    inside = ((F.col("before") == F.col("m.before")) & (F.col("after") == F.col("m.after"))
+              & (F.col("before") != 0) & (F.col("after") != 0))
+    return (met.where((F.col("doc") != F.col("m.doc")) | (F.col("h") != F.col("m.h")))
+            .where(~inside | (F.col("pos") % max(1, min_words // 2) == 0))
+            .select("doc", "h", "pos", F.col("m.doc").alias("doc2"), F.col("m.h").alias("h2"),
+                    F.col("m.pos").alias("pos2")))
+
+
 def matches(spark: SparkSession, found: DataFrame, n_docs: int) -> DataFrame:
     """``(doc, h, pos, doc2, h2, pos2)``: occurrence and earlier occurrence.
     Seeds of a share of all documents are dealt to ``SALTS`` tasks each;
@@ -427,7 +508,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
         .where("first is null or doc = first").select("doc", "h", "t").dropDuplicates(["doc", "h"]))
     found = written(spark, seeds(lone), "seeds")
     n_docs = firsts.count()
-    pairs = (matches(spark, found, n_docs).groupBy("doc", "h", "doc2", "h2")
+    whole = whole_matches(stretches(lone, found, min_words), min_words)
+    pairs = (matches(spark, found, n_docs).unionByName(whole).groupBy("doc", "h", "doc2", "h2")
              .agg(F.collect_list(F.struct("pos", "pos2")).alias("m")))
     pairs = written(spark, pairs, "pairs")
     texts = rows.select("doc", "h", "t")

@@ -230,6 +230,18 @@ def test_passages_with_changed_words_and_repeated_lines(spark):
     assert len([k for k in held if k > 240 and k in found]) == 30
 
 
+def test_passages_whole_only_in_a_document_between(spark):
+    p = words(60, 22, 5000)
+    parts = [p[:40], p[20:], p, p[:40], p[20:], p]          # 40 words each in all but 2 and 5
+    rows = [(n, " ".join(words(60, 30 + n, 5000) + p + words(60, 40 + n, 5000))) for n, p in enumerate(parts)]
+    own = words(60, 50, 5000)
+    rows += [(6, " ".join(own)), (7, " ".join(own + words(20, 51, 5000) + own))]     # twice in one document
+    got = {g.doc_id: g for g in passages.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(c.start, c.end) for c in got[5].cuts] == [(60, 120)] and got[5].sources == [2]
+    assert all(got[k].dup_words == 0 for k in (0, 1, 2, 3, 4, 6))
+    assert [(c.start, c.end) for c in got[7].cuts] == [(0, 60), (80, 140)]
+
+
 def test_chain_prefers_the_collinear_matches():
     best = passages.chains([(0, 100), (10, 110), (20, 5), (22, 122), (40, 140)])[0]
     assert best == [(0, 100), (10, 110), (22, 122), (40, 140)]
