@@ -72,7 +72,7 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = SHARE,
 
 
 def schedule(spark: SparkSession, targets: DataFrame, n_slots: int, n_sources: int) -> DataFrame:
-    """``(sid, rank)`` of every slot: golden-ratio points through the
+    """``(slot, sid, rank)`` of every slot: golden-ratio points through the
     cumulative shares, slots ranked per source in schedule order."""
     slots = spark.range(1, n_slots + 1).select(
         F.col("id").alias("slot"), F.expr(f"pmod(id * {GOLDEN}, {TURN})").alias("point"))
@@ -91,7 +91,7 @@ def schedule(spark: SparkSession, targets: DataFrame, n_slots: int, n_sources: i
         Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("before"))
     return inside.join(before, ["sid", "chunk"]).select(
-        "sid", (F.col("before") + F.col("at") - 1).alias("rank"))
+        "slot", "sid", (F.col("before") + F.col("at") - 1).alias("rank"))
 
 
 def positions(sized: DataFrame, targets: DataFrame, n_sources: int) -> DataFrame:
@@ -115,16 +115,11 @@ def positions(sized: DataFrame, targets: DataFrame, n_sources: int) -> DataFrame
             .drop("mix", "bucket", "before", "up"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights=(5, 2, 1), share: float = SHARE,
-        block: int = BLOCK) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken, source, start)`` per row.
-
-    ``size``: words of the text (null: 0); ``taken``: words the mix takes
-    from the document, repeats counted, at most twice its size.  Rows with a
-    null id or source take part; repeated rows are documents of their own;
-    documents without words are never taken; an empty table gives no rows;
-    further columns are ignored.  Nothing is random: reruns agree.
-    """
+def taken_pieces(spark: SparkSession, docs: DataFrame, weights, share: float,
+                 block: int) -> tuple[DataFrame, DataFrame]:
+    """``(placed, pieces)``: the documents with their places, and ``(slot,
+    sid, start, at, word, n)``: ``n`` words of the document at ``start``, from
+    its word ``word`` on, stand in the slot from the slot's word ``at`` on."""
     sized = cut(spark, docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     targets = cut(spark, source_targets(sized, weights, share))
     n_sources, words = targets.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0))).first()
@@ -133,19 +128,43 @@ def mix(spark: SparkSession, docs: DataFrame, weights=(5, 2, 1), share: float =
     twice = placed.where("size > 0").select(
         "sid", "start", "size",
         F.explode(F.array(F.col("start"), F.col("start") + F.col("source_size"))).alias("x"))
+    low = F.greatest(F.col("x"), F.col("rank") * block)
     pieces = (twice.select("sid", "start", "x", (F.col("x") + F.col("size")).alias("y"), F.explode(
         F.expr(f"sequence(x div {block}, (x + size - 1) div {block})")).alias("rank"))
-        .select("sid", "start", "rank",
-                (F.least(F.col("y"), (F.col("rank") + 1) * block)
-                 - F.greatest(F.col("x"), F.col("rank") * block)).alias("n")))
-    took = (pieces.join(slots, ["sid", "rank"]).groupBy("sid", "start")
-            .agg(F.sum("n").alias("took")).withColumn("some", F.lit(True)))
+        .select("sid", "start", "rank", (low - F.col("rank") * block).alias("at"), (low - F.col("x")).alias("word"),
+                (F.least(F.col("y"), (F.col("rank") + 1) * block) - low).alias("n")))
+    return placed, pieces.join(slots, ["sid", "rank"])
+
+
+def mix(spark: SparkSession, docs: DataFrame, weights=(5, 2, 1), share: float = SHARE,
+        block: int = BLOCK) -> DataFrame:
+    """``(doc_id, size, source_size, target, taken, source, start)`` per row.
+
+    ``size``: words of the text (null: 0); ``taken``: words the mix takes
+    from the document, repeats counted, at most twice its size.  Rows with a
+    null id or source take part; repeated rows are documents of their own;
+    documents without words are never taken; an empty table gives no rows;
+    further columns are ignored.  Nothing is random: reruns agree.
+    """
+    placed, pieces = taken_pieces(spark, docs, weights, share, block)
+    took = pieces.groupBy("sid", "start").agg(F.sum("n").alias("took")).withColumn("some", F.lit(True))
     keyed = placed.withColumn("some", F.col("size") > 0)
     return (keyed.join(took, ["sid", "start", "some"], "left")
             .select("doc_id", "size", "source_size", "target",
                     F.coalesce("took", F.lit(0)).cast("long").alias("taken"), "source", "start"))
 
 
+def mixed_blocks(spark: SparkSession, docs: DataFrame, weights=(5, 2, 1), share: float = SHARE,
+                 block: int = BLOCK) -> DataFrame:
+    """``(slot, at, source, doc_id, start, word, n)``: the mix itself, in the
+    order of ``slot`` (from 1) and ``at``: ``n`` words of the document from its
+    word ``word`` on; ``start`` tells repeated rows of a source apart.  The
+    last block of a source that is read to its end may be short or empty."""
+    placed, pieces = taken_pieces(spark, docs, weights, share, block)
+    of = placed.where("size > 0").select("sid", "start", "source", "doc_id")
+    return pieces.join(of, ["sid", "start"]).select("slot", "at", "source", "doc_id", "start", "word", "n")
+
+
 def mixed_documents(spark: SparkSession, docs: DataFrame, weights=(5, 2, 1),
                     share: float = SHARE, block: int = BLOCK) -> DataFrame:
     """The mix as documents, all columns kept: a document comes once per pass

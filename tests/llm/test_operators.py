@@ -284,6 +284,27 @@ def test_pivot_index_in_a_dense_group(spark):
         assert 0.9 * sum(true[k] for k in part) <= sum(got[k] for k in part) <= sum(true[k] for k in part)
 
 
+def test_mixed_blocks_follow_the_schedule(spark):
+    rows = [(k, " ".join(words(20 + k % 50, k)), "ab"[k % 2]) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((g.slot, g["at"], g.source, g.doc_id, g.word, g.n) for g in mixing.mixed_blocks(spark, df, (3, 1), 0.8, 8).collect())
+    size = {k: len(t.split()) for k, t, _ in rows}
+    slots, taken, stream = {}, collections.Counter(), {"a": [], "b": []}
+    for slot, at, source, doc, word, n in got:
+        filled = slots.setdefault(slot, [source, 0])
+        assert filled == [source, at] and 0 <= word and word + n <= size[doc]     # one source, without gaps
+        filled[1] += n
+        taken[doc] += n
+        stream[source].append((doc, word, n))
+    assert sorted(slots) == list(range(1, len(slots) + 1)) and all(n == 8 for _, n in slots.values())
+    for s in stream.values():                               # every stream is read in order
+        assert all(w == v + n if d == e else w == 0 and v + n == size[e] for (e, v, n), (d, w, _) in zip(s, s[1:]))
+    kinds = [slots[k][0] for k in sorted(slots)]
+    share = kinds.count("a") / len(kinds)
+    assert all(abs(kinds[lo:lo + 40].count("a") - 40 * share) <= 4 for lo in range(len(kinds) - 40))
+    assert {m.doc_id: m.taken for m in mixing.mix(spark, df, (3, 1), 0.8, 8).collect() if m.taken} == dict(taken)
+
+
 def test_mixing_targets(spark, docs, empty):
     got = mixing.mix(spark, docs, block=4).collect()
     assert len(got) == docs.count()
