@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe_automaton, brown_lm, id_planes, imatch, mixing, passages, pivot_index, quotes, simhash_trie, toxicity
+from tessella.llm import (bpe_automaton, brown_lm, id_planes, imatch, merkle, mixing, passages, pivot_index, quotes,
+                          simhash_trie, toxicity)
 from tessella.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +84,8 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quotes")
 def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_merkle", merkle.oracle())
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(merkle.manifest(spark, documents(spark, sf_dir)))
