@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import (bpe_automaton, brown_lm, id_planes, imatch, merkle, mixing, passages, pivot_index, quotes,
-                          simhash_trie, toxicity)
+from tessella.llm import (bpe_automaton, brown_lm, id_planes, imatch, merkle, mixing, passages, pivot_index, prefix_trie,
+                          quotes, simhash_trie, toxicity)
 from tessella.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,12 @@ def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotes(table(spark, sf_dir, "conversations"))
 
 
+@query("op11_prefix_trie", prefix_trie.oracle())
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(spark, table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(spark, *prefix_trie.rebuilt(turns)).drop("tid")
+
+
 @query("op13_merkle", merkle.oracle())
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(merkle.manifest(spark, documents(spark, sf_dir)))
