@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import (bpe_automaton, brown_lm, id_planes, imatch, merkle, mixing, passages, pivot_index, prefix_trie,
-                          quotes, simhash_trie, toxicity)
+                          quotes, secrets, simhash_trie, toxicity)
 from tessella.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(spark, *prefix_trie.rebuilt(turns)).drop("tid")
 
 
+@query("op12_secrets")
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(spark, documents(spark, sf_dir)))
+
+
 @query("op13_merkle", merkle.oracle())
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(merkle.manifest(spark, documents(spark, sf_dir)))
