@@ -10,18 +10,18 @@ of un-deduplicated operands is still right).
 
 from __future__ import annotations
 
-from functools import partial
+import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import idiv
-from tessella.functions.arrays import local_product
-
+from tessella.functions.arrays import Csr
+from tessella.plans import skew
+from tessella.plans.batches import CELLS, broadcast_rows, entry_cell, tile_cell
 from tessella.plans.guards import MAX_BROADCAST_ROWS, rows_at_most
-from tessella.plans.skew import DEFAULT_ROWS_PER_TASK, JOIN_ROWS_PER_TASK, LIST_ROWS, split_join
-
-_SKEW_DEFAULT = JOIN_ROWS_PER_TASK
+from tessella.plans.skew import DEFAULT_ROWS_PER_TASK, LIST_ROWS, split_join, spread
+from tessella.plans.store import HubStore, hub_store, stored, written
 
 
 def _lr(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,9 +54,10 @@ def mm_outer(left: DataFrame, right: DataFrame, *, partitions: int | None = None
     join parallelism explicitly (both sides hash-partitioned on ``c`` with
     that count, which the join then reuses); such pre-partitioned sides are
     not re-split by AQE.  The work of an inner index is the product of its
-    rows on both sides, so both are counted first and a hot index is spread
-    over a salt grid (``plans.skew``); ``rows_per_task=None`` leaves it to
-    AQE.  Cancelled sums are kept as 0.0 unless ``drop_zeros``.
+    rows on both sides, so the plan counts both and spreads a hot index over
+    a salt grid (``plans.skew``); ``rows_per_task=None`` leaves it to AQE.
+    Nothing runs while the plan is built.  Cancelled sums are kept as 0.0
+    unless ``drop_zeros``.
     """
     l, r = _lr(left, right)
     if partitions:
@@ -98,72 +99,104 @@ STRATEGIES = {
 
 
 # --------------------------------------------------------------------- X2
+CELL_ENTRIES = 1 << 19      # entries of both operands that a grid cell is sized for
+
+
+def _parts_for(left: DataFrame, right: DataFrame, entries: int) -> int:
+    """Hash parts of the inner index: enough for ``entries`` a part and for
+    every shuffle partition to have one.  Counts stored tables."""
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(tasks, math.ceil((left.count() + right.count()) / entries))
+
+
 def mm_inner_cartesian(left: DataFrame, right: DataFrame, *, width: int | None = None,
-                       drop_zeros: bool = False,
-                       rows_per_task: int | None = _SKEW_DEFAULT) -> DataFrame:
+                       drop_zeros: bool = False, entries_per_cell: int = CELL_ENTRIES,
+                       rows_per_task: int | None = None) -> DataFrame:
     """Inner-product strategy: packed rows dotted with packed columns.
 
     The reference pairs every packed row with every packed column (a
-    cartesian product) and drops pairs with no shared index.  Here only the
-    pairs that share an inner index are ever formed: candidate
-    ``(i, k, segment)`` triples come from an equi-join on the inner index
-    (hot indices split), are de-duplicated with map-side combine, and each
-    candidate meets its two bounded segments by equi-join (hot segments
-    split again).  The dot of two sorted segments is an Arrow-batched NumPy
-    merge.  Same cells as the cartesian form: sums that cancel stay as 0.0,
-    pairs with an empty intersection never appear.
+    cartesian product) and drops pairs with no shared index.  Here a grid of
+    row groups x inner segments x column groups takes its place.  The inner
+    index is cut into hash parts sized for ``entries_per_cell`` (and into
+    ranges of ``width``, if given); within a part all rows and all columns
+    are one group, except at an inner index so frequent that its rows and
+    columns are dealt to a grid of groups of their own (``plans.skew``).  So
+    both operands are stored once, and an entry travels to one cell (the
+    entries of a hot index to a row or column of cells).  In a cell the row
+    segments and column segments are laid out flat, merged on the inner index
+    and summed by pair in slices: one call per cell, and only pairs that
+    share an index are formed.  Dots of segments add up over the parts.
+
+    Same cells as the cartesian form: sums that cancel stay as 0.0, pairs
+    with an empty intersection never appear.
     """
-    from tessella.functions.arrays import sparse_dot
-    from tessella.operators.layout import DEFAULT_SEGMENT, pack_columns, pack_rows
-
-    width = width or DEFAULT_SEGMENT
-    _, r = _lr(left, right)
-    rows = pack_rows(left, width)                                     # (i, seg, idx, val)
-    cols = (pack_columns(right, width)                                # (k, seg, cidx, cval)
-            .select(F.col("j").alias("k"), "seg", F.col("idx").alias("cidx"), F.col("val").alias("cval")))
-    # candidates from the packed rows themselves (one read of the left side)
-    keyed = rows.select("i", "seg", F.explode("idx").alias("c"))
-    cand = (split_join(keyed, r.select("c", "k"), "c", ["i"], ["k"], rows_per_task)
-            .select("i", "k", "seg").distinct())
-    # column segments travel with the candidates to their row segment (the
-    # right operand's columns are usually the short side: BFS sources hold
-    # one entry per column); the row segments stay where they were packed
-    with_cols = split_join(cand, cols, ["k", "seg"], ["i"], ["k"], rows_per_task)
-    both = split_join(with_cols, rows, ["i", "seg"], ["k"], ["i"], rows_per_task)
-    # every candidate shares an index with its pair, so the dot is never null
-    dots = both.select("i", "k", sparse_dot("idx", "val", "cidx", "cval").alias("d"))
-    out = dots.groupBy("i", "k").agg(F.sum("d").alias("v"))
+    l, r = _lr(left, right)
+    l, r = stored(l, ("i", "c"), "v", "inner-rows"), stored(r, ("c", "k"), "w", "inner-columns")
+    parts = _parts_for(l, r, entries_per_cell)
+    lg, rg = spread(l, r, "c", ["i"], ["k"], rows_per_task or entries_per_cell)
+    part = F.pmod(F.xxhash64("c"), F.lit(parts)).alias("part")
+    segment = (idiv("c", width) if width else F.lit(0).cast("long")).alias("seg")
+    cells = (lg.select(part, segment, "_a", "_b", F.lit(0).alias("side"), F.col("i").alias("x"), "c", "v")
+             .unionAll(rg.select(part, segment, "_a", "_b", F.lit(1).alias("side"), F.col("k").alias("x"), "c", "w")))
+    dots = cells.groupBy("part", "seg", "_a", "_b").applyInArrow(entry_cell, CELLS)
+    return _summed(dots, drop_zeros)
+
+
+def _summed(cells: DataFrame, drop_zeros: bool) -> DataFrame:
+    out = cells.groupBy("i", "k").agg(F.sum("v").alias("v"))
     if drop_zeros:
         out = out.where(F.col("v") != 0)
     return out.select("i", F.col("k").alias("j"), "v")
 
 
 # --------------------------------------------------------------------- X4
-def mm_replicate(left: DataFrame, right: DataFrame, m: int, p: int, n: int | None = None, *,
+def _shares(n_left: int, n_right: int, cells: int, m: int | None, p: int | None) -> tuple[int, int]:
+    """Shares ``(g, h)`` with about ``cells`` cells that copy the fewest rows,
+    ``h * n_left + g * n_right``."""
+    best = math.sqrt(cells * max(n_left, 1) / max(n_right, 1))
+    g = max(1, min(round(best), cells, m or cells))
+    h = max(1, min(-(-cells // g), p or cells))
+    return g, h
+
+
+def mm_replicate(left: DataFrame, right: DataFrame, m: int | None = None, p: int | None = None,
+                 n: int | None = None, *, grid: tuple[int, int] | None = None,
                  drop_zeros: bool = True) -> DataFrame:
-    """Replicate-and-reduce strategy for small outer dimensions ``m`` x ``p``.
-
-    Every left entry is copied to each of the ``p`` output columns and every
-    right entry to each of the ``m`` output rows, so each output cell
-    ``(i, k)`` receives everything it needs; the copies meet on
-    ``(i, k, inner)`` (the per-cell reducer's match on the inner index) and
-    are summed per cell.  Entries outside the declared shape (``i >= m``,
-    ``k >= p``, ``j >= n``) never meet a partner, as in the reference.
-    ``|L| p + |R| m`` rows are shuffled, so it only suits small ``m`` and
-    ``p``; the join key includes the inner index, so even a heavy row or
-    column is spread over many tasks.
+    """Replicate-and-reduce strategy: both operands are copied across a grid
+    of reducers that each hold everything their output cells need.
+
+    Rows are dealt to ``g`` groups and columns to ``h``; a left entry goes to
+    the ``h`` reducers of its row group, a right entry to the ``g`` of its
+    column group, and they meet on the inner index inside a reducer:
+    ``h |L| + g |R|`` rows are shuffled, whatever ``m`` and ``p``.  The
+    default grid has a cell per shuffle partition and is shaped by the
+    operands' sizes (they are stored once, duplicates summed, and counted);
+    ``grid=(m, p)`` is one reducer per output cell.  Entries outside the
+    declared shape (``i >= m``, ``k >= p``, ``j >= n``) never meet a partner.
+    The join key includes the inner index, so even a heavy row or column is
+    spread over many tasks.
     """
     l, r = _lr(left, right)
-    l = l.where((F.col("i") >= 0) & (F.col("i") < m))
-    r = r.where((F.col("k") >= 0) & (F.col("k") < p))
-    if n is not None:
-        l = l.where((F.col("c") >= 0) & (F.col("c") < n))
-        r = r.where((F.col("c") >= 0) & (F.col("c") < n))
-    lx = l.select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p - 1).cast("long"))).alias("k"),
-                  "c", "v")
-    rx = r.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("i"),
-                  "k", "c", "w")
-    return _cells(lx.join(rx, ["i", "k", "c"]), drop_zeros)
+    for df_col, bound in (("i", m), ("c", n)):
+        l = l if bound is None else l.where((F.col(df_col) >= 0) & (F.col(df_col) < bound))
+    for df_col, bound in (("k", p), ("c", n)):
+        r = r if bound is None else r.where((F.col(df_col) >= 0) & (F.col(df_col) < bound))
+    if grid is None:
+        l, r = stored(l, ("i", "c"), "v", "replicate-rows"), stored(r, ("c", "k"), "w", "replicate-columns")
+        tasks = int(l.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        grid = _shares(l.count(), r.count(), tasks, m, p)
+    g, h = grid
+
+    def group(name: str, size: int, bound: int | None) -> Column:
+        x = F.col(name) if size == bound else F.xxhash64(name)
+        return F.pmod(x, F.lit(size).cast("long"))
+
+    def every(size: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")))
+
+    lx = l.select(group("i", g, m).alias("a"), every(h).alias("b"), "i", "c", "v")
+    rx = r.select(every(g).alias("a"), group("k", h, p).alias("b"), "k", "c", "w")
+    return _cells(lx.join(rx, ["a", "b", "c"]), drop_zeros)
 
 
 # --------------------------------------------------------------------- X5
@@ -208,95 +241,66 @@ def cogroup_documents(left: DataFrame, right: DataFrame, *,
 
 
 def mm_cogroup(left: DataFrame, right: DataFrame, *, width: int = LIST_WIDTH,
-               drop_zeros: bool = False) -> DataFrame:
+               pairs_per_task: int | None = None, drop_zeros: bool = False) -> DataFrame:
     """Group-by-inner-index strategy: per inner index, every left entry times
     every right entry, then a sum per cell.
 
-    Both operands are grouped into bounded list parts by inner index
-    (``_parts``); the parts of one index meet by an equi-join on the index
-    (AQE splits an index with many parts) and are expanded with two
-    ``explode``s.  Cancelled sums are kept, as the reference's reducer
-    writes every sum.
+    An index has one list of left and one of right entries unless a list
+    would pass ``width`` entries or its pairs ``pairs_per_task`` (default
+    ``skew.PAIRS_PER_TASK``); then rows and columns are dealt to a grid of
+    list parts, and a pair of parts, not the index, is what a task gets.
+    Operands are stored once with duplicates summed, so counts bound lists.
+    Parts meet by an equi-join and are expanded with two ``explode``s.
+    Cancelled sums are kept, as the reference's reducer writes every sum.
     """
     l, r = _lr(left, right)
-    la, ra = _parts(l, r, width)
-    pairs = (la.join(ra, "c")
+    l, r = stored(l, ("i", "c"), "v", "cogroup-rows"), stored(r, ("c", "k"), "w", "cogroup-columns")
+    la, ra = _list_parts(l, r, width, pairs_per_task)
+    pairs = (la.join(ra, ["c", "_a", "_b"])
                .select(F.explode("left").alias("a"), "right")
                .select("a.i", "a.v", F.explode("right").alias("b"))
                .select("i", "v", "b.k", "b.w"))
     return _cells(pairs, drop_zeros)
 
 
-# --------------------------------------------------------------------- X6 / X7
-_TILE_OUT = "i long, k long, v double"
-
-
-def _tile_products(batches, carry: str | None = None):
-    """``mapInPandas`` body: one NumPy sparse product per tile-pair row,
-    emitted as ``(i, k, v)`` cells (plus the ``carry`` column, if any)."""
-    import numpy as np
-    import pandas as pd
-
-    for pdf in batches:
-        tags = pdf[carry] if carry else [None] * len(pdf)
-        outs = []
-        for li, lc, lv, rc, rk, rw, tag in zip(pdf["li"], pdf["lc"], pdf["lv"],
-                                               pdf["rc"], pdf["rk"], pdf["rw"], tags):
-            oi, ok, ov = local_product(li, lc, lv, rc, rk, rw)
-            if len(oi):
-                out = pd.DataFrame({"i": oi, "k": ok, "v": ov})
-                if carry:
-                    out[carry] = np.int64(tag)
-                outs.append(out)
-        if outs:
-            yield pd.concat(outs, ignore_index=True)
-        else:
-            empty = {"i": np.empty(0, np.int64), "k": np.empty(0, np.int64), "v": np.empty(0, np.float64)}
-            if carry:
-                empty[carry] = np.empty(0, np.int64)
-            yield pd.DataFrame(empty)
+def _list_parts(l: DataFrame, r: DataFrame, width: int,
+                pairs_per_task: int | None) -> tuple[DataFrame, DataFrame]:
+    """Lists ``(c, _a, _b, left)`` and ``(c, _a, _b, right)``."""
+    pairs = min(width * width, skew.PAIRS_PER_TASK if pairs_per_task is None else pairs_per_task)
+    lg, rg = spread(l, r, "c", ["i"], ["k"], width, pairs_per_task=pairs)
+    return (lg.groupBy("c", "_a", "_b").agg(F.collect_list(F.struct("i", "v")).alias("left")),
+            rg.groupBy("c", "_a", "_b").agg(F.collect_list(F.struct("k", "w")).alias("right")))
 
 
+# --------------------------------------------------------------------- X6 / X7
 def mm_block(left: DataFrame, right: DataFrame, mb: int, kb: int, nb: int, *,
              mid_splits: int = 1, drop_zeros: bool = True) -> DataFrame:
     """Block strategy: tile both operands, multiply matching tiles, sum.
 
     Left tiles ``(bi, bk)`` hold at most ``mb x kb`` cells, right tiles
-    ``(bk, bj)`` at most ``kb x nb``.  A left tile is copied to each ``bj``
-    that has a right tile at its ``bk`` and a right tile to each ``bi``
-    with a left tile at ``bk``, using the two block directories (one row
-    per non-empty tile, computed from the entries; AQE broadcasts them when
-    their measured size allows), so the tile join on ``(bi, bk, bj)`` is
-    one-to-one and spreads evenly.  Each tile pair is multiplied in NumPy
-    inside ``mapInPandas`` (sparse merge, linear in partial products);
-    results are summed over ``bk``.  ``mid_splits > 1`` sums in two steps,
-    first within ``bk mod mid_splits`` groups, like a mid-dimension split.
+    ``(bk, bj)`` at most ``kb x nb``.  Both tilings are written once; their
+    key columns are the block directories.  A left tile is copied to each
+    ``bj`` that has a right tile at its ``bk`` and a right tile to each
+    ``bi`` with a left tile at ``bk``, so every tile pair is a group of two
+    rows that spreads evenly.  The kernel multiplies a pair in slices of a
+    bounded number of partial products (``functions.arrays.Csr``), so its
+    memory is that of the two tiles however many products they make; results
+    are summed over ``bk``.  ``mid_splits > 1`` sums in two steps, first
+    within ``bk mod mid_splits`` groups, like a mid-dimension split.
     """
     from tessella.operators.layout import to_blocks
 
-    lt = to_blocks(left, mb, kb).select(
-        "bi", F.col("bj").alias("bk"), F.col("ei").alias("li"), F.col("ej").alias("lc"), F.col("ev").alias("lv"))
-    rt = to_blocks(right, kb, nb).select(
-        F.col("bi").alias("bk"), "bj", F.col("ei").alias("rc"), F.col("ej").alias("rk"), F.col("ev").alias("rw"))
-    ldir = left.select(idiv("i", mb).alias("bi"),
-                       idiv("j", kb).alias("bk")).distinct()
-    rdir = right.select(idiv("i", kb).alias("bk"),
-                        idiv("j", nb).alias("bj")).distinct()
-    lrep = lt.join(rdir, "bk")
-    rrep = rt.join(ldir, "bk")
-    pairs = lrep.join(rrep, ["bi", "bk", "bj"])
+    lt = written(to_blocks(left, mb, kb).withColumnsRenamed({"bj": "bk"}), "tiles-left")
+    rt = written(to_blocks(right, kb, nb).withColumnsRenamed({"bi": "bk"}), "tiles-right")
+    arrays = ["ei", "ej", "ev"]
+    lrep = lt.join(rt.select("bk", "bj"), "bk").select("bi", "bk", "bj", F.lit(0).alias("side"), *arrays)
+    rrep = rt.join(lt.select("bk", "bi"), "bk").select("bi", "bk", "bj", F.lit(1).alias("side"), *arrays)
+    split = F.pmod(F.col("bk"), F.lit(mid_splits)).cast("long").alias("split")
+    out = (lrep.unionAll(rrep).select("*", split).groupBy("bi", "bk", "bj", "split")
+           .applyInArrow(tile_cell, CELLS + ", split long"))
     if mid_splits > 1:
-        prod = pairs.select("bk", "li", "lc", "lv", "rc", "rk", "rw")
-        part = (prod.withColumn("_s", F.pmod(F.col("bk"), F.lit(mid_splits)))
-                    .mapInPandas(partial(_tile_products, carry="_s"), _TILE_OUT + ", _s long")
-                    .groupBy("i", "k", "_s").agg(F.sum("v").alias("v")))
-        out = part.groupBy("i", "k").agg(F.sum("v").alias("v"))
-    else:
-        prod = pairs.select("li", "lc", "lv", "rc", "rk", "rw").mapInPandas(_tile_products, _TILE_OUT)
-        out = prod.groupBy("i", "k").agg(F.sum("v").alias("v"))
-    if drop_zeros:
-        out = out.where(F.col("v") != 0)
-    return out.select("i", F.col("k").alias("j"), "v")
+        out = out.groupBy("i", "k", "split").agg(F.sum("v").alias("v"))
+    return _summed(out, drop_zeros)
 
 
 def mm_block_fixed_k(left: DataFrame, right: DataFrame, mb: int, nb: int, *,
@@ -317,61 +321,53 @@ def mm_block_fixed_k(left: DataFrame, right: DataFrame, mb: int, nb: int, *,
 
 
 # --------------------------------------------------------------------- X8
-MAX_DENSE_CELLS = 32_000_000  # 256 MB of doubles broadcast at most
-
-
-def _width(df: DataFrame) -> int:
-    mx = df.agg(F.max("j")).first()[0]
-    return 0 if mx is None else int(mx) + 1
+# Stored cells of a right operand that may be broadcast: three 8-byte arrays,
+# about 100 MB.  Rows and columns of the operand are no more than its cells.
+MAX_DENSE_CELLS = 4_000_000
 
 
-def _in_width(right: DataFrame, n: int) -> DataFrame:
+def _in_width(right: DataFrame, n: int | None) -> DataFrame:
     """Right entries of a declared width: columns outside ``[0, n)`` are not
     part of the operand, whichever plan its width leads to."""
-    return right.where((F.col("j") >= 0) & (F.col("j") < F.lit(n)))
+    kept = right.where(F.col("j") >= 0)
+    return kept if n is None else kept.where(F.col("j") < F.lit(int(n)))
+
+
+def _shared(right: DataFrame, max_cells: int) -> Csr | None:
+    """The right operand as sparse rows in three arrays, or ``None`` if it
+    has more than ``max_cells`` cells.  One run of the operand: at most one
+    row beyond the bound leaves it."""
+    r = (right.groupBy(F.col("i").cast("long").alias("c"), F.col("j").cast("long").alias("k"))
+         .agg(F.sum(F.col("v").cast("double")).alias("w")).limit(max_cells + 1).toArrow())
+    if r.num_rows > max_cells:
+        return None
+    return Csr(*[r.column(x).to_numpy() for x in ("c", "k", "w")])
+
+
+def _times_shared(left: DataFrame, shared: Csr) -> DataFrame:
+    l = left.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("c"),
+                    F.col("v").cast("double").alias("v"))
+    box = left.sparkSession.sparkContext.broadcast(shared)
+    return _summed(l.mapInArrow(broadcast_rows(box), CELLS), drop_zeros=True)
 
 
 def mm_row_dense(left: DataFrame, right: DataFrame, n: int | None = None, *,
                  max_dense_cells: int = MAX_DENSE_CELLS) -> DataFrame:
-    """Sparse rows times a broadcast dense matrix.
-
-    The right operand becomes dense rows ``(inner, ARRAY<DOUBLE>[n])``,
-    broadcast when ``rows x n`` is proven below ``max_dense_cells``; beyond
-    that the dense rows (each still bounded by ``n``) meet the left entries
-    by a shuffle join on the inner index instead.  Each left entry scales
-    its dense row; element sums per ``(i, column)`` give the result, zeros
-    dropped (the reference filters them).
+    """Sparse rows times a broadcast local matrix.
+
+    The right operand is run once; if it has at most ``max_dense_cells``
+    cells, its rows are broadcast as three arrays (row starts, columns,
+    values) without filled-in zeros, and every task adds the products of its
+    left rows up by cell, some hundred thousand entries at a time, before
+    anything is shuffled.  Beyond the bound both operands meet in
+    ``mm_outer``'s shuffle join.  Zeros are dropped (the reference filters
+    them).
     """
-    from tessella.operators.layout import MAX_DENSE_WIDTH
-
-    n = _width(right) if n is None else int(n)
-    if n == 0:
-        return left.sparkSession.createDataFrame([], "i long, j long, v double")
     right = _in_width(right, n)
-    if n > MAX_DENSE_WIDTH:
-        # rows this wide are not dense material: same cells, sparse plan
+    shared = _shared(right, max_dense_cells)
+    if shared is None:
         return mm_outer(left, right, drop_zeros=True)
-    return _row_dense(left, right, n, _dense_fits(right, n, max_dense_cells))
-
-
-def _dense_fits(right: DataFrame, width: int, max_dense_cells: int) -> bool:
-    """Dense rows number at most the distinct inner indices of ``right``."""
-    return rows_at_most(right.select("i").distinct(), max(max_dense_cells // width, 1))
-
-
-def _row_dense(left: DataFrame, right: DataFrame, n: int, broadcast: bool = True) -> DataFrame:
-    from tessella.operators.layout import dense_rows
-
-    dense = dense_rows(right, n).select(F.col("i").alias("c"), "vals")
-    l, _ = _lr(left, right)
-    x = l.join(F.broadcast(dense) if broadcast else dense, "c")
-    # explode first, multiply after: the product stays in generated code
-    # (a higher-order transform over the array would be interpreted)
-    y = (x.select("i", "v", F.posexplode("vals").alias("k", "d"))
-          .where(F.col("d") != 0)
-          .select("i", "k", (F.col("v") * F.col("d")).alias("x")))
-    out = y.groupBy("i", F.col("k").cast("long").alias("k")).agg(F.sum("x").alias("v"))
-    return out.where(F.col("v") != 0).select("i", F.col("k").alias("j"), "v")
+    return _times_shared(left, shared)
 
 
 # --------------------------------------------------------------------- X9
@@ -380,8 +376,7 @@ def mm_matvec(left: DataFrame, column: DataFrame, *,
     """Matrix times one column ``(i, v)``: ``(i, v)`` of non-zero results.
 
     The reference runs one job per right column.  Here a column is one plan;
-    all columns at once is ``mm_inner_broadcast`` written with
-    ``write_coo(by='j')`` (one output folder per column)."""
+    ``mm_matvec_all`` takes all columns of a matrix in one."""
     col = column.groupBy(F.col("i").cast("long").alias("c")).agg(F.sum("v").alias("w"))
     if rows_at_most(col, max_broadcast_rows):
         col = F.broadcast(col)
@@ -390,67 +385,73 @@ def mm_matvec(left: DataFrame, column: DataFrame, *,
     return out.where(F.col("v") != 0)
 
 
+def mm_matvec_all(left: DataFrame, right: DataFrame, *,
+                  max_dense_cells: int = MAX_DENSE_CELLS) -> DataFrame:
+    """Matrix times every column of a matrix, column by column.
+
+    All columns at once while they fit a broadcast together, which reads the
+    left operand once; beyond that ``mm_outer``'s shuffle join.  Non-zero
+    cells ``(i, j, v)``; ``write_columns`` writes a folder per column."""
+    return mm_row_dense(left, right, max_dense_cells=max_dense_cells)
+
+
+def write_columns(left: DataFrame, right: DataFrame, path: str, *, rows_per_file: int = 1_000_000,
+                  max_dense_cells: int = MAX_DENSE_CELLS) -> None:
+    """One folder ``path/j=<column>`` of triples per result column, with at
+    most ``rows_per_file`` rows a file (``write_coo`` spreads the columns)."""
+    from tessella.sources.text import write_coo
+
+    out = mm_matvec_all(left, right, max_dense_cells=max_dense_cells)
+    write_coo(out.withColumn("column", F.col("j")), path, by="column", rows_per_file=rows_per_file)
+
+
 # --------------------------------------------------------------------- X10
 def mm_column_groups(left: DataFrame, right: DataFrame, h: int, n: int | None = None, *,
                      max_dense_cells: int = MAX_DENSE_CELLS) -> DataFrame:
     """Column-group strategy: right columns split by ``j mod h``.
 
-    Group ``g`` holds columns ``g, g + h, ...`` renumbered ``c = j div h``;
-    its dense rows have width ``ceil(n / h)``.  Returns ``(i, j, v, g)``
-    from one plan: the dense rows of all groups, keyed by ``(inner, g)``,
-    are one broadcast when all groups together are proven below
-    ``max_dense_cells`` (else a shuffle join on the inner index), the left
-    operand is read once, and every left entry scales its index's row in
-    each group; ``j = c * h + g``.  To hold only one group's ``1/h`` at a
-    time, as the reference's per-group jobs do, use ``write_column_groups``.
+    Returns ``(i, j, v, g)`` of all groups from one plan that reads the left
+    operand once; the right operand is broadcast whole if it fits
+    (``mm_row_dense``).  To hold only one group's ``1/h`` of it at a time, as
+    the reference's per-group jobs do, use ``write_column_groups``.
     """
-    from tessella.operators.entries import column_groups
-    from tessella.operators.layout import MAX_DENSE_WIDTH, dense_rows
-
-    n = _width(right) if n is None else int(n)
-    width = max(-(-n // h), 1)
-    right = _in_width(right, n)
-    if width > MAX_DENSE_WIDTH:
-        # groups this wide are not dense material: same cells, sparse plan
-        out = mm_outer(left, right, drop_zeros=True)
-        return out.withColumn("g", F.pmod(F.col("j"), F.lit(h)).cast("int"))
-    fits = _dense_fits(right, width * h, max_dense_cells)
-    grouped = column_groups(right, h).select("i", F.col("c").alias("j"), "v", "g")
-    dense = dense_rows(grouped, width, keys=("i", "g")).select(F.col("i").alias("c"), "g", "vals")
-    l, _ = _lr(left, right)
-    x = l.join(F.broadcast(dense) if fits else dense, "c")
-    y = (x.select("i", "g", "v", F.posexplode("vals").alias("k", "d"))
-          .where(F.col("d") != 0)
-          .select("i", "g", "k", (F.col("v") * F.col("d")).alias("x")))
-    out = (y.groupBy("i", "g", (F.col("k") * F.lit(h) + F.col("g")).cast("long").alias("j"))
-            .agg(F.sum("x").alias("v")))
-    return out.where(F.col("v") != 0).select("i", "j", "v", "g")
+    out = mm_row_dense(left, right, n, max_dense_cells=max_dense_cells)
+    return out.withColumn("g", F.pmod(F.col("j"), F.lit(h)).cast("int"))
 
 
 def column_group_products(left: DataFrame, right: DataFrame, h: int, n: int | None = None, *,
                           max_dense_cells: int = MAX_DENSE_CELLS):
-    """Yield ``(g, DataFrame (i, j, v))`` per column group, lazily."""
-    from tessella.operators.entries import column_groups
-    from tessella.operators.layout import MAX_DENSE_WIDTH
+    """Yield ``(g, DataFrame (i, j, v))`` per column group, lazily.
 
-    n = _width(right) if n is None else int(n)
-    width = max(-(-n // h), 1)
-    right = _in_width(right, n)
-    dense = width <= MAX_DENSE_WIDTH          # else the sparse plan, as in mm_column_groups
-    fits = dense and _dense_fits(right, width, max_dense_cells)
-    grouped = column_groups(right, h)
+    Group ``g`` holds columns ``g, g + h, ...`` renumbered ``c = j div h``.
+    Both operands are stored once for all groups.  A group that fits is
+    broadcast and the left rows stay where they are; for larger groups the
+    left operand is dealt once to buckets of its inner index, hub indices
+    counted and salted (``plans.store``), and no group exchanges it again.
+    """
+    from tessella.operators.entries import column_groups, from_column_groups
+
+    l = written(left.select("i", "j", "v"), "groups-left")
+    grouped = written(column_groups(_in_width(right, n), h).select("i", F.col("c").alias("j"), "v", "g"), "groups-right")
+    store: HubStore | None = None
     for g in range(h):
-        sub = grouped.where(F.col("g") == g).select("i", F.col("c").alias("j"), "v")
-        prod = _row_dense(left, sub, width, fits) if dense else mm_outer(left, sub, drop_zeros=True)
-        yield g, prod.select("i", (F.col("j") * F.lit(h) + F.lit(g)).cast("long").alias("j"), "v")
+        sub = grouped.where(F.col("g") == g).select("i", "j", "v")
+        shared = _shared(sub, max_dense_cells)
+        if shared is None:
+            store = store or hub_store(_lr(l, sub)[0], "c", "i")
+            prod = _cells(store.join(_lr(l, sub)[1]), drop_zeros=True)
+        else:
+            prod = _times_shared(l, shared)
+        back = from_column_groups(prod.select("i", F.col("j").alias("c"), "v", F.lit(g).alias("g")), h)
+        yield g, back.select("i", "j", "v")
 
 
 def write_column_groups(left: DataFrame, right: DataFrame, h: int, path: str,
                         n: int | None = None, *, max_dense_cells: int = MAX_DENSE_CELLS) -> None:
     """Column-group product written one group per job into ``path/g=<g>``
     (the layout ``write_coo(by='g')`` makes), so each job broadcasts only
-    ``1/h`` of the dense right operand, as the reference's per-group jobs
-    do."""
+    ``1/h`` of the right operand, as the reference's per-group jobs do, and
+    the left operand's own plan runs once."""
     from tessella.sources.text import write_coo
 
     for g, prod in column_group_products(left, right, h, n, max_dense_cells=max_dense_cells):
@@ -482,5 +483,6 @@ STRATEGIES.update({
     "block": mm_block,
     "block_fixed_k": mm_block_fixed_k,
     "row_dense": mm_row_dense,
+    "matvec": mm_matvec_all,
     "column_groups": mm_column_groups,
 })

@@ -73,11 +73,14 @@ def format_triples(df: DataFrame, sep: str = " ", integer_values: bool = False)
 
 def write_coo(df: DataFrame, path: str, sep: str = " ", by: str | None = None,
               header: str | None = None, mode: str = "errorifexists",
-              integer_values: bool = False) -> None:
+              integer_values: bool = False, rows_per_file: int | None = None) -> None:
     """Entries -> text triples, one ``i j v`` line each (``sep=','`` for
     comma triples).  ``by`` writes one sub-folder per value of that column
-    (per result column or column group).  ``header`` (e.g. ``'m k v'``)
-    writes that first line through the CSV writer instead."""
+    (per result column or column group); rows are brought together by it
+    first, and the adaptive planner cuts a value that is too large for a task
+    by its measured size and joins small ones, so there are about as many
+    files as values.  ``rows_per_file`` bounds a file.  ``header`` (e.g.
+    ``'m k v'``) writes that first line through the CSV writer instead."""
     if header is not None:
         names = header.split(" ")
         out = df.select(F.col("i").alias(names[0]), F.col("j").alias(names[1]),
@@ -85,7 +88,11 @@ def write_coo(df: DataFrame, path: str, sep: str = " ", by: str | None = None,
         out.write.mode(mode).option("sep", sep).option("header", "true").csv(path)
         return
     lines = df.select(triple_line(sep, integer_values).alias("line"), *([F.col(by)] if by else []))
+    if by:
+        lines = lines.hint("rebalance", by)
     w = lines.write.mode(mode)
+    if rows_per_file:
+        w = w.option("maxRecordsPerFile", rows_per_file)
     if by:
         w = w.partitionBy(by)
     w.text(path)
