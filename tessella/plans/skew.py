@@ -61,9 +61,17 @@ def hot_keys(df: DataFrame, on: str | Sequence[str], rows_per_task: int,
 
 
 def _counts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows per key on both sides (``_l``, ``_r``), combined map-side."""
-    sides = (left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
-             .unionAll(right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r"))))
+    """Rows per key on both sides (``_l``, ``_r``), combined map-side.
+
+    Rows are counted by their last column, the value: an operand that is
+    itself an aggregate then has the same exchange here as in the join, and
+    the planner runs it once.  Null values, which make no products, do not
+    count."""
+    def ones(df: DataFrame) -> Column:
+        return F.when(F.col(df.columns[-1]).isNotNull(), 1).otherwise(0)
+
+    sides = (left.select(*keys, ones(left).alias("_l"), F.lit(0).alias("_r"))
+             .unionAll(right.select(*keys, F.lit(0).alias("_l"), ones(right).alias("_r"))))
     return sides.groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
 
 
