@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.matrix import Matrix
 from tessella.operators import entries as EN
 from tessella.operators import generate as GE
 from tessella.operators import graph as GR
@@ -146,8 +147,12 @@ def q_mm_inner_cartesian(spark, d):
     return P.mm_inner_cartesian(TB.nation_order(spark, d), n_on(spark, d))
 
 
+def _nations(spark, d):
+    return TB.table(spark, d, "nation").agg(F.max("n_nationkey")).first()[0] + 1
+
+
 def q_mm_replicate(spark, d):
-    side = TB.table(spark, d, "nation").agg(F.max("n_nationkey")).first()[0] + 1
+    side = _nations(spark, d)
     return P.mm_replicate(TB.nation_order(spark, d), n_on(spark, d), m=side, p=side)
 
 
@@ -183,6 +188,18 @@ def q_mm_matvec(spark, d):
     return P.mm_matvec(m_so(spark, d), vec)
 
 
+def q_mm_matvec_all(spark, d):
+    # every column in one plan, a folder per column
+    path = scratch_path(spark, "columns")
+    P.write_columns(m_so(spark, d), n_on(spark, d), path)
+    return TX.read_coo(spark, path).select("i", "j", "v")
+
+
+def q_mm_replicate_cells(spark, d):
+    side = _nations(spark, d)
+    return P.mm_replicate(TB.nation_order(spark, d), n_on(spark, d), m=side, p=side, grid=(side, side))
+
+
 def q_mm_column_groups(spark, d):
     return P.mm_column_groups(m_so(spark, d), n_on(spark, d), GROUPS)
 
@@ -212,7 +229,45 @@ def q_msbfs_hop_row_dense(spark, d):
     return msbfs(spark, d, "row_dense")
 
 
+# One shape contract: both operands declare less than they hold, and every
+# strategy leaves the same entries out.
+NARROW_COLS = 12           # declared columns of the right operand
+SHAPED = {
+    "outer": {}, "inner_broadcast": {}, "inner_cartesian": {}, "replicate": {}, "cogroup": {},
+    "block": dict(zip(("mb", "kb", "nb"), BLOCK)), "row_dense": {}, "matvec": {}, "column_groups": {"h": GROUPS},
+}
+
+
+def out_of_shape(strategy):
+    def q(spark, d):
+        rows = TB.table(spark, d, "supplier").count() // 2
+        inner = TB.table(spark, d, "orders").count() // 2
+        left, right = Matrix(m_so(spark, d), rows, inner), Matrix(n_on(spark, d), inner, NARROW_COLS)
+        return P.multiply(left, right, strategy, **SHAPED[strategy]).df.select("i", "j", "v")
+    return q
+
+
+_HALF = "(SELECT count(*) // 2 FROM {})"
+SQL_OUT_OF_SHAPE = product_sql(
+    f"SELECT * FROM ({SQL_M_SO}) WHERE i < {_HALF.format('supplier')} AND j < {_HALF.format('orders')}",
+    f"SELECT * FROM ({SQL_N_ON}) WHERE i < {_HALF.format('orders')} AND j < {NARROW_COLS}")
+
+
 # ------------------------------------------------------------ sources / sinks
+def q_scan_coo_ragged(spark, d):
+    # lines with a trailing space or a fourth field are good, and every
+    # supplier adds lines that are not
+    path = scratch_path(spark, "coo-ragged")
+    line = TX.triple_line(integer_values=True)
+    kind = F.pmod(F.xxhash64("i", "j"), F.lit(3))
+    good = m_so(spark, d).select(F.concat(line, F.when(kind == 0, " ").when(kind == 1, " more").otherwise("")).alias("line"))
+    bad = TB.table(spark, d, "supplier").select(F.explode(F.array(
+        F.concat_ws(" ", "s_suppkey", F.lit("x"), F.lit("1.0")), F.col("s_suppkey").cast("string"),
+        F.concat_ws(" ", F.lit("1"), "s_suppkey", F.lit("1,5")))).alias("line"))
+    good.unionByName(bad).write.text(path)
+    return TX.read_coo(spark, path, on_bad="drop")
+
+
 def q_scan_coo(spark, d):
     path = scratch_path(spark, "coo")
     TX.write_coo(m_so(spark, d), path)
@@ -265,16 +320,27 @@ def q_write_by_group(spark, d):
     return TX.read_coo(spark, path).select("i", "j", "v", F.col("g").cast("int").alias("g"))
 
 
-def _cogroup_from_docs(spark, d):
+def _cogroup_from_docs(spark, d, broken: bool = False):
     path = scratch_path(spark, "docs")
     DO.write_docs(m_so(spark, d), n_on(spark, d), path)
-    left, right = DO.split_docs(DO.read_docs(spark, path))
+    if broken:
+        # every supplier adds documents that no operand can take
+        key = F.col("s_suppkey").cast("string")
+        TB.table(spark, d, "supplier").select(F.explode(F.array(
+            F.concat(F.lit('{"i":'), key, F.lit(',"j":1')), F.concat(F.lit('{"i":'), key, F.lit(',"v":1.0}')),
+            F.concat(F.lit('{"i":"'), key, F.lit('x","j":1,"v":2.0}')), F.concat(F.lit('{"j":'), key, F.lit(',"v":2.0}')),
+        )).alias("line")).write.mode("append").text(path)
+    left, right = DO.split_docs(DO.read_docs(spark, path, on_bad="drop" if broken else "error"))
     grouped = P.cogroup_documents(left, right)
     return DO.materialize(grouped, scratch_path(spark, "grouped"))
 
 
-def q_cogroup_lists(spark, d):
-    g = _cogroup_from_docs(spark, d)
+def q_cogroup_lists_bad(spark, d):
+    return q_cogroup_lists(spark, d, broken=True)
+
+
+def q_cogroup_lists(spark, d, broken: bool = False):
+    g = _cogroup_from_docs(spark, d, broken)
     lsum = F.aggregate("left", F.lit(0.0), lambda a, e: a + e["v"])
     rsum = F.aggregate("right", F.lit(0.0), lambda a, e: a + e["w"])
     return g.groupBy(F.col("c").alias("j")).agg(
@@ -384,6 +450,12 @@ def q_dense_ids_buckets(spark, d):
     return GR.dense_ids(GR.vertex_set(edges), ids_per_bucket=257)
 
 
+def q_dense_ids_refined(spark, d):
+    # rough cut points first: ranges that are too full are cut again
+    edges = TB.part_supplier_edges(spark, d)
+    return GR.dense_ids(GR.vertex_set(edges), ids_per_bucket=257, accuracy=4)
+
+
 def q_relabel_edges(spark, d):
     edges = TB.part_supplier_edges(spark, d)
     return GR.relabel_edges(edges, GR.dense_ids(GR.vertex_set(edges)))
@@ -445,7 +517,10 @@ QUERIES: dict[str, QueryFn] = {
     "mm_block_fixed_k": q_mm_block_fixed_k,
     "mm_row_dense": q_mm_row_dense,
     "mm_matvec": q_mm_matvec,
+    "mm_matvec_all": q_mm_matvec_all,
+    "mm_replicate_cells": q_mm_replicate_cells,
     "mm_column_groups": q_mm_column_groups,
+    **{f"mm_{name}_out_of_shape": out_of_shape(name) for name in SHAPED},
     "msbfs_hop": q_msbfs_hop,
     "msbfs_hop_broadcast": q_msbfs_hop_broadcast,
     "msbfs_hop_block": q_msbfs_hop_block,
@@ -454,6 +529,7 @@ QUERIES: dict[str, QueryFn] = {
     # sources and sinks
     "scan_coo": q_scan_coo,
     "scan_coo_header": q_scan_coo_header,
+    "scan_coo_ragged": q_scan_coo_ragged,
     "scan_tagged": q_scan_tagged,
     "scan_edges": q_scan_edges,
     "scan_edges_unweighted": q_scan_edges_unweighted,
@@ -462,6 +538,7 @@ QUERIES: dict[str, QueryFn] = {
     "render_cells": q_render_cells,
     "write_by_group": q_write_by_group,
     "cogroup_lists": q_cogroup_lists,
+    "cogroup_lists_bad": q_cogroup_lists_bad,
     "json_lists": q_json_lists,
     # entry transforms
     "transpose": q_transpose,
@@ -483,6 +560,7 @@ QUERIES: dict[str, QueryFn] = {
     "vertex_set": q_vertex_set,
     "dense_ids": q_dense_ids,
     "dense_ids_buckets": q_dense_ids_buckets,
+    "dense_ids_refined": q_dense_ids_refined,
     "relabel_edges": q_relabel_edges,
     "sample_sources": q_sample_sources,
     "relabel_sources": q_relabel_sources,
@@ -513,6 +591,10 @@ _DOC_SUMMARY = (f"WITH l AS ({SQL_M_SO}), r AS ({SQL_N_ON}), "
 
 ORACLE: dict[str, str] = {
     "mm_outer": product_sql(SQL_M_SO, SQL_N_ON),
+    **{f"mm_{name}_out_of_shape": SQL_OUT_OF_SHAPE for name in SHAPED},
+    "mm_matvec_all": product_sql(SQL_M_SO, SQL_N_ON, nonzero=True),
+    "mm_replicate_cells": product_sql(SQL_M_NO, SQL_N_ON, nonzero=True),
+    "scan_coo_ragged": SQL_M_SO,
     "mm_outer_gram": product_sql(SQL_M_SO, transpose_sql(SQL_M_SO)),
     "mm_outer_salted": product_sql(SQL_M_SO, SQL_N_ON),
     "mm_cogroup_parts": product_sql(SQL_M_SO, SQL_N_ON),
@@ -553,6 +635,7 @@ ORACLE: dict[str, str] = {
     "write_by_group": product_sql(SQL_M_SO, SQL_N_ON, nonzero=True,
                                   select_extra=f", CAST(r.j % {GROUPS} AS INTEGER) AS g"),
     "cogroup_lists": _DOC_SUMMARY,
+    "cogroup_lists_bad": _DOC_SUMMARY,
     "json_lists": (f"SELECT 'L' AS side, j, i AS a, v FROM ({SQL_M_SO}) UNION ALL "
                    f"SELECT 'R' AS side, i AS j, j AS a, v FROM ({SQL_N_ON})"),
     "transpose": transpose_sql(SQL_M_SO),
@@ -583,6 +666,7 @@ ORACLE: dict[str, str] = {
     "vertex_set": f"WITH e AS ({_E}) SELECT src AS id FROM e UNION SELECT dst FROM e",
     "dense_ids": _IDS,
     "dense_ids_buckets": _IDS,
+    "dense_ids_refined": _IDS,
     "relabel_edges": _RELABEL,
     "relabel_edges_salted": _RELABEL,
     "sample_sources": f"WITH {_SRC} SELECT vertex, col FROM src",

@@ -32,8 +32,8 @@ class Matrix:
         return as_entries(self.df)
 
     def validated(self, policy: str = "error") -> "Matrix":
-        """Entries checked against the declared shape (``drop``, ``error``
-        or ``ignore``; see ``operators.entries.validate_shape``)."""
+        """Entries checked against the declared shape (``drop``, ``error``,
+        ``raise`` or ``ignore``; see ``operators.entries.validate_shape``)."""
         from tessella.operators.entries import validate_shape
 
         return Matrix(validate_shape(self.entries(), self.n_rows, self.n_cols, policy),

@@ -43,7 +43,8 @@ def dedupe(df: DataFrame, how: str = "sum", order_col: str | None = None) -> Dat
     every strategy agrees); ``last`` keeps the value with the greatest
     ``order_col`` (the replicate reducer's last-wins map; equal order values
     are broken by the larger value, so retries agree); ``error`` raises if
-    any cell repeats (indexed-row conversion).
+    any cell repeats (indexed-row conversion), now and in a pass of its own;
+    ``raise`` fails in the job that uses the entries and names the cell.
     """
     if how == "sum":
         return df.groupBy("i", "j").agg(F.sum("v").alias("v"))
@@ -56,9 +57,23 @@ def dedupe(df: DataFrame, how: str = "sum", order_col: str | None = None) -> Dat
         if dup.limit(1).count():
             raise ValueError("Found duplicate indices")
         return df.select("i", "j", "v")
+    if how == "raise":
+        once = df.groupBy("i", "j").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("_n"))
+        said = _cell_text("duplicate entry ", "")
+        return once.where(_must(F.col("_n") == 1, said)).select("i", "j", "v")
     raise ValueError(f"unknown dedupe policy {how!r}")
 
 
+def _must(cond, said):
+    """``cond`` as a filter that fails the job where it does not hold."""
+    return F.when(cond, True).otherwise(F.raise_error(said).cast("boolean"))
+
+
+def _cell_text(before: str, after: str):
+    i, j = (F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("i", "j"))
+    return F.concat(F.lit(f"{before}("), i, F.lit(", "), j, F.lit(f"){after}"))
+
+
 def drop_zeros(df: DataFrame) -> DataFrame:
     """Keep stored non-zeros only."""
     return df.where(F.col("v") != 0)
@@ -89,8 +104,10 @@ def validate_shape(df: DataFrame, n_rows: int | None, n_cols: int | None,
     """Apply a declared shape.
 
     ``drop``: silently discard out-of-shape entries (the replicate reducer
-    never visits them); ``error``: raise if any exist (block conversion);
-    ``ignore``: leave entries alone (outer product never looks at shape).
+    never visits them); ``error``: raise if any exist (block conversion), now
+    and in a pass of its own; ``raise``: fail in the job that uses the
+    entries, naming the first one met; ``ignore``: leave entries alone (outer
+    product never looks at shape).
     """
     if policy == "ignore":
         return df
@@ -102,6 +119,8 @@ def validate_shape(df: DataFrame, n_rows: int | None, n_cols: int | None,
             r = bad[0]
             raise ValueError(f"entry ({r['i']}, {r['j']}) out of range for shape ({n_rows}, {n_cols})")
         return df
+    if policy == "raise":
+        return df.where(_must(in_shape(n_rows, n_cols), _cell_text("entry ", f" out of range for shape ({n_rows}, {n_cols})")))
     raise ValueError(f"unknown shape policy {policy!r}")
 
 

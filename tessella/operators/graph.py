@@ -29,23 +29,66 @@ def vertex_set(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
-def dense_ids(vertices: DataFrame, col: str = "id", ids_per_bucket: int = IDS_PER_BUCKET) -> DataFrame:
+ACCURACY = 10_000     # of the first cut points: buckets are off by at most n / ACCURACY
+
+
+def _bucketed(ids: DataFrame, cuts: list[float]) -> DataFrame:
+    """``(id, b)``: the id's range by binary search; bucketing the id's double
+    value is monotone, so bucket order is id order even past 2^53."""
+    from pyspark.ml.feature import Bucketizer
+
+    if not cuts:
+        return ids.select("id", F.lit(0).alias("b"))
+    splits = [float("-inf")] + cuts + [float("inf")]
+    return (Bucketizer(splits=splits, inputCol="_x", outputCol="_b")
+            .transform(ids.withColumn("_x", F.col("id").cast("double")))
+            .select("id", F.col("_b").cast("int").alias("b")))
+
+
+def _quantiles(n: int) -> list[float]:
+    return [q / n for q in range(1, n)]
+
+
+def id_cuts(ids: DataFrame, n: int, ids_per_bucket: int, accuracy: int = ACCURACY) -> list[float]:
+    """Cut points that leave no range with more than ``ids_per_bucket`` of the
+    ``n`` distinct ids, however rough the quantiles are: every range above
+    the bound gets cut points of its own, from its own ids, until none is.
+    The driver sees cut points and the counts of ranges that are too full."""
+    buckets = math.ceil(n / ids_per_bucket)
+    if buckets == 1:
+        return []
+    first = ids.agg(F.percentile_approx("id", _quantiles(buckets), accuracy)).first()[0]
+    cuts = sorted(set(float(c) for c in first))
+    while True:
+        full = (_bucketed(ids, cuts).groupBy("b").agg(F.count(F.lit(1)).alias("nb"))
+                .where(F.col("nb") > ids_per_bucket).collect())
+        if not full:
+            return cuts
+        parts = max(2 * math.ceil(r["nb"] / ids_per_bucket) for r in full)
+        inner = (_bucketed(ids, cuts).where(F.col("b").isin([r["b"] for r in full])).groupBy("b")
+                 .agg(F.percentile_approx("id", _quantiles(parts), max(accuracy, 4 * parts)).alias("c")))
+        more = {float(c) for r in inner.collect() for c in r["c"]} - set(cuts)
+        if not more:      # ids that are one number as doubles stay together
+            return cuts
+        cuts = sorted(set(cuts) | more)
+
+
+def dense_ids(vertices: DataFrame, col: str = "id", ids_per_bucket: int = IDS_PER_BUCKET,
+              accuracy: int = ACCURACY) -> DataFrame:
     """Number distinct ids ``0..n-1`` in ascending numeric order:
     ``(id, dense)``.
 
     A global ``row_number`` would pull every id through one task.  Instead:
-    approximate quantiles give ``B - 1`` cut points, each id gets its range
-    bucket by binary search (``Bucketizer``; bucketing the id's double value
-    is monotone, so bucket order is id order even past 2^53), ids are
-    numbered inside their bucket (about ``n / B`` ids each, one sort per
-    bucket), and every bucket's offset is the count of ids in lower buckets
-    (``B`` rows, broadcast).  Equal to ``dense_rank() - 1``.
-
-    The distinct ids are read three times (count, cut points, numbering), so
+    cut points (``id_cuts``) give ranges of at most ``ids_per_bucket`` ids,
+    each id gets its range by binary search, ids are numbered inside their
+    range (one sort each), and every range's offset is the count of ids in
+    lower ranges (a row per range, broadcast).  Equal to ``dense_rank() - 1``.
+
+    The distinct ids are read several times (count, cut points, numbering), so
     they are checkpointed once to the shared checkpoint folder: one shuffle
-    of the input instead of three, and lineage cut for executor loss.  The
-    numbered table is checkpointed too, since every relabelling join reads it.
-    With at most ``ids_per_bucket`` ids there is one bucket and one sort.
+    of the input, and lineage cut for executor loss.  The numbered table is
+    checkpointed too, since every relabelling join reads it.  With at most
+    ``ids_per_bucket`` ids there is one range and one sort.
     """
     from tessella.session import checkpoint_dir
 
@@ -54,22 +97,13 @@ def dense_ids(vertices: DataFrame, col: str = "id", ids_per_bucket: int = IDS_PE
     n = ids.count()
     if n == 0:
         return ids.withColumn("dense", F.lit(0).cast("long")).limit(0)
-    buckets = max(1, math.ceil(n / ids_per_bucket))
-    if buckets == 1:
-        # one bucket: a single sort, no offsets needed
+    cuts = id_cuts(ids, n, ids_per_bucket, accuracy)
+    if not cuts:
+        # one range: a single sort, no offsets needed
         w = Window.orderBy("id")
         return (ids.select("id", (F.row_number().over(w) - 1).cast("long").alias("dense"))
                    .checkpoint(eager=True))
-    from pyspark.ml.feature import Bucketizer
-
-    probs = [q / buckets for q in range(1, buckets)]
-    cuts = sorted(set(float(c) for c in
-                      ids.agg(F.percentile_approx("id", probs, 10_000)).first()[0]))
-    splits = [float("-inf")] + cuts + [float("inf")]
-    bucketed = (Bucketizer(splits=splits, inputCol="_x", outputCol="_b")
-                .transform(ids.withColumn("_x", F.col("id").cast("double")))
-                .select("id", F.col("_b").cast("int").alias("b"))
-                .repartition("b"))
+    bucketed = _bucketed(ids, cuts).repartition("b")
     counts = bucketed.groupBy("b").agg(F.count(F.lit(1)).alias("nb"))
     offsets = counts.select("b", (F.sum("nb").over(Window.orderBy("b")) - F.col("nb")).alias("off"))
     ranked = bucketed.withColumn("rn", F.row_number().over(Window.partitionBy("b").orderBy("id")))
@@ -102,28 +136,25 @@ def relabel_sources(sources: DataFrame, ids: DataFrame,
     ``(i = dense id, j = col, v = 1.0)``.
 
     A source that is not a known vertex is an error, as the reference's
-    dictionary lookup fails.  A source table proven small is broadcast and
-    looked up in one map-side pass over the id table (no shuffle of it); the
-    result (one row per source) is checkpointed and compared with the source
-    count, raising ``KeyError`` for unknown vertices.  A larger source table
-    is left-joined and a missing id raises inside the job (``raise_error``).
+    dictionary lookup fails: ``KeyError`` from this call, whatever the sizes.
+    A source table proven small is broadcast and looked up in one map-side
+    pass over the id table (no shuffle of it), a larger one is joined by a
+    shuffle; either way the result, one row per known source, is checkpointed
+    and compared with the source count.
     """
+    from tessella.session import checkpoint_dir
+
+    checkpoint_dir(ids.sparkSession)
     s = sources.select(F.col("vertex").cast("long").alias("vertex"), F.col("col").cast("long").alias("col"))
     table = ids.select(F.col("id").alias("vertex"), "dense")
-    if rows_at_most(s, max_broadcast_rows):
-        n_sources = s.count()
-        found = (table.join(F.broadcast(s), "vertex")
-                      .select(F.col("dense").alias("i"), F.col("col").alias("j"), F.lit(1.0).alias("v"))
-                      .checkpoint(eager=True))
-        if found.count() != n_sources:
-            missing = s.join(table, "vertex", "left_anti").limit(5).collect()
-            raise KeyError(f"source vertex without an id: {[r['vertex'] for r in missing]}")
-        return found
-    looked = s.join(table, "vertex", "left")
-    dense = F.when(F.col("dense").isNull(),
-                   F.raise_error(F.concat(F.lit("source vertex without an id: "),
-                                          F.col("vertex").cast("string")))).otherwise(F.col("dense"))
-    return looked.select(dense.cast("long").alias("i"), F.col("col").alias("j"), F.lit(1.0).alias("v"))
+    small = rows_at_most(s, max_broadcast_rows)
+    found = (table.join(F.broadcast(s) if small else s, "vertex")
+                  .select(F.col("dense").alias("i"), F.col("col").alias("j"), F.lit(1.0).alias("v"))
+                  .checkpoint(eager=True))
+    if found.count() != s.count():
+        missing = s.join(table, "vertex", "left_anti").orderBy("vertex").limit(5).collect()
+        raise KeyError("source vertex without an id: " + ", ".join(str(r["vertex"]) for r in missing))
+    return found
 
 
 def seeded_hash(seed: str, *cols) -> F.Column:
@@ -142,14 +173,18 @@ def sample_sources(vertices: DataFrame, c: int = 100, seed: str = "bfs") -> Data
     sample): the ``c`` vertices with the smallest ``md5(seed:pick:id)`` are
     chosen (a top-k, each task keeps only ``c`` rows), and their columns are
     the rank of ``md5(seed:col:id)`` among them, a random permutation of
-    ``0..c-1``.
+    ``0..c-1``.  Fewer than ``c`` distinct vertices fail the job.
     """
     v = vertices.select(F.col("id").cast("long").alias("vertex")).distinct()
     chosen = (v.withColumn("_h", seeded_hash(seed + ":pick", "vertex"))
                .orderBy("_h", "vertex").limit(c).drop("_h"))
-    w = Window.orderBy(seeded_hash(seed + ":col", "vertex"), "vertex")
-    return (chosen.withColumn("col", (F.row_number().over(w) - 1).cast("long"))
-                  .orderBy("vertex"))
+    # one row of at most ``c`` vertices, also when there are none at all
+    order = F.struct(seeded_hash(seed + ":col", "vertex").alias("h"), "vertex")
+    all_ = chosen.agg(F.array_sort(F.collect_list(order)).alias("p"))
+    said = F.concat(F.lit(f"{c} sources asked of "), F.size("p").cast("string"), F.lit(" vertices"))
+    enough = F.when(F.size("p") == c, True).otherwise(F.raise_error(said).cast("boolean"))
+    return (all_.where(enough).select(F.posexplode("p").alias("col", "x"))
+            .select("x.vertex", F.col("col").cast("long").alias("col")).orderBy("vertex"))
 
 
 def adjacency(edges: DataFrame, self_loops: str = "double") -> DataFrame:

@@ -458,22 +458,27 @@ def write_column_groups(left: DataFrame, right: DataFrame, h: int, path: str,
         write_coo(prod, f"{path.rstrip('/')}/g={g}")
 
 
-def multiply(left, right, strategy: str = "outer", **kw):
-    """``Matrix x Matrix -> Matrix``: checks that declared inner sizes agree,
-    passes declared shapes to the strategies that enumerate them
-    (``replicate``: ``m``, ``p``, ``n``) and declares the product's shape."""
+def multiply(left, right, strategy: str = "outer", *, shape: str = "drop", **kw):
+    """``Matrix x Matrix -> Matrix`` with one contract for every strategy.
+
+    Declared inner sizes must agree.  Entries outside the declared shape of
+    their operand (or of negative index) are treated before the product, in
+    its own job: ``shape='drop'`` leaves them out, ``'raise'`` fails and names
+    one, ``'error'`` looks for them now, ``'ignore'`` leaves them to the
+    strategy.  So all strategies return the same cells, up to sums that
+    cancel.  Strategies that enumerate a dimension get it from the declared
+    shapes; the product's shape is declared."""
     from tessella.matrix import Matrix, check_product_shapes
 
     rows, cols = check_product_shapes(left, right)
     if strategy == "replicate":
-        if rows is None or cols is None:
-            raise ValueError("replicate needs declared left rows and right columns")
         kw.setdefault("m", rows)
         kw.setdefault("p", cols)
         kw.setdefault("n", left.n_cols if left.n_cols is not None else right.n_rows)
     if strategy in ("row_dense", "column_groups") and cols is not None:
-        kw.setdefault("n", cols)          # dense width known: no pass to find it
-    return Matrix(mm(left.entries(), right.entries(), strategy, **kw), rows, cols)
+        kw.setdefault("n", cols)
+    a, b = left.validated(shape), right.validated(shape)
+    return Matrix(mm(a.entries(), b.entries(), strategy, **kw), rows, cols)
 
 
 STRATEGIES.update({

@@ -73,9 +73,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never reused folder under the shared checkpoint folder."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tessella-{name}-{uuid.uuid4().hex}"
+    """A fresh, never reused folder under the shared checkpoint folder, in
+    the application's own part of it."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/tessella-{spark.sparkContext.applicationId}"
+
+
+def remove_scratch(spark: SparkSession) -> bool:
+    """Deletes what this application wrote to ``scratch_path`` folders; call it
+    when no result that reads them is needed any more.  Other applications'
+    folders and Spark's own checkpoints stay."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def local_fs_path(path: str) -> str:

@@ -30,8 +30,32 @@ def write_docs(left: DataFrame, right: DataFrame, path: str, mode: str = "errori
     docs_of(left, right).write.mode(mode).json(path)
 
 
-def read_docs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(DOC_SCHEMA).json(path)
+def _checked(df: DataFrame, good, said, on_bad: str, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows where ``good`` holds; others fail the job
+    (``on_bad='error'``) with ``said`` or are left out (``'drop'``).  A row is
+    looked at before any of its columns can be, so that no filter on a column
+    goes to the reader and hides it."""
+    if on_bad not in ("error", "drop"):
+        raise ValueError(f"on_bad must be 'error' or 'drop', not {on_bad!r}")
+    good = F.coalesce(good, F.lit(False))
+    if on_bad == "drop":
+        return df.where(good).select(*columns)
+    whole = F.struct(*columns)
+    error = F.raise_error(F.concat(F.lit("bad document: "), said))
+    return df.select(F.when(good, whole).otherwise(error.cast(df.select(whole.alias("x")).schema["x"].dataType)).alias("_doc")).select(
+        *[F.col("_doc").getField(c).alias(c) for c in columns])
+
+
+def read_docs(spark: SparkSession, path: str, on_bad: str = "error") -> DataFrame:
+    """JSON lines -> ``(i, j, k, v)``.  A document is bad if it does not
+    parse, a field has another type, the inner index or the value is missing,
+    or both outer indices are; checked inside the job that reads it."""
+    schema = T.StructType(list(DOC_SCHEMA) + [T.StructField("_bad", T.StringType(), True)])
+    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path)
+    good = (F.col("_bad").isNull() & F.col("j").isNotNull() & F.col("v").isNotNull()
+            & (F.col("i").isNotNull() | F.col("k").isNotNull()))
+    said = F.coalesce("_bad", F.to_json(F.struct("i", "j", "k", "v")))
+    return _checked(raw, good, said, on_bad, ["i", "j", "k", "v"])
 
 
 def side_predicates(docs: DataFrame):
@@ -64,10 +88,24 @@ def grouped_json(docs: DataFrame) -> DataFrame:
         F.to_json(F.transform("right", lambda e: F.struct(e["k"].alias("k"), e["w"].alias("v")))).alias("k"))
 
 
-def parse_grouped(df: DataFrame) -> DataFrame:
-    """JSON text lists back to arrays of structs (``from_json``)."""
-    return df.select("j", F.from_json("i", LEFT_LIST).alias("left"),
-                     F.from_json("k", RIGHT_LIST).alias("right"))
+def parse_grouped(df: DataFrame, on_bad: str = "error") -> DataFrame:
+    """JSON text lists back to arrays of structs (``from_json``).
+
+    A missing list is an empty one.  A list that does not parse, or holds an
+    element without index or value, makes its document bad; checked inside
+    the job."""
+    out = df.select("j", F.col("i").alias("_i"), F.col("k").alias("_k"),
+                    F.from_json("i", LEFT_LIST).alias("left"), F.from_json("k", RIGHT_LIST).alias("right"))
+
+    def whole(text: str, parsed: str, index: str):
+        return F.col(text).isNull() | F.coalesce(
+            F.forall(parsed, lambda e: e.isNotNull() & e[index].isNotNull() & e["v"].isNotNull()), F.lit(False))
+
+    said = F.to_json(F.struct("j", F.col("_i").alias("i"), F.col("_k").alias("k")))
+    good = F.col("j").isNotNull() & whole("_i", "left", "i") & whole("_k", "right", "k")
+    return _checked(out, good, said, on_bad, ["j", "left", "right"]).select(
+        "j", F.coalesce("left", F.from_json(F.lit("[]"), LEFT_LIST)).alias("left"),
+        F.coalesce("right", F.from_json(F.lit("[]"), RIGHT_LIST)).alias("right"))
 
 
 def cell_docs(df: DataFrame, integer_values: bool = False) -> DataFrame:
