@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import worker_cache
+from tessella.llm.common import Memo, worker_cache
 
-MAX_CONFIGURATIONS = 60_000   # tabled configurations, then the table starts anew
-MAX_WORDS = 200_000            # remembered words per worker, likewise
+# Pieces between white space that a worker remembers, with 3/8 as many words
+# and 1/8 as many tabled configurations (after which the table starts anew):
+# about 300 MB a worker; a job that shares its workers' memory asks for fewer.
+MEMO = 800_000
 OUTPUT_ROWS = 64               # rows of ids handed back at a time
-MAX_PIECES = 500_000           # remembered pieces between white space, likewise
 
 
 class TokenizationAutomaton:
@@ -43,8 +44,8 @@ class TokenizationAutomaton:
     a word, as in ``a</w>``.
     """
 
-    def __init__(self, labels: dict[int, str], merges, suffix: str = ""):
-        self.labels, self.suffix = labels, suffix
+    def __init__(self, labels: dict[int, str], merges, suffix: str = "", configurations: int = MEMO // 8):
+        self.labels, self.suffix, self.most = labels, suffix, max(configurations, 1)
         self.cuts: dict[int, dict[int, int]] = {}      # state of token -> {arc: merge that cut it}
         self.copied: dict[int, tuple[int, int]] = {}   # state of token -> (state copied, when)
         self.left: dict[int, tuple[int, int]] = {}     # arc -> (arc it followed, when added)
@@ -116,7 +117,7 @@ class TokenizationAutomaton:
                 if at not in self.left:
                     break
                 at, limit = self.left[at]
-            if len(self.allowed) > 4 * MAX_CONFIGURATIONS:
+            if len(self.allowed) > 4 * self.most:
                 self.allowed.clear()
             self.allowed[key] = known
         return known
@@ -150,7 +151,7 @@ class TokenizationAutomaton:
         """Token ids of one pre-split word, along the one accepted path."""
         if not word:
             return []
-        if len(self.parts) > MAX_CONFIGURATIONS:
+        if len(self.parts) > self.most:
             self.reset()
         chars = [*word[:-1], word[-1] + self.suffix]
         table, at, seen = self.table, 0, []
@@ -183,7 +184,7 @@ class BpeCodec:
     # Unicode White_Space beyond what str.split() and the file agree on.  [fixed values]
     CONTROLS = "\x1c\x1d\x1e\x1f"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         import re
 
         from tokenizers import Tokenizer
@@ -203,14 +204,13 @@ class BpeCodec:
         self.automaton = TokenizationAutomaton(
             {i: s for i, s in self.labels.items() if i not in specials},
             [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs],
-            model.get("end_of_word_suffix") or "")
+            model.get("end_of_word_suffix") or "", memo // 8)
         self.normalize = tok.normalizer.normalize_str if tok.normalizer else (lambda s: s)
         self.split = tok.pre_tokenizer.pre_tokenize_str
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.gap = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
         self.plain_words = self.plain_splitter(spec)
-        self.pieces: dict[str, str] = {}
-        self.words: dict[str, tuple] = {}
+        self.pieces, self.words = Memo(memo), Memo(memo * 3 // 8)
 
     @staticmethod
     def plain_splitter(spec):
@@ -250,11 +250,10 @@ class BpeCodec:
         return text.split()
 
     def word(self, w: str):
-        got = self.words.get(w)
+        got = self.words.young.get(w) or self.words.get(w)
         if got is None:
-            if len(self.words) >= MAX_WORDS:
-                self.words.clear()
-            got = self.words[w] = tuple(self.automaton.encode_word(w))
+            got = tuple(self.automaton.encode_word(w))
+            self.words.put(w, got)
         return got
 
     def piece_ids(self, piece: str) -> list[int]:
@@ -274,10 +273,10 @@ class BpeCodec:
 
     def rendered(self, piece: str) -> str:
         """Decimal ids of a piece, joined by spaces."""
-        out = " ".join(map(str, self.piece_ids(piece)))
-        if len(self.pieces) >= MAX_PIECES:
-            self.pieces.clear()
-        self.pieces[piece] = out
+        out = self.pieces.get(piece)
+        if out is None:
+            out = " ".join(map(str, self.piece_ids(piece)))
+            self.pieces.put(piece, out)
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -291,19 +290,19 @@ class BpeCodec:
         """(n_tokens, sha256 of the decimal ids, sha256 of the decoded text)."""
         import hashlib
 
-        known, render = self.pieces.get, self.rendered
-        ids = " ".join([g for g in [known(p) or render(p) for p in self.cut_text(text)] if g])
+        known, render = self.pieces.young, self.rendered      # the young generation, as of now
+        ids = " ".join([g for g in [known.get(p) or render(p) for p in self.cut_text(text)] if g])
         each = ids.split()
         decoded = " ".join(map(self.label_of.__getitem__, each))
         return (len(each), hashlib.sha256(ids.encode()).hexdigest(),
                 hashlib.sha256(decoded.encode()).hexdigest())
 
 
-def _codec(path: str) -> BpeCodec:
-    return worker_cache(f"bpe:{path}", lambda: BpeCodec(path))
+def _codec(path: str, memo: int) -> BpeCodec:
+    return worker_cache(f"bpe:{memo}:{path}", lambda: BpeCodec(path, memo))
 
 
-def encode_digests(docs: DataFrame, path: str) -> DataFrame:
+def encode_digests(docs: DataFrame, path: str, memo: int = MEMO) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` per row.
 
     Null and empty texts have no tokens and the digests of the empty string;
@@ -314,7 +313,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"))
 
     def run(batches):
-        codec = _codec(path)
+        codec = _codec(path, memo)
         for b in batches:
             got = [codec.digest(t) for t in b.column(1).to_pylist()]
             n, i, d = zip(*got) if got else ((), (), ())
@@ -326,7 +325,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, memo: int = MEMO) -> DataFrame:
     """All columns of ``docs`` but ``text``, plus ``ids array<int>`` and
     ``decoded string``: the training form of every row.  A column of ``docs``
     with one of these names is replaced."""
@@ -336,7 +335,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep])
 
     def run(batches):
-        codec = _codec(path)
+        codec = _codec(path, memo)
         for b in batches:
             for lo in range(0, b.num_rows, OUTPUT_ROWS):      # bounded output batches
                 part = b.slice(lo, OUTPUT_ROWS)

@@ -63,11 +63,43 @@ def worker_cache(name: str, make):
     another one frees the last one's memory."""
     store = sys.__dict__.setdefault("_tessella_worker_cache", {})
     if name not in store:
+        worker_release()
+        store[name] = make()
+    return store[name]
+
+
+def worker_release() -> None:
+    """Frees what earlier jobs kept in this worker process; tasks that keep
+    nothing themselves call it first."""
+    store = sys.__dict__.get("_tessella_worker_cache")
+    if store:
         store.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
-        store[name] = make()
-    return store[name]
+
+
+class Memo:
+    """A bounded memo in two generations: when the young one holds half of
+    ``size`` entries it becomes the old one, and what is asked for again
+    moves back, so half of the entries go at a time, the unused half."""
+
+    def __init__(self, size: int):
+        self.half = max(size // 2, 1)
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
 
 
 def id_bounds(ids: DataFrame, n: int) -> list[int]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, text_bytes
+from tessella.llm.common import cut, text_bytes, worker_release
 from tessella.llm.components import connected_components, union_find
 
 BITS = 64
@@ -70,6 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id",
     def run(batches):
         import numpy as np
 
+        worker_release()
         for b in batches:
             fp = np.fromiter((text_fingerprint(t, shingle) for t in b.column(2).to_pylist()),
                              np.uint64, b.num_rows)

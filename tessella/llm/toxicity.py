@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import text_bytes, worker_cache, written
+from tessella.llm.common import text_bytes, worker_release, written
 
 SAMPLE = 10_000     # labelled documents used for fitting at most: bounds the fitting task
 FEATURES = 512      # features kept
@@ -131,6 +131,7 @@ def chosen_features(rows: DataFrame, ys: list[str], n_features: int = FEATURES)
     most about a label, by chi-square, in order of their bytes.  ``rows``:
     ``(t, y0, y1, ...)``."""
     def count(batches):
+        worker_release()
         found: dict[bytes, list[int]] = {}
 
         def flush():
@@ -195,6 +196,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, chain=CHAIN,
     features = chosen_features(rows.select("t", *ys), ys)
 
     def find(batches):
+        worker_release()
         index, starts = index_of(features)
         for b in batches:
             hits = [hits_of(t, index, starts) for t in b.column(0).to_pylist()]
@@ -205,7 +207,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, chain=CHAIN,
                 ["at", "often", "n", "fold", "doc_id", *ys])
 
     def run(batches):
-        worker_cache("toxicity", dict)        # frees what an earlier job kept
+        worker_release()
         got = [b for b in batches if b.num_rows]
         if got:
             t = pa.Table.from_batches(got).sort_by("doc_id")
@@ -257,6 +259,7 @@ def score(docs: DataFrame, model: dict | None, chain=CHAIN) -> DataFrame:
                        text_bytes("text").alias("t"))
 
     def run(batches):
+        worker_release()
         chain_of = scorer(model, len(names))
         for b in batches:
             out = [chain_of(t) for t in b.column(2).to_pylist()]
@@ -274,7 +277,7 @@ def without_toxic(docs: DataFrame, model: dict | None, chain=CHAIN) -> DataFrame
     place = docs.columns.index("text")
 
     def run(batches):
-        worker_cache("toxicity", dict)
+        worker_release()
         chain_of = scorer(model, len(chain))
         for b in batches:
             for lo in range(0, b.num_rows, 1024):

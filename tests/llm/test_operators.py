@@ -93,6 +93,27 @@ def test_trie_join_finds_every_pair_of_random_values():
     assert got == {(i, j) for i, j in zip(*np.nonzero(d <= 3)) if i < j}
 
 
+def test_memo_drops_the_unused_half():
+    from tessella.llm.common import Memo
+
+    memo = Memo(8)
+    for k in range(20):
+        memo.put(k, str(k))
+        assert memo.get(0) in ("0", None) and memo.get(k) == str(k)
+        assert len(memo.young) + len(memo.old) <= 8
+    memo = Memo(8)
+    for k in range(100):
+        memo.put(k, k + 1)
+        assert k == 0 or memo.get(0) == 1         # what is asked for stays
+
+
+def test_tokens_do_not_depend_on_the_memo(texts):
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    large, small = bpe_automaton.BpeCodec(path), bpe_automaton.BpeCodec(path, 16)
+    for t in texts * 2:
+        assert small.encode(t or "") == large.encode(t or "") and small.digest(t or "") == large.digest(t or "")
+
+
 def test_components(spark):
     e = spark.createDataFrame([(9, 8), (8, 7), (7, 3), (5, 5), (20, 30), (30, 20), (None, 4)], "a long, b long")
     got = {r.node: r.root for r in components.connected_components(spark, e).collect()}
