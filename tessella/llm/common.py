@@ -29,7 +29,17 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     later plans start from files that survive the loss of any executor."""
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_path = path
+    return back
+
+
+def discard(spark: SparkSession, table: DataFrame) -> None:
+    """Deletes the files of a ``written`` table.  Only for a table whose last
+    reader has itself been written: nothing can ask for it again."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table.written_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:

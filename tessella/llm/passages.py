@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import text_bytes, worker_cache, written
+from tessella.llm.common import discard, text_bytes, worker_cache, written
 
 K, WINDOW = 5, 8
 MIN_WORDS = 50
@@ -130,9 +130,25 @@ def seeds_of(x, lengths, k: int, window: int):
     return mer[i], at[i], i
 
 
-def seeds(texts: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """``(seed, doc, h, pos)``: kept k-word shingles and their first word's
-    number."""
+def contexts(x, lengths, at, i, min_words: int):
+    """``(start, hash)`` of the ``min_words`` words around each place ``i`` of
+    texts ``at``, moved to stay inside the text; the place in them is part of
+    the hash, which is 0 in shorter texts."""
+    import numpy as np
+
+    starts = np.cumsum(lengths) - lengths
+    last = (starts + lengths)[at] - min_words
+    begin = np.maximum(np.minimum(i - min_words // 2, last), starts[at])
+    mer = shingles(x, min_words)
+    if not len(mer):
+        return begin, np.zeros(len(i), np.uint64)
+    h = mer[np.minimum(begin, len(mer) - 1)] + np.uint64(0x9E3779B97F4A7C15) * (i - begin).astype(np.uint64)
+    return begin, np.where(last >= starts[at], h | np.uint64(1), np.uint64(0))
+
+
+def seeds(texts: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+    """``(seed, doc, h, pos, ctx)``: kept k-word shingles, their first word's
+    number and the hash of the ``min_words`` words around."""
 
     def run(batches):
         import numpy as np
@@ -143,23 +159,34 @@ def seeds(texts: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
                 x, lengths = word_hashes(part.column(2).to_pylist())
                 mer, at, i = seeds_of(x, lengths, k, window)
                 starts = np.cumsum(lengths) - lengths
+                _, ctx = contexts(x, lengths, at, i, min_words)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(mer.view(np.int64)), part.column(0).take(pa.array(at)),
-                     part.column(1).take(pa.array(at)), pa.array((i - starts[at]).astype(np.int32))],
-                    ["seed", "doc", "h", "pos"])
+                     part.column(1).take(pa.array(at)), pa.array((i - starts[at]).astype(np.int32)),
+                     pa.array(ctx.view(np.int64))],
+                    ["seed", "doc", "h", "pos", "ctx"])
 
-    return texts.mapInArrow(run, "seed long, doc long, h long, pos int")
+    return texts.mapInArrow(run, "seed long, doc long, h long, pos int, ctx long")
 
 
-def stretches(texts: DataFrame, found: DataFrame, min_words: int, k: int = K, window: int = WINDOW) -> DataFrame:
+def stretches(texts: DataFrame, placed: DataFrame, min_words: int, k: int = K, window: int = WINDOW) -> DataFrame:
     """``(hash, doc, h, pos, before, after)``: every ``min_words`` words in a
     row that hold no seed of fewer than three documents, and hashes of the
     words next to them (0: none).  The others meet all documents that have
     them by such a seed.  Only seeds that depend on none but these words
-    count, so that equal stretches are treated alike."""
-    docs_of = found.select("seed", "doc", "h").distinct().groupBy("seed").count()
-    often = (found.join(docs_of.where("count > 2").select("seed"), "seed")
-             .groupBy("doc", "h").agg(F.collect_list("pos").alias("often")))
+    count, so that equal stretches are treated alike.
+
+    Left out are stretches that meet the first document that has them by
+    their seeds already: those whose seeds occur first at this very place
+    (all others that have them are matched to it), and those inside words
+    that stand unchanged around the first occurrences of a row of seeds in
+    one document.
+    """
+    own = (F.col("head.doc") == F.col("doc")) & (F.col("head.h") == F.col("h")) & (F.col("head.pos") == F.col("pos"))
+    same = (F.col("ctx") == F.col("head.ctx")) & (F.col("ctx") != 0)
+    line = F.xxhash64("head.doc", "head.h", F.col("head.pos") - F.col("pos")).bitwiseOR(F.lit(2))
+    often = placed.where("common").groupBy("doc", "h").agg(F.collect_list(F.struct(
+        "pos", F.when(own, F.lit(1)).when(same, line).otherwise(F.lit(0)).cast("long").alias("line"))).alias("often"))
 
     def run(batches):
         import numpy as np
@@ -169,18 +196,47 @@ def stretches(texts: DataFrame, found: DataFrame, min_words: int, k: int = K, wi
                 part = b.slice(lo, 128)
                 x, lengths = word_hashes(part.column(2).to_pylist())
                 starts = np.cumsum(lengths) - lengths
-                _, at, i = seeds_of(x, lengths, k, window)
-                common = np.zeros(len(x), bool)
-                common[np.concatenate([np.array(p, np.int64) + s for p, s in zip(part.column(3).to_pylist(), starts)])] = True
-                rare = np.zeros(len(x) + 1, np.int64)
-                rare[i[~common[i]] + 1] = 1
-                rare = np.cumsum(rare)                    # rare seeds before a place
+                seed, at, i = seeds_of(x, lengths, k, window)
+                lists = part.column(3)
+                told = lists.flatten()
+                of_told = np.repeat(np.arange(len(lengths)), lists.value_lengths().to_numpy())
+                places = told.field("pos").to_numpy().astype(np.int64) + starts[of_told]
+                common, lines = np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+                common[places], lines[places] = True, told.field("line").to_numpy()
                 mer = shingles(x, min_words)
                 w = np.arange(len(mer))
                 of = np.repeat(np.arange(len(lengths)), lengths)[:len(mer)]
                 inner = max(window - 1, min_words - k - window + 2)
-                w = w[(w + min_words <= (starts + lengths)[of]) & (rare[w + inner] == rare[w + window - 1])]
-                of = of[w]
+
+                def upto(marked):                         # marked seeds before a place
+                    out = np.zeros(len(x) + 1, np.int64)
+                    out[i[marked] + 1] = 1
+                    return np.cumsum(out)
+
+                # of a row of equal seeds, whose ends other words can move, none
+                # counts as this document's own
+                twin = (seed[1:] == seed[:-1]) & (at[1:] == at[:-1])
+                alone = ~(np.append(twin, False) | np.append(False, twin)) if len(i) else np.zeros(0, bool)
+                rare, first_here, any_ = upto(~common[i]), upto((lines[i] == 1) & alone), upto(np.ones(len(i), bool))
+                # rows of seeds on one line: what stands around them is covered
+                line_of = lines[i]
+                begin, _ = contexts(x, lengths, at, i, min_words)
+                new = np.append(True, (line_of[1:] != line_of[:-1]) | (at[1:] != at[:-1])
+                                | (begin[1:] - begin[:-1] > min_words)) if len(i) else np.zeros(0, bool)
+                first = np.flatnonzero(new)
+                end = np.append(first[1:], len(i)) - 1
+                kept = (line_of[first] & 2) != 0 if len(i) else np.zeros(0, bool)
+                cover = np.zeros(len(x) + 2, np.int64)
+                np.add.at(cover, begin[first[kept]], 1)
+                np.add.at(cover, begin[end[kept]] + 1, -1)
+                covered = np.cumsum(cover)[:len(mer)] > 0
+                inside = w + min_words <= (starts + lengths)[of]
+                w, of, covered = w[inside], of[inside], covered[inside]
+                at_first, at_last = w + window - 1, w + inner
+                n_seeds = any_[at_last] - any_[at_first]
+                known = (n_seeds > 0) & (first_here[at_last] - first_here[at_first] == n_seeds)
+                wanted = (rare[at_last] == rare[at_first]) & ~covered & ~known
+                w, of = w[wanted], of[wanted]
                 y = np.concatenate(([0], x, [0])).astype(np.uint64).view(np.int64)
                 before = np.where(w > starts[of], y[w], 0)
                 after = np.where(w + min_words < (starts + lengths)[of], y[w + min_words + 1], 0)
@@ -208,38 +264,40 @@ def whole_matches(stretch: DataFrame, min_words: int) -> DataFrame:
                     F.col("m.pos").alias("pos2")))
 
 
-def matches(spark: SparkSession, found: DataFrame, n_docs: int) -> DataFrame:
-    """``(doc, h, pos, doc2, h2, pos2)``: occurrence and earlier occurrence.
-    Seeds of a share of all documents are dealt to ``SALTS`` tasks each;
-    their first occurrences are joined once more."""
+def places(found: DataFrame, n_docs: int) -> DataFrame:
+    """``(seed, salt, doc, h, pos, ctx, head, prev, common)``: every
+    occurrence with the first and the previous one of its seed, and whether
+    three or more documents have it.  Seeds of a share of all documents are
+    dealt to ``SALTS`` tasks each (salt 0 and up; others: -1); their first
+    occurrence is found beforehand, the previous one inside the salt."""
     # seeds in at least HOT_SHARE of the documents, told by a sample of them;
     # at most (seeds per document / HOT_SHARE) rows; only places work, not results
     least = max(HOT_ROWS, HOT_SHARE * n_docs) / SAMPLE
-    hot = F.broadcast(found.where(F.pmod("h", F.lit(SAMPLE)) == 0).groupBy("seed").count()
-                      .where(F.col("count") >= least).select("seed", F.lit(True).alias("hot")))
+    often = F.broadcast(found.where(F.pmod("h", F.lit(SAMPLE)) == 0).groupBy("seed").count()
+                        .where(F.col("count") >= least).select("seed"))
+    here = F.struct("doc", "h", "pos", "ctx")
+    hot = F.broadcast(found.join(often, "seed").groupBy("seed").agg(F.min(here).alias("top")))
     dealt = (found.join(hot, "seed", "left")
-             .withColumn("salt", F.when(F.col("hot"), F.pmod(F.shiftright("h", 8), F.lit(SALTS))).otherwise(-1)))
-    here = F.struct("doc", "h", "pos")
+             .withColumn("salt", F.when(F.col("top").isNotNull(), F.pmod(F.shiftright("h", 8), F.lit(SALTS))).otherwise(-1)))
     w = Window.partitionBy("seed", "salt").orderBy("doc", "h", "pos")
-    both = (dealt.select("seed", "salt", "doc", "h", "pos", F.first(here).over(w).alias("head"),
-                         F.lag(here).over(w).alias("prev"))
-            .where(F.col("prev").isNotNull() | (F.col("salt") >= 0)))
+    placed = dealt.select("seed", "salt", "doc", "h", "pos", "ctx", F.coalesce("top", F.first(here).over(w)).alias("head"),
+                          F.lag(F.struct("doc", "h", "pos")).over(w).alias("prev"))
+    new = F.col("prev").isNull() | (F.col("prev.doc") != F.col("doc")) | (F.col("prev.h") != F.col("h"))
+    docs = F.sum(new.cast("int")).over(Window.partitionBy("seed", "salt"))
+    return placed.withColumn("common", (F.col("salt") >= 0) | (docs > 2))
 
+
+def matches(placed: DataFrame) -> DataFrame:
+    """``(doc, h, pos, doc2, h2, pos2)``: occurrence and earlier occurrence."""
     def other(x):
         return F.col(x).isNotNull() & ((F.col(f"{x}.doc") != F.col("doc")) | (F.col(f"{x}.h") != F.col("h")))
 
-    def to(df, x):
-        return df.where(other(x)).select("doc", "h", "pos", F.col(f"{x}.doc").alias("doc2"),
-                                         F.col(f"{x}.h").alias("h2"), F.col(f"{x}.pos").alias("pos2"))
-
-    both = both.withColumn("far", F.when((F.col("prev.doc") != F.col("head.doc")) | (F.col("prev.h") != F.col("head.h")),
-                                         F.col("prev")))
-    ends = F.filter(F.array("head", "far"), lambda x: x.isNotNull())
-    near = both.select("doc", "h", "pos", F.explode(ends).alias("m"))
-    heads = both.where("prev is null and salt >= 0").select("seed", "doc", "h", "pos")
-    first = Window.partitionBy("seed").orderBy("doc", "h", "pos")      # at most SALTS rows
-    tops = heads.select("doc", "h", "pos", F.first(here).over(first).alias("m"))
-    return to(near.unionByName(tops), "m")
+    here = F.struct("head.doc", "head.h", "head.pos")
+    apart = (F.col("prev.doc") != F.col("head.doc")) | (F.col("prev.h") != F.col("head.h"))
+    ends = F.filter(F.array(here, F.when(apart, F.col("prev"))), lambda x: x.isNotNull())
+    near = placed.select("doc", "h", "pos", F.explode(ends).alias("m"))
+    return near.where(other("m")).select("doc", "h", "pos", F.col("m.doc").alias("doc2"), F.col("m.h").alias("h2"),
+                                         F.col("m.pos").alias("pos2"))
 
 
 def chains(pairs: list[tuple[int, int]], k: int = K) -> list[list[tuple[int, int]]]:
@@ -506,16 +564,19 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
     lone = rows if unique else (
         rows.join(firsts.where("n > 1").select("h", "first"), "h", "left")
         .where("first is null or doc = first").select("doc", "h", "t").dropDuplicates(["doc", "h"]))
-    found = written(spark, seeds(lone), "seeds")
+    found = written(spark, seeds(lone, min_words=min_words), "seeds")
     n_docs = firsts.count()
-    whole = whole_matches(stretches(lone, found, min_words), min_words)
-    pairs = (matches(spark, found, n_docs).unionByName(whole).groupBy("doc", "h", "doc2", "h2")
+    placed = places(found, n_docs)
+    whole = whole_matches(stretches(lone, placed, min_words), min_words)
+    pairs = (matches(placed).unionByName(whole).groupBy("doc", "h", "doc2", "h2")
              .agg(F.collect_list(F.struct("pos", "pos2")).alias("m")))
     pairs = written(spark, pairs, "pairs")
+    discard(spark, found)
     texts = rows.select("doc", "h", "t")
     if not unique:
         texts = texts.dropDuplicates(["doc", "h"])
-    pairs = written(spark, promising(pairs, texts, min_words, identity), "promising")
+    all_pairs, pairs = pairs, written(spark, promising(pairs, texts, min_words, identity), "promising")
+    discard(spark, all_pairs)
     later = pairs.join(texts, ["doc", "h"])
     both = later.join(texts.select(F.col("doc").alias("doc2"), F.col("h").alias("h2"), F.col("t").alias("t2")),
                       ["doc2", "h2"]).select("doc", "h", "doc2", "m", "t", "t2")
@@ -537,6 +598,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
         run, "doc long, h long, start long, end long, doc2 long, start2 long, end2 long, equal long, columns long"),
         "spans")
     size = F.size(F.filter(F.split(F.col("t").cast("string"), r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long")
+    discard(spark, pairs)
     copies = rows.select("doc", "h", size.alias("n_words")).join(firsts, "h").select("doc", "h", "first", "n_words")
     return copies, spans
 
