@@ -114,12 +114,13 @@ class Memo:
 
 def id_bounds(ids: DataFrame, n: int) -> list[int]:
     """At most ``n - 1`` values of ``doc_id`` that cut the rows into ``n``
-    ranges of about equal size; reads the id column only."""
+    ranges of about equal size; reads the id column only.  All are above the
+    smallest id, so no range is empty."""
     if n <= 1:
         return []
     share = ", ".join(repr(k / n) for k in range(1, n))
-    got = ids.select(F.expr(f"percentile_approx(doc_id, array({share}), {max(10_000, 20 * n)})").alias("q"))
-    return sorted(set(got.first()["q"] or []))
+    got = ids.select(F.expr(f"percentile_approx(doc_id, array({share}), {max(10_000, 20 * n)})").alias("q"), F.min("doc_id").alias("least")).first()
+    return sorted({q for q in got["q"] or [] if q > got["least"]})
 
 
 def range_of(bounds: list[int]):

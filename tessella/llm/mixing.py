@@ -71,11 +71,17 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = SHARE,
         "source", "sid", "weight", "source_size", "target", "lo", "hi")
 
 
+def point_of(slot: str):
+    """``slot * GOLDEN mod 2^32`` in two halves of 16 bits, so that no slot
+    number is too large for it."""
+    low, high = f"({slot} & 65535)", f"(shiftright({slot}, 16) & 65535)"
+    return F.expr(f"pmod(pmod({high} * {GOLDEN}L, 65536L) * 65536L + {low} * {GOLDEN}L, {TURN}L)")
+
+
 def schedule(spark: SparkSession, targets: DataFrame, n_slots: int, n_sources: int) -> DataFrame:
     """``(slot, sid, rank)`` of every slot: golden-ratio points through the
     cumulative shares, slots ranked per source in schedule order."""
-    slots = spark.range(1, n_slots + 1).select(
-        F.col("id").alias("slot"), F.expr(f"pmod(id * {GOLDEN}, {TURN})").alias("point"))
+    slots = spark.range(1, n_slots + 1).select(F.col("id").alias("slot"), point_of("id").alias("point"))
     slots = slots.withColumn("coarse", F.shiftright("point", COARSE_BITS))
     pieces = (targets.where("hi > lo").select(
         "sid", "lo", "hi", F.explode(F.sequence(F.shiftright("lo", COARSE_BITS),
@@ -171,28 +177,27 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, weights=(5, 2, 1),
     that reaches it.  A pass that ends inside a document takes its first
     words, joined by one space; whole copies keep their text as it is.
     Copies of one document share its ``doc_id``."""
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])      # whatever their names
+    base = docs.select(row.alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("src"),
+                       word_count(F.col("text")).alias("size"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
     # repeated rows (same id, source, text) are told apart by their number
-    number = F.row_number().over(Window.partitionBy("__id", "__src", "__size").orderBy("__key"))
-    base = (docs.withColumn("__id", F.col("doc_id")).withColumn("__src", F.col("source"))
-            .withColumn("__size", word_count(F.col("text"))).withColumn("__key", key)
-            .withColumn("__n", number))
+    base = base.withColumn("n", F.row_number().over(Window.partitionBy("id", "src", "size").orderBy("key")))
     took = mix(spark, docs, weights, share, block).where("taken > 0")
     took = (took.withColumn("n2", F.row_number().over(
         Window.partitionBy("doc_id", "source", "size").orderBy("start")))
         .select(F.col("doc_id").alias("d2"), F.col("source").alias("s2"),
                 F.col("size").alias("z2"), "n2", "taken"))
-    both = base.join(took, F.col("__id").eqNullSafe(F.col("d2")) & F.col("__src").eqNullSafe(F.col("s2"))
-                     & (F.col("__size") == F.col("z2")) & (F.col("__n") == F.col("n2")))
-    passes = both.withColumn("__take", F.explode(F.expr(
-        "filter(array(least(taken, __size), taken - __size), x -> x > 0)")))
-    cut_text = F.array_join(F.slice(words_column(F.col("text")), 1, F.col("__take").cast("int")), " ")
-    out = passes.withColumn("text", F.when(F.col("__take") == F.col("__size"), F.col("text")).otherwise(cut_text))
+    both = base.join(took, F.col("id").eqNullSafe(F.col("d2")) & F.col("src").eqNullSafe(F.col("s2"))
+                     & (F.col("size") == F.col("z2")) & (F.col("n") == F.col("n2")))
+    passes = both.withColumn("take", F.explode(F.expr(
+        "filter(array(least(taken, size), taken - size), x -> x > 0)")))
+    cut_text = F.array_join(F.slice(words_column(F.col("row.text")), 1, F.col("take").cast("int")), " ")
+    whole = F.col("take") == F.col("size")
+    out = F.col("row").withField("text", F.when(whole, F.col("row.text")).otherwise(cut_text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(
-            F.col("__take") == F.col("__size"), F.col("n_chars")).otherwise(
-            F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withField("n_chars", F.when(whole, F.col("row.n_chars")).otherwise(
+            F.char_length(cut_text)).cast(docs.schema["n_chars"].dataType))
+    return passes.select(out.alias("row")).select("row.*")
 
 
 def oracle(weights=(5, 2, 1), share: float = SHARE, block: int = BLOCK) -> str:

@@ -652,21 +652,23 @@ def without_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN_
     between them stays as it is.  Rows that lose all their words go; rows
     that lose none are untouched.  ``n_chars`` follows the text."""
     _, spans = repeated_passages(spark, docs, min_words, identity)
-    base = (docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-            .withColumn("__h", F.xxhash64(F.lit(3), F.coalesce(F.col("text"), F.lit("")))))
-    m = merged_spans(spans).select(F.col("doc").alias("__doc"), F.col("h").alias("__h"), F.col("cuts").alias("__cuts"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])      # whatever their names
+    base = docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
+                       F.xxhash64(F.lit(3), F.coalesce(F.col("text"), F.lit(""))).alias("h"))
+    m = merged_spans(spans).select("doc", "h", "cuts")
     # copies by id and hash alone, then one join that moves the texts
-    ids = base.select("__doc", "__h")
-    copied = ids.groupBy("__h").agg(F.min("__doc").alias("__first"), F.count("*").alias("__n")).where("__n > 1")
-    again = (ids.join(copied, "__h").groupBy("__doc", "__h", "__first").agg(F.count("*").alias("__same")))
-    facts = written(spark, m.join(again, ["__doc", "__h"], "full"), "cuts")
-    joined = base.join(facts, ["__doc", "__h"], "left")
-    words = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != ""))
-    long_copy = F.when(F.col("__first").isNotNull(), words >= min_words).otherwise(False)
-    kept = joined.where(~long_copy | (F.col("__doc") == F.col("__first")))
-    if not facts.where("__same > 1").isEmpty():       # the same id and text more than once
-        kept = (kept.withColumn("__number", F.row_number().over(Window.partitionBy("__doc", "__h").orderBy(F.lit(0))))
-                .where(~long_copy | (F.col("__number") == 1)))
+    ids = base.select("doc", "h")
+    copied = ids.groupBy("h").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = (ids.join(copied, "h").groupBy("doc", "h", "first").agg(F.count("*").alias("same")))
+    facts = written(spark, m.join(again, ["doc", "h"], "full"), "cuts")
+    joined = base.join(facts, ["doc", "h"], "left")
+    text = F.col("row.text")
+    words = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != ""))
+    long_copy = F.when(F.col("first").isNotNull(), words >= min_words).otherwise(False)
+    kept = joined.where(~long_copy | (F.col("doc") == F.col("first")))
+    if not facts.where("same > 1").isEmpty():       # the same id and text more than once
+        kept = (kept.withColumn("number", F.row_number().over(Window.partitionBy("doc", "h").orderBy(F.lit(0))))
+                .where(~long_copy | (F.col("number") == 1)))
 
     @F.pandas_udf("string")
     def cut(text, cuts):
@@ -688,11 +690,11 @@ def without_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN_
 
         return pd.Series(out)
 
-    touched = F.col("__cuts").isNotNull()
-    out = kept.withColumn("__less", cut(F.when(touched, F.col("text")), F.col("__cuts")))
-    out = out.where(~touched | F.col("__less").rlike(r"[^\x20\x09-\x0D]"))
-    out = out.withColumn("text", F.when(touched, F.col("__less")).otherwise(F.col("text")))
+    touched = F.col("cuts").isNotNull()
+    out = kept.select("row", "cuts", cut(F.when(touched, text), F.col("cuts")).alias("less"))
+    out = out.where(~touched | F.col("less").rlike(r"[^\x20\x09-\x0D]"))
+    done = F.col("row").withField("text", F.when(touched, F.col("less")).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(touched, F.char_length("text").cast(
-            docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        done = done.withField("n_chars", F.when(touched, F.char_length("less").cast(
+            docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return out.select(done.alias("row")).select("row.*")

@@ -250,9 +250,10 @@ def keep_one_per_component(spark: SparkSession, docs: DataFrame, shingle: int =
     last).  Exact repeats of a kept row are dropped too."""
     comp = simhash_components(spark, docs, shingle, budget)
     stay = (comp.groupBy("component_fp")
-            .agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("__id"),
-                                F.col("text_key").alias("__key"))).alias("s")).select("s.*"))
-    keyed = (docs.withColumn("__id", F.coalesce(F.col("doc_id"), F.lit(NO_ID)))
-             .withColumn("__key", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
-    kept = keyed.join(stay, ["__id", "__key"], "left_semi")
-    return kept.dropDuplicates(["__id", "__key"]).select(*docs.columns)
+            .agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("id"),
+                                F.col("text_key").alias("key"))).alias("s")).select("s.*"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])      # whatever their names
+    keyed = docs.select(row.alias("row"), F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("id"),
+                        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
+    kept = keyed.join(stay, ["id", "key"], "left_semi")
+    return kept.dropDuplicates(["id", "key"]).select("row.*")
