@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import sys
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +35,26 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def bucketed(spark: SparkSession, df: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, in as many buckets of ``keys``
+    as there are shuffle partitions: joins on the keys take its rows as they
+    lie, however often it is joined."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
+    (df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys)
+     .option("path", path).saveAsTable(table))
+    back = spark.table(table)
+    back.written_path, back.table_name = path, table
+    return back
+
+
 def discard(spark: SparkSession, table: DataFrame) -> None:
-    """Deletes the files of a ``written`` table.  Only for a table whose last
-    reader has itself been written: nothing can ask for it again."""
+    """Deletes the files of a ``written`` or ``bucketed`` table.  Only for a
+    table whose last reader has itself been written: nothing can ask for it
+    again."""
+    if name := table.__dict__.get("table_name"):
+        spark.sql(f"drop table if exists {name}")
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(table.written_path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

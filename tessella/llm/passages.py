@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import discard, text_bytes, worker_cache, written
+from tessella.llm.common import bucketed, discard, text_bytes, worker_cache, written
 
 K, WINDOW = 5, 8
 MIN_WORDS = 50
@@ -182,11 +182,7 @@ def stretches(texts: DataFrame, placed: DataFrame, min_words: int, k: int = K, w
     that stand unchanged around the first occurrences of a row of seeds in
     one document.
     """
-    own = (F.col("head.doc") == F.col("doc")) & (F.col("head.h") == F.col("h")) & (F.col("head.pos") == F.col("pos"))
-    same = (F.col("ctx") == F.col("head.ctx")) & (F.col("ctx") != 0)
-    line = F.xxhash64("head.doc", "head.h", F.col("head.pos") - F.col("pos")).bitwiseOR(F.lit(2))
-    often = placed.where("common").groupBy("doc", "h").agg(F.collect_list(F.struct(
-        "pos", F.when(own, F.lit(1)).when(same, line).otherwise(F.lit(0)).cast("long").alias("line"))).alias("often"))
+    often = placed.where("common").groupBy("doc", "h").agg(F.collect_list(F.struct("pos", "line")).alias("often"))
 
     def run(batches):
         import numpy as np
@@ -265,10 +261,11 @@ def whole_matches(stretch: DataFrame, min_words: int) -> DataFrame:
 
 
 def places(found: DataFrame, n_docs: int) -> DataFrame:
-    """``(seed, salt, doc, h, pos, ctx, head, prev, common)``: every
-    occurrence with the first and the previous one of its seed, and whether
-    three or more documents have it.  Seeds of a share of all documents are
-    dealt to ``SALTS`` tasks each (salt 0 and up; others: -1); their first
+    """``(doc, h, pos, common, ends, line)`` of the occurrences that another
+    document has, too: whether three or more have the seed, the first and the
+    previous occurrence in other documents, and the line to the first one
+    (1: it is this one; 0: the words around differ).  Seeds of a
+    share of all documents are dealt to ``SALTS`` tasks each; their first
     occurrence is found beforehand, the previous one inside the salt."""
     # seeds in at least HOT_SHARE of the documents, told by a sample of them;
     # at most (seeds per document / HOT_SHARE) rows; only places work, not results
@@ -284,20 +281,25 @@ def places(found: DataFrame, n_docs: int) -> DataFrame:
                           F.lag(F.struct("doc", "h", "pos")).over(w).alias("prev"))
     new = F.col("prev").isNull() | (F.col("prev.doc") != F.col("doc")) | (F.col("prev.h") != F.col("h"))
     docs = F.sum(new.cast("int")).over(Window.partitionBy("seed", "salt"))
-    return placed.withColumn("common", (F.col("salt") >= 0) | (docs > 2))
-
+    common = (F.col("salt") >= 0) | (docs > 2)
 
-def matches(placed: DataFrame) -> DataFrame:
-    """``(doc, h, pos, doc2, h2, pos2)``: occurrence and earlier occurrence."""
     def other(x):
-        return F.col(x).isNotNull() & ((F.col(f"{x}.doc") != F.col("doc")) | (F.col(f"{x}.h") != F.col("h")))
+        return x.isNotNull() & ((x["doc"] != F.col("doc")) | (x["h"] != F.col("h")))
 
-    here = F.struct("head.doc", "head.h", "head.pos")
     apart = (F.col("prev.doc") != F.col("head.doc")) | (F.col("prev.h") != F.col("head.h"))
-    ends = F.filter(F.array(here, F.when(apart, F.col("prev"))), lambda x: x.isNotNull())
-    near = placed.select("doc", "h", "pos", F.explode(ends).alias("m"))
-    return near.where(other("m")).select("doc", "h", "pos", F.col("m.doc").alias("doc2"), F.col("m.h").alias("h2"),
-                                         F.col("m.pos").alias("pos2"))
+    ends = F.filter(F.array(F.struct("head.doc", "head.h", "head.pos"), F.when(apart, F.col("prev"))), other)
+    own = (F.col("head.doc") == F.col("doc")) & (F.col("head.h") == F.col("h")) & (F.col("head.pos") == F.col("pos"))
+    same = (F.col("ctx") == F.col("head.ctx")) & (F.col("ctx") != 0)
+    line = F.xxhash64("head.doc", "head.h", F.col("head.pos") - F.col("pos")).bitwiseOR(F.lit(2))
+    return (placed.select("doc", "h", "pos", common.alias("common"), ends.alias("ends"),
+                          F.when(own, F.lit(1)).when(same, line).otherwise(F.lit(0)).cast("long").alias("line"))
+            .where(F.col("common") | (F.size("ends") > 0)))
+
+
+def matches(placed: DataFrame) -> DataFrame:
+    """``(doc, h, pos, doc2, h2, pos2)``: occurrence and earlier occurrence."""
+    return placed.select("doc", "h", "pos", F.explode("ends").alias("m")).select(
+        "doc", "h", "pos", F.col("m.doc").alias("doc2"), F.col("m.h").alias("h2"), F.col("m.pos").alias("pos2"))
 
 
 def chains(pairs: list[tuple[int, int]], k: int = K) -> list[list[tuple[int, int]]]:
@@ -558,23 +560,26 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
     has, too.
     """
     rows = keyed(docs)
-    firsts = written(spark, rows.groupBy("h").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "firsts")
+    ids = written(spark, rows.select("doc", "h"), "ids")
+    firsts = written(spark, ids.groupBy("h").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "firsts")
     # all but the copies; where there are none every row is its own first
-    unique = firsts.where("n > 1").isEmpty()
-    lone = rows if unique else (
-        rows.join(firsts.where("n > 1").select("h", "first"), "h", "left")
-        .where("first is null or doc = first").select("doc", "h", "t").dropDuplicates(["doc", "h"]))
+    copied, lone = firsts.where("n > 1"), rows
+    if not copied.isEmpty():
+        lone = (rows.join(copied.select("h", "first"), "h", "left")
+                .where("first is null or doc = first").select("doc", "h", "t"))
+        if not ids.groupBy("doc", "h").count().where("count > 1").isEmpty():
+            lone = lone.dropDuplicates(["doc", "h"])
+    # every later join takes the texts as they lie here
+    lone = bucketed(spark, lone, ("doc", "h"), "texts")
     found = written(spark, seeds(lone, min_words=min_words), "seeds")
-    n_docs = firsts.count()
-    placed = places(found, n_docs)
+    placed = written(spark, places(found, firsts.count()), "places")
+    discard(spark, found)
     whole = whole_matches(stretches(lone, placed, min_words), min_words)
     pairs = (matches(placed).unionByName(whole).groupBy("doc", "h", "doc2", "h2")
              .agg(F.collect_list(F.struct("pos", "pos2")).alias("m")))
     pairs = written(spark, pairs, "pairs")
-    discard(spark, found)
-    texts = rows.select("doc", "h", "t")
-    if not unique:
-        texts = texts.dropDuplicates(["doc", "h"])
+    discard(spark, placed)
+    texts = lone
     all_pairs, pairs = pairs, written(spark, promising(pairs, texts, min_words, identity), "promising")
     discard(spark, all_pairs)
     later = pairs.join(texts, ["doc", "h"])
@@ -599,6 +604,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
         "spans")
     size = F.size(F.filter(F.split(F.col("t").cast("string"), r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long")
     discard(spark, pairs)
+    discard(spark, lone)
     copies = rows.select("doc", "h", size.alias("n_words")).join(firsts, "h").select("doc", "h", "first", "n_words")
     return copies, spans
 
