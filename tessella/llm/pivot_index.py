@@ -3,20 +3,25 @@
 Every vector is described by the ``prefix`` nearest of a set of reference
 vectors (pivots), in order of nearness.  Inverted lists, one for each pivot
 (and label), hold the vectors that have the pivot in their prefix.  Two
-vectors that share a pivot are candidates; a candidate is verified by its
-cosine in double precision.
+vectors are candidates if they share at least ``SHARED`` = 2 pivots: a list is
+merged with all others by cutting it into sub-lists by a second pivot, so
+that a pair meets once for every two pivots it shares and pairs of one shared
+pivot never meet.  A candidate is verified by its cosine in double precision.
 
 * Pivots: about ``PIVOTS_PER_ROOT * sqrt(n)`` and at most ``MAX_PIVOTS``, so
   lists grow with the square root of the table.  They are spread over space:
   from a sample of ``OVERSAMPLE`` times as many vectors, chosen by a hash of
   their id, the one farthest from all pivots is taken next, until the rest is
   within ``SPREAD`` link angles of one.  A dense group so holds few pivots,
-  and all its members have those in their prefix.
+  and all its members have those in their prefix; vectors that merely share a
+  direction still get as many pivots as asked for.
 * Copies (same label, same vector) are one node and never form pairs.
 * A list of more than ``LIST_BLOCK`` vectors is cut into blocks, and every
   pair of blocks is a task of its own, so no hot list meets in one task.
-* A pair counts in one list only: that of the nearest pivot of both, or else
-  of the smallest they share.  Tasks return counts and a spanning forest of
+* A pair belongs to the sub-list of the two smallest pivots it shares.  Large
+  sub-lists leave out vectors that share a smaller one, so a dense group is
+  compared once, not once for every two of its pivots; what is found is
+  counted only by its owner.  Tasks return counts and a spanning forest of
   the links they find, not the links.
 """
 
@@ -32,12 +37,14 @@ from tessella.llm.common import cut
 from tessella.llm.components import connected_components, union_find
 
 COSINE = 0.98
-PIVOTS_PER_ROOT = 2.0
+PIVOTS_PER_ROOT = 4.0
 MAX_PIVOTS = 8192
 OVERSAMPLE = 2
-SPREAD = 3
-PREFIX = 8
+SPREAD = 1
+PREFIX = 6
+SHARED = 2
 LIST_BLOCK = 2048
+SMALL_LIST = 64         # vectors of a sub-list whose pairs are written out
 
 
 def nodes_of(vectors: DataFrame) -> DataFrame:
@@ -110,6 +117,73 @@ def prefixes(nodes: DataFrame, pivots, prefix: int) -> DataFrame:
         run, f"node long, label {kind}, v array<double>, copies long, near array<int>")
 
 
+class owners:
+    """The two smallest pivots that vectors ``i`` and ``j`` share, compared
+    with a list and its sub-lists; with one pivot in all, that one twice."""
+
+    def __init__(self, near, i, j):
+        import numpy as np
+
+        mine, none = near[i], np.iinfo(np.int32).max
+        shared = np.where((mine[:, :, None] == near[j][:, None, :]).any(2), mine, none)
+        shared.sort(axis=1)
+        self.first, self.second = shared[:, 0], shared[:, min(1, shared.shape[1] - 1)]
+
+    def __eq__(self, place):
+        return (self.first == place[0]) & (self.second == place[1])
+
+
+def candidate_pairs(near, mine, pivot: int, x: int, y: int, v, cosine: float):
+    """Yields ``(i, j, second)``: pairs of vectors of one list (sorted
+    prefixes ``near``) that also share the pivot ``second``, one of block
+    ``x`` and the other of block ``y``; pairs of large sub-lists only if a
+    product of matrices finds them close."""
+    import numpy as np
+
+    width = near.shape[1]
+    if width == 1:                                   # one pivot in all
+        rows, seconds = np.arange(len(near)), np.full(len(near), pivot, np.int32)
+    else:
+        rows, at = np.nonzero(near > pivot)
+        seconds = near[rows, at]
+    order = np.lexsort((rows, seconds))
+    rows, seconds = rows[order], seconds[order]
+    first = np.flatnonzero(np.append(True, seconds[1:] != seconds[:-1])) if len(rows) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(rows)))
+    # small sub-lists: all their pairs, many lists at a time
+    small = np.flatnonzero((size > 1) & (size <= SMALL_LIST))
+    ends = np.cumsum(size[small] * size[small])
+    lo = 0
+    while lo < len(small):
+        hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 400_000, side="right")), lo + 1)
+        n, start = size[small[lo:hi]], first[small[lo:hi]]
+        of = np.repeat(np.arange(len(n)), n * n)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(n * n) - n * n, n * n)
+        a, b = start[of] + k // n[of], start[of] + k % n[of]
+        i, j = rows[a], rows[b]
+        keep = (mine[i] == x) & (mine[j] == y) & ((i < j) if x == y else True)
+        yield i[keep], j[keep], seconds[a[keep]]
+        lo = hi
+    for f, n in zip(first[size > SMALL_LIST], size[size > SMALL_LIST]):
+        members, second = rows[f:f + n], int(seconds[f])
+        # the smallest other pivot, if it comes before ``second``: vectors
+        # with the same one have an owner elsewhere
+        low = near[members, 0]
+        if width > 1:
+            low = np.where(low == pivot, near[members, 1], low)
+        tag = np.where((low < second) & (low != pivot), low, -1)
+        for t in np.unique(tag):
+            left = members[(tag == t) & (mine[members] == x)]
+            right = members[((tag != t) | (t == -1)) & (mine[members] == y)]
+            for lo in range(0, len(left), 256):
+                a = left[lo:lo + 256]
+                close = v[a] @ v[right].T >= cosine - 1e-9
+                if x == y:
+                    close &= a[:, None] < right[None, :]
+                i, j = np.nonzero(close)
+                yield a[i], right[j], np.full(len(i), second, np.int32)
+
+
 def links(spark: SparkSession, described: DataFrame, cosine: float) -> DataFrame:
     """``(a, b, n)``: for each node found in a task the root of its set there
     and the number of vectors it links to there (copies counted)."""
@@ -132,30 +206,19 @@ def links(spark: SparkSession, described: DataFrame, cosine: float) -> DataFrame
         copies = table.column("copies").to_numpy()
         mine = table.column("mine").to_numpy()
         v = unit(matrix(table.column("v").combine_chunks()))
-        near = table.column("near").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-        left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
+        near = np.sort(table.column("near").combine_chunks().flatten().to_numpy().reshape(len(node), -1), axis=1)
         union, roots = union_find(len(node))
         count = np.zeros(len(node), np.int64)
-        for lo in range(0, len(left), 256):
-            a = left[lo:lo + 256]
-            close = v[a] @ v[right].T >= cosine - 1e-9
-            close &= (a[:, None] < right[None, :]) if x == y else True
-            i, j = np.nonzero(close)
-            i, j = a[i], right[j]
-            for s in range(0, len(i), 100_000):
-                p, q = i[s:s + 100_000], j[s:s + 100_000]
-                # the nearest pivot of both or the smallest shared one owns the pair
-                owned = near[p, 0] == pivot
-                apart = np.flatnonzero(near[p, 0] != near[q, 0])
-                owner = near[p[apart]]
-                both = (owner[:, :, None] == near[q[apart]][:, None, :]).any(2)
-                owned[apart] = np.where(both, owner, np.iinfo(np.int32).max).min(1) == pivot
-                p, q = p[owned], q[owned]
-                cos = (v[p] * v[q]).sum(1)
-                p, q = p[cos >= cosine], q[cos >= cosine]
-                np.add.at(count, p, copies[q])
-                np.add.at(count, q, copies[p])
-                union(p, q)
+        for p, q, second in candidate_pairs(near, mine, pivot, x, y, v, cosine):
+            for s in range(0, len(p), 100_000):
+                i, j, k = p[s:s + 100_000], q[s:s + 100_000], second[s:s + 100_000]
+                cos = (v[i] * v[j]).sum(1)
+                i, j, k = (z[cos >= cosine] for z in (i, j, k))
+                owned = owners(near, i, j) == (pivot, k) if len(i) else np.zeros(0, bool)
+                i, j = i[owned], j[owned]
+                np.add.at(count, i, copies[j])
+                np.add.at(count, j, copies[i])
+                union(i, j)
         root = roots()
         hit = np.flatnonzero(count > 0)
         return pa.table({"a": pa.array(node[hit]), "b": pa.array(node[root[hit]]), "n": pa.array(count[hit])})

@@ -305,6 +305,51 @@ def test_pivot_index_in_a_dense_group(spark):
         assert 0.9 * sum(true[k] for k in part) <= sum(got[k] for k in part) <= sum(true[k] for k in part)
 
 
+@pytest.mark.parametrize("mean", [0.0, 0.5, 0.8, 0.9])
+def test_pivot_index_prunes_at_every_mean_cosine(spark, mean):
+    r = np.random.default_rng(11)
+    n, planted = 2400, 300
+    vec = r.normal(size=(n, 64))
+    vec[:, 0] = 0
+    vec = np.sqrt(1 - mean) * pivot_index.unit(vec)
+    vec[:, 0] = np.sqrt(mean)
+    for k, angle in enumerate(r.uniform(0.02, np.arccos(0.98), planted)):      # links, near the bound ones, too
+        u = r.normal(size=64)
+        u -= (u @ vec[k]) * vec[k]
+        vec[n - 1 - k] = np.cos(angle) * vec[k] + np.sin(angle) * u / np.linalg.norm(u)
+    df = spark.createDataFrame([(k, [float(x) for x in v], 0) for k, v in enumerate(vec)],
+                               "vec_id long, embedding array<double>, label int")
+    unit = pivot_index.unit(vec)
+    true = (unit @ unit.T >= 0.98).sum(1) - 1
+    got = {g.vec_id: g.n_links for g in pivot_index.near_duplicates(spark, df).collect()}
+    assert all(got[k] <= true[k] for k in got) and sum(got.values()) >= 0.95 * true.sum() > 500
+    # candidates: pairs that meet in a sub-list, that is for two shared pivots
+    wanted = math.ceil(pivot_index.PIVOTS_PER_ROOT * math.sqrt(n))
+    pivots = pivot_index.spread(unit[r.permutation(n)[:2 * wanted]], wanted, 0.98)
+    near = np.argsort(-(unit @ pivots.T), axis=1)[:, :pivot_index.PREFIX]
+    sizes = collections.Counter((a, b) for x in np.sort(near, axis=1).tolist() for n_, a in enumerate(x) for b in x[n_ + 1:])
+    assert sum(c * (c - 1) // 2 for c in sizes.values()) < 0.06 * n * (n - 1) / 2
+
+
+def test_candidate_pairs_share_two_pivots_and_have_one_owner():
+    r = np.random.default_rng(4)
+    near = np.sort(np.array([r.permutation(9)[:4] for _ in range(300)]), axis=1).astype(np.int32)
+    v = np.ones((300, 2)) / np.sqrt(2)                       # all close: every candidate comes out
+    want = {(i, j): sorted(set(near[i]) & set(near[j]))[:2] for i in range(300) for j in range(i)
+            if len(set(near[i]) & set(near[j])) > 1}
+    got = collections.Counter()
+    for pivot in range(9):
+        members = np.flatnonzero((near == pivot).any(1))
+        block = members % 2
+        for x, y in ((0, 0), (0, 1), (1, 1)):
+            for i, j, second in pivot_index.candidate_pairs(near[members], block, pivot, x, y, v[members], 0.98):
+                own = pivot_index.owners(near[members], i, j) == (pivot, second)
+                for a, b, s in zip(members[i[own]], members[j[own]], second[own]):
+                    assert want[max(a, b), min(a, b)] == [pivot, s]
+                    got[max(a, b), min(a, b)] += 1
+    assert set(got) == set(want) and set(got.values()) == {1}
+
+
 def test_mixed_blocks_follow_the_schedule(spark):
     rows = [(k, " ".join(words(20 + k % 50, k)), "ab"[k % 2]) for k in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
