@@ -2,22 +2,38 @@
 
 A message's lines are parsed into runs of equal quote level (the number of
 leading ``>`` marks); runs of level 0 are its own words, the others quoted
-passages.  Passages are normalised (lower case, white space as one space) and
-hashed; they are joined to the messages whose own words, or one paragraph of
-them, have the same hash: the latest earlier message of the conversation, or
-else the first message of the corpus.  A message replies to the original of
-its first linked passage of the lowest level, without one to the message
-before it.  Conversations come without quotes, in reply order: every message
-stands after the one of its conversation that it replies to.
+passages.  Passages and own words are normalised (lower case, white space as
+one space) and cut into units: the whole, its paragraphs, their lines and
+their sentences.  The hashes of a passage's units are joined to those of
+messages; each unit proposes the latest earlier message of the conversation
+that has it and the first message of the corpus in a conversation before.  A
+proposed message is the original if its words hold the whole passage as one
+piece, so a quote of some paragraphs, lines or sentences, wrapped anew or not,
+finds its message and one that only shares a unit does not.
+
+A message replies to the original of its first linked passage of the lowest
+level, without one to the message before it.  These replies make trees, the
+threads: a message that quotes another conversation hangs below that one, with
+all replies to it.  Conversations come without quotes in reply order: every
+message is followed by the replies to it, each with the replies to that, in
+the order of their turns.  The order
+needs no walk through a tree: where a message's first reply is the next one of
+its conversation they form a segment, all of a segment's messages come before
+what hangs below them, and a segment's place is the path of segments above it,
+put together by doubling.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.common import cut, written
+from tessella.llm.ranks import ranked, running
+
 MARKS = r"^(?:[ \t]*>)+"
-BUCKET_TURNS = 512
+NO_CONVERSATION = -(1 << 63)      # stands for a null conversation id
+DIGITS = 10                       # of a message's place in its segment
 
 
 def norm(text):
@@ -43,8 +59,18 @@ def runs_of(text):
         .otherwise(F.concat(acc, F.array(x))))
 
 
+def units_of(text: Column) -> Column:
+    """Distinct hashes of the normalised whole, paragraphs, lines and
+    sentences of a text, blank ones left out."""
+    paragraphs = F.split(text, r"\n[ \t]*(?:\r?\n[ \t]*)+")
+    lines = F.split(text, r"\r?\n")
+    sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(norm(p), r"(?<=[.!?]) ")))
+    every = F.concat(F.array(text), paragraphs, lines, sentences)
+    return F.array_distinct(F.transform(F.filter(every, lambda u: norm(u) != ""), hash_of))
+
+
 def parsed_messages(messages: DataFrame) -> DataFrame:
-    """``(conv_id, turn, role, own, quotes, key)``: own words and the quoted
+    """``(conv_id, turn, role, c, key, own, quotes)``: own words and the quoted
     passages ``(depth, body)`` in order; ``key`` orders repeated turns."""
     text = F.coalesce(F.col("text"), F.lit(""))
     has = text.rlike(r"(?m)^[ \t]*>")
@@ -56,71 +82,129 @@ def parsed_messages(messages: DataFrame) -> DataFrame:
     own = F.when(F.size("runs") == 0, F.col("t")).otherwise(
         F.btrim(F.array_join(F.filter(kept, lambda b: b.isNotNull() & (norm(b) != "")), "\n"), F.lit(" \t\r\n")))
     quotes = F.filter("runs", lambda r: (r["depth"] > 0) & (norm(r["body"]) != ""))
-    return m.select("conv_id", "turn", "role", own.alias("own"), quotes.alias("quotes"),
-                    F.xxhash64("role", "t").alias("key"))
+    return m.select("conv_id", "turn", "role", F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_CONVERSATION)).alias("c"),
+                    F.xxhash64("role", "t").alias("key"), own.alias("own"), quotes.alias("quotes"),
+                    F.monotonically_increasing_id().alias("row"))
+
+
+def originals(parsed: DataFrame, at: DataFrame) -> DataFrame:
+    """``(c, idx, number, depth, c2, idx2)``: every quoted passage (``number``
+    in its message) with the message it is taken from, of the proposed ones
+    the latest of its own conversation or else the first of all."""
+    owned = (parsed.where(norm(F.col("own")) != "").select("row", F.explode(units_of(F.col("own"))).alias("hash"))
+             .join(at, "row").select("c", "idx", "hash"))
+    passages = (parsed.where(F.size("quotes") > 0).select("row", F.posexplode("quotes").alias("number", "q"))
+                .select("row", "number", "q.depth", "q.body"))
+    asked = (passages.select("row", "number", "depth", F.explode(units_of(F.col("body"))).alias("hash"))
+             .join(at, "row").select("row", "c", "idx", "number", "depth", "hash"))
+    # the latest earlier message of the conversation, without forming pairs
+    null = F.lit(None)
+    events = asked.select("*", null.cast("long").alias("has")).unionByName(owned.select(
+        null.cast("long").alias("row"), "c", "idx", null.cast("int").alias("number"), null.cast("int").alias("depth"),
+        "hash", F.col("idx").alias("has")))
+    earlier = Window.partitionBy("c", "hash").orderBy("idx").rangeBetween(Window.unboundedPreceding, -1)
+    inside = events.withColumn("idx2", F.max("has").over(earlier)).where("number is not null and idx2 is not null").select(
+        "row", "c", "idx", "number", "depth", F.col("c").alias("c2"), "idx2")
+    firsts = owned.groupBy("hash").agg(F.min(F.struct("c", "idx")).alias("o"))
+    before = (asked.join(firsts, "hash").where(F.col("o.c") < F.col("c"))
+              .select("row", "c", "idx", "number", "depth", F.col("o.c").alias("c2"), F.col("o.idx").alias("idx2")))
+    proposed = inside.unionByName(before).distinct()
+    # verified by the words of both; only texts of proposed messages move
+    bodies = passages.select("row", "number", norm(F.col("body")).alias("body"))
+    texts = at.select(F.col("row").alias("row2"), F.col("c").alias("c2"), F.col("idx").alias("idx2")).join(
+        parsed.select(F.col("row").alias("row2"), "own"), "row2").select("c2", "idx2", "own")
+    found = (proposed.join(bodies, ["row", "number"]).join(texts, ["c2", "idx2"])
+             .where(F.contains(norm(F.col("own")), F.col("body"))))
+    nearest = found.groupBy("c", "idx", "number", "depth", "c2").agg(
+        F.max("idx2").alias("last"), F.min("idx2").alias("first"))
+    own = F.col("c2") == F.col("c")
+    # own conversation first, else the smallest conversation
+    best = F.min(F.struct(F.when(own, 0).otherwise(1).alias("far"), "c2",
+                          F.when(own, F.col("last")).otherwise(F.col("first")).alias("idx2")))
+    return nearest.groupBy("c", "idx", "number", "depth").agg(best.alias("b")).select(
+        "c", "idx", "number", "depth", "b.c2", "b.idx2")
+
+
+def _sortable(x: Column) -> Column:
+    """16 digits in the order of a long."""
+    return F.lpad(F.hex(x.bitwiseXOR(F.lit(NO_CONVERSATION))), 16, "0")
+
+
+def reply_order(spark, nodes: DataFrame) -> DataFrame:
+    """``(c, idx, thread, path)`` from ``nodes(c, idx, pc, pidx)``, messages
+    and what they reply to (null: nothing), which comes before them:
+    ``path`` sorts the messages of a ``thread`` (the conversation of its
+    root) in reply order."""
+    first = (nodes.where("pc is not null").groupBy("pc", "pidx").agg(F.min(F.struct("c", "idx")).alias("f"))
+             .select(F.col("pc").alias("c"), F.col("f.c").alias("fc"), F.col("f.idx").alias("fidx"), F.col("pidx").alias("idx")))
+    # a message goes on with its segment if it is the first reply to the one before
+    goes_on = first.where("fc = c and fidx = idx + 1").select("c", F.col("fidx").alias("idx"), F.lit(0).cast("long").alias("head"))
+    flagged = nodes.join(goes_on, ["c", "idx"], "left").withColumn("head", F.coalesce("head", F.lit(1).cast("long")))
+    placed = running(flagged, "c", "idx", ["head"]).withColumn("seg", F.col("before_head") + F.col("head"))
+    starts = placed.where("head = 1").select("c", "seg", F.col("idx").alias("start"), "pc", "pidx")
+    placed = cut(spark, placed.join(starts.select("c", "seg", "start"), ["c", "seg"])
+                 .select("c", "idx", "seg", (F.col("idx") - F.col("start")).alias("at")))
+    above = placed.select(F.col("c").alias("pc"), F.col("idx").alias("pidx"), F.col("seg").alias("pseg"), F.col("at").alias("pat"))
+    # later messages of the segment above first, then in order of the replies
+    place = F.concat(F.lit("1"), F.lpad((F.lit(10 ** DIGITS - 1) - F.col("pat")).cast("string"), DIGITS, "0"),
+                     _sortable(F.col("c")), _sortable(F.col("start")))
+    paths = starts.join(above, ["pc", "pidx"], "left").select(
+        "c", "seg", F.when(F.col("pseg").isNotNull(), F.col("pc")).alias("ac"), F.col("pseg").alias("aseg"),
+        F.when(F.col("pseg").isNotNull(), place).otherwise("").alias("path"), F.col("c").alias("thread"))
+    paths = cut(spark, paths)
+    while not paths.where("ac is not null").isEmpty():
+        up = paths.select(F.col("c").alias("ac"), F.col("seg").alias("aseg"), F.col("ac").alias("nc"),
+                          F.col("aseg").alias("nseg"), F.col("path").alias("before"), F.col("thread").alias("root"))
+        paths = cut(spark, paths.join(up, ["ac", "aseg"], "left").select(
+            "c", "seg", F.col("nc").alias("ac"), F.col("nseg").alias("aseg"),
+            F.concat(F.coalesce("before", F.lit("")), "path").alias("path"), F.coalesce("root", "thread").alias("thread")))
+    own = F.concat("path", F.lit("0"), F.lpad(F.col("at").cast("string"), DIGITS, "0"))
+    return placed.join(paths.select("c", "seg", "path", "thread"), ["c", "seg"]).select("c", "idx", "thread", own.alias("path"))
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """``(conv_id, turn, role, position, text, parent_conv, parent_turn,
-    link, n_quotes, n_linked, max_depth)``, one row per message.
+    link, n_quotes, n_linked, max_depth, thread, place)``, one row per message.
 
     ``link`` is ``quote``, ``previous`` or ``none`` (first of its
-    conversation, nothing linked); ``position`` counts a conversation's
-    messages from 0 in reply order; ``text`` is without quotes.  Null texts
-    count as empty; a null conversation id is a conversation of its own kind;
-    null turns come first; of repeated turns the order follows a hash; a
-    passage that no message has stays unlinked; an empty table gives no rows;
-    further columns are ignored.
+    conversation, nothing linked); ``place`` counts a thread's messages from
+    0 in reply order, ``thread`` is the conversation it starts in;
+    ``position`` counts a conversation's messages in the same order, thread by
+    thread; ``text`` is without quotes.  Null texts count as empty; a
+    null conversation id is a conversation of its own kind; null turns come
+    first; of repeated turns the order follows a hash, repeated rows are
+    messages of their own; a passage that no message has stays unlinked; an
+    empty table gives no rows; further columns are ignored.
     """
-    m = parsed_messages(messages)
-    blank = norm(F.col("own")) == ""
-    parts = F.array_distinct(F.transform(
-        F.filter(F.concat(F.array("own"), F.split("own", r"\n[ \t]*\n")), lambda p: norm(p) != ""), hash_of))
-    originals = m.where(~blank).select("conv_id", "turn", F.explode(parts).alias("hash"))
-    quoted = (m.where(F.size("quotes") > 0)
-              .select("conv_id", "turn", "key", F.posexplode("quotes").alias("number", "q"))
-              .select("conv_id", "turn", "key", "number", F.col("q.depth").alias("depth"),
-                      hash_of(F.col("q.body")).alias("hash")))
-    # the latest earlier message of the conversation, without forming pairs
-    events = (quoted.select("conv_id", "turn", "hash", "key", "number", "depth", F.lit(None).cast("long").alias("has"))
-              .unionByName(originals.select("conv_id", "turn", "hash", F.lit(None).cast("long").alias("key"),
-                                            F.lit(None).cast("int").alias("number"), F.lit(None).cast("int").alias("depth"),
-                                            F.col("turn").cast("long").alias("has"))))
-    earlier = Window.partitionBy("conv_id", "hash").orderBy(F.col("turn").cast("long")).rangeBetween(
-        Window.unboundedPreceding, -1)
-    inside = (events.withColumn("before", F.max("has").over(earlier)).where("number is not null").drop("has"))
-    firsts = originals.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("o"))
-    found = (inside.join(firsts, "hash", "left")
-             .withColumn("other", F.when(~(F.col("o.conv_id").eqNullSafe(F.col("conv_id"))
-                                           & (F.col("o.turn") >= F.col("turn"))), F.col("o")))
-             .withColumn("to", F.when(F.col("before").isNotNull(), F.struct(
-                 F.col("conv_id"), F.col("before").cast(messages.schema["turn"].dataType).alias("turn")))
-                 .otherwise(F.col("other"))))
-    per = found.groupBy("conv_id", "turn", "key").agg(
-        F.count("to").alias("n_linked"),
-        F.min(F.when(F.col("to").isNotNull(), F.struct("depth", "number", "to"))).alias("best"))
-
-    # the message before, and the place in the conversation: within bounded
-    # stretches of turns first, then over the stretches
-    b = m.withColumn("stretch", F.floor(F.coalesce(F.col("turn"), F.lit(0)) / BUCKET_TURNS))
-    w = Window.partitionBy("conv_id", "stretch").orderBy("turn", "key")
-    ends = (b.groupBy("conv_id", "stretch").agg(F.max("turn").alias("last"), F.count("*").alias("n")))
-    up = Window.partitionBy("conv_id").orderBy("stretch")
-    ends = ends.select(F.col("conv_id").alias("c2"), F.col("stretch").alias("s2"), F.lag("last").over(up).alias("last"),
-                       F.coalesce(F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    placed = (b.withColumn("lag", F.lag("turn").over(w)).withColumn("at", F.row_number().over(w) - 1)
-              .join(ends, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("stretch") == F.col("s2")))
-              .withColumn("previous", F.coalesce("lag", "last"))
-              .withColumn("position", (F.col("base") + F.col("at")).cast("long")))
-    p = per.select(F.col("conv_id").alias("pc"), F.col("turn").alias("pt"), F.col("key").alias("pk"), "n_linked",
-                   F.col("best.to").alias("to")).dropDuplicates(["pc", "pt", "pk"])
-    out = placed.join(p, F.col("conv_id").eqNullSafe(F.col("pc")) & F.col("turn").eqNullSafe(F.col("pt"))
-                      & (F.col("key") == F.col("pk")), "left")
-    has_previous = F.col("position") > 0
+    spark = messages.sparkSession
+    parsed = written(spark, parsed_messages(messages), "quotes-parsed")
+    at = written(spark, ranked(spark, parsed.select("c", "turn", "key", "row"), "c", ["turn", "key", "row"], "quotes-ordered")
+                 .select("row", "c", "idx", "turn"), "quotes-places")
+    per = originals(parsed, at.drop("turn")).groupBy("c", "idx").agg(
+        F.count(F.lit(1)).alias("n_linked"), F.min(F.struct("depth", "number", "c2", "idx2")).alias("best"))
+    has_previous = F.col("idx") > 0
+    nodes = written(spark, at.drop("turn").join(per, ["c", "idx"], "left").select(
+        "row", "c", "idx", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.col("best").isNotNull().alias("linked"),
+        F.coalesce("best.c2", F.when(has_previous, F.col("c"))).alias("pc"),
+        F.coalesce("best.idx2", F.when(has_previous, F.col("idx") - 1)).alias("pidx")), "quotes-nodes")
+    order = written(spark, reply_order(spark, nodes.select("c", "idx", "pc", "pidx")), "quotes-order")
+    position = ranked(spark, order.select("c", "thread", "path"), "c", ["thread", "path"], "quotes-positions").select(
+        "c", F.col("idx").alias("position"), "thread", "path")
+    place = ranked(spark, order.select("thread", "c", "path"), "thread", ["path"], "quotes-threads").select(
+        "thread", F.col("idx").alias("place"), "c", "path")
+    facts = (order.join(position, ["c", "thread", "path"]).join(place, ["thread", "c", "path"]).drop("path")
+             .join(nodes, ["c", "idx"])
+             .join(at.select(F.col("c").alias("pc"), F.col("idx").alias("pidx"), F.col("turn").alias("parent_turn")),
+                   ["pc", "pidx"], "left"))
+    out = parsed.join(facts.drop("c"), "row")
+
+    def conversation(x: str) -> Column:
+        back = F.when(F.col(x) != NO_CONVERSATION, F.col(x))
+        return back.cast(messages.schema["conv_id"].dataType)
+
     return out.select(
-        "conv_id", "turn", "role", "position", F.col("own").alias("text"),
-        F.when(F.col("to").isNotNull(), F.col("to.conv_id")).when(has_previous, F.col("conv_id")).alias("parent_conv"),
-        F.when(F.col("to").isNotNull(), F.col("to.turn")).when(has_previous, F.col("previous")).alias("parent_turn"),
-        F.when(F.col("to").isNotNull(), "quote").when(has_previous, "previous").otherwise("none").alias("link"),
-        F.size("quotes").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
-        F.coalesce(F.array_max(F.transform("quotes", lambda q: q["depth"])), F.lit(0)).alias("max_depth"))
+        "conv_id", "turn", "role", "position", F.col("own").alias("text"), conversation("pc").alias("parent_conv"), "parent_turn",
+        F.when(F.col("linked"), "quote").when(has_previous, "previous").otherwise("none").alias("link"),
+        F.size("quotes").alias("n_quotes"), "n_linked",
+        F.coalesce(F.array_max(F.transform("quotes", lambda q: q["depth"])), F.lit(0)).alias("max_depth"),
+        conversation("thread").alias("thread"), "place")
