@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Memo, worker_cache
+from tessella.llm.common import Memo, worker_cache, worker_trim
 
 # Pieces between white space that a worker remembers, with 3/8 as many words
 # and 1/8 as many tabled configurations (after which the table starts anew):
@@ -313,6 +313,7 @@ def encode_digests(docs: DataFrame, path: str, memo: int = MEMO) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"))
 
     def run(batches):
+        worker_trim()
         codec = _codec(path, memo)
         for b in batches:
             got = [codec.digest(t) for t in b.column(1).to_pylist()]
@@ -335,6 +336,7 @@ def encode_documents(docs: DataFrame, path: str, memo: int = MEMO) -> DataFrame:
         f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep])
 
     def run(batches):
+        worker_trim()
         codec = _codec(path, memo)
         for b in batches:
             for lo in range(0, b.num_rows, OUTPUT_ROWS):      # bounded output batches

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,12 +54,16 @@ def bucketed(spark: SparkSession, df: DataFrame, keys: tuple[str, ...], name: st
 def discard(spark: SparkSession, table: DataFrame) -> None:
     """Deletes the files of a ``written`` or ``bucketed`` table.  Only for a
     table whose last reader has itself been written: nothing can ask for it
-    again."""
+    again.  The shuffle files of the jobs that made it go, too: Spark drops
+    them when the driver's garbage is collected, which else may be hours away.
+    """
     if name := table.__dict__.get("table_name"):
         spark.sql(f"drop table if exists {name}")
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(table.written_path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
@@ -103,7 +109,31 @@ def worker_release() -> None:
     if store:
         store.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+    worker_trim()
+
+
+def worker_trim() -> None:
+    """Gives memory that earlier tasks of this process have freed back to the
+    system: Arrow's pool and, where the C library can, the heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def text_slices(batch, column: int, rows: int = 128, size: int = 1 << 20):
+    """Slices of an Arrow batch of at most ``rows`` rows and, unless a single
+    text is longer, ``size`` bytes of its texts, so that what is made of a
+    slice stays small where long texts come together."""
+    lengths = [0 if n is None else n for n in pc.binary_length(batch.column(column)).to_pylist()]
+    lo = 0
+    while lo < len(lengths):
+        hi, total = lo + 1, lengths[lo]
+        while hi < len(lengths) and hi - lo < rows and total + lengths[hi] <= size:
+            total += lengths[hi]
+            hi += 1
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 class Memo:

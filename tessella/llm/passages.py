@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bucketed, discard, text_bytes, worker_cache, written
+from tessella.llm.common import bucketed, discard, text_bytes, text_slices, worker_cache, worker_trim, written
 
 K, WINDOW = 5, 8
 MIN_WORDS = 50
@@ -47,7 +47,7 @@ AHEAD, DROP = 8, 8.0    # words that tell how an alignment goes on; its loss at
 FEW, AROUND, BAND = 3, 64, 8    # matches of a pair told by the words around them; words to each side; shift
 HOT_SHARE, HOT_ROWS, SALTS, SAMPLE = 1e-4, 1024, 64, 16
 NO_ID = (1 << 63) - 1   # stands for a null id: such rows come last
-WORDS_KNOWN = 500_000   # word hashes remembered per worker
+WORDS_KNOWN = 300_000   # word hashes remembered per worker
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -153,9 +153,9 @@ def seeds(texts: DataFrame, k: int = K, window: int = WINDOW, min_words: int = M
     def run(batches):
         import numpy as np
 
+        worker_trim()
         for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                part = b.slice(lo, 128)
+            for part in text_slices(b, 2):
                 x, lengths = word_hashes(part.column(2).to_pylist())
                 mer, at, i = seeds_of(x, lengths, k, window)
                 starts = np.cumsum(lengths) - lengths
@@ -187,9 +187,9 @@ def stretches(texts: DataFrame, placed: DataFrame, min_words: int, k: int = K, w
     def run(batches):
         import numpy as np
 
+        worker_trim()
         for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                part = b.slice(lo, 128)
+            for part in text_slices(b, 2):
                 x, lengths = word_hashes(part.column(2).to_pylist())
                 starts = np.cumsum(lengths) - lengths
                 seed, at, i = seeds_of(x, lengths, k, window)
@@ -514,9 +514,10 @@ def promising(pairs: DataFrame, texts: DataFrame, min_words: int, identity: floa
     few = pairs.where(F.size("m") <= FEW).select("doc", "h", "doc2", "h2", "m")
 
     def collected(batches):
+        worker_trim()
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part, last, seen = b.slice(lo, 256), None, []
+            for part in text_slices(b, 5, 256):
+                last, seen = None, []
                 for m, t in zip(part.column(4).to_pylist(), part.column(5).to_pylist()):
                     if t != last:
                         last, words = t, t.lower().split()
@@ -527,9 +528,10 @@ def promising(pairs: DataFrame, texts: DataFrame, min_words: int, identity: floa
     def told(batches):
         import numpy as np
 
+        worker_trim()
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part, last, seen, of = b.slice(lo, 1024), None, [], []
+            for part in text_slices(b, 6, 1024, 1 << 22):
+                last, seen, of = None, [], []
                 for n, (m, t) in enumerate(zip(part.column(4).to_pylist(), part.column(6).to_pylist())):
                     if t != last:
                         last, words = t, t.lower().split()
@@ -587,10 +589,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
                       ["doc2", "h2"]).select("doc", "h", "doc2", "m", "t", "t2")
 
     def run(batches):
+        worker_trim()
         for b in batches:
-            for lo in range(0, b.num_rows, 64):
+            for part in text_slices(b, 4, 64):
                 out = []
-                for doc, h, doc2, m, t, t2 in zip(*(b.slice(lo, 64).column(c).to_pylist() for c in range(6))):
+                for doc, h, doc2, m, t, t2 in zip(*(part.column(c).to_pylist() for c in range(6))):
                     got = passages_of(t.lower().split(), t2.lower().split(),
                                       [(p["pos"], p["pos2"]) for p in m], min_words, identity)
                     out += [(doc, h, s, e, doc2, s2, e2, same, cols) for s, e, s2, e2, same, cols in got]
