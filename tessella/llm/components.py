@@ -2,8 +2,10 @@
 
 Every round each node points at its smallest neighbour (or itself); edges
 and labels are rewritten through these pointers, loops and repeats are
-dropped.  Each round at least halves the nodes that still have edges.  All
-state lives in DataFrames; every round ends in a reliable checkpoint.
+dropped.  Where node numbers say nothing about the edges (hashes, as its
+callers use) every round drops a constant share of the nodes that still have
+edges; a path numbered from end to end takes a round for each node.  All state
+lives in DataFrames; every round ends in a reliable checkpoint.
 """
 
 from __future__ import annotations
