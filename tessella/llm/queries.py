@@ -92,7 +92,7 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(spark, *prefix_trie.rebuilt(turns)).drop("tid")
 
 
-@query("op12_secrets")
+@query("op12_secrets", secrets.oracle())
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(spark, documents(spark, sf_dir)))
 

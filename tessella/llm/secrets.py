@@ -74,7 +74,7 @@ RULES = BASE + (
     Rule("web_token", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("live_key", r"\b[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("map_key", r"\bAIza[A-Za-z0-9_-]{35}"),
-    Rule("login_url", r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/@]{4,128}@[A-Za-z0-9]"),
+    Rule("login_url", r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\x09-\x0D\x20/:@]{1,64}:[^\x09-\x0D\x20/@]{4,128}@[A-Za-z0-9]"),
 )
 
 # ------------------------------------------------------------ trigram queries
@@ -421,3 +421,38 @@ def digests(found: DataFrame, base=BASE) -> DataFrame:
     return found.select(
         "doc_id", *[count(k) for k in kinds],
         F.sha2(text(plain), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+def oracle(rules=RULES, base=BASE) -> str:
+    """DuckDB SQL with the rows of ``digests(scan(documents))``: a span
+    starts after all pieces and matches before it."""
+    def pattern(r: Rule) -> str:
+        if not r.any_case:
+            return r.pattern
+        words, rest = r.pattern.split(")", 1)        # letters of the leading words only, ASCII ones
+        return re.sub("[a-z]", lambda m: f"[{m.group()}{m.group().upper()}]", words) + ")" + rest
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    spans = []
+    for order, r in enumerate(rules):
+        p = quoted(pattern(r))
+        spans.append(f"""
+SELECT rid, {order} AS ord, '{r.kind}' AS kind, (list_sum(list_transform(ps[1:k], lambda x: length(x)))
+         + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0))::BIGINT AS start, ms[k] AS m
+FROM (SELECT rid, ms, ps, unnest(range(1, len(ms) + 1)) AS k FROM (
+        SELECT rid, regexp_extract_all(t, {p}) AS ms, string_split_regex(t, {p}) AS ps FROM d) WHERE len(ms) > 0)
+WHERE length(regexp_extract(ms[k], {p}, {r.group})) >= {r.least}""")
+    counts = ", ".join(f"coalesce(count(*) FILTER (kind = '{r.kind}'), 0) AS n_{r.kind}" for r in base)
+    one = "kind || ':' || start || ':' || (start + length(m))"
+    kinds = ", ".join(f"'{r.kind}'" for r in base)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(spans)}),
+g AS (SELECT rid, {counts}, string_agg({one}, ',' ORDER BY start, ord) FILTER (kind IN ({kinds})) AS plain,
+             string_agg({one}, ',' ORDER BY start, ord) AS spans FROM s GROUP BY rid)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in base)},
+       sha256(coalesce(plain, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)
+"""

@@ -154,6 +154,19 @@ def test_secrets_match_a_plain_scan(spark, monkeypatch):
     assert secrets.scan(spark, df.where("false")).count() == 0
 
 
+def test_secrets_oracle_agrees(spark, tmp_path):
+    import duckdb
+
+    rows = [(k, t) for k, t in enumerate(secret_texts())] + [(2, "again token=abcdefgh1"), (None, "K=1 to\u212aen=abcdefgh1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.toPandas().astype({"doc_id": "Int64"}).to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = con.sql(secrets.oracle())
+    got = secrets.digests(secrets.scan(spark, df)).select(*want.columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+
+
 def test_index_finds_every_match_and_little_else(spark):
     texts = [t or "" for t in secret_texts()] + ["plain words without any of it " * 9] * 300
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
