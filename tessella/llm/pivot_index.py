@@ -272,3 +272,22 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = COS
             .withColumn("component_id", F.coalesce("component", "vec_id"))
             .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id",
                     F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept")))
+
+
+def oracle(cosine: float = COSINE) -> str:
+    """DuckDB SQL with the rows of ``near_duplicates``, all pairs compared
+    (ids not repeated)."""
+    return f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {cosine}),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN l ON l.x = r.y),
+c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id
+"""

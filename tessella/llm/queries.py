@@ -40,7 +40,7 @@ def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.dedup(spark, documents(spark, sf_dir)).drop("h")
 
 
-@query("op3_pivot_index")
+@query("op3_pivot_index", pivot_index.oracle())
 def op3_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
 
