@@ -81,7 +81,7 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "fingerprint", "component_id")
 
 
-@query("op10_quotes")
+@query("op10_quotes", quotes.oracle())
 def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotes(table(spark, sf_dir, "conversations"))
 

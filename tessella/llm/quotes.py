@@ -208,3 +208,65 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         F.size("quotes").alias("n_quotes"), "n_linked",
         F.coalesce(F.array_max(F.transform("quotes", lambda q: q["depth"])), F.lit(0)).alias("max_depth"),
         conversation("thread").alias("thread"), "place")
+
+
+def oracle() -> str:
+    """DuckDB SQL with the rows of ``link_quotes`` (turns not repeated): the
+    same units and proposals, and the order of the paths from the roots."""
+    def normal(x):
+        return rf"trim(regexp_replace(lower({x}), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+
+    def units(x):
+        parts = rf"string_split_regex({x}, '\n[ \t]*(\r?\n[ \t]*)+')"
+        lines = rf"string_split_regex({x}, '\r?\n')"
+        ends = rf"list_transform({parts}, lambda p: string_split(regexp_replace({normal('p')}, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)))"
+        every = f"list_concat(list_concat([{x}], {parts}), list_concat({lines}, flatten({ends})))"
+        return f"list_distinct(list_filter(list_transform({every}, lambda u: {normal('u')}), lambda u: u <> ''))"
+
+    none = f"CAST('{NO_CONVERSATION}' AS BIGINT)"
+    return rf"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, coalesce(conv_id, {none}) AS c, coalesce(text, '') AS t,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS idx FROM conversations),
+li AS (SELECT c, idx, n, line, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS depth
+       FROM (SELECT c, idx, unnest(string_split_regex(t, '\r?\n')) AS line, generate_subscripts(string_split_regex(t, '\r?\n'), 1) AS n
+             FROM m WHERE regexp_matches(t, '(^|\n)[ \t]*>'))),
+cut AS (SELECT *, sum(CASE WHEN depth IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY c, idx ORDER BY n) AS run
+        FROM (SELECT *, lag(depth) OVER (PARTITION BY c, idx ORDER BY n) AS before FROM li)),
+runs AS (SELECT c, idx, run, any_value(depth) AS depth, max(run) OVER (PARTITION BY c, idx) AS runs,
+                string_agg(regexp_replace(line, '^(?:[ \t]*>)+ ?', ''), chr(10) ORDER BY n) AS body
+         FROM cut GROUP BY c, idx, run),
+words AS (SELECT c, idx, run, CASE WHEN run < runs THEN regexp_replace(body, '(^|\n)[^>\n]*\b[Ww]rote:[ \t]*\n?[ \t\n\x0B\f\r]*$', '')
+                                   ELSE body END AS body FROM runs WHERE depth = 0),
+said AS (SELECT c, idx, trim(string_agg(body, chr(10) ORDER BY run), ' ' || chr(9) || chr(13) || chr(10)) AS own
+         FROM words WHERE {normal('body')} <> '' GROUP BY c, idx),
+o AS (SELECT m.*, CASE WHEN regexp_matches(t, '(^|\n)[ \t]*>') THEN coalesce(own, '') ELSE t END AS own
+      FROM m LEFT JOIN said USING (c, idx)),
+q AS (SELECT c, idx, row_number() OVER (PARTITION BY c, idx ORDER BY run) AS number, depth, body
+      FROM runs WHERE depth > 0 AND {normal('body')} <> ''),
+ou AS (SELECT c, idx, unnest({units('own')}) AS u FROM o),
+qu AS (SELECT c, idx, number, unnest({units('body')}) AS u FROM q),
+firsts AS (SELECT u, min((c, idx)) AS f FROM ou GROUP BY u),
+proposed AS (
+  SELECT qu.c, qu.idx, number, qu.c AS c2, max(ou.idx) AS idx2 FROM qu JOIN ou ON ou.c = qu.c AND ou.u = qu.u AND ou.idx < qu.idx
+  GROUP BY qu.c, qu.idx, number, qu.u
+  UNION SELECT qu.c, qu.idx, number, f[1], f[2] FROM qu JOIN firsts USING (u) WHERE f[1] < qu.c),
+found AS (SELECT p.*, q.depth FROM proposed p JOIN q ON q.c = p.c AND q.idx = p.idx AND q.number = p.number
+          JOIN o ON o.c = c2 AND o.idx = idx2 WHERE contains({normal('own')}, {normal('q.body')})),
+best AS (SELECT c, idx, number, depth, min(((CASE WHEN c2 = c THEN 0 ELSE 1 END), c2, (CASE WHEN c2 = c THEN -idx2 ELSE idx2 END))) AS b
+         FROM found GROUP BY c, idx, number, depth),
+link AS (SELECT c, idx, count(*) AS n_linked, min((depth, number, b[2], abs(b[3]))) AS l FROM best GROUP BY c, idx),
+node AS (SELECT o.c, o.idx, coalesce(n_linked, 0) AS n_linked, l IS NOT NULL AS linked,
+                CASE WHEN l IS NOT NULL THEN l[3] WHEN o.idx > 0 THEN o.c END AS pc,
+                CASE WHEN l IS NOT NULL THEN l[4] WHEN o.idx > 0 THEN o.idx - 1 END AS pidx FROM o LEFT JOIN link USING (c, idx)),
+tree AS (SELECT c, idx, c AS thread, [(c, idx)] AS path FROM node WHERE pc IS NULL
+         UNION ALL SELECT n.c, n.idx, t.thread, list_append(t.path, (n.c, n.idx))
+         FROM node n JOIN tree t ON n.pc = t.c AND n.pidx = t.idx)
+SELECT o.conv_id, o.turn, o.role, row_number() OVER (PARTITION BY o.c ORDER BY thread, path) - 1 AS position, o.own AS text,
+       nullif(pc, {none}) AS parent_conv, par.turn AS parent_turn,
+       CASE WHEN linked THEN 'quote' WHEN o.idx > 0 THEN 'previous' ELSE 'none' END AS link,
+       (SELECT count(*) FROM q WHERE q.c = o.c AND q.idx = o.idx) AS n_quotes, n_linked,
+       coalesce((SELECT max(depth) FROM q WHERE q.c = o.c AND q.idx = o.idx), 0) AS max_depth, nullif(thread, {none}) AS thread,
+       row_number() OVER (PARTITION BY thread ORDER BY path) - 1 AS place
+FROM o JOIN node USING (c, idx) JOIN tree USING (c, idx) LEFT JOIN o par ON par.c = pc AND par.idx = pidx
+"""

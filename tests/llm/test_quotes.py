@@ -5,6 +5,7 @@ import collections
 import random
 import re
 
+import duckdb
 import pytest
 
 from tessella.llm import quotes
@@ -113,13 +114,20 @@ def generated(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_links_and_reply_order_are_the_plain_ones(spark, seed):
+def test_links_and_reply_order_are_the_plain_ones(spark, seed, tmp_path):
     rows = generated(seed)
     df = spark.createDataFrame([r + (1, 2, 3, "p") for r in rows], SCHEMA).repartition(3)
     got = {(g.conv_id, g.turn): (g.position, norm(g.text), g.parent_conv, g.parent_turn, g.link, g.n_linked, g.n_quotes, g.thread, g.place)
            for g in quotes.link_quotes(df).collect()}
     want = expected(rows)
     assert got == want
+    con = duckdb.connect()
+    path = str(tmp_path / "conversations.parquet")
+    df.toPandas().to_parquet(path)
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}'")
+    sql = con.sql(quotes.oracle())
+    same = quotes.link_quotes(df).select(*sql.columns).collect()
+    assert sorted(map(str, map(tuple, same))) == sorted(map(str, sql.fetchall()))
     kinds = collections.Counter(w[4] for w in want.values())
     assert kinds["quote"] > 20 and any(k[0] != w[2] for k, w in want.items() if w[4] == "quote")
 
