@@ -46,24 +46,29 @@ def bucketed(spark: SparkSession, df: DataFrame, keys: tuple[str, ...], name: st
     path = scratch_path(spark, name)
     (df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys)
      .option("path", path).saveAsTable(table))
+    drop_shuffles(spark)
     back = spark.table(table)
     back.written_path, back.table_name = path, table
     return back
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets the shuffle files of finished jobs go: Spark drops them when the
+    driver's garbage is collected, which else may be hours away."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(spark: SparkSession, table: DataFrame) -> None:
     """Deletes the files of a ``written`` or ``bucketed`` table.  Only for a
     table whose last reader has itself been written: nothing can ask for it
-    again.  The shuffle files of the jobs that made it go, too: Spark drops
-    them when the driver's garbage is collected, which else may be hours away.
-    """
+    again.  The shuffle files of the jobs that made it go, too."""
     if name := table.__dict__.get("table_name"):
         spark.sql(f"drop table if exists {name}")
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(table.written_path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    drop_shuffles(spark)
 
 
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:

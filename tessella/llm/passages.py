@@ -250,8 +250,8 @@ def whole_matches(stretch: DataFrame, min_words: int) -> DataFrame:
     """Like ``matches``: each stretch and the first document that has it.  Of
     stretches whose words on both sides agree there, too, one in
     ``min_words // 2`` is enough: those kept before and after cover it."""
-    w = Window.partitionBy("hash").orderBy("doc", "h", "pos")      # a few rows per document
-    met = stretch.withColumn("m", F.first(F.struct("doc", "h", "pos", "before", "after")).over(w))
+    first = stretch.groupBy("hash").agg(F.min(F.struct("doc", "h", "pos", "before", "after")).alias("m"))
+    met = stretch.join(first, "hash")       # one row on this side: a common stretch can be split over tasks
     inside = ((F.col("before") == F.col("m.before")) & (F.col("after") == F.col("m.after"))
               & (F.col("before") != 0) & (F.col("after") != 0))
     return (met.where((F.col("doc") != F.col("m.doc")) | (F.col("h") != F.col("m.h")))
@@ -576,11 +576,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
     found = written(spark, seeds(lone, min_words=min_words), "seeds")
     placed = written(spark, places(found, firsts.count()), "places")
     discard(spark, found)
-    whole = whole_matches(stretches(lone, placed, min_words), min_words)
+    stretch = written(spark, stretches(lone, placed, min_words), "stretches")
+    whole = whole_matches(stretch, min_words)
     pairs = (matches(placed).unionByName(whole).groupBy("doc", "h", "doc2", "h2")
              .agg(F.collect_list(F.struct("pos", "pos2")).alias("m")))
     pairs = written(spark, pairs, "pairs")
     discard(spark, placed)
+    discard(spark, stretch)
     texts = lone
     all_pairs, pairs = pairs, written(spark, promising(pairs, texts, min_words, identity), "promising")
     discard(spark, all_pairs)
