@@ -41,7 +41,7 @@ def norm(text):
 
 
 def hash_of(text):
-    return F.md5(norm(text).cast("binary"))
+    return F.unhex(F.md5(norm(text).cast("binary")))
 
 
 def runs_of(text):
@@ -87,16 +87,17 @@ def parsed_messages(messages: DataFrame) -> DataFrame:
                     F.monotonically_increasing_id().alias("row"))
 
 
-def originals(parsed: DataFrame, at: DataFrame) -> DataFrame:
+def originals(spark, parsed: DataFrame, at: DataFrame) -> DataFrame:
     """``(c, idx, number, depth, c2, idx2)``: every quoted passage (``number``
     in its message) with the message it is taken from, of the proposed ones
     the latest of its own conversation or else the first of all."""
-    owned = (parsed.where(norm(F.col("own")) != "").select("row", F.explode(units_of(F.col("own"))).alias("hash"))
-             .join(at, "row").select("c", "idx", "hash"))
+    # units are made once; several joins read them
+    owned = written(spark, parsed.where(norm(F.col("own")) != "").select("row", F.explode(units_of(F.col("own"))).alias("hash"))
+                    .join(at, "row").select("c", "idx", "hash"), "quotes-owned")
     passages = (parsed.where(F.size("quotes") > 0).select("row", F.posexplode("quotes").alias("number", "q"))
                 .select("row", "number", "q.depth", "q.body"))
-    asked = (passages.select("row", "number", "depth", F.explode(units_of(F.col("body"))).alias("hash"))
-             .join(at, "row").select("row", "c", "idx", "number", "depth", "hash"))
+    asked = written(spark, passages.select("row", "number", "depth", F.explode(units_of(F.col("body"))).alias("hash"))
+                    .join(at, "row").select("row", "c", "idx", "number", "depth", "hash"), "quotes-asked")
     # the latest earlier message of the conversation, without forming pairs
     null = F.lit(None)
     events = asked.select("*", null.cast("long").alias("has")).unionByName(owned.select(
@@ -180,7 +181,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     parsed = written(spark, parsed_messages(messages), "quotes-parsed")
     at = written(spark, ranked(spark, parsed.select("c", "turn", "key", "row"), "c", ["turn", "key", "row"], "quotes-ordered")
                  .select("row", "c", "idx", "turn"), "quotes-places")
-    per = originals(parsed, at.drop("turn")).groupBy("c", "idx").agg(
+    per = originals(spark, parsed, at.drop("turn")).groupBy("c", "idx").agg(
         F.count(F.lit(1)).alias("n_linked"), F.min(F.struct("depth", "number", "c2", "idx2")).alias("best"))
     has_previous = F.col("idx") > 0
     nodes = written(spark, at.drop("turn").join(per, ["c", "idx"], "left").select(
