@@ -47,7 +47,7 @@ AHEAD, DROP = 8, 8.0    # words that tell how an alignment goes on; its loss at
 FEW, AROUND, BAND = 3, 64, 8    # matches of a pair told by the words around them; words to each side; shift
 HOT_SHARE, HOT_ROWS, SALTS, SAMPLE = 1e-4, 1024, 64, 16
 NO_ID = (1 << 63) - 1   # stands for a null id: such rows come last
-WORDS_KNOWN = 300_000   # word hashes remembered per worker
+WORDS_KNOWN = 150_000   # word hashes remembered per worker
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -147,8 +147,9 @@ def contexts(x, lengths, at, i, min_words: int):
 
 
 def seeds(texts: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(seed, doc, h, pos, ctx)``: kept k-word shingles, their first word's
-    number and the hash of the ``min_words`` words around."""
+    """``(seed, doc, h, pc)``: kept k-word shingles; ``pc`` holds their first
+    word's number and, in its lower 32 bits, the hash of the ``min_words``
+    words around (0: none)."""
 
     def run(batches):
         import numpy as np
@@ -162,11 +163,11 @@ def seeds(texts: DataFrame, k: int = K, window: int = WINDOW, min_words: int = M
                 _, ctx = contexts(x, lengths, at, i, min_words)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(mer.view(np.int64)), part.column(0).take(pa.array(at)),
-                     part.column(1).take(pa.array(at)), pa.array((i - starts[at]).astype(np.int32)),
-                     pa.array(ctx.view(np.int64))],
-                    ["seed", "doc", "h", "pos", "ctx"])
+                     part.column(1).take(pa.array(at)),
+                     pa.array(((i - starts[at]) << 32) | (ctx & np.uint64(0xFFFFFFFF)).astype(np.int64))],
+                    ["seed", "doc", "h", "pc"])
 
-    return texts.mapInArrow(run, "seed long, doc long, h long, pos int, ctx long")
+    return texts.mapInArrow(run, "seed long, doc long, h long, pc long")
 
 
 def stretches(texts: DataFrame, placed: DataFrame, min_words: int, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -272,13 +273,20 @@ def places(found: DataFrame, n_docs: int) -> DataFrame:
     least = max(HOT_ROWS, HOT_SHARE * n_docs) / SAMPLE
     often = F.broadcast(found.where(F.pmod("h", F.lit(SAMPLE)) == 0).groupBy("seed").count()
                         .where(F.col("count") >= least).select("seed"))
-    here = F.struct("doc", "h", "pos", "ctx")
+    here = F.struct("doc", "h", "pc")
     hot = F.broadcast(found.join(often, "seed").groupBy("seed").agg(F.min(here).alias("top")))
     dealt = (found.join(hot, "seed", "left")
              .withColumn("salt", F.when(F.col("top").isNotNull(), F.pmod(F.shiftright("h", 8), F.lit(SALTS))).otherwise(-1)))
-    w = Window.partitionBy("seed", "salt").orderBy("doc", "h", "pos")
-    placed = dealt.select("seed", "salt", "doc", "h", "pos", "ctx", F.coalesce("top", F.first(here).over(w)).alias("head"),
-                          F.lag(F.struct("doc", "h", "pos")).over(w).alias("prev"))
+    w = Window.partitionBy("seed", "salt").orderBy("doc", "h", "pc")
+    placed = dealt.select("seed", "salt", "doc", "h", "pc", F.coalesce("top", F.first(here).over(w)).alias("head"),
+                          F.lag(here).over(w).alias("prev"))
+
+    def pos(pc):
+        return F.shiftright(pc, 32).cast("int")
+
+    def at(x):
+        return F.struct(F.col(f"{x}.doc").alias("doc"), F.col(f"{x}.h").alias("h"), pos(f"{x}.pc").alias("pos"))
+
     new = F.col("prev").isNull() | (F.col("prev.doc") != F.col("doc")) | (F.col("prev.h") != F.col("h"))
     docs = F.sum(new.cast("int")).over(Window.partitionBy("seed", "salt"))
     common = (F.col("salt") >= 0) | (docs > 2)
@@ -287,11 +295,12 @@ def places(found: DataFrame, n_docs: int) -> DataFrame:
         return x.isNotNull() & ((x["doc"] != F.col("doc")) | (x["h"] != F.col("h")))
 
     apart = (F.col("prev.doc") != F.col("head.doc")) | (F.col("prev.h") != F.col("head.h"))
-    ends = F.filter(F.array(F.struct("head.doc", "head.h", "head.pos"), F.when(apart, F.col("prev"))), other)
-    own = (F.col("head.doc") == F.col("doc")) & (F.col("head.h") == F.col("h")) & (F.col("head.pos") == F.col("pos"))
-    same = (F.col("ctx") == F.col("head.ctx")) & (F.col("ctx") != 0)
-    line = F.xxhash64("head.doc", "head.h", F.col("head.pos") - F.col("pos")).bitwiseOR(F.lit(2))
-    return (placed.select("doc", "h", "pos", common.alias("common"), ends.alias("ends"),
+    ends = F.filter(F.array(at("head"), F.when(apart, at("prev"))), other)
+    own = (F.col("head.doc") == F.col("doc")) & (F.col("head.h") == F.col("h")) & (F.col("head.pc") == F.col("pc"))
+    low = F.lit(0xFFFFFFFF)
+    same = ((F.col("pc").bitwiseAND(low) == F.col("head.pc").bitwiseAND(low)) & (F.col("pc").bitwiseAND(low) != 0))
+    line = F.xxhash64("head.doc", "head.h", pos("head.pc") - pos("pc")).bitwiseOR(F.lit(2))
+    return (placed.select("doc", "h", pos("pc").alias("pos"), common.alias("common"), ends.alias("ends"),
                           F.when(own, F.lit(1)).when(same, line).otherwise(F.lit(0)).cast("long").alias("line"))
             .where(F.col("common") | (F.size("ends") > 0)))
 
