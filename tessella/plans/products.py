@@ -171,32 +171,35 @@ def mm_replicate(left: DataFrame, right: DataFrame, m: int | None = None, p: int
     ``h |L| + g |R|`` rows are shuffled, whatever ``m`` and ``p``.  The
     default grid has a cell per shuffle partition and is shaped by the
     operands' sizes (they are stored once, duplicates summed, and counted);
-    ``grid=(m, p)`` is one reducer per output cell.  Entries outside the
-    declared shape (``i >= m``, ``k >= p``, ``j >= n``) never meet a partner.
-    The join key includes the inner index, so even a heavy row or column is
-    spread over many tasks.
+    ``grid=(m, p)`` is one reducer per output cell.  Reducers of a finer grid
+    than the default one share its cells, and an entry is sent once to all
+    reducers of a cell: a task that holds many reducers holds it for each.
+    Entries outside the declared shape (``i >= m``, ``k >= p``, ``j >= n``)
+    never meet a partner.  The join key includes the inner index, so even a
+    heavy row or column is spread over many tasks.  Neither side is
+    broadcast: the planner knows the size of an operand, not of its copies.
     """
     l, r = _lr(left, right)
     for df_col, bound in (("i", m), ("c", n)):
         l = l if bound is None else l.where((F.col(df_col) >= 0) & (F.col(df_col) < bound))
     for df_col, bound in (("k", p), ("c", n)):
         r = r if bound is None else r.where((F.col(df_col) >= 0) & (F.col(df_col) < bound))
-    if grid is None:
-        l, r = stored(l, ("i", "c"), "v", "replicate-rows"), stored(r, ("c", "k"), "w", "replicate-columns")
-        tasks = int(l.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        grid = _shares(l.count(), r.count(), tasks, m, p)
-    g, h = grid
+    l, r = stored(l, ("i", "c"), "v", "replicate-rows"), stored(r, ("c", "k"), "w", "replicate-columns")
+    tasks = int(l.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = _shares(l.count(), r.count(), tasks, m, p)
+    rows, columns = grid or shared
+    g, h = min(rows, shared[0]), min(columns, shared[1])
 
-    def group(name: str, size: int, bound: int | None) -> Column:
-        x = F.col(name) if size == bound else F.xxhash64(name)
-        return F.pmod(x, F.lit(size).cast("long"))
+    def group(name: str, size: int, reducers: int, bound: int | None) -> Column:
+        x = F.col(name) if reducers == bound else F.xxhash64(name)
+        return F.pmod(F.pmod(x, F.lit(reducers).cast("long")), F.lit(size).cast("long"))
 
     def every(size: int) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")))
 
-    lx = l.select(group("i", g, m).alias("a"), every(h).alias("b"), "i", "c", "v")
-    rx = r.select(every(g).alias("a"), group("k", h, p).alias("b"), "k", "c", "w")
-    return _cells(lx.join(rx, ["a", "b", "c"]), drop_zeros)
+    lx = l.select(group("i", g, rows, m).alias("a"), every(h).alias("b"), "i", "c", "v")
+    rx = r.select(every(g).alias("a"), group("k", h, columns, p).alias("b"), "k", "c", "w")
+    return _cells(lx.join(rx.hint("merge"), ["a", "b", "c"]), drop_zeros)
 
 
 # --------------------------------------------------------------------- X5

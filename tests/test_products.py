@@ -2,9 +2,11 @@
 zero and duplicate policies, hot keys, plan shapes."""
 
 import random
+import re
 
 import pytest
 from conftest import cells, dense_product, entries
+from pyspark.sql import functions as F
 
 from tessella.operators.entries import transpose
 from tessella.plans import products as P
@@ -266,3 +268,21 @@ def test_declared_width_holds_in_every_plan(spark, tmp_path, n):
         for _, part in P.column_group_products(a, b, h, n):
             got |= cells(part)
         assert got == want
+
+
+def _plan(df, kind="executedPlan"):
+    return getattr(df._jdf.queryExecution(), kind)().toString()
+
+
+def test_replicate_broadcasts_no_copies(ab):
+    a, b = ab
+    out = P.mm_replicate(a, b, 37, 29)
+    assert "BroadcastHashJoin" not in _plan(out) and cells(out) == EXPECT_NZ
+
+
+def test_replicate_sends_an_entry_once_to_the_reducers_of_a_task(spark, ab):
+    a, b = ab
+    out = P.mm_replicate(a, b, 37, 29, grid=(37, 29))
+    last = re.findall(r"sequence\(cast\(0 as bigint\), cast\((\d+) as bigint\)", _plan(out, "analyzed"))
+    assert len(last) == 2 and max(map(int, last)) < int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert cells(out) == EXPECT_NZ
