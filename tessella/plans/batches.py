@@ -1,5 +1,5 @@
 """Arrow kernels of the product strategies: one Python call per grid cell,
-tile pair or batch, never per pair of vectors.  Every kernel emits sums per
+group of tiles or batch, never per pair of vectors.  Every kernel emits sums per
 output cell in slices of bounded size (``functions.arrays.Csr.product``)."""
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from tessella.functions.arrays import Csr
 
@@ -40,22 +41,25 @@ def entry_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(i, k, s)
 
 
-def _tile(row_of, name, at):
-    lists = row_of.column(name)
-    return _numpy(lists.slice(at, 1).flatten())
+NULL_ID = -(1 << 63)        # a null row or column id among the tiles' numbers
 
 
 def tile_cell(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One tile pair, keyed ``(bi, bk, bj, split)``: two rows of arrays
-    ``(side, ei, ej, ev)`` -> ``(i, k, v, split)``."""
-    tiles = {}
+    """A group of tiles, keyed ``(split, ..)``: rows of arrays
+    ``(side, ei, ej, ev)``, left (0) and right (1) -> ``(i, k, v, split)``.
+    The left tiles meet the right ones of their inner block."""
+    tiles = ([], [])
     for b in batches:
-        for at, side in enumerate(b.column("side").to_pylist()):
-            tiles[side] = [_tile(b, name, at) for name in ("ei", "ej", "ev")]
-    if len(tiles) == 2:
-        (li, lc, lv), (rc, rk, rw) = tiles[0], tiles[1]
+        of = _numpy(b.column("side"))
+        for side, held in enumerate(tiles):
+            rows = b.filter(pa.array(of == side))
+            if rows.num_rows:
+                ids = (pc.fill_null(rows.column(name).flatten(), NULL_ID) for name in ("ei", "ej"))
+                held.append([*map(_numpy, ids), _numpy(rows.column("ev").flatten())])
+    if all(tiles):
+        (li, lc, lv), (rc, rk, rw) = ([np.concatenate(x) for x in zip(*held)] for held in tiles)
         for i, k, s in Csr(rc, rk, rw).product(li, lc, lv):
-            yield _batch(i, k, s, split=key[3].as_py())
+            yield _batch(i, k, s, split=key[0].as_py())
 
 
 def broadcast_rows(shared):

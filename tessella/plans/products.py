@@ -277,35 +277,74 @@ def _list_parts(l: DataFrame, r: DataFrame, width: int,
 
 # --------------------------------------------------------------------- X6 / X7
 def mm_block(left: DataFrame, right: DataFrame, mb: int, kb: int, nb: int, *,
-             mid_splits: int = 1, drop_zeros: bool = True) -> DataFrame:
+             mid_splits: int = 1, drop_zeros: bool = True,
+             entries_per_group: int = CELL_ENTRIES) -> DataFrame:
     """Block strategy: tile both operands, multiply matching tiles, sum.
 
     Left tiles ``(bi, bk)`` hold at most ``mb x kb`` cells, right tiles
     ``(bk, bj)`` at most ``kb x nb``.  Both tilings are written once; their
-    key columns are the block directories.  A left tile is copied to each
-    ``bj`` that has a right tile at its ``bk`` and a right tile to each
-    ``bi`` with a left tile at ``bk``, so every tile pair is a group of two
-    rows that spreads evenly.  The kernel multiplies a pair in slices of a
-    bounded number of partial products (``functions.arrays.Csr``), so its
-    memory is that of the two tiles however many products they make; results
-    are summed over ``bk``.  ``mid_splits > 1`` sums in two steps, first
-    within ``bk mod mid_splits`` groups, like a mid-dimension split.
+    key columns and sizes are the block directories.  All tiles of some inner
+    blocks, about ``entries_per_group`` entries, are one group, so a tile is
+    sent once and not to each of its partners: where ids are many and entries
+    few, tile pairs outnumber the products by far.  An inner block with more
+    entries on a side is a group of its own, its tiles dealt to a grid of
+    groups (``_tile_groups``).  The kernel multiplies a group's matching tiles
+    in slices of a bounded number of partial products
+    (``functions.arrays.Csr``), so its memory is that of the tiles however
+    many products they make; results are summed over ``bk``.
+    ``mid_splits > 1`` sums in two steps, first within ``bk mod mid_splits``
+    groups, like a mid-dimension split.
     """
     from tessella.operators.layout import to_blocks
 
-    lt = written(to_blocks(left, mb, kb).withColumnsRenamed({"bj": "bk"}), "tiles-left")
-    rt = written(to_blocks(right, kb, nb).withColumnsRenamed({"bi": "bk"}), "tiles-right")
-    arrays = ["ei", "ej", "ev"]
-    lrep = lt.join(rt.select("bk", "bj"), "bk").select("bi", "bk", "bj", F.lit(0).alias("side"), *arrays)
-    rrep = rt.join(lt.select("bk", "bi"), "bk").select("bi", "bk", "bj", F.lit(1).alias("side"), *arrays)
+    def tiles(df, rows, columns, bk, name):
+        df = written(df.select("i", "j", "v"), f"entries-{name}")
+        blocks = to_blocks(df, rows, columns).withColumnsRenamed({bk: "bk"}).where("bk is not null")
+        return written(blocks.withColumn("n", F.size("ei").cast("long")), f"tiles-{name}")
+
+    lt, rt = tiles(left, mb, kb, "bj", "left"), tiles(right, kb, nb, "bi", "right")
     split = F.pmod(F.col("bk"), F.lit(mid_splits)).cast("long").alias("split")
-    out = (lrep.unionAll(rrep).select("*", split).groupBy("bi", "bk", "bj", "split")
+    groups = ["split", "alone", "part", "_a", "_b"]
+    cols = [split, *groups[1:], "side", "ei", "ej", "ev"]
+    lg, rg = _tile_groups(lt, rt, entries_per_group)
+    out = (lg.select(*cols).unionAll(rg.select(*cols)).groupBy(*groups)
            .applyInArrow(tile_cell, CELLS + ", split long"))
     if mid_splits > 1:
         out = out.groupBy("i", "k", "split").agg(F.sum("v").alias("v"))
     return _summed(out, drop_zeros)
 
 
+def _tile_groups(lt: DataFrame, rt: DataFrame, entries: int) -> tuple[DataFrame, DataFrame]:
+    """Tiles with their group ``(alone, part, _a, _b)``.  Inner blocks are
+    dealt to parts of about ``entries`` entries; one with more entries than
+    that on a side is alone in its part, its left tiles are cut into ``_sa``
+    shares and its right tiles into ``_sb``, and every share meets every
+    share of the other side."""
+    tasks = int(lt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    none = F.lit(0).cast("long")
+    sizes = (lt.select("bk", F.col("n").alias("l"), none.alias("r"))
+             .unionAll(rt.select("bk", none.alias("l"), F.col("n").alias("r")))
+             .groupBy("bk").agg(F.sum("l").alias("l"), F.sum("r").alias("r")))
+    total = sizes.agg(F.sum(F.col("l") + F.col("r"))).first()[0] or 0
+    parts = max(tasks, math.ceil(total / entries))
+
+    def cut(n: str) -> Column:
+        return F.greatest(F.ceil(F.col(n) / entries), F.lit(1)).cast("int")
+
+    # at most one row for ``entries`` entries of the operands
+    large = F.broadcast(sizes.where((F.col("l") > entries) | (F.col("r") > entries))
+                        .select("bk", cut("l").alias("_sa"), cut("r").alias("_sb")))
+    alone = F.col("_sa").isNotNull()
+
+    def placed(df, side, row, mine, n, other, m):
+        return (df.join(large, "bk", "left").withColumn("alone", alone).withColumn("side", F.lit(side))
+                .withColumn("part", F.when(alone, F.col("bk")).otherwise(F.pmod(F.xxhash64("bk"), F.lit(parts))))
+                .withColumn(mine, F.pmod(F.xxhash64(row), F.coalesce(n, F.lit(1))).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(m, F.lit(1)) - 1))))
+
+    return placed(lt, 0, "bi", "_a", "_sa", "_b", "_sb"), placed(rt, 1, "bj", "_b", "_sb", "_a", "_sa")
+
+
 def mm_block_fixed_k(left: DataFrame, right: DataFrame, mb: int, nb: int, *,
                      tile_cells: int = LIST_ROWS, drop_zeros: bool = True) -> DataFrame:
     """Block strategy with the whole inner dimension in one block.

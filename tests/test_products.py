@@ -286,3 +286,21 @@ def test_replicate_sends_an_entry_once_to_the_reducers_of_a_task(spark, ab):
     last = re.findall(r"sequence\(cast\(0 as bigint\), cast\((\d+) as bigint\)", _plan(out, "analyzed"))
     assert len(last) == 2 and max(map(int, last)) < int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert cells(out) == EXPECT_NZ
+
+
+def test_block_sends_a_tile_once(spark):
+    # one inner block, a tile for every entry: no tile is copied to its partners
+    arrays = [F.array(F.lit(0).cast("long")).alias(x) for x in ("ei", "ej")] + [F.array(F.lit(1.0)).alias("ev")]
+    tiles = spark.range(20).select(F.col("id").alias("bi"), F.lit(0).cast("long").alias("bk"),
+                                   F.lit(1).cast("long").alias("n"), *arrays)
+    left, right = P._tile_groups(tiles, tiles.withColumnRenamed("bi", "bj"), 100)
+    assert left.count() == right.count() == 20
+    groups = left.select("alone", "part", "_a", "_b").unionAll(right.select("alone", "part", "_a", "_b"))
+    assert groups.distinct().count() == 1
+
+
+@pytest.mark.parametrize("mid_splits", [1, 2])
+def test_block_deals_a_large_inner_block_to_a_grid(ab, mid_splits):
+    a, b = ab
+    got = P.mm_block(a, b, 5, 20, 3, mid_splits=mid_splits, entries_per_group=16)
+    assert cells(got) == EXPECT_NZ
