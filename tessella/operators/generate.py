@@ -42,23 +42,29 @@ def random_sparse(rows: DataFrame, n_cols: int, density: float, seed: str = "rs"
     ``(a * t + b) mod n_cols``, step and start drawn per row; the columns of
     a row never collide (at density 1 every cell is there).  Values are
     ``1 + hash mod max_value``.  Entries are emitted in chunks of
-    ``CHUNK``; generation is a map over ``rows`` with no shuffle.
+    ``CHUNK``.  The ids (and the chunks of long rows) are dealt evenly to the
+    shuffle partitions first: a small table of ids is read by a task or two,
+    however many entries it makes; the entries themselves are not shuffled.
     """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     want = min(max(density, 0.0), 1.0) * n_cols
     whole, part = int(want), want - int(want)
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("i").cast("string")).cast("binary"))
     steps = F.array(*[F.lit(a).cast("long") for a in multipliers(n_cols, seed)])
-    drawn = (rows.select(F.col("id").cast("long").alias("i")).withColumn("h", h)
+    drawn = (rows.select(F.col("id").cast("long").alias("i")).repartition(tasks).withColumn("h", h)
              .withColumn("n", F.lit(whole).cast("long")
                          + (_hex_int(F.col("h"), 1, 8) < F.lit(int(part * (1 << 32)))).cast("long"))
              .withColumn("a", F.element_at(steps, (F.pmod(_hex_int(F.col("h"), 9, 4), F.lit(16)) + 1).cast("int")))
              .withColumn("b", F.pmod(_hex_int(F.col("h"), 13, 15), F.lit(n_cols).cast("long")))
              .where("n > 0").select("i", "n", "a", "b"))
     chunks = drawn.withColumn("c", F.explode(F.expr(f"sequence(0L, (n - 1) div {CHUNK})")))
+    if whole >= CHUNK:
+        chunks = chunks.repartition(tasks)
     slots = chunks.select("i", "a", "b", F.explode(F.expr(
         f"sequence(c * {CHUNK}, least(n, (c + 1) * {CHUNK}) - 1)")).alias("t"))
     v = F.md5(F.concat(F.lit(f"{seed}:"), F.col("i").cast("string"), F.lit(":"), F.col("t").cast("string")).cast("binary"))
-    return slots.select("i", F.expr(f"cast((cast(a as decimal(20, 0)) * t + b) % {n_cols} as bigint)").alias("j"),
+    wide = "cast(a as decimal(20, 0))" if n_cols > 1 << 31 else "a"    # a, b, t are below n_cols
+    return slots.select("i", F.expr(f"cast(({wide} * t + b) % {n_cols} as bigint)").alias("j"),
                         (F.pmod(_hex_int(v, 9, 4), F.lit(max_value)) + 1).cast("double").alias("v"))
 
 

@@ -63,3 +63,10 @@ def test_multiply_with_shapes(spark):
     with pytest.raises(ValueError, match="inner sizes"):
         multiply(a, random_matrix(spark, 8, 7, 0.3, "mc"))
     a.df.unpersist()
+
+
+def test_few_ids_are_dealt_to_all_partitions(spark):
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = random_sparse(spark.range(1000).select("id").coalesce(1), 100, 1.0, "p")
+    assert out.rdd.getNumPartitions() == tasks
+    assert out.select("i", "j").distinct().count() == 100_000
