@@ -18,6 +18,7 @@ from tessella.functions import idiv
 from tessella.functions.arrays import densify
 from tessella.operators.entries import transpose
 from tessella.plans.guards import MAX_BROADCAST_ROWS, rows_at_most
+from tessella.plans.store import written
 
 DEFAULT_SEGMENT = 1 << 16
 MAX_DENSE_WIDTH = 1 << 14
@@ -29,9 +30,10 @@ def pack_rows(df: DataFrame, width: int = DEFAULT_SEGMENT) -> DataFrame:
     ``seg = j div width``.  Duplicates are summed first, with a map-side
     partial sum, so even a cell repeated a huge number of times is combined
     before any shuffle; the collection then sees at most ``width`` entries
-    per segment.
+    per segment.  The entries are written first, so that the tasks which make
+    them do not hold the tables of these sums as well.
     """
-    e = (df.select("i", "j", "v")
+    e = (written(df.select("i", "j", "v"), "pack")
            .withColumn("seg", idiv("j", width))
            .groupBy("i", "seg", "j").agg(F.sum("v").alias("v")))
     packed = e.groupBy("i", "seg").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("e"))

@@ -29,8 +29,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, keys: tuple[str, str], value: str, name: str) -> DataFrame:
-    """Entries with duplicates summed (map-side first), written once."""
-    return written(df.groupBy(*keys).agg(F.sum(value).alias(value)), name)
+    """Entries with duplicates summed (map-side first), written once.
+
+    They are written as they come first: an operand that is an aggregate
+    itself would else be summed again in the tasks that make it, with three
+    tables of all their groups in memory at a time."""
+    plain = written(df.select(*keys, value), f"{name}-entries")
+    return written(plain.groupBy(*keys).agg(F.sum(value).alias(value)), name)
 
 
 @dataclass(frozen=True)

@@ -304,3 +304,21 @@ def test_block_deals_a_large_inner_block_to_a_grid(ab, mid_splits):
     a, b = ab
     got = P.mm_block(a, b, 5, 20, 3, mid_splits=mid_splits, entries_per_group=16)
     assert cells(got) == EXPECT_NZ
+
+
+def test_aggregated_operands_are_not_summed_again_where_they_are_made(ab, monkeypatch):
+    from tessella.operators import layout
+    from tessella.plans import store
+
+    plans, write = [], store.written
+
+    def seen(df, name):
+        plans.append(_plan(df))
+        return write(df, name)
+
+    monkeypatch.setattr(store, "written", seen)
+    monkeypatch.setattr(layout, "written", seen)
+    sums = ab[0].groupBy("i", "j").agg(F.sum("v").alias("v"))
+    assert cells(store.stored(sums, ("i", "j"), "v", "twice")) == cells(ab[0])
+    assert cells(layout.unpack_rows(layout.pack_rows(sums))) == cells(ab[0])
+    assert len(plans) == 3 and all(p.count("HashAggregate") <= 2 for p in plans)
