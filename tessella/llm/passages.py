@@ -249,16 +249,18 @@ def stretches(texts: DataFrame, placed: DataFrame, min_words: int, k: int = K, w
 
 def whole_matches(stretch: DataFrame, min_words: int) -> DataFrame:
     """Like ``matches``: each stretch and the first document that has it.  Of
-    stretches whose words on both sides agree there, too, one in
-    ``min_words // 2`` is enough: those kept before and after cover it."""
-    first = stretch.groupBy("hash").agg(F.min(F.struct("doc", "h", "pos", "before", "after")).alias("m"))
+    stretches that meet the same document at the same distance, the first and
+    the last of each ``min_words // 2`` places are enough: they cover all
+    between them, and every pair of documents keeps a match."""
+    first = stretch.groupBy("hash").agg(F.min(F.struct("doc", "h", "pos")).alias("m"))
     met = stretch.join(first, "hash")       # one row on this side: a common stretch can be split over tasks
-    inside = ((F.col("before") == F.col("m.before")) & (F.col("after") == F.col("m.after"))
-              & (F.col("before") != 0) & (F.col("after") != 0))
     return (met.where((F.col("doc") != F.col("m.doc")) | (F.col("h") != F.col("m.h")))
-            .where(~inside | (F.col("pos") % max(1, min_words // 2) == 0))
-            .select("doc", "h", "pos", F.col("m.doc").alias("doc2"), F.col("m.h").alias("h2"),
-                    F.col("m.pos").alias("pos2")))
+            .groupBy("doc", "h", F.col("m.doc").alias("doc2"), F.col("m.h").alias("h2"),
+                     (F.col("m.pos") - F.col("pos")).alias("shift"),
+                     F.floor(F.col("pos") / max(1, min_words // 2)).alias("block"))
+            .agg(F.array_distinct(F.array(F.min("pos"), F.max("pos"))).alias("ends"))
+            .select("doc", "h", F.explode("ends").alias("pos"), "doc2", "h2", "shift")
+            .select("doc", "h", "pos", "doc2", "h2", (F.col("pos") + F.col("shift")).alias("pos2")))
 
 
 def places(found: DataFrame, n_docs: int) -> DataFrame:

@@ -263,6 +263,20 @@ def test_passages_whole_only_in_a_document_between(spark):
     assert [(c.start, c.end) for c in got[7].cuts] == [(0, 60), (80, 140)]
 
 
+def test_every_document_a_stretch_is_first_in_is_linked(spark):
+    # document 9 shares a stretch with 1, 2 and 3; the middle one agrees on both sides
+    rows = [(10, 1, 1, 0, 7, 5), (11, 2, 2, 3, 6, 8), (12, 3, 3, 5, 4, 9)]
+    rows += [(hash_, 9, 9, 10 + n, 6, 8) for n, hash_ in enumerate((10, 11, 12))]
+    kind = "hash long, doc long, h long, pos int, before int, after int"
+    got = passages.whole_matches(spark.createDataFrame(rows, kind), 50)
+    assert got.columns == ["doc", "h", "pos", "doc2", "h2", "pos2"]
+    assert {(r.pos, r.doc2, r.pos2) for r in got.collect()} == {(10, 1, 0), (11, 2, 3), (12, 3, 5)}
+    # a long copy keeps the first and the last place of each 25
+    rows = [(k, doc, doc, k + 5 * doc, 1, 1) for k in range(60) for doc in (1, 2)]
+    got = passages.whole_matches(spark.createDataFrame(rows, kind), 50).collect()
+    assert sorted(r.pos for r in got) == [10, 24, 25, 49, 50, 69] and all(r.pos - r.pos2 == 5 for r in got)
+
+
 def test_chain_prefers_the_collinear_matches():
     best = passages.chains([(0, 100), (10, 110), (20, 5), (22, 122), (40, 140)])[0]
     assert best == [(0, 100), (10, 110), (22, 122), (40, 140)]
