@@ -8,8 +8,8 @@ emissions, ``P(w | previous) = P(class(w) | class(previous)) * P(w | class(w))``
    passes neither split texts nor ship words again.
 2. *Counts.* Words of all training texts are counted.  Words with at least
    ``CLASS_SHARE`` of all training tokens (at most ``1 / CLASS_SHARE`` words,
-   whatever the corpus) carry a class of their own choice; the many rarer
-   ones share one class, split from the others by construction.
+   whatever the corpus) are exchanged in the sweeps; the many rarer ones
+   share one class meanwhile.
 3. *Exchange.* Sweeps over all training bigrams gather, for every
    class-bearing word, how often each class stands before and after it.  Each
    word is then exchanged into the class that gains the most likelihood,
@@ -18,7 +18,8 @@ emissions, ``P(w | previous) = P(class(w) | class(previous)) * P(w | class(w))``
    not swap places for ever.
 4. *Scoring.* Transitions are interpolated with class frequencies (Witten and
    Bell), emissions are smoothed; an unknown word is emitted by the rare
-   class.  Each block meets the counts of its rare words through a join.
+   class.  Each block meets the counts and classes of its rare words through
+   a join.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import text_bytes, written
+from tessella.llm.common import discard, text_bytes, written
 
 CLASSES = 32            # exchange classes; two more: rare words, text ends
 SWEEPS = 4
@@ -37,6 +38,7 @@ BLOCK_DOCS = 16_384
 ADD = 0.1               # added to counts in emissions and in the base score
 FOLDS, HELD_OUT = 10, 0
 END = b""               # the end token among the words of a block
+PAIRS = [("p", "<u2"), ("c", "<u4")]    # a class before or after a word and its count
 
 
 def coded_blocks(docs: DataFrame) -> DataFrame:
@@ -174,10 +176,10 @@ def neighbours(blocks: DataFrame, index: dict, classes, n_classes: int) -> DataF
         cut = np.flatnonzero(np.diff(word)) + 1
         lo = np.concatenate(([0], cut)).astype(np.int64)
         hi = np.concatenate((cut, [len(k)])).astype(np.int64)
-        packed = np.empty(len(k), dtype=[("p", "<u2"), ("c", "<u4")])
+        packed = np.empty(len(k), dtype=PAIRS)
         packed["p"], packed["c"] = place, c
         raw = packed.tobytes()
-        all_ = np.empty(n_classes ** 2, dtype=[("p", "<u2"), ("c", "<u4")])
+        all_ = np.empty(n_classes ** 2, dtype=PAIRS)
         all_["p"], all_["c"] = np.arange(n_classes ** 2), bigrams
         out_w, out_p = [-1], [all_.tobytes()]
         for a in range(0, len(lo), 20_000):
@@ -190,21 +192,52 @@ def neighbours(blocks: DataFrame, index: dict, classes, n_classes: int) -> DataF
     return blocks.select("words", "codes", "lengths", "held").mapInArrow(run, "word long, pairs binary")
 
 
-def exchange(partials: DataFrame, classes, n_classes: int, bigrams, moves) -> DataFrame:
-    """``(word, class)``: each word of ``moves(word)`` is taken out of its
-    class and put where the likelihood of all class bigrams grows most:
-    the sum of ``f(bigram count)`` less ``f`` of both class counts, with
-    ``f(x) = x log x``.  Ties keep the present class, then the first."""
-    free = n_classes - 2                      # the rare and the end class are fixed
+def gains(place, c, first, after, now, bigrams, n_classes: int):
+    """For each word (entries [first, after) of ``place`` and ``c``: how often
+    a class stands before or after it), taken out of its class ``now``, what
+    the likelihood gains from it in each class: the sum of ``f(bigram
+    count)`` less ``f`` of both class counts, with ``f(x) = x log x``.  Yields
+    ``(lo, hi, gain)`` for words [lo, hi); ties are for the present class."""
+    import numpy as np
+
     chunk = 40_000                            # vector entries at a time
 
     def grown(x, n):
         """f(x + n) - f(x), accurate in single precision too."""
-        import numpy as np
-
         up = x + n
         return n * np.log(np.maximum(up, 1)) + x * np.log(np.maximum(up, 1) / np.maximum(x, 1))
 
+    # place before: row of it; after: column of it
+    both = np.concatenate((bigrams, bigrams.T)).astype(np.float32)
+    into, out_of = bigrams.sum(0), bigrams.sum(1)
+    lo = 0
+    while lo < len(now):
+        hi = max(int(np.searchsorted(after, first[lo] + chunk, "right")), lo + 1)
+        s, e = first[lo], after[hi - 1]
+        here = np.repeat(np.arange(hi - lo), after[lo:hi] - first[lo:hi])
+        own, k = now[lo:hi], np.arange(hi - lo)
+        p, n = place[s:e], c[s:e].astype(np.float32)
+        base = both[p]
+        at = np.arange(len(p))
+        base[at, own[here]] = np.maximum(base[at, own[here]] - n, 0)
+        gain = np.add.reduceat(grown(base, n[:, None]), first[lo:hi] - s, dtype=np.float64)
+        for total, side in ((into, p < n_classes), (out_of, p >= n_classes)):
+            m = np.bincount(here[side], n[side], minlength=hi - lo)
+            rest = np.repeat(total[None, :], hi - lo, axis=0)
+            rest[k, own] = np.maximum(rest[k, own] - m, 0)
+            gain -= grown(rest, m[:, None])
+        gain[k, own] += 1e-9 * np.abs(gain[k, own])
+        yield lo, hi, gain
+        lo = hi
+
+
+def exchange(partials: DataFrame, classes, n_classes: int, bigrams, moves) -> DataFrame:
+    """``(word, class)``: each word of ``moves(word)`` is taken out of its
+    class and put where the likelihood of all class bigrams grows most
+    (``gains``).  Ties keep the present class, then the first.  The rare
+    words' turn is ``placed_rare``."""
+    free = n_classes - 2                      # the rare and the end class are fixed
+
     def run(batches):
         import numpy as np
 
@@ -213,7 +246,7 @@ def exchange(partials: DataFrame, classes, n_classes: int, bigrams, moves) -> Da
             return
         t = pa.Table.from_batches(got)
         raw = t.column(1).to_pylist()
-        flat = np.frombuffer(b"".join(raw), dtype=[("p", "<u2"), ("c", "<u4")])
+        flat = np.frombuffer(b"".join(raw), dtype=PAIRS)
         row = np.repeat(t.column(0).to_numpy(), [len(r) // 6 for r in raw])
         flat, row = flat[moves(row)], row[moves(row)]
         if not len(row):
@@ -224,43 +257,117 @@ def exchange(partials: DataFrame, classes, n_classes: int, bigrams, moves) -> Da
         row, place = key // (2 * n_classes), key % (2 * n_classes)
         words, first = np.unique(row, return_index=True)
         after = np.append(first[1:], len(row))
-        # place before: row of it; after: column of it
-        both = np.concatenate((bigrams, bigrams.T)).astype(np.float32)
-        into, out_of = bigrams.sum(0), bigrams.sum(1)
-        lo = 0
-        while lo < len(words):
-            hi = max(int(np.searchsorted(after, first[lo] + chunk, "right")), lo + 1)
-            w, s, e = words[lo:hi], first[lo], after[hi - 1]
-            here = np.repeat(np.arange(hi - lo), after[lo:hi] - first[lo:hi])
-            now = classes[w]
-            p, n = place[s:e], c[s:e].astype(np.float32)
-            base = both[p]
-            at = np.arange(len(p))
-            base[at, now[here]] = np.maximum(base[at, now[here]] - n, 0)
-            gain = np.add.reduceat(grown(base, n[:, None]), first[lo:hi] - s, dtype=np.float64)
-            for total, side in ((into, p < n_classes), (out_of, p >= n_classes)):
-                m = np.bincount(here[side], n[side], minlength=hi - lo)
-                rest = np.repeat(total[None, :], hi - lo, axis=0)
-                k = np.arange(hi - lo)
-                rest[k, now] = np.maximum(rest[k, now] - m, 0)
-                gain -= grown(rest, m[:, None])
-            gain[np.arange(hi - lo), now] += 1e-9 * np.abs(gain[np.arange(hi - lo), now])
-            best = gain[:, :free].argmax(1)
+        now = classes[words]
+        for lo, hi, gain in gains(place, c, first, after, now, bigrams, n_classes):
+            own = now[lo:hi]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(w), pa.array(np.where(now < free, best, now))], ["word", "class"])
-            lo = hi
+                [pa.array(words[lo:hi]), pa.array(np.where(own < free, gain[:, :free].argmax(1), own))], ["word", "class"])
 
     # a word's partial counts meet in one task: at most one row per coding task
     return partials.where("word >= 0").repartition("word").mapInArrow(run, "word long, class long")
 
 
+def rare_entries(blocks: DataFrame, index: dict, classes, n_classes: int) -> DataFrame:
+    """``(word, block, at, c, pairs)``: the rare words of every block with
+    their training counts there and the classes next to them (as in
+    ``neighbours``)."""
+    width, rare = 2 * n_classes, n_classes - 1
+
+    def run(batches):
+        import numpy as np
+
+        end = classes[index[END]]
+        for b in batches:
+            for block, words, counts, codes, lengths, held in zip(*(b.column(k) for k in range(6))):
+                w = unpacked(words).split(b"\n")
+                number = np.fromiter((index.get(x, -1) for x in w), np.int64, len(w))
+                code = numbers(codes)
+                of = np.where(number >= 0, classes[number], rare)[code]
+                mine = np.repeat(~np.array(held.as_py()), np.array(lengths.as_py())) & (number[code] < 0)
+                before, after = np.concatenate(([end], of[:-1])), np.concatenate((of[1:], [end]))
+                k, c = np.unique(np.concatenate((code[mine] * width + before[mine],
+                                                 code[mine] * width + n_classes + after[mine])), return_counts=True)
+                pairs = np.empty(len(k), dtype=PAIRS)
+                pairs["p"], pairs["c"] = k % width, c
+                raw, at = pairs.tobytes(), np.flatnonzero(number < 0)
+                lo, hi = 6 * np.searchsorted(k, at * width), 6 * np.searchsorted(k, (at + 1) * width)
+                n = numbers(counts)[at]
+                for x in range(0, len(at), 50_000):
+                    part = at[x:x + 50_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([w[q] for q in part.tolist()], pa.binary()),
+                         pa.array(np.full(len(part), block.as_py(), np.int64)), pa.array(part.astype(np.int32)),
+                         pa.array(n[x:x + 50_000]),
+                         pa.array([raw[s:e] for s, e in zip(lo[x:x + 50_000].tolist(), hi[x:x + 50_000].tolist())],
+                                  pa.binary())], ["word", "block", "at", "c", "pairs"])
+
+    return blocks.select("block", "words", "counts", "codes", "lengths", "held").mapInArrow(
+        run, "word binary, block long, at int, c long, pairs binary")
+
+
+def placed_rare(entries: DataFrame, n_classes: int, bigrams) -> DataFrame:
+    """``(n, class, block, at)`` per rare word of the training texts: its
+    count, the class that gains the most from it (the rare class if none
+    gains more) and its places (arrays).  A rare word is in fewer blocks than
+    it has tokens."""
+    import numpy as np
+
+    rare = n_classes - 1
+    # all rare words move at once: none opens an empty class, where they would meet
+    closed = (bigrams.sum(0) + bigrams.sum(1) == 0) | (np.arange(n_classes) == n_classes - 2)
+    closed[rare] = False
+    words = (entries.groupBy("word").agg(F.sum("c").alias("n"), F.collect_list(F.struct("block", "at", "pairs")).alias("e"))
+             .where("n > 0").select("n", "e.block", "e.at", "e.pairs"))
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column(3)
+            raw = lists.flatten().to_pylist()
+            flat = np.frombuffer(b"".join(raw), dtype=PAIRS)
+            word = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+            key, at = np.unique(np.repeat(word, [len(r) // 6 for r in raw]) * (2 * n_classes) + flat["p"],
+                                return_inverse=True)
+            c = np.bincount(at, flat["c"])
+            first = np.searchsorted(key, np.arange(b.num_rows) * (2 * n_classes))
+            best = np.empty(b.num_rows, np.int64)
+            for lo, hi, gain in gains(key % (2 * n_classes), c, first, np.append(first[1:], len(key)),
+                                      np.full(b.num_rows, rare), bigrams, n_classes):
+                gain[:, closed] = -np.inf
+                best[lo:hi] = gain.argmax(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best), b.column(1), b.column(2)],
+                                             ["n", "class", "block", "at"])
+
+    return words.mapInArrow(run, "n long, class long, block array<long>, at array<int>")
+
+
 def class_bigrams(partials: DataFrame, n_classes: int):
     """The class-bigram matrix (one small row per task is summed)."""
     import numpy as np
 
     total = np.zeros(n_classes ** 2)
     for raw in partials.where("word = -1").select("pairs").toArrow().column(0).to_pylist():
-        total += np.frombuffer(raw, dtype=[("p", "<u2"), ("c", "<u4")])["c"]
+        total += np.frombuffer(raw, dtype=PAIRS)["c"]
+    return total.reshape(n_classes, n_classes)
+
+
+def all_bigrams(coded: DataFrame, end: int, n_classes: int):
+    """The class-bigram matrix of blocks ``(cls, codes, lengths, held)`` whose
+    words all have their class."""
+    import numpy as np
+
+    def run(batches):
+        total = np.zeros(n_classes ** 2, np.int64)
+        for b in batches:
+            for cls, codes, lengths, held in zip(*(b.column(k) for k in range(4))):
+                of = np.frombuffer(unpacked(cls), np.uint8).astype(np.int64)[numbers(codes)]
+                train = np.repeat(~np.array(held.as_py()), np.array(lengths.as_py()))
+                total += np.bincount((np.concatenate(([end], of[:-1])) * n_classes + of)[train], minlength=n_classes ** 2)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    parts = coded.select("cls", "codes", "lengths", "held").mapInArrow(run, "total binary").toArrow()
+    total = sum((np.frombuffer(x, np.int64) for x in parts.column(0).to_pylist()), np.zeros(n_classes ** 2))
     return total.reshape(n_classes, n_classes)
 
 
@@ -301,61 +408,73 @@ def score(spark: SparkSession, docs: DataFrame, n_free: int = CLASSES, sweeps: i
         found = exchange(partials, classes, n_classes, bigrams, moves).toArrow()   # class-bearing words only
         moved[found.column("word").to_numpy()] = found.column("class").to_numpy()
         classes = moved
-    partials = written(spark, neighbours(blocks, index, classes, n_classes), "brown-model")
-    bigrams = class_bigrams(partials, n_classes)
-    # transitions: Witten-Bell with add-one class frequencies
-    seen = bigrams.sum(1, keepdims=True)
-    kinds = (bigrams > 0).sum(1, keepdims=True)
-    apart = (bigrams.sum(0) + 1.0) / (bigrams.sum() + n_classes)
-    weight = np.where(seen > 0, seen / np.maximum(seen + kinds, 1), 0.0)
-    transition = np.log10(weight * bigrams / np.maximum(seen, 1) + (1 - weight) * apart[None, :])
-    of_class = np.bincount(classes, weights=count, minlength=n_classes)
-    n_class = np.bincount(classes, minlength=n_classes).astype(float)
-    of_class[rare] = n - count.sum()
-    n_class[rare] = v - (count > 0).sum() + 1            # and the unknown word
-    emission = np.log10((count + ADD) / (of_class[classes] + ADD * n_class[classes]))
-    rare_below = of_class[rare] + ADD * n_class[rare]
-
-    # Rare words: a block knows its own count; the total goes to the blocks
-    # whose word is also in others.  A rare word is in fewer blocks than it
-    # has tokens, and hot words are not among them.
-    listed = F.broadcast(spark.createDataFrame([(bytearray(w),) for w in index], "word binary"))
-    total = F.struct("block", "at", "c")
-    more = (entries(blocks).join(listed, "word", "left_anti")
-            .groupBy("word").agg(F.sum("c").alias("n"), F.collect_list(total).alias("in"))
-            .where("size(in) > 1").select("n", F.explode("in").alias("e")).where("n <> e.c")
-            .select(F.col("e.block").alias("block"), F.col("e.at").alias("at"), "n"))
-    rares = more.groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("rares"))
+        discard(spark, partials)
 
     def numbered(batches):
         for b in batches:
             for k in range(b.num_rows):
                 words = unpacked(b.column(1)[k]).split(b"\n")
                 number = np.fromiter((index.get(w, -1) for w in words), "<i4", len(words))
+                cls = np.where(number >= 0, classes[number], rare).astype(np.uint8)
                 part = b.slice(k, 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packed(number)], pa.binary()),
-                                                  *part.columns[2:]],
-                                                 ["block", "number", "doc_ids", "lengths", "held", "counts", "codes"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([packed(number)], pa.binary()), pa.array([packed(cls)], pa.binary()),
+                     *part.columns[2:]], ["block", "number", "cls", "doc_ids", "lengths", "held", "counts", "codes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    coded = f"cls binary, doc_ids array<{kind}>, lengths array<long>, held array<boolean>, counts binary, codes binary"
     light = blocks.select("block", "words", "doc_ids", "lengths", "held", "counts", "codes").mapInArrow(
-        numbered, f"block long, number binary, doc_ids array<{kind}>, lengths array<long>, held array<boolean>, "
-                  "counts binary, codes binary")
-    ready = light.join(rares, "block", "left").select(
-        "doc_ids", "lengths", "held", "number", "counts", "codes", "rares.at", "rares.n")
+        numbered, f"block long, number binary, {coded}")
+    bigrams = all_bigrams(light, end, n_classes)
+    placed = written(spark, placed_rare(rare_entries(blocks, index, classes, n_classes), n_classes, bigrams), "brown-rare")
+    discard(spark, counted)
+    rares = (placed.select("n", "class", F.explode(F.arrays_zip("block", "at")).alias("e"))
+             .groupBy(F.col("e.block").alias("block"))
+             .agg(F.collect_list(F.struct(F.col("e.at").alias("at"), "n", "class")).alias("rares")))
+
+    def joined(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                cls, found = np.frombuffer(unpacked(b.column(1)[k]), np.uint8).copy(), numbers(b.column(5)[k])
+                at, n_all, of = (b.column(m)[k].values for m in (7, 8, 9))
+                if at is not None and len(at):
+                    at = at.to_numpy()
+                    found[at], cls[at] = n_all.to_numpy(), of.to_numpy()
+                part = b.slice(k, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([packed(cls)], pa.binary()), *part.columns[2:5],
+                     pa.array([packed(found.astype("<u4"))], pa.binary()), part.column(6)],
+                    ["number", "cls", "doc_ids", "lengths", "held", "counts", "codes"])
+
+    ready = written(spark, light.join(rares, "block", "left").select(
+        "number", "cls", "doc_ids", "lengths", "held", "counts", "codes", "rares.at", "rares.n", "rares.class").mapInArrow(
+        joined, f"number binary, {coded}"), "brown-coded")
+    bigrams = all_bigrams(ready, end, n_classes)
+    # transitions: Witten-Bell with add-one class frequencies
+    seen = bigrams.sum(1, keepdims=True)
+    kinds = (bigrams > 0).sum(1, keepdims=True)
+    apart = (bigrams.sum(0) + 1.0) / (bigrams.sum() + n_classes)
+    weight = np.where(seen > 0, seen / np.maximum(seen + kinds, 1), 0.0)
+    transition = np.log10(weight * bigrams / np.maximum(seen, 1) + (1 - weight) * apart[None, :])
+    of_class = bigrams.sum(0)
+    n_class = np.bincount(classes, minlength=n_classes).astype(float)
+    for c, kinds_of in placed.groupBy("class").count().collect():
+        n_class[c] += kinds_of
+    n_class[rare] += 1                                   # the unknown word
+    below = of_class + ADD * n_class
+    emission = np.log10((count + ADD) / below[classes])
+
     kind_pa = blocks.limit(0).select(F.explode("doc_ids")).toArrow().schema.field(0).type
 
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
-                ids, lengths, held, number, counts, codes, at, c = (b.column(m)[k] for m in range(8))
+                number, cls, ids, lengths, held, found, codes = (b.column(m)[k] for m in range(7))
                 lengths = np.array(lengths.as_py())
                 number = np.frombuffer(unpacked(number), "<i4").astype(np.int64)
-                found = np.where(number >= 0, count[number], numbers(counts))
-                if at.as_py():
-                    found[np.array(at.as_py())] = np.array(c.as_py())
-                cls = np.where(number >= 0, classes[number], rare)
-                emit = np.where(number >= 0, emission[number], np.log10((found + ADD) / rare_below))
+                cls = np.frombuffer(unpacked(cls), np.uint8).astype(np.int64)
+                found = np.where(number >= 0, count[number], numbers(found))
+                emit = np.where(number >= 0, emission[number], np.log10((found + ADD) / below[cls]))
                 base = np.log10((found + ADD) / (n + ADD * (v + 1)))
                 code = numbers(codes)
                 of = cls[code]

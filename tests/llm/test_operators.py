@@ -211,6 +211,19 @@ def test_brown_scores(spark, docs, empty):
     assert brown_lm.score(spark, empty, 4, 1).count() == 0
 
 
+def test_brown_rare_words_take_the_class_of_their_neighbours(spark, monkeypatch):
+    # a, b, P and Q are frequent; P and p words stand after a, Q and q words after b
+    monkeypatch.setattr(brown_lm, "CLASS_SHARE", 0.05)
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    train = [d for d in range(300) if not held(d)][:200]
+    rows = [(d, ("a p" if n % 2 else "b q") + (f"{n // 2 % 20}" if n % 5 < 2 else "")) for n, d in enumerate(train)]
+    asked = [d for d in range(300) if held(d)][:2]
+    number = next(n // 2 % 20 for n in range(200) if n % 5 < 2 and n % 2 and f"b q{n // 2 % 20}" in {t for _, t in rows})
+    rows += [(asked[0], f"a p{number}"), (asked[1], f"a q{number}")]
+    got = {r.doc_id: r.score for r in brown_lm.score(spark, spark.createDataFrame(rows, "doc_id long, text string"), 6, 2).collect()}
+    assert got[asked[0]] > got[asked[1]] + 0.3
+
+
 def test_passages(spark, docs, empty, texts):
     got = {r.doc_id: r for r in passages.dedup(spark, docs).where("doc_id is not null").collect()}
     assert got[1].copy_of == 0 and got[1].dup_words == 120
