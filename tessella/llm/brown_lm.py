@@ -25,10 +25,11 @@ emissions, ``P(w | previous) = P(class(w) | class(previous)) * P(w | class(w))``
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import discard, text_bytes, written
+from tessella.llm.common import discard, text_bytes, worker_trim, written
 
 CLASSES = 32            # exchange classes; two more: rare words, text ends
 SWEEPS = 4
@@ -138,6 +139,7 @@ def neighbours(blocks: DataFrame, index: dict, classes, n_classes: int) -> DataF
     def run(batches):
         import numpy as np
 
+        worker_trim()
         keys, counts = [], []
         bigrams = np.zeros(n_classes * n_classes, np.int64)
         held_back = 0
@@ -166,7 +168,7 @@ def neighbours(blocks: DataFrame, index: dict, classes, n_classes: int) -> DataF
                 keys.append(k)
                 counts.append(c)
                 held_back += len(k)
-                if held_back > 1_500_000:
+                if held_back > 1_000_000:
                     k, c = merged()
                     keys, counts, held_back = [k], [c], len(k) // 2
         if not keys:
@@ -268,41 +270,42 @@ def exchange(partials: DataFrame, classes, n_classes: int, bigrams, moves) -> Da
 
 
 def rare_entries(blocks: DataFrame, index: dict, classes, n_classes: int) -> DataFrame:
-    """``(word, block, at, c, pairs)``: the rare words of every block with
-    their training counts there and the classes next to them (as in
-    ``neighbours``)."""
-    width, rare = 2 * n_classes, n_classes - 1
+    """``(word, block, at, near)``: the rare words of every block and, of
+    their training tokens there, the class before (0..) and after
+    (n_classes..) each, as one binary of u16 numbers."""
+    rare = n_classes - 1
 
     def run(batches):
         import numpy as np
 
+        worker_trim()
         end = classes[index[END]]
         for b in batches:
-            for block, words, counts, codes, lengths, held in zip(*(b.column(k) for k in range(6))):
+            for block, words, codes, lengths, held in zip(*(b.column(k) for k in range(5))):
                 w = unpacked(words).split(b"\n")
                 number = np.fromiter((index.get(x, -1) for x in w), np.int64, len(w))
                 code = numbers(codes)
                 of = np.where(number >= 0, classes[number], rare)[code]
                 mine = np.repeat(~np.array(held.as_py()), np.array(lengths.as_py())) & (number[code] < 0)
                 before, after = np.concatenate(([end], of[:-1])), np.concatenate((of[1:], [end]))
-                k, c = np.unique(np.concatenate((code[mine] * width + before[mine],
-                                                 code[mine] * width + n_classes + after[mine])), return_counts=True)
-                pairs = np.empty(len(k), dtype=PAIRS)
-                pairs["p"], pairs["c"] = k % width, c
-                raw, at = pairs.tobytes(), np.flatnonzero(number < 0)
-                lo, hi = 6 * np.searchsorted(k, at * width), 6 * np.searchsorted(k, (at + 1) * width)
-                n = numbers(counts)[at]
-                for x in range(0, len(at), 50_000):
-                    part = at[x:x + 50_000]
+                # by word, both classes of a token side by side
+                order = np.argsort(code[mine], kind="stable")
+                word = code[mine][order]
+                near = np.empty((len(word), 2), "<u2")
+                near[:, 0], near[:, 1] = before[mine][order], after[mine][order] + n_classes
+                raw, at = near.tobytes(), np.flatnonzero(number < 0)
+                lo, hi = 4 * np.searchsorted(word, at), 4 * np.searchsorted(word, at, "right")
+                del code, of, mine, before, after, order, word, near       # a worker's memory is small
+                for x in range(0, len(at), 8_000):
+                    part = at[x:x + 8_000]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([w[q] for q in part.tolist()], pa.binary()),
                          pa.array(np.full(len(part), block.as_py(), np.int64)), pa.array(part.astype(np.int32)),
-                         pa.array(n[x:x + 50_000]),
-                         pa.array([raw[s:e] for s, e in zip(lo[x:x + 50_000].tolist(), hi[x:x + 50_000].tolist())],
-                                  pa.binary())], ["word", "block", "at", "c", "pairs"])
+                         pa.array([raw[s:e] for s, e in zip(lo[x:x + 8_000].tolist(), hi[x:x + 8_000].tolist())],
+                                  pa.binary())], ["word", "block", "at", "near"])
 
-    return blocks.select("block", "words", "counts", "codes", "lengths", "held").mapInArrow(
-        run, "word binary, block long, at int, c long, pairs binary")
+    return blocks.select("block", "words", "codes", "lengths", "held").mapInArrow(
+        run, "word binary, block long, at int, near binary")
 
 
 def placed_rare(entries: DataFrame, n_classes: int, bigrams) -> DataFrame:
@@ -316,27 +319,31 @@ def placed_rare(entries: DataFrame, n_classes: int, bigrams) -> DataFrame:
     # all rare words move at once: none opens an empty class, where they would meet
     closed = (bigrams.sum(0) + bigrams.sum(1) == 0) | (np.arange(n_classes) == n_classes - 2)
     closed[rare] = False
-    words = (entries.groupBy("word").agg(F.sum("c").alias("n"), F.collect_list(F.struct("block", "at", "pairs")).alias("e"))
-             .where("n > 0").select("n", "e.block", "e.at", "e.pairs"))
+    words = (entries.groupBy("word").agg(F.collect_list(F.struct("block", "at", "near")).alias("e"))
+             .select("e.block", "e.at", "e.near"))
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            lists = b.column(3)
-            raw = lists.flatten().to_pylist()
-            flat = np.frombuffer(b"".join(raw), dtype=PAIRS)
+        worker_trim()
+        for b in (b.slice(lo, 2_000) for b in batches for lo in range(0, b.num_rows, 2_000)):
+            lists = b.column(2)
+            raw = lists.flatten()
+            size = pc.binary_length(raw).to_numpy() // 2
             word = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
-            key, at = np.unique(np.repeat(word, [len(r) // 6 for r in raw]) * (2 * n_classes) + flat["p"],
-                                return_inverse=True)
-            c = np.bincount(at, flat["c"])
-            first = np.searchsorted(key, np.arange(b.num_rows) * (2 * n_classes))
+            tokens = np.bincount(word, size, minlength=b.num_rows).astype(np.int64) // 2
+            trained = np.flatnonzero(tokens)              # the others are in held-out texts only
+            if not len(trained):
+                continue
+            number = np.cumsum(tokens > 0) - 1
+            flat = np.frombuffer(b"".join(raw.to_pylist()), "<u2")
+            key, c = np.unique(number[np.repeat(word, size)] * (2 * n_classes) + flat, return_counts=True)
+            first = np.searchsorted(key, np.arange(len(trained)) * (2 * n_classes))
+            b, tokens = b.take(pa.array(trained)), tokens[trained]
             best = np.empty(b.num_rows, np.int64)
             for lo, hi, gain in gains(key % (2 * n_classes), c, first, np.append(first[1:], len(key)),
                                       np.full(b.num_rows, rare), bigrams, n_classes):
                 gain[:, closed] = -np.inf
                 best[lo:hi] = gain.argmax(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best), b.column(1), b.column(2)],
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(best), b.column(0), b.column(1)],
                                              ["n", "class", "block", "at"])
 
     return words.mapInArrow(run, "n long, class long, block array<long>, at array<int>")
