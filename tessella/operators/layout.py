@@ -18,7 +18,7 @@ from tessella.functions import idiv
 from tessella.functions.arrays import densify
 from tessella.operators.entries import transpose
 from tessella.plans.guards import MAX_BROADCAST_ROWS, rows_at_most
-from tessella.plans.store import written
+from tessella.plans.store import stored, written
 
 DEFAULT_SEGMENT = 1 << 16
 MAX_DENSE_WIDTH = 1 << 14
@@ -30,14 +30,14 @@ def pack_rows(df: DataFrame, width: int = DEFAULT_SEGMENT) -> DataFrame:
     ``seg = j div width``.  Duplicates are summed first, with a map-side
     partial sum, so even a cell repeated a huge number of times is combined
     before any shuffle; the collection then sees at most ``width`` entries
-    per segment.  The entries are written first, so that the tasks which make
-    them do not hold the tables of these sums as well.
+    per segment.  Entries, sums and segments are written one after the other
+    by tasks of bounded size (``store.written``): none holds the tables of two
+    steps, and none grows with the entries.
     """
-    e = (written(df.select("i", "j", "v"), "pack")
-           .withColumn("seg", idiv("j", width))
-           .groupBy("i", "seg", "j").agg(F.sum("v").alias("v")))
+    e = (stored(df.select("i", "j", "v"), ("i", "j"), "v", "pack")
+           .withColumn("seg", idiv("j", width)))
     packed = e.groupBy("i", "seg").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("e"))
-    return packed.select("i", "seg", F.col("e.j").alias("idx"), F.col("e.v").alias("val"))
+    return written(packed.select("i", "seg", F.col("e.j").alias("idx"), F.col("e.v").alias("val")), "packed")
 
 
 def pack_columns(df: DataFrame, width: int = DEFAULT_SEGMENT) -> DataFrame:

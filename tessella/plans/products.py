@@ -21,7 +21,7 @@ from tessella.plans import skew
 from tessella.plans.batches import CELLS, broadcast_rows, entry_cell, tile_cell
 from tessella.plans.guards import MAX_BROADCAST_ROWS, rows_at_most
 from tessella.plans.skew import DEFAULT_ROWS_PER_TASK, LIST_ROWS, split_join, spread
-from tessella.plans.store import HubStore, hub_store, stored, written
+from tessella.plans.store import TASK_BYTES, HubStore, hub_store, stored, written
 
 
 def _lr(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -128,7 +128,8 @@ def mm_inner_cartesian(left: DataFrame, right: DataFrame, *, width: int | None =
     share an index are formed.  Dots of segments add up over the parts.
 
     Same cells as the cartesian form: sums that cancel stay as 0.0, pairs
-    with an empty intersection never appear.
+    with an empty intersection never appear.  The cells are written by tasks
+    of bounded size (``store.small_tasks``).
     """
     l, r = _lr(left, right)
     l, r = stored(l, ("i", "c"), "v", "inner-rows"), stored(r, ("c", "k"), "w", "inner-columns")
@@ -139,7 +140,8 @@ def mm_inner_cartesian(left: DataFrame, right: DataFrame, *, width: int | None =
     cells = (lg.select(part, segment, "_a", "_b", F.lit(0).alias("side"), F.col("i").alias("x"), "c", "v")
              .unionAll(rg.select(part, segment, "_a", "_b", F.lit(1).alias("side"), F.col("k").alias("x"), "c", "w")))
     dots = cells.groupBy("part", "seg", "_a", "_b").applyInArrow(entry_cell, CELLS)
-    return _summed(dots, drop_zeros)
+    # a grid cell is sorted whole: a task gets one or two of them
+    return written(_summed(dots, drop_zeros), "inner-cells", TASK_BYTES // 4)
 
 
 def _summed(cells: DataFrame, drop_zeros: bool) -> DataFrame:
@@ -253,7 +255,8 @@ def mm_cogroup(left: DataFrame, right: DataFrame, *, width: int = LIST_WIDTH,
     ``skew.PAIRS_PER_TASK``); then rows and columns are dealt to a grid of
     list parts, and a pair of parts, not the index, is what a task gets.
     Operands are stored once with duplicates summed, so counts bound lists.
-    Parts meet by an equi-join and are expanded with two ``explode``s.
+    Parts meet by an equi-join and are expanded with two ``explode``s; the
+    cells are written by tasks of bounded size (``store.small_tasks``).
     Cancelled sums are kept, as the reference's reducer writes every sum.
     """
     l, r = _lr(left, right)
@@ -263,7 +266,7 @@ def mm_cogroup(left: DataFrame, right: DataFrame, *, width: int = LIST_WIDTH,
                .select(F.explode("left").alias("a"), "right")
                .select("a.i", "a.v", F.explode("right").alias("b"))
                .select("i", "v", "b.k", "b.w"))
-    return _cells(pairs, drop_zeros)
+    return written(_cells(pairs, drop_zeros), "cogroup-cells")
 
 
 def _list_parts(l: DataFrame, r: DataFrame, width: int,

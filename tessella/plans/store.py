@@ -10,7 +10,9 @@ in buckets of ``(key, salt)``, so every later join takes them as they lie.
 
 from __future__ import annotations
 
+import math
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -20,11 +22,42 @@ from tessella.plans import skew
 from tessella.session import scratch_path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back."""
+TASK_BYTES = 16 << 20   # of files or of a shuffle, that a writing task reads
+
+
+@contextmanager
+def small_tasks(df: DataFrame, task_bytes: int | None = None):
+    """While it lasts, jobs on ``df`` read ``task_bytes`` a task: files are cut
+    at it, and a shuffle has a partition for every half of it in ``df``'s
+    files (AQE joins small ones again).  So a task's sorts and hash tables
+    do not grow with the tables, whatever ``spark.sql.shuffle.partitions``."""
+    spark, task_bytes = df.sparkSession, task_bytes or TASK_BYTES
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    size = 0
+    for file in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        size += path.getFileSystem(conf).getFileStatus(path).getLen()
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * size / task_bytes))
+    wanted = {"spark.sql.shuffle.partitions": str(partitions),
+              "spark.sql.files.maxPartitionBytes": str(task_bytes),
+              "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(task_bytes)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield partitions
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def written(df: DataFrame, name: str, task_bytes: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, made by small tasks
+    (``small_tasks``) and read back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with small_tasks(df, task_bytes):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
