@@ -36,6 +36,8 @@ SWEEPS = 4
 CLASS_SHARE = 2e-6
 BLOCK_TOKENS = 600_000
 BLOCK_DOCS = 16_384
+SLICE = 100_000         # tokens of a block counted at a time
+DOCS_SENT = 1_000       # texts or words sent to a Python worker at a time; blocks go one by one
 ADD = 0.1               # added to counts in emissions and in the base score
 FOLDS, HELD_OUT = 10, 0
 END = b""               # the end token among the words of a block
@@ -56,6 +58,7 @@ def coded_blocks(docs: DataFrame) -> DataFrame:
         import numpy as np
         from pyspark import TaskContext
 
+        worker_trim()
         part, number = TaskContext.get().partitionId(), 0
         ids, held, codes, index, n = [], [], [], {END: 0}, 0
 
@@ -115,6 +118,7 @@ def entries(blocks: DataFrame) -> DataFrame:
     counts there."""
 
     def run(batches):
+        worker_trim()
         for b in batches:
             for block, words, counts in zip(*(b.column(k) for k in range(3))):
                 w, c = unpacked(words).split(b"\n"), numbers(counts)
@@ -140,53 +144,47 @@ def neighbours(blocks: DataFrame, index: dict, classes, n_classes: int) -> DataF
         import numpy as np
 
         worker_trim()
-        keys, counts = [], []
+        end, one = index[END], np.uint32(1)
+        total = None                             # a count per word and place: 4 * width bytes a word
         bigrams = np.zeros(n_classes * n_classes, np.int64)
-        held_back = 0
-
-        def merged():
-            k, inv = np.unique(np.concatenate(keys), return_inverse=True)
-            return k, np.bincount(inv, np.concatenate(counts)).astype(np.int64)
-
         for b in batches:
             for words, codes, lengths, held in zip(*(b.column(k) for k in range(4))):
+                if total is None:
+                    total = np.zeros(n_words * width, np.uint32)
                 words = unpacked(words).split(b"\n")
                 number = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
+                del words
                 cls = np.where(number >= 0, classes[number], rare)
-                code = numbers(codes)
+                code = np.frombuffer(unpacked(codes), "<u4")
                 train = np.repeat(~np.array(held.as_py()), np.array(lengths.as_py()))
-                token, of = number[code], cls[code]
-                # the end class stands before a text's first token, too
-                before = np.concatenate(([classes[index[END]]], of[:-1]))
-                bigrams += np.bincount((before * n_classes + of)[train], minlength=n_classes ** 2)
-                left = train & (token >= 0)
-                previous = np.concatenate(([index[END]], token[:-1]))
-                right = train & (previous >= 0)
-                k, c = np.unique(np.concatenate((token[left] * width + before[left],
-                                                 previous[right] * width + n_classes + of[right])),
-                                 return_counts=True)
-                keys.append(k)
-                counts.append(c)
-                held_back += len(k)
-                if held_back > 1_000_000:
-                    k, c = merged()
-                    keys, counts, held_back = [k], [c], len(k) // 2
-        if not keys:
+                for lo in range(0, len(code), SLICE):
+                    # the end class stands before a text's first token, too
+                    part, mine = code[lo:lo + SLICE], train[lo:lo + SLICE]
+                    token, of = number[part], cls[part]
+                    first = code[lo - 1] if lo else None
+                    before = np.concatenate(([classes[end] if first is None else cls[first]], of[:-1]))
+                    bigrams += np.bincount((before * n_classes + of)[mine], minlength=n_classes ** 2)
+                    left = mine & (token >= 0)
+                    np.add.at(total, token[left] * width + before[left], one)
+                    previous = np.concatenate(([end if first is None else number[first]], token[:-1]))
+                    right = mine & (previous >= 0)
+                    np.add.at(total, previous[right] * width + n_classes + of[right], one)
+        if total is None:
             return
-        k, c = merged()
-        word, place = k // width, k % width
-        cut = np.flatnonzero(np.diff(word)) + 1
-        lo = np.concatenate(([0], cut)).astype(np.int64)
-        hi = np.concatenate((cut, [len(k)])).astype(np.int64)
-        packed = np.empty(len(k), dtype=PAIRS)
-        packed["p"], packed["c"] = place, c
-        raw = packed.tobytes()
         all_ = np.empty(n_classes ** 2, dtype=PAIRS)
         all_["p"], all_["c"] = np.arange(n_classes ** 2), bigrams
         out_w, out_p = [-1], [all_.tobytes()]
-        for a in range(0, len(lo), 20_000):
-            out_w += word[lo[a:a + 20_000]].tolist()
-            out_p += [raw[6 * s:6 * e] for s, e in zip(lo[a:a + 20_000].tolist(), hi[a:a + 20_000].tolist())]
+        for a in range(0, n_words, 10_000):
+            counts = total[a * width:(a + 10_000) * width]
+            at = np.flatnonzero(counts)
+            word = at // width
+            pairs = np.empty(len(at), dtype=PAIRS)
+            pairs["p"], pairs["c"] = at - word * width, counts[at]
+            raw = pairs.tobytes()
+            met, lo = np.unique(word, return_index=True)
+            hi = np.append(lo[1:], len(word))
+            out_w += (met + a).tolist()
+            out_p += [raw[6 * s:6 * e] for s, e in zip(lo.tolist(), hi.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(out_w, pa.int64()), pa.array(out_p, pa.binary())],
                                              ["word", "pairs"])
             out_w, out_p = [], []
@@ -202,7 +200,7 @@ def gains(place, c, first, after, now, bigrams, n_classes: int):
     ``(lo, hi, gain)`` for words [lo, hi); ties are for the present class."""
     import numpy as np
 
-    chunk = 40_000                            # vector entries at a time
+    chunk = 10_000                            # vector entries at a time
 
     def grown(x, n):
         """f(x + n) - f(x), accurate in single precision too."""
@@ -390,8 +388,8 @@ def score(spark: SparkSession, docs: DataFrame, n_free: int = CLASSES, sweeps: i
     """
     import numpy as np
 
-    blocks = written(spark, coded_blocks(docs), "brown-blocks")
-    counted = written(spark, entries(blocks).where("c > 0").groupBy("word").agg(F.sum("c").alias("c")), "brown-words")
+    blocks = written(spark, coded_blocks(docs), "brown-blocks", DOCS_SENT)
+    counted = written(spark, entries(blocks).where("c > 0").groupBy("word").agg(F.sum("c").alias("c")), "brown-words", 1)
     n, v = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # at most 1 / CLASS_SHARE rows
     table = counted.where((F.col("c") >= max(CLASS_SHARE * n, 2)) | (F.col("word") == F.lit(END))).toArrow()
@@ -407,7 +405,7 @@ def score(spark: SparkSession, docs: DataFrame, n_free: int = CLASSES, sweeps: i
     classes = np.minimum(np.arange(len(frequent)), n_free - 1)
     classes[index[END]] = end
     for turn in range(sweeps):
-        partials = written(spark, neighbours(blocks, index, classes, n_classes), "brown-sweep")
+        partials = written(spark, neighbours(blocks, index, classes, n_classes), "brown-sweep", 1)
         bigrams = class_bigrams(partials, n_classes)
         # first every word but the classes' first ones leaves the start's heap
         moves = (lambda w: w >= n_free - 1) if turn == 0 else (lambda w, third=turn % 3: w % 3 != third)
@@ -418,6 +416,7 @@ def score(spark: SparkSession, docs: DataFrame, n_free: int = CLASSES, sweeps: i
         discard(spark, partials)
 
     def numbered(batches):
+        worker_trim()
         for b in batches:
             for k in range(b.num_rows):
                 words = unpacked(b.column(1)[k]).split(b"\n")
@@ -433,13 +432,15 @@ def score(spark: SparkSession, docs: DataFrame, n_free: int = CLASSES, sweeps: i
     light = blocks.select("block", "words", "doc_ids", "lengths", "held", "counts", "codes").mapInArrow(
         numbered, f"block long, number binary, {coded}")
     bigrams = all_bigrams(light, end, n_classes)
-    placed = written(spark, placed_rare(rare_entries(blocks, index, classes, n_classes), n_classes, bigrams), "brown-rare")
+    near = rare_entries(blocks, index, classes, n_classes)
+    placed = written(spark, placed_rare(near, n_classes, bigrams), "brown-rare", DOCS_SENT)
     discard(spark, counted)
     rares = (placed.select("n", "class", F.explode(F.arrays_zip("block", "at")).alias("e"))
              .groupBy(F.col("e.block").alias("block"))
              .agg(F.collect_list(F.struct(F.col("e.at").alias("at"), "n", "class")).alias("rares")))
 
     def joined(batches):
+        worker_trim()
         for b in batches:
             for k in range(b.num_rows):
                 cls, found = np.frombuffer(unpacked(b.column(1)[k]), np.uint8).copy(), numbers(b.column(5)[k])
@@ -455,7 +456,7 @@ def score(spark: SparkSession, docs: DataFrame, n_free: int = CLASSES, sweeps: i
 
     ready = written(spark, light.join(rares, "block", "left").select(
         "number", "cls", "doc_ids", "lengths", "held", "counts", "codes", "rares.at", "rares.n", "rares.class").mapInArrow(
-        joined, f"number binary, {coded}"), "brown-coded")
+        joined, f"number binary, {coded}"), "brown-coded", 1)
     bigrams = all_bigrams(ready, end, n_classes)
     # transitions: Witten-Bell with add-one class frequencies
     seen = bigrams.sum(1, keepdims=True)
@@ -474,6 +475,7 @@ def score(spark: SparkSession, docs: DataFrame, n_free: int = CLASSES, sweeps: i
     kind_pa = blocks.limit(0).select(F.explode("doc_ids")).toArrow().schema.field(0).type
 
     def run(batches):
+        worker_trim()
         for b in batches:
             for k in range(b.num_rows):
                 number, cls, ids, lengths, held, found, codes = (b.column(m)[k] for m in range(7))
@@ -496,5 +498,5 @@ def score(spark: SparkSession, docs: DataFrame, n_free: int = CLASSES, sweeps: i
                     pa.array(np.add.reduceat(model, starts))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return ready.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, "
-                                 "train_tokens long, base_score double, score double")
+    return written(spark, ready.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, "
+                                                "train_tokens long, base_score double, score double"), "brown-scores", 1)

@@ -27,11 +27,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(spark: SparkSession, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder, read back:
-    later plans start from files that survive the loss of any executor."""
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
+    later plans start from files that survive the loss of any executor.
+    Python workers are sent at most ``batch`` rows at a time, if given: both
+    sides hold whole batches, which counts where rows are long."""
+    path, before = scratch_path(spark, name), spark.conf.get(BATCH, None)
+    if batch:
+        spark.conf.set(BATCH, str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        if batch:
+            spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
     back = spark.read.schema(df.schema).parquet(path)
     back.written_path = path
     return back

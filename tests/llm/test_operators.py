@@ -468,3 +468,80 @@ def test_quotes(spark):
     assert got[2, 1] == (1, "foo", 2, 0, "previous", 1)
     assert got[3, 700] == (1, "x", 3, 5, "previous", 0)
     assert got[None, None][4] == "none" and quotes.link_quotes(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("slice_", [1, 7, 100_000])
+def test_brown_neighbours_are_counted_in_slices(spark, docs, monkeypatch, slice_):
+    """op1: classes before and after each word, whatever the slices of a block."""
+    monkeypatch.setattr(brown_lm, "SLICE", slice_)
+    blocks = brown_lm.coded_blocks(docs.repartition(2)).localCheckpoint()
+    index = {w: k for k, w in enumerate([b"w1", b"w2", b"w3", b"the", brown_lm.END])}
+    classes, n_classes = np.array([0, 1, 0, 2, 3]), 5
+    want = collections.Counter()
+    for b in blocks.collect():
+        import zstandard
+
+        names = zstandard.ZstdDecompressor().decompress(b["words"]).split(b"\n")
+        codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b["codes"]), "<u4")
+        held = [h for h, n in zip(b["held"], b["lengths"]) for _ in range(n)]
+        last = brown_lm.END
+        for c, h in zip(codes, held):
+            w = names[c]
+            one, two = (classes[index[x]] if x in index else 4 for x in (last, w))
+            if not h:
+                want[-1, one * n_classes + two] += 1
+                if w in index:
+                    want[index[w], one] += 1
+                if last in index:
+                    want[index[last], n_classes + two] += 1
+            last = w
+    got = collections.Counter()
+    for word, raw in brown_lm.neighbours(blocks, index, classes, n_classes).collect():
+        for p, c in np.frombuffer(raw, brown_lm.PAIRS):
+            got[word, int(p)] += int(c)
+    assert +got == want
+
+
+def test_brown_neighbours_take_the_memory_of_a_slice(monkeypatch):
+    """op1: what a task holds beside the counts does not grow with the block."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Blocks:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    r, n = np.random.default_rng(4), 600_000
+    codes = r.integers(1, 20_000, n).astype("<u4")
+    names = [brown_lm.END] + [b"w%d" % k for k in range(1, 20_000)]
+    block = pa.RecordBatch.from_arrays(
+        [pa.array([brown_lm.packed(b"\n".join(names))], pa.binary()), pa.array([brown_lm.packed(codes)], pa.binary()),
+         pa.array([[n]]), pa.array([[False]])], ["words", "codes", "lengths", "held"])
+    index = {w: k for k, w in enumerate(names)}
+    run = brown_lm.neighbours(Blocks(), index, r.integers(0, 32, 20_000), 34)
+    tracemalloc.start()
+    try:
+        for _ in run(iter([block, block, block])):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_written_sends_batches_of_the_size_asked_for(spark):
+    """pipeline, op1, op2: long rows go to Python workers a few at a time."""
+    from tessella.llm import common
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    before = spark.conf.get(common.BATCH)
+    got = common.written(spark, spark.range(0, 1000, 1, 2).mapInArrow(sizes, "n long"), "sizes", 30).agg({"n": "max"})
+    assert got.first()[0] <= 30 and spark.conf.get(common.BATCH) == before
