@@ -48,6 +48,7 @@ FEW, AROUND, BAND = 3, 64, 8    # matches of a pair told by the words around the
 HOT_SHARE, HOT_ROWS, SALTS, SAMPLE = 1e-4, 1024, 64, 16
 NO_ID = (1 << 63) - 1   # stands for a null id: such rows come last
 WORDS_KNOWN = 150_000   # word hashes remembered per worker
+SENT = 1024             # rows with texts sent to a Python worker at a time
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -584,10 +585,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
             lone = lone.dropDuplicates(["doc", "h"])
     # every later join takes the texts as they lie here
     lone = bucketed(spark, lone, ("doc", "h"), "texts")
-    found = written(spark, seeds(lone, min_words=min_words), "seeds")
+    found = written(spark, seeds(lone, min_words=min_words), "seeds", SENT)
     placed = written(spark, places(found, firsts.count()), "places")
     discard(spark, found)
-    stretch = written(spark, stretches(lone, placed, min_words), "stretches")
+    stretch = written(spark, stretches(lone, placed, min_words), "stretches", SENT)
     whole = whole_matches(stretch, min_words)
     pairs = (matches(placed).unionByName(whole).groupBy("doc", "h", "doc2", "h2")
              .agg(F.collect_list(F.struct("pos", "pos2")).alias("m")))
@@ -595,7 +596,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
     discard(spark, placed)
     discard(spark, stretch)
     texts = lone
-    all_pairs, pairs = pairs, written(spark, promising(pairs, texts, min_words, identity), "promising")
+    all_pairs, pairs = pairs, written(spark, promising(pairs, texts, min_words, identity), "promising", SENT)
     discard(spark, all_pairs)
     later = pairs.join(texts, ["doc", "h"])
     both = later.join(texts.select(F.col("doc").alias("doc2"), F.col("h").alias("h2"), F.col("t").alias("t2")),
@@ -617,7 +618,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
 
     spans = written(spark, both.mapInArrow(
         run, "doc long, h long, start long, end long, doc2 long, start2 long, end2 long, equal long, columns long"),
-        "spans")
+        "spans", SENT)
     size = F.size(F.filter(F.split(F.col("t").cast("string"), r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long")
     discard(spark, pairs)
     discard(spark, lone)
