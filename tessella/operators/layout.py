@@ -18,7 +18,7 @@ from tessella.functions import idiv
 from tessella.functions.arrays import densify
 from tessella.operators.entries import transpose
 from tessella.plans.guards import MAX_BROADCAST_ROWS, rows_at_most
-from tessella.plans.store import stored, written
+from tessella.plans.store import written, written_small
 
 DEFAULT_SEGMENT = 1 << 16
 MAX_DENSE_WIDTH = 1 << 14
@@ -34,10 +34,11 @@ def pack_rows(df: DataFrame, width: int = DEFAULT_SEGMENT) -> DataFrame:
     by tasks of bounded size (``store.written``): none holds the tables of two
     steps, and none grows with the entries.
     """
-    e = (stored(df.select("i", "j", "v"), ("i", "j"), "v", "pack")
+    plain = written(df.select("i", "j", "v"), "pack")
+    e = (written_small(plain.groupBy("i", "j").agg(F.sum("v").alias("v")), "pack-sums")
            .withColumn("seg", idiv("j", width)))
     packed = e.groupBy("i", "seg").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("e"))
-    return written(packed.select("i", "seg", F.col("e.j").alias("idx"), F.col("e.v").alias("val")), "packed")
+    return written_small(packed.select("i", "seg", F.col("e.j").alias("idx"), F.col("e.v").alias("val")), "packed")
 
 
 def pack_columns(df: DataFrame, width: int = DEFAULT_SEGMENT) -> DataFrame:

@@ -21,7 +21,7 @@ from tessella.plans import skew
 from tessella.plans.batches import CELLS, broadcast_rows, entry_cell, tile_cell
 from tessella.plans.guards import MAX_BROADCAST_ROWS, rows_at_most
 from tessella.plans.skew import DEFAULT_ROWS_PER_TASK, LIST_ROWS, split_join, spread
-from tessella.plans.store import TASK_BYTES, HubStore, hub_store, stored, written
+from tessella.plans.store import TASK_BYTES, HubStore, hub_store, stored, written, written_small
 
 
 def _lr(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -141,7 +141,7 @@ def mm_inner_cartesian(left: DataFrame, right: DataFrame, *, width: int | None =
              .unionAll(rg.select(part, segment, "_a", "_b", F.lit(1).alias("side"), F.col("k").alias("x"), "c", "w")))
     dots = cells.groupBy("part", "seg", "_a", "_b").applyInArrow(entry_cell, CELLS)
     # a grid cell is sorted whole: a task gets one or two of them
-    return written(_summed(dots, drop_zeros), "inner-cells", TASK_BYTES // 4)
+    return written_small(_summed(dots, drop_zeros), "inner-cells", TASK_BYTES // 4)
 
 
 def _summed(cells: DataFrame, drop_zeros: bool) -> DataFrame:

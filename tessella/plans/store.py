@@ -51,9 +51,14 @@ def small_tasks(df: DataFrame, task_bytes: int | None = None):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def written(df: DataFrame, name: str, task_bytes: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, made by small tasks
-    (``small_tasks``) and read back."""
+    and read back."""
+    return written_small(df, name)
+
+
+def written_small(df: DataFrame, name: str, task_bytes: int | None = None) -> DataFrame:
+    """Like ``written``, with tasks of ``task_bytes`` (``small_tasks``)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     with small_tasks(df, task_bytes):
