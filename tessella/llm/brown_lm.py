@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import discard, text_bytes, worker_trim, written
+from tessella.llm.common import discard, drop_shuffles, text_bytes, worker_trim, written
 
 CLASSES = 32            # exchange classes; two more: rare words, text ends
 SWEEPS = 4
@@ -371,7 +371,9 @@ def all_bigrams(coded: DataFrame, end: int, n_classes: int):
                 total += np.bincount((np.concatenate(([end], of[:-1])) * n_classes + of)[train], minlength=n_classes ** 2)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-    parts = coded.select("cls", "codes", "lengths", "held").mapInArrow(run, "total binary").toArrow()
+    spark = coded.sparkSession
+    parts = written(spark, coded.select("cls", "codes", "lengths", "held").mapInArrow(run, "total binary"), "brown-bigrams", 1)
+    parts = parts.toArrow()
     total = sum((np.frombuffer(x, np.int64) for x in parts.column(0).to_pylist()), np.zeros(n_classes ** 2))
     return total.reshape(n_classes, n_classes)
 
@@ -425,13 +427,12 @@ def score(spark: SparkSession, docs: DataFrame, n_free: int = CLASSES, sweeps: i
                 part = b.slice(k, 1)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([packed(number)], pa.binary()), pa.array([packed(cls)], pa.binary()),
-                     *part.columns[2:]], ["block", "number", "cls", "doc_ids", "lengths", "held", "counts", "codes"])
+                     *part.columns[2:]], ["block", "number", "cls", *b.schema.names[2:]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    coded = f"cls binary, doc_ids array<{kind}>, lengths array<long>, held array<boolean>, counts binary, codes binary"
-    light = blocks.select("block", "words", "doc_ids", "lengths", "held", "counts", "codes").mapInArrow(
-        numbered, f"block long, number binary, {coded}")
-    bigrams = all_bigrams(light, end, n_classes)
+    bigrams = all_bigrams(blocks.select("block", "words", "lengths", "held", "codes").mapInArrow(
+        numbered, "block long, number binary, cls binary, lengths array<long>, held array<boolean>, codes binary"),
+        end, n_classes)
     near = rare_entries(blocks, index, classes, n_classes)
     placed = written(spark, placed_rare(near, n_classes, bigrams), "brown-rare", DOCS_SENT)
     discard(spark, counted)
@@ -443,21 +444,29 @@ def score(spark: SparkSession, docs: DataFrame, n_free: int = CLASSES, sweeps: i
         worker_trim()
         for b in batches:
             for k in range(b.num_rows):
-                cls, found = np.frombuffer(unpacked(b.column(1)[k]), np.uint8).copy(), numbers(b.column(5)[k])
-                at, n_all, of = (b.column(m)[k].values for m in (7, 8, 9))
+                cls, found = np.frombuffer(unpacked(b.column(2)[k]), np.uint8).copy(), numbers(b.column(3)[k])
+                at, n_all, of = (b.column(m)[k].values for m in (4, 5, 6))
                 if at is not None and len(at):
                     at = at.to_numpy()
                     found[at], cls[at] = n_all.to_numpy(), of.to_numpy()
                 part = b.slice(k, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([packed(cls)], pa.binary()), *part.columns[2:5],
-                     pa.array([packed(found.astype("<u4"))], pa.binary()), part.column(6)],
-                    ["number", "cls", "doc_ids", "lengths", "held", "counts", "codes"])
-
-    ready = written(spark, light.join(rares, "block", "left").select(
-        "number", "cls", "doc_ids", "lengths", "held", "counts", "codes", "rares.at", "rares.n", "rares.class").mapInArrow(
-        joined, f"number binary, {coded}"), "brown-coded", 1)
+                    [*part.columns[:2], pa.array([packed(cls)], pa.binary()),
+                     pa.array([packed(found.astype("<u4"))], pa.binary())], ["block", "number", "cls", "found"])
+
+    # only a block's words meet their places here; the tokens stay in ``blocks``
+    # and are not written a second time
+    light = blocks.select("block", "words", "counts").mapInArrow(
+        numbered, "block long, number binary, cls binary, counts binary")
+    tables = written(spark, light.join(rares, "block", "left").select(
+        "block", "number", "cls", "counts", "rares.at", "rares.n", "rares.class").mapInArrow(
+        joined, "block long, number binary, cls binary, found binary"), "brown-tables", 1)
+    kinds_of = [(r["class"], r["count"]) for r in placed.groupBy("class").count().collect()]
+    discard(spark, placed)
+    ready = blocks.select("block", "doc_ids", "lengths", "held", "codes").join(tables.hint("merge"), "block").select(
+        "number", "cls", "doc_ids", "lengths", "held", "found", "codes")
     bigrams = all_bigrams(ready, end, n_classes)
+    drop_shuffles(spark)
     # transitions: Witten-Bell with add-one class frequencies
     seen = bigrams.sum(1, keepdims=True)
     kinds = (bigrams > 0).sum(1, keepdims=True)
@@ -466,8 +475,8 @@ def score(spark: SparkSession, docs: DataFrame, n_free: int = CLASSES, sweeps: i
     transition = np.log10(weight * bigrams / np.maximum(seen, 1) + (1 - weight) * apart[None, :])
     of_class = bigrams.sum(0)
     n_class = np.bincount(classes, minlength=n_classes).astype(float)
-    for c, kinds_of in placed.groupBy("class").count().collect():
-        n_class[c] += kinds_of
+    for c, n_of in kinds_of:
+        n_class[c] += n_of
     n_class[rare] += 1                                   # the unknown word
     below = of_class + ADD * n_class
     emission = np.log10((count + ADD) / below[classes])

@@ -545,3 +545,19 @@ def test_written_sends_batches_of_the_size_asked_for(spark):
     before = spark.conf.get(common.BATCH)
     got = common.written(spark, spark.range(0, 1000, 1, 2).mapInArrow(sizes, "n long"), "sizes", 30).agg({"n": "max"})
     assert got.first()[0] <= 30 and spark.conf.get(common.BATCH) == before
+
+
+def test_brown_writes_tokens_once(spark, monkeypatch):
+    """op1: only the blocks hold the tokens; what is written later has the
+    words of a block at most."""
+    made, write = {}, brown_lm.written
+
+    def seen(spark, df, name, batch=None):
+        made.setdefault(name, set()).update(df.columns)
+        return write(spark, df, name, batch)
+
+    monkeypatch.setattr(brown_lm, "written", seen)
+    rows = [(k, " ".join(f"w{(k * j) % 23}" for j in range(k % 9))) for k in range(60)]
+    got = brown_lm.score(spark, spark.createDataFrame(rows, "doc_id long, text string"), 4, 2)
+    assert got.count() == len(rows)
+    assert [name for name, columns in made.items() if "codes" in columns] == ["brown-blocks"]
