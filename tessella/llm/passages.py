@@ -31,12 +31,14 @@ others are its copies.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bucketed, discard, text_bytes, text_slices, worker_cache, worker_trim, written
+from tessella.llm.common import bucketed, discard, text_bytes, text_slices, worker_trim, written
 
 K, WINDOW = 5, 8
 MIN_WORDS = 50
@@ -47,7 +49,6 @@ AHEAD, DROP = 8, 8.0    # words that tell how an alignment goes on; its loss at
 FEW, AROUND, BAND = 3, 64, 8    # matches of a pair told by the words around them; words to each side; shift
 HOT_SHARE, HOT_ROWS, SALTS, SAMPLE = 1e-4, 1024, 64, 16
 NO_ID = (1 << 63) - 1   # stands for a null id: such rows come last
-WORDS_KNOWN = 150_000   # word hashes remembered per worker
 SENT = 1024             # rows with texts sent to a Python worker at a time
 
 
@@ -87,18 +88,11 @@ def word_hashes(texts: list[bytes]):
     import numpy as np
     import xxhash
 
+    # hashing a word costs less than finding it among remembered ones
     digest = xxhash.xxh64_intdigest
-    known = worker_cache("word-hashes", dict)
-    if len(known) > WORDS_KNOWN:
-        known.clear()
-    values, lengths = [], []
-    for t in texts:
-        words = t.lower().split()
-        lengths.append(len(words))
-        for w in set(words).difference(known):
-            known[w] = digest(w)
-        values += [known[w] for w in words]
-    return np.array(values, np.uint64), np.array(lengths, np.int64)
+    words = [t.lower().split() for t in texts]
+    lengths = np.array([len(w) for w in words], np.int64)
+    return np.fromiter(map(digest, chain.from_iterable(words)), np.uint64, int(lengths.sum())), lengths
 
 
 def shingles(x, k: int):
@@ -350,14 +344,14 @@ def chains(pairs: list[tuple[int, int]], k: int = K) -> list[list[tuple[int, int
     for i in sorted(range(len(pairs)), key=lambda i: (-score[i], i)):
         if used[i]:
             continue
-        chain = []
+        row = []
         while i >= 0 and not used[i]:
             used[i] = True
-            chain.append(pairs[i])
+            row.append(pairs[i])
             i = back[i]
-        chain.reverse()
-        part = [chain[0]]
-        for p, q in zip(chain, chain[1:]):
+        row.reverse()
+        part = [row[0]]
+        for p, q in zip(row, row[1:]):
             if max(q[0] - p[0], q[1] - p[1]) > MAX_GAP:
                 out.append(part)
                 part = []
@@ -372,38 +366,67 @@ def aligned(a, b) -> tuple[int, int]:
         same = sum([x == y for x, y in zip(a, b)])
         if same >= len(a) - 1:
             return same, len(a)
-    row = [(0, -j) for j in range(len(b) + 1)]       # (equal, -columns)
+    # words equal at either end are so in some best alignment
+    lo, na, nb = 0, len(a), len(b)
+    while lo < min(na, nb) and a[lo] == b[lo]:
+        lo += 1
+    ends = lo
+    while min(na, nb) > lo and a[na - 1] == b[nb - 1]:
+        na, nb, ends = na - 1, nb - 1, ends + 1
+    a, b = a[lo:na], b[lo:nb]
+    if len(a) < 2 or len(b) < 2:
+        same = bool(a) and bool(b) and (a[0] in b if len(a) == 1 else b[0] in a)
+        return ends + same, ends + max(len(a), len(b))
+    one = 1 << 32                                    # equal words, less columns
+    row = [-j for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        new = [(0, -i)]
-        for j, y in enumerate(b, 1):
-            d, u, l = row[j - 1], row[j], new[j - 1]
-            new.append(max((d[0] + (x == y), d[1] - 1), (u[0], u[1] - 1), (l[0], l[1] - 1)))
+        left, new, diagonal = -i, [-i], row[0]
+        for y, up in zip(b, row[1:]):
+            best = diagonal + one if x == y else diagonal
+            if up > best:
+                best = up
+            if left > best:
+                best = left
+            diagonal = up
+            left = best - 1
+            new.append(left)
         row = new
-    return row[-1][0], -row[-1][1]
+    same = (row[-1] + one - 1) // one
+    return ends + same, ends + same * one - row[-1]
 
 
-def extend(a, b, i: int, j: int, step: int) -> list[tuple[int, int]]:
-    """Pairs of equal words from ``(i, j)`` outwards.  An edit is passed the
-    way most of the next ``AHEAD`` words agree, or as one changed word if less
-    than half of them do; ends at a weight ``DROP`` under the best so far."""
+def extend(a, b, i: int, j: int) -> list[tuple[int, int, int]]:
+    """Runs ``(i, j, n)`` of ``n`` equal words from ``(i, j)`` onwards.  An
+    edit is passed the way most of the next ``AHEAD`` words agree, or as one
+    changed word if less than half of them do; ends at a weight ``DROP`` under
+    the best so far."""
     out, lost = [], 0.0
     na, nb = len(a), len(b)
 
     def agree(x, y):
-        n = min(AHEAD, na - x if step > 0 else x + 1, nb - y if step > 0 else y + 1)
+        n = min(AHEAD, na - x, nb - y)
         if n <= 0 or a[x] != b[y]:
             return 0
-        same = sum([a[x + q * step] == b[y + q * step] for q in range(n)])
+        same = sum(map(eq, a[x:x + n], b[y:y + n]))
         return same if 2 * same >= n else 0
 
-    while 0 <= i < na and 0 <= j < nb:
+    while i < na and j < nb:
         if a[i] == b[j]:
-            out.append((i, j))
-            i, j, lost = i + step, j + step, max(0.0, lost - (1 - IDENTITY))
+            n, most = 1, min(na - i, nb - j)
+            while n + 32 <= most and a[i + n:i + n + 32] == b[j + n:j + n + 32]:
+                n += 32
+            while n < most and a[i + n] == b[j + n]:
+                n += 1
+            out.append((i, j, n))
+            for _ in range(n):
+                if not lost:
+                    break
+                lost = max(0.0, lost - (1 - IDENTITY))
+            i, j = i + n, j + n
             continue
         best, way = 0, (1, 1)
         for di, dj in ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2), (3, 3)):
-            same = agree(i + di * step, j + dj * step)
+            same = agree(i + di, j + dj)
             if same > best:
                 best, way = same, (di, dj)
                 if same >= AHEAD - 1:
@@ -411,19 +434,42 @@ def extend(a, b, i: int, j: int, step: int) -> list[tuple[int, int]]:
         lost += max(way) * IDENTITY
         if lost > DROP:
             break
-        i, j = i + way[0] * step, j + way[1] * step
+        i, j = i + way[0], j + way[1]
     return out
 
 
-def around(words, pos: int, k: int = K) -> bytes:
+def points_of(runs):
+    """Places ``(x, y)`` of all words of some runs, as two arrays."""
+    import numpy as np
+
+    if not runs:
+        return np.zeros((2, 0), np.int64)
+    x, y, n = np.array(runs, np.int64).T
+    ends = np.cumsum(n)
+    on = np.arange(ends[-1]) - np.repeat(ends - n, n)
+    return np.stack((np.repeat(x, n) + on, np.repeat(y, n) + on))
+
+
+def word_starts(t: bytes):
+    """Where the words of a text begin, and its length."""
+    import numpy as np
+
+    raw = np.frombuffer(t, np.uint8)
+    word = np.append(False, (raw != 32) & (raw - np.uint8(9) > 4))
+    return np.append(np.flatnonzero(word[1:] & ~word[:-1]), len(t))
+
+
+def around(t: bytes, starts, pos: int, k: int = K) -> bytes:
     """16-bit hashes of ``AROUND`` words before (nearest first) and after a
     seed; -1 beyond the text."""
     import numpy as np
 
-    out = np.full(2 * AROUND, -1, np.int32)
-    before, after = words[max(0, pos - AROUND):pos][::-1], words[pos + k:pos + k + AROUND]
-    out[:len(before)] = [zlib.crc32(w) & 0xFFFF for w in before]
-    out[AROUND:AROUND + len(after)] = [zlib.crc32(w) & 0xFFFF for w in after]
+    def words(lo, hi):
+        return t[starts[lo]:starts[hi]].lower().split() if lo < hi else []
+
+    out, last = np.full(2 * AROUND, -1, np.int32), len(starts) - 1
+    for at, part in ((0, words(max(0, pos - AROUND), pos)[::-1]), (AROUND, words(pos + k, min(last, pos + k + AROUND)))):
+        out[at:at + len(part)] = np.fromiter(map(zlib.crc32, part), np.uint32, len(part)) & 0xFFFF
     return out.tobytes()
 
 
@@ -456,67 +502,102 @@ def reach(a, b, identity: float):
     return out
 
 
+def near_equal(a, b):
+    """Which words of rows of ``a`` may stand in ``b`` up to ``BAND`` away."""
+    import numpy as np
+
+    n, width = a.shape
+    a, x = a >= 0, a.astype(np.uint16)
+    y = np.zeros((n, width + 2 * BAND), np.uint16)           # a place beyond a text can only seem equal
+    y[:, BAND:BAND + width] = b.astype(np.uint16)
+    met = np.zeros((n, width), bool)
+    for o in range(2 * BAND + 1):
+        met |= x == y[:, o:o + width]
+    return met & a
+
+
 def may_hold(a, b, min_words: int, identity: float, k: int = K):
     """Which pairs of surroundings ``(n, 2 * AROUND)`` can hold a passage."""
     import numpy as np
 
-    left = reach(a[:, :AROUND], b[:, :AROUND], identity)
-    right = reach(a[:, AROUND:], b[:, AROUND:], identity)
-    best = np.maximum.accumulate(right[::-1])[::-1]           # of at least so many words
     need = np.clip(min_words - k - np.arange(AROUND + 1), 0, None)
     fits = need <= AROUND
     if not fits.any():                                        # longer than what is seen
         return np.ones(len(a), bool)
-    return (left[fits] + best[need[fits]]).max(0) + k * (1 - identity) >= -1e-3
+
+    def holds(left, right, slack):                            # one row for each number of words
+        best = np.maximum.accumulate(right[::-1])[::-1]       # of at least so many words
+        return (left[fits] + best[need[fits]]).max(0) + k * (1 - identity) >= -slack
+
+    def bound(x, y):
+        """No alignment in the band is better: each word of ``x`` costs a column."""
+        out = np.zeros((x.shape[1] + 1, len(x)), np.float32)
+        np.cumsum(near_equal(x, y).T - np.float32(identity), axis=0, out=out[1:])
+        return out
+
+    sides = slice(0, AROUND), slice(AROUND, None)
+    out = holds(*(bound(a[:, s], b[:, s]) for s in sides), 1e-2)
+    at = np.flatnonzero(out)                                  # most are told by the bound
+    if len(at):
+        out[at] = holds(*(reach(a[at][:, s], b[at][:, s], identity) for s in sides), 1e-3)
+    return out
 
 
 def passages_of(a, b, pairs, min_words: int = MIN_WORDS, identity: float = IDENTITY, k: int = K):
     """Repeated passages ``(start, end, start2, end2, equal, columns)`` of two
     word lists from their seed matches."""
-    out, covered = [], []
-    for chain in chains(pairs, k):
-        x0, y0 = chain[0]
-        if any(s <= x0 and chain[-1][0] + k <= e and abs((x0 - s) - (y0 - t)) <= 2 for s, e, t in covered):
+    import numpy as np
+
+    back_a, back_b = a[::-1], b[::-1]
+    out, covered = [], {}                                # of a shift: (start, end) of passages
+    for row in chains(pairs, k):
+        (x0, y0), (x1, y1) = row[0], row[-1]
+        if any(s <= x0 and x1 + k <= e for d in range(-2, 3) for s, e in covered.get(x0 - y0 + d, ())):
             continue
+        before = points_of(extend(back_a, back_b, len(a) - x0, len(b) - y0))
+        px, py = np.concatenate((
+            (np.array([[len(a) - 1], [len(b) - 1]]) - before)[:, ::-1], np.array(row + [(x1 + k - 1, y1 + k - 1)]).T,
+            points_of(extend(a, b, x1 + k, y1 + k))), 1)
+        if k == 1:                                       # a seed's last word is its first
+            once = np.append(True, px[1:] > px[:-1])
+            px, py = px[once], py[once]
         # steps of the alignment: (start, end, start2, end2, equal, columns)
-        before = extend(a, b, x0 - 1, y0 - 1, -1)[::-1]
-        x1, y1 = chain[-1]
-        after = extend(a, b, x1 + k, y1 + k, 1)
-        points = before + [(x, y) for x, y in chain] + [(x1 + k - 1, y1 + k - 1)] + after
-        steps = []
-        px, py = points[0]
-        steps.append((px, px + 1, py, py + 1, 1, 1))
-        for x, y in points[1:]:
-            if x <= px or y <= py:
-                continue
-            gx, gy = a[px + 1:x], b[py + 1:y]
-            same, columns = (len(gx), len(gx)) if gx == gy else aligned(gx, gy)
-            steps.append((px + 1, x + 1, py + 1, y + 1, same + (a[x] == b[y]), columns + 1))
-            px, py = x, y
-        todo = [steps]
+        same = np.maximum(px - np.append(px[0] - 1, px[:-1]), 1)
+        columns = same.copy()
+        gaps = np.flatnonzero((px[1:] - px[:-1] > 1) | (py[1:] - py[:-1] > 1)) + 1
+        for n, s, e, s2, e2 in zip(gaps.tolist(), *((q[gaps - 1 + m] + 1 - m).tolist() for q in (px, py) for m in (0, 1))):
+            gx, gy = a[s:e], b[s2:e2]
+            if gx != gy:
+                equal, wide = aligned(gx, gy)
+                same[n], columns[n] = equal + 1, wide + 1
+        start, start2 = np.append(px[0], px[:-1] + 1), np.append(py[0], py[:-1] + 1)
+        end, end2 = px + 1, py + 1
+        todo = [(0, len(px))]
         while todo:
-            part = todo.pop()
-            if not part or part[-1][1] - part[0][0] < min_words:
+            first, last = todo.pop()
+            if first == last or end[last - 1] - start[first] < min_words:
                 continue
             # best run of steps of at least ``min_words`` words; a run at
             # exactly ``identity`` weighs nothing
-            sums = [0.0]
-            for s in part:
-                sums.append(sums[-1] + s[4] * (1 - identity) - (s[5] - s[4]) * identity)
-            best, lo, hi, least, start = -1e-9, 0, 0, 0, 0
-            for n, s in enumerate(part):
-                while start <= n and s[1] - part[start][0] >= min_words:
-                    if sums[start] < sums[least]:
-                        least = start
-                    start += 1
-                if start and sums[n + 1] - sums[least] > best:
-                    best, lo, hi = sums[n + 1] - sums[least], least, n + 1
-            if not hi:
+            part = slice(first, last)
+            weights = np.zeros(2 * (last - first) + 1)
+            weights[1::2] = same[part] * (1 - identity)
+            weights[2::2] = -((columns[part] - same[part]) * identity)
+            sums = np.cumsum(weights)[::2]
+            # the first smallest sum before any step that may open a run
+            smallest = np.minimum.accumulate(sums)
+            fresh = np.append(True, smallest[1:] < smallest[:-1])
+            least = np.maximum.accumulate(np.where(fresh, np.arange(len(sums)), 0))
+            opened = np.searchsorted(start[part], end[part] - min_words, "right")
+            gain = np.where(opened > 0, sums[1:] - smallest[opened - 1], -np.inf)
+            hi = int(gain.argmax())
+            if not gain[hi] > -1e-9:
                 continue
-            s, e = part[lo], part[hi - 1]
-            out.append((s[0], e[1], s[2], e[3], sum(q[4] for q in part[lo:hi]), sum(q[5] for q in part[lo:hi])))
-            covered.append((s[0], e[1], s[2]))
-            todo += [part[:lo], part[hi:]]
+            lo, hi = first + int(least[opened[hi] - 1]), first + hi + 1
+            found = (start[lo], end[hi - 1], start2[lo], end2[hi - 1], same[lo:hi].sum(), columns[lo:hi].sum())
+            out.append(tuple(int(q) for q in found))
+            covered.setdefault(out[-1][0] - out[-1][2], []).append(out[-1][:2])
+            todo += [(first, lo), (hi, last)]
     return out
 
 
@@ -532,8 +613,8 @@ def promising(pairs: DataFrame, texts: DataFrame, min_words: int, identity: floa
                 last, seen = None, []
                 for m, t in zip(part.column(4).to_pylist(), part.column(5).to_pylist()):
                     if t != last:
-                        last, words = t, t.lower().split()
-                    seen.append(b"".join([around(words, p["pos"]) for p in m]))
+                        last, starts = t, word_starts(t)
+                    seen.append(b"".join([around(t, starts, p["pos"]) for p in m]))
                 yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(seen, pa.binary())],
                                                  ["doc", "h", "doc2", "h2", "m", "c"])
 
@@ -546,8 +627,8 @@ def promising(pairs: DataFrame, texts: DataFrame, min_words: int, identity: floa
                 last, seen, of = None, [], []
                 for n, (m, t) in enumerate(zip(part.column(4).to_pylist(), part.column(6).to_pylist())):
                     if t != last:
-                        last, words = t, t.lower().split()
-                    seen += [around(words, p["pos2"]) for p in m]
+                        last, starts = t, word_starts(t)
+                    seen += [around(t, starts, p["pos2"]) for p in m]
                     of += [n] * len(m)
                 one = np.frombuffer(b"".join(part.column(5).to_pylist()), np.int32).reshape(-1, 2 * AROUND)
                 two = np.frombuffer(b"".join(seen), np.int32).reshape(-1, 2 * AROUND)

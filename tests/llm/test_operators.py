@@ -561,3 +561,37 @@ def test_brown_writes_tokens_once(spark, monkeypatch):
     got = brown_lm.score(spark, spark.createDataFrame(rows, "doc_id long, text string"), 4, 2)
     assert got.count() == len(rows)
     assert [name for name, columns in made.items() if "codes" in columns] == ["brown-blocks"]
+
+
+def test_passages_unlike_surroundings_are_told_without_alignment(spark, monkeypatch):
+    """op2: only surroundings that may be alike in the band are aligned."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    a = r.integers(0, 1 << 16, (300, 2 * passages.AROUND)).astype(np.int32)
+    b = r.integers(0, 1 << 16, a.shape).astype(np.int32)
+    b[:20] = a[:20]
+    b[10:20, ::9] = 7                                    # one word of nine changed
+    a[20, 40:], b[20, 40:] = -1, -1                      # texts that end
+    seen, reach = [], passages.reach
+    monkeypatch.setattr(passages, "reach", lambda x, y, identity: seen.append(len(x)) or reach(x, y, identity))
+    assert np.flatnonzero(passages.may_hold(a, b, 50, 0.8)).tolist() == list(range(20))
+    assert max(seen) <= 20
+
+
+def test_passages_alignment_of_gaps():
+    """op2: the most equal words, then the fewest columns, whatever the way."""
+    def plain(a, b):
+        row = [(0, -j) for j in range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            new = [(0, -i)]
+            for j, y in enumerate(b, 1):
+                d, u, v = row[j - 1], row[j], new[j - 1]
+                new.append(max((d[0] + (x == y), d[1] - 1), (u[0], u[1] - 1), (v[0], v[1] - 1)))
+            row = new
+        return row[-1][0], -row[-1][1]
+
+    r = random.Random(5)
+    for _ in range(500):
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(8))] for _ in range(2))
+        assert passages.aligned(a, b) == plain(a, b)
