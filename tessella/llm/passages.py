@@ -46,6 +46,7 @@ IDENTITY = 0.8
 SKIP_COST = 0.05        # of a chain, for each word skipped in either text
 MAX_GAP = 64            # words between two seeds of a chain
 AHEAD, DROP = 8, 8.0    # words that tell how an alignment goes on; its loss at the end
+WAYS = ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2), (3, 3))     # words passed in either text
 FEW, AROUND, BAND = 3, 64, 8    # matches of a pair told by the words around them; words to each side; shift
 HOT_SHARE, HOT_ROWS, SALTS, SAMPLE = 1e-4, 1024, 64, 16
 NO_ID = (1 << 63) - 1   # stands for a null id: such rows come last
@@ -276,7 +277,9 @@ def places(found: DataFrame, n_docs: int) -> DataFrame:
              .withColumn("salt", F.when(F.col("top").isNotNull(), F.pmod(F.shiftright("h", 8), F.lit(SALTS))).otherwise(-1)))
     w = Window.partitionBy("seed", "salt").orderBy("doc", "h", "pc")
     placed = dealt.select("seed", "salt", "doc", "h", "pc", F.coalesce("top", F.first(here).over(w)).alias("head"),
-                          F.lag(here).over(w).alias("prev"))
+                          F.lag(here).over(w).alias("prev"), F.lead("doc").over(w).alias("next"))
+    # most seeds occur once: they need not be looked at again
+    placed = placed.where(F.col("prev").isNotNull() | F.col("next").isNotNull() | (F.col("salt") >= 0)).drop("next")
 
     def pos(pc):
         return F.shiftright(pc, 32).cast("int")
@@ -403,18 +406,13 @@ def extend(a, b, i: int, j: int) -> list[tuple[int, int, int]]:
     out, lost = [], 0.0
     na, nb = len(a), len(b)
 
-    def agree(x, y):
-        n = min(AHEAD, na - x, nb - y)
-        if n <= 0 or a[x] != b[y]:
-            return 0
-        same = sum(map(eq, a[x:x + n], b[y:y + n]))
-        return same if 2 * same >= n else 0
-
     while i < na and j < nb:
         if a[i] == b[j]:
             n, most = 1, min(na - i, nb - j)
             while n + 32 <= most and a[i + n:i + n + 32] == b[j + n:j + n + 32]:
                 n += 32
+            while n + 4 <= most and a[i + n:i + n + 4] == b[j + n:j + n + 4]:
+                n += 4
             while n < most and a[i + n] == b[j + n]:
                 n += 1
             out.append((i, j, n))
@@ -425,12 +423,17 @@ def extend(a, b, i: int, j: int) -> list[tuple[int, int, int]]:
             i, j = i + n, j + n
             continue
         best, way = 0, (1, 1)
-        for di, dj in ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2), (3, 3)):
-            same = agree(i + di, j + dj)
-            if same > best:
-                best, way = same, (di, dj)
-                if same >= AHEAD - 1:
-                    break
+        if not {*a[i:i + 4]}.isdisjoint(b[j:j + 4]):     # else no way leads on to equal words
+            for di, dj in WAYS:
+                x, y = i + di, j + dj
+                if x >= na or y >= nb or a[x] != b[y]:
+                    continue
+                n = min(AHEAD, na - x, nb - y)
+                same = sum(map(eq, a[x:x + n], b[y:y + n]))
+                if same > best and 2 * same >= n:
+                    best, way = same, (di, dj)
+                    if same >= AHEAD - 1:
+                        break
         lost += max(way) * IDENTITY
         if lost > DROP:
             break
@@ -450,27 +453,34 @@ def points_of(runs):
     return np.stack((np.repeat(x, n) + on, np.repeat(y, n) + on))
 
 
-def word_starts(t: bytes):
-    """Where the words of a text begin, and its length."""
+def around(texts, at, places, k: int = K):
+    """``(hashes, words)`` of surroundings: 16-bit hashes of ``AROUND`` words
+    before (nearest first) and after the seeds at ``places`` of texts ``at``
+    (ascending), and how many words there are on either side."""
     import numpy as np
 
-    raw = np.frombuffer(t, np.uint8)
-    word = np.append(False, (raw != 32) & (raw - np.uint8(9) > 4))
-    return np.append(np.flatnonzero(word[1:] & ~word[:-1]), len(t))
-
-
-def around(t: bytes, starts, pos: int, k: int = K) -> bytes:
-    """16-bit hashes of ``AROUND`` words before (nearest first) and after a
-    seed; -1 beyond the text."""
+    parts, last, words = [], None, []
+    for n, pos in zip(at, places):
+        if n != last:
+            if last is None or texts[n] != texts[last]:
+                words = texts[n].lower().split()
+            last = n
+        parts.append(words[max(0, pos - AROUND):pos][::-1])
+        parts.append(words[pos + k:pos + k + AROUND])
+    sides = np.array([len(p) for p in parts], np.uint16).reshape(-1, 2)
+    flat = np.fromiter(map(zlib.crc32, chain.from_iterable(parts)), np.uint32, int(sides.sum(dtype=np.int64)))
+    out = np.zeros((len(sides), 2, AROUND), np.uint16)
+    out[np.arange(AROUND) < sides[:, :, None]] = flat.astype(np.uint16)
+    return out.reshape(-1, 2 * AROUND), sides
+
+
+def beyond(hashes, sides):
+    """Surroundings as ``may_hold`` takes them: -1 beyond the text."""
     import numpy as np
 
-    def words(lo, hi):
-        return t[starts[lo]:starts[hi]].lower().split() if lo < hi else []
-
-    out, last = np.full(2 * AROUND, -1, np.int32), len(starts) - 1
-    for at, part in ((0, words(max(0, pos - AROUND), pos)[::-1]), (AROUND, words(pos + k, min(last, pos + k + AROUND)))):
-        out[at:at + len(part)] = np.fromiter(map(zlib.crc32, part), np.uint32, len(part)) & 0xFFFF
-    return out.tobytes()
+    out = hashes.reshape(-1, 2, AROUND).astype(np.int32)
+    out[np.arange(AROUND) >= sides[:, :, None]] = -1
+    return out.reshape(-1, 2 * AROUND)
 
 
 def reach(a, b, identity: float):
@@ -543,6 +553,49 @@ def may_hold(a, b, min_words: int, identity: float, k: int = K):
     return out
 
 
+def whole_passage(a, b, before, row, after, identity: float, k: int):
+    """The passage ``(start, end, start2, end2, equal, columns)`` of a whole
+    alignment, if no part of it is as good; None if that has to be looked up.
+
+    ``before`` and ``after`` are the runs on both sides of the seeds ``row``.
+    Every step but a gap's raises the weight, so the weight before and after
+    each gap tells: what stands on either side must outweigh nothing by more
+    than rounding.
+    """
+    na, nb = len(a), len(b)
+    runs = [(na - i - n, nb - j - n, n) for i, j, n in reversed(before)]
+    (x0, y0), (x1, y1) = row[0], row[-1]
+    if x1 - x0 == y1 - y0 and a[x0:x1 + k] == b[y0:y1 + k] and all([x - y == x0 - y0 for x, y in row]):
+        runs.append((x0, y0, x1 + k - x0))
+    else:
+        runs += [(x, y, 1) for x, y in row]
+        runs.append((x1 + k - 1, y1 + k - 1, 1))
+    runs += after
+    x, y, equal = runs[0]
+    start, start2, columns = x, y, equal
+    x, y = x + equal, y + equal
+    gain, loss = 1 - identity, identity
+    most, margin = -1.0, 1e-6                       # weight before any gap
+    if gain <= margin:                              # a longer one is no better
+        return None
+    for i, j, n in runs[1:]:
+        if i > x or j > y:
+            gx, gy = a[x:i], b[y:j]
+            if gx == gy:
+                equal, columns = equal + len(gx), columns + len(gx)
+            else:
+                same, wide = aligned(gx, gy)
+                most = max(most, equal * gain - (columns - equal) * loss)
+                equal, columns = equal + same, columns + wide
+                # with the word that ends the step
+                if (equal + 1) * gain - (columns - equal) * loss <= margin:
+                    return None
+        equal, columns, x, y = equal + n, columns + n, i + n, j + n
+    if equal * gain - (columns - equal) * loss <= most + margin:
+        return None
+    return start, x, start2, y, equal, columns
+
+
 def passages_of(a, b, pairs, min_words: int = MIN_WORDS, identity: float = IDENTITY, k: int = K):
     """Repeated passages ``(start, end, start2, end2, equal, columns)`` of two
     word lists from their seed matches."""
@@ -552,12 +605,19 @@ def passages_of(a, b, pairs, min_words: int = MIN_WORDS, identity: float = IDENT
     out, covered = [], {}                                # of a shift: (start, end) of passages
     for row in chains(pairs, k):
         (x0, y0), (x1, y1) = row[0], row[-1]
-        if any(s <= x0 and x1 + k <= e for d in range(-2, 3) for s, e in covered.get(x0 - y0 + d, ())):
+        if covered and any([s <= x0 and x1 + k <= e for d in range(-2, 3) for s, e in covered.get(x0 - y0 + d, ())]):
+            continue
+        before, after = extend(back_a, back_b, len(a) - x0, len(b) - y0), extend(a, b, x1 + k, y1 + k)
+        begins = len(a) - before[-1][0] - before[-1][2] if before else x0
+        if (after[-1][0] + after[-1][2] if after else x1 + k) - begins < min_words:
+            continue
+        if k > 1 and (found := whole_passage(a, b, before, row, after, identity, k)):
+            out.append(found)
+            covered.setdefault(found[0] - found[2], []).append(found[:2])
             continue
-        before = points_of(extend(back_a, back_b, len(a) - x0, len(b) - y0))
         px, py = np.concatenate((
-            (np.array([[len(a) - 1], [len(b) - 1]]) - before)[:, ::-1], np.array(row + [(x1 + k - 1, y1 + k - 1)]).T,
-            points_of(extend(a, b, x1 + k, y1 + k))), 1)
+            (np.array([[len(a) - 1], [len(b) - 1]]) - points_of(before))[:, ::-1],
+            np.array(row + [(x1 + k - 1, y1 + k - 1)]).T, points_of(after)), 1)
         if k == 1:                                       # a seed's last word is its first
             once = np.append(True, px[1:] > px[:-1])
             px, py = px[once], py[once]
@@ -606,15 +666,25 @@ def promising(pairs: DataFrame, texts: DataFrame, min_words: int, identity: floa
     cannot hold a passage; only these words are moved, not the texts."""
     few = pairs.where(F.size("m") <= FEW).select("doc", "h", "doc2", "h2", "m")
 
+    def seen_in(part, column, place):
+        """``around`` of a slice's matches, and the number of each row's."""
+        import numpy as np
+
+        m = part.column(4)
+        each = m.value_lengths().to_numpy()
+        at = np.repeat(np.arange(len(each)), each)
+        return *around(part.column(column).to_pylist(), at.tolist(), m.flatten().field(place).to_pylist()), each, at
+
     def collected(batches):
+        import numpy as np
+
         worker_trim()
         for b in batches:
             for part in text_slices(b, 5, 256):
-                last, seen = None, []
-                for m, t in zip(part.column(4).to_pylist(), part.column(5).to_pylist()):
-                    if t != last:
-                        last, starts = t, word_starts(t)
-                    seen.append(b"".join([around(t, starts, p["pos"]) for p in m]))
+                hashes, sides, each, _ = seen_in(part, 5, "pos")
+                raw, size = np.hstack((hashes, sides)).tobytes(), 2 * (2 * AROUND + 2)
+                ends = np.cumsum(each) * size
+                seen = [raw[e - n * size:e] for e, n in zip(ends.tolist(), each.tolist())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(seen, pa.binary())],
                                                  ["doc", "h", "doc2", "h2", "m", "c"])
 
@@ -624,15 +694,10 @@ def promising(pairs: DataFrame, texts: DataFrame, min_words: int, identity: floa
         worker_trim()
         for b in batches:
             for part in text_slices(b, 6, 1024, 1 << 22):
-                last, seen, of = None, [], []
-                for n, (m, t) in enumerate(zip(part.column(4).to_pylist(), part.column(6).to_pylist())):
-                    if t != last:
-                        last, starts = t, word_starts(t)
-                    seen += [around(t, starts, p["pos2"]) for p in m]
-                    of += [n] * len(m)
-                one = np.frombuffer(b"".join(part.column(5).to_pylist()), np.int32).reshape(-1, 2 * AROUND)
-                two = np.frombuffer(b"".join(seen), np.int32).reshape(-1, 2 * AROUND)
-                keep = np.unique(np.array(of)[may_hold(one, two, min_words, identity)])
+                *two, _, at = seen_in(part, 6, "pos2")
+                raw = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint16).reshape(-1, 2 * AROUND + 2)
+                one = raw[:, :-2], raw[:, -2:]
+                keep = np.unique(at[may_hold(beyond(*one), beyond(*two), min_words, identity)])
                 if len(keep):
                     yield pa.RecordBatch.from_arrays([c.take(pa.array(keep)) for c in part.columns[:5]],
                                                      ["doc", "h", "doc2", "h2", "m"])
@@ -645,6 +710,18 @@ def promising(pairs: DataFrame, texts: DataFrame, min_words: int, identity: floa
     return pairs.where(F.size("m") > FEW).select("doc", "h", "doc2", "h2", "m").unionByName(kept)
 
 
+def word_counts(rows: DataFrame) -> DataFrame:
+    """``(doc, h, n_words)`` of all rows ``(doc, h, t)``."""
+
+    def run(batches):
+        worker_trim()
+        for b in batches:
+            n = [len(t.split()) for part in text_slices(b, 2) for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc", "h", "n_words"])
+
+    return rows.select("doc", "h", "t").mapInArrow(run, "doc long, h long, n_words long")
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS,
                       identity: float = IDENTITY) -> tuple[DataFrame, DataFrame]:
     """``(copies, spans)``.
@@ -700,10 +777,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
     spans = written(spark, both.mapInArrow(
         run, "doc long, h long, start long, end long, doc2 long, start2 long, end2 long, equal long, columns long"),
         "spans", SENT)
-    size = F.size(F.filter(F.split(F.col("t").cast("string"), r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long")
     discard(spark, pairs)
     discard(spark, lone)
-    copies = rows.select("doc", "h", size.alias("n_words")).join(firsts, "h").select("doc", "h", "first", "n_words")
+    copies = word_counts(rows).join(firsts, "h").select("doc", "h", "first", "n_words")
     return copies, spans
 
 
@@ -734,6 +810,7 @@ def dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS,
     that id; an empty table gives no rows; further columns are ignored.
     """
     copies, spans = repeated_passages(spark, docs, min_words, identity)
+    copies = written(spark, copies, "copies", SENT)
     once = Window.partitionBy("h", "doc").orderBy(F.lit(0))
     numbered = copies.withColumn("again", F.row_number().over(once) > 1)
     copy = (F.col("n_words") >= min_words) & ((F.col("doc") != F.col("first")) | F.col("again"))
