@@ -313,8 +313,8 @@ def encode_digests(docs: DataFrame, path: str, memo: int = MEMO) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"))
 
     def run(batches):
-        worker_trim()
         codec = _codec(path, memo)
+        worker_trim()                      # what building it took, too
         for b in batches:
             got = [codec.digest(t) for t in b.column(1).to_pylist()]
             n, i, d = zip(*got) if got else ((), (), ())
@@ -336,8 +336,8 @@ def encode_documents(docs: DataFrame, path: str, memo: int = MEMO) -> DataFrame:
         f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep])
 
     def run(batches):
-        worker_trim()
         codec = _codec(path, memo)
+        worker_trim()                      # what building it took, too
         for b in batches:
             for lo in range(0, b.num_rows, OUTPUT_ROWS):      # bounded output batches
                 part = b.slice(lo, OUTPUT_ROWS)

@@ -872,6 +872,9 @@ def without_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN_
         return pd.Series(out)
 
     touched = F.col("cuts").isNotNull()
+    # once a row: a deterministic function would be moved into the filter below
+    # as well, and every task would hold a second Python worker from then on
+    cut = cut.asNondeterministic()
     out = kept.select("row", "cuts", cut(F.when(touched, text), F.col("cuts")).alias("less"))
     out = out.where(~touched | F.col("less").rlike(r"[^\x20\x09-\x0D]"))
     done = F.col("row").withField("text", F.when(touched, F.col("less")).otherwise(text))
